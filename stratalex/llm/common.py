@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The bytes that separate words: space and 0x09 to 0x0D, exactly what ``bytes.split()`` splits on.
@@ -80,3 +80,21 @@ def digits_bucket(hash_col: Column, buckets: int) -> Column:
     return F.least(
         F.floor((hash_col.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64 / buckets)), F.lit(buckets - 1)
     ).cast("int")
+
+
+def numbered(df: DataFrame, order: list[Column], to: str) -> DataFrame:
+    """``df`` with ranks from 1 by ``order`` in column ``to``: rows are dealt out by range, ranked within their range,
+    and shifted by the counts of the ranges before (one number a partition reaches the driver)."""
+    ranged = saved(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranked")
+    shift, at = [], 0
+    for r in sorted(ranged.groupBy("__range").count().collect(), key=lambda r: r["__range"]):
+        shift += [F.lit(r["__range"]), F.lit(at)]
+        at += r["count"]
+    inner = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    offset = F.element_at(F.create_map(*shift), F.col("__range")) if shift else F.lit(0)
+    return ranged.withColumn(to, (inner + offset).cast("long")).drop("__range")
+
+
+def words_in(text: Column) -> Column:
+    """The number of words of a text, 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))

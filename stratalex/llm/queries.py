@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -40,9 +41,65 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.near_duplicates(table(spark, sf_dir, "documents"), op.CONTRACT).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_rules as op
+
+    docs = table(spark, sf_dir, "documents")
+    rows = op.judged(docs, op.train(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing as op
+
+    return op.mix_sizes(table(spark, sf_dir, "documents"), [5, 2, 1])
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import reply_trees as op
+
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")
+    )
+    return op.digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sharding as op
+
+    rows = op.shuffled(table(spark, sf_dir, "documents").select("doc_id", "text"), 16)
+    return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secret_spans as op
+
+    return op.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
 
+CHAT_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), listed AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS whole,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+    sum(length('<turn ' || replace(replace(replace(role, '\', '\\'), '>', '\g'), chr(10), '\n') || '>' || chr(10)
+      || regexp_replace(text, '<(\\*/?turn)', '<\\\1', 'g') || chr(10) || '</turn>' || chr(10))) AS formatted_chars
+  FROM turns GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+  CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM listed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_chat_format": CHAT_SQL}
