@@ -209,6 +209,17 @@ def verified(groups: DataFrame, near: Near) -> DataFrame:
     return groups.mapInPandas(run, "u long, v long")
 
 
+def maybe_among(rows: DataFrame, wanted: DataFrame, keys: list[str], bits: int = 1 << 24) -> DataFrame:
+    """``rows`` without most of those whose keys are not in ``wanted``, so that a join behind it shuffles little: a
+    bitmap of hashed keys of ``bits`` bits at most (2 MB) is broadcast. It saves nothing once ``wanted`` fills it."""
+    place = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    at = F.bitmap_bit_position(place)
+    map_ = wanted.groupBy(F.bitmap_bucket_number(place).alias("__map")).agg(F.bitmap_construct_agg(at).alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, (at % 8).cast("int")) == 1
+    return rows.join(F.broadcast(map_), F.bitmap_bucket_number(place) == F.col("__map")).filter(hit).drop("__map", "__bits")
+
+
 def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """doc_id, text_hash (xxhash64 of the text), n_shingles, component_id, kept for each row of ``docs``.
 
@@ -235,6 +246,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
         .select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("node").alias("doc_id"), "text_hash")
     )
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("bytes"))
+    texts = maybe_among(texts, members.select(F.col("node").alias("doc_id"), "text_hash"), ["doc_id", "text_hash"])
     one = texts.join(members.select(F.col("node").alias("doc_id"), "text_hash"), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
     groups = dealt.join(one, ["doc_id", "text_hash"]).select("grp", "i", "j", "block", F.col("doc_id").alias("node"), "bytes")
     links = verified(groups.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j"), near)
