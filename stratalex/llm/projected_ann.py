@@ -85,7 +85,7 @@ class ProjectedIndex:
         level = np.take_along_axis(away, order, 1)
         stop = chi_square_quantile(confidence, DIMS)
         norm = (queries**2).sum(1) + self.reach**2
-        live, a, step = np.arange(n), 0, 4
+        live, a, step, slack = np.arange(n), 0, 4, 1e-12 * self.reach**2
         while len(live) and a < leaves:
             b = min(leaves, a + step)
             turn = order[live, a:b]
@@ -96,13 +96,12 @@ class ProjectedIndex:
             for c, e in zip(cuts[:-1], cuts[1:]):
                 x, y = self.first[leaf[c]], self.first[leaf[c] + 1]
                 q = of[c:e]
-                s = np.einsum("qd,xd->qx", queries[q], self.rows[x:y], optimize=True)
+                s = queries[q] @ self.rows[x:y].T
                 s[ids[q][:, None] == self.ids[x:y]] = -np.inf
-                hit = s >= best[q, -1][:, None]
-                hit &= s > -np.inf
-                qi, xi = np.nonzero(hit)
+                qi, xi = np.nonzero((s >= best[q, -1][:, None] - slack) & (s > -np.inf))
                 found_q.append(q[qi])
-                found_s.append(s[qi, xi])
+                # scored again one by one: a matrix product may round equal rows differently
+                found_s.append((queries[q[qi]] * self.rows[x:y][xi]).sum(1))
                 found_i.append(self.ids[x:y][xi])
             q, s, i = (np.concatenate(f) for f in (found_q, found_s, found_i))
             touched = np.unique(q)
