@@ -287,10 +287,10 @@ def usage_counts_overlay(spark: SparkSession, d: str) -> DataFrame:
     return relations.usage_counts(relations.shadowed(base, newer), None)
 
 
-_EVENTS = "e AS (SELECT event_id, user_id, event_type, epoch_us(ts) * 1000 + event_id % 1000 AS at, epoch_us(ts) + 60000000 AS finish, epoch_us(ts) + 3600000000 AS reach FROM events)"
+_EVENTS = "e AS (SELECT event_id, user_id, event_type, epoch_us(ts) * 1000 + event_id % 1000 AS moment, epoch_us(ts) + 60000000 AS finish, epoch_us(ts) + 3600000000 AS reach FROM events)"
 
 
-@query("enclosing_interval", f"WITH {_EVENTS}, w AS (SELECT *, last_value(CASE WHEN event_type = 'signup' OR event_type = 'view' THEN event_id END IGNORE NULLS) OVER v AS fn, last_value(CASE WHEN event_type = 'signup' OR event_type = 'view' THEN reach END IGNORE NULLS) OVER v AS fn_end FROM e WINDOW v AS (PARTITION BY user_id ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT event_id, CASE WHEN finish <= fn_end THEN fn END AS enclosing FROM w")
+@query("enclosing_interval", f"WITH {_EVENTS}, w AS (SELECT *, last_value(CASE WHEN event_type = 'signup' OR event_type = 'view' THEN event_id END IGNORE NULLS) OVER v AS fn, last_value(CASE WHEN event_type = 'signup' OR event_type = 'view' THEN reach END IGNORE NULLS) OVER v AS fn_end FROM e WINDOW v AS (PARTITION BY user_id ORDER BY moment ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT event_id, CASE WHEN finish <= fn_end THEN fn END AS enclosing FROM w")
 def enclosing_interval(spark: SparkSession, d: str) -> DataFrame:
     at = F.unix_micros(F.to_timestamp_ltz("ts")) * 1000 + F.col("event_id") % 1000
     e = events(spark, d).select("event_id", "user_id", "event_type", at.alias("at"), (F.unix_micros(F.to_timestamp_ltz("ts")) + 60_000_000).alias("finish"), (F.unix_micros(F.to_timestamp_ltz("ts")) + 3_600_000_000).alias("reach"))
@@ -462,7 +462,7 @@ def context_window_lines(spark: SparkSession, d: str) -> DataFrame:
     return edits.context(lines(spark, d).filter(P.within(F.col("path"), "src2")), 4, 2)
 
 
-@query("line_range", f"WITH {LINES} SELECT path, line, text FROM lines WHERE line BETWEEN 3 AND 8 AND regexp_matches(path, '/2[^/]*\.txt$')")
+@query("line_range", f"WITH {LINES} SELECT path, line, text FROM lines WHERE line BETWEEN 3 AND 8 AND regexp_matches(path, '/2[^/]*[.]txt$')")
 def line_range(spark: SparkSession, d: str) -> DataFrame:
     return edits.line_range(lines(spark, d).filter(P.within(F.col("path"), "**/2*.txt")), 3, 8)
 
