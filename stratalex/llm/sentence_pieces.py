@@ -57,7 +57,7 @@ class Numbered(dict):
 class Encoder:
     """Encodes and decodes in one Python process."""
 
-    def __init__(self, vocab: Pieces, remember: int = 1_000_000):
+    def __init__(self, vocab: Pieces, remember: int = 400_000):
         self.v, self.remember = vocab, remember
         skip = vocab.special | set(vocab.bytes_of.values())
         self.ids = {p: i for i, p in enumerate(vocab.pieces) if i not in skip}
@@ -331,7 +331,7 @@ def _encoder(vocab: Pieces, name: str) -> Encoder:
     return _ENCODERS[name]
 
 
-def _sliced(frame: pd.DataFrame, column: str, limit: int = 6_000_000) -> Iterator[pd.DataFrame]:
+def _sliced(frame: pd.DataFrame, column: str, limit: int = 3_000_000) -> Iterator[pd.DataFrame]:
     """Rows in slices of about ``limit`` characters, so that a batch of long texts stays small."""
     size = frame[column].str.len().fillna(0).to_numpy().cumsum()
     part = (size // limit).astype(int)
