@@ -61,17 +61,15 @@ def in_set(text: Column, member: str) -> Column:
 
 
 def glob_of(glob: str) -> str:
-    """A bare directory, or one with a slash at its end, means all below it; a last segment with a dot is a file."""
-    if glob.endswith("/"):
-        return glob + "**"
-    last = glob.rpartition("/")[2]
-    if not any(c in last for c in "*?.") and last:
-        return glob + "/**"
-    return glob
+    """Without wildcards, a path that ends with a slash or has no dot in its last segment is a directory: all below it."""
+    bare = glob.rstrip("/")
+    if "*" in glob or "?" in glob or not (glob.endswith("/") or "." not in bare.rpartition("/")[2]):
+        return glob
+    return bare + "/**"
 
 
 def glob_regex(glob: str) -> str:
-    """An anchored pattern: ``**`` spans any number of segments, ``*`` and ``?`` stay inside one."""
+    """``**`` spans any number of segments, ``*`` and ``?`` stay inside one; the glob may match from any segment on."""
     parts, out = glob_of(glob).split("/"), ""
     for i, part in enumerate(parts):
         last = i == len(parts) - 1
@@ -80,7 +78,7 @@ def glob_regex(glob: str) -> str:
             continue
         out += "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c) for c in part)
         out += "" if last else "/"
-    return f"^{out}\\z"
+    return f"^(?:.*/)?{out}\\z"
 
 
 def within(path: Column, glob: str) -> Column:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,10 +13,18 @@ from ..functions import identity, text
 from ..operators import relations
 from . import formats
 
-RAW = "path string, language string, pos int, name string, fql_kind string, line int, end_line int, byte_start int, byte_end int, parent_pos int, fields map<string,string>"
+RAW = "path string, language string, pos int, name string, fql_kind string, line int, end_line int, byte_start int, byte_end int, char_start int, char_end int, parent_pos int, fields map<string,string>"
 ADDRESSABLE = ("function", "class", "struct", "interface", "enum", "field", "variable", "macro", "type_alias", "namespace", "import", "object", "array", "pair", "section", "heading", "paragraph", "table", "code_block", "list_item", "block_quote", "call_statement", "if", "while", "for", "switch", "do")
 
 
+def byte_offsets(content: str) -> Callable[[int], int]:
+    """Character offsets of a text to offsets of its UTF-8 bytes."""
+    if content.isascii():
+        return lambda i: i
+    upto = np.r_[0, np.cumsum([len(c.encode()) for c in content])]
+    return lambda i: int(upto[i])
+
+
 def raw_symbols(files: DataFrame) -> DataFrame:
     """Rows of every file (path, content); files are independent, so nothing is shuffled."""
 
@@ -23,7 +32,8 @@ def raw_symbols(files: DataFrame) -> DataFrame:
         for p in parts:
             for path, content in zip(p.path, p.content):
                 language, rows = formats.read(path, content or "")
-                out = [(path, language, i, r.name, r.fql_kind, r.line, r.end_line, r.start, r.end, r.parent, list(r.fields.items())) for i, r in enumerate(rows)]
+                at = byte_offsets(content or "")
+                out = [(path, language, i, r.name, r.fql_kind, r.line, r.end_line, at(r.start), at(r.end), r.start, r.end, r.parent, r.fields) for i, r in enumerate(rows)]
                 if out:
                     yield pd.DataFrame(out, columns=[c.split()[0] for c in RAW.split(", ")])
 
