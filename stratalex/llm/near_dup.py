@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, saved
+from .common import mixed, released, saved
 from .components import components
 
 
@@ -54,7 +54,7 @@ class Shingler:
     def set_of(self, text: bytes) -> np.ndarray:
         """Sorted distinct 64-bit hashes of a text's shingles: all words as one shingle where they are too few."""
         words = text.lower().split()
-        if len(self.memo) > 1_000_000:
+        if len(self.memo) > 300_000:
             self.memo.clear()
         h = np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words))
         k = min(self.words, len(h))
@@ -114,6 +114,8 @@ def signatures(docs: DataFrame, near: Near) -> DataFrame:
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 bands.append(band_hashes(sketch(s, size), near) if len(s) else None)
             yield pd.DataFrame({"doc_id": p.doc_id, "text_hash": p.text_hash, "n_shingles": n, "set_key": keys, "bands": bands})
+        del shingler
+        released()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"))
     return rows.mapInPandas(run, "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>")
@@ -205,6 +207,9 @@ def verified(groups: DataFrame, near: Near) -> DataFrame:
         close()
         if found:
             yield pd.DataFrame(found, columns=["u", "v"])
+        held = []
+        del shingler
+        released()
 
     return groups.mapInPandas(run, "u long, v long")
 

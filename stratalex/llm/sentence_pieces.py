@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 TIE = -1e8
@@ -57,7 +59,7 @@ class Numbered(dict):
 class Encoder:
     """Encodes and decodes in one Python process."""
 
-    def __init__(self, vocab: Pieces, remember: int = 400_000):
+    def __init__(self, vocab: Pieces, remember: int = 300_000):
         self.v, self.remember = vocab, remember
         skip = vocab.special | set(vocab.bytes_of.values())
         self.ids = {p: i for i, p in enumerate(vocab.pieces) if i not in skip}
@@ -359,6 +361,8 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, verify: bool
                 if verify:
                     more["round_trip"] = [enc.decode(i) == t for i, t in zip(ids, texts)]
                 yield p.drop(columns="__text").assign(**more)
+            del frame, p, texts, ids, more
+        released()
 
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema)
     return kept.withColumn("__text", F.col(text).cast("string")).mapInPandas(run, f"{fields}, {added}")
