@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -46,6 +47,17 @@ def dropped(df: DataFrame) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """``df``, its session set to hand Python at most 1,000 rows and 16 MB at a time: texts may be long, and both
+    sides hold a whole batch. Settings that ask for less are left alone."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 16 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(re.sub(r"\D", "", conf.get(key)) or 0) <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

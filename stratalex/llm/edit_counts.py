@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK = 32
@@ -224,7 +226,7 @@ def count_tokens(docs: DataFrame, edits: str | None = None, ranks: str = RANKS)
             yield pd.DataFrame(rows, columns=["n_pretokens", "n_tokens", "n_tokens_edited", "n_reencoded"]).assign(doc_id=p.doc_id.to_numpy())
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return given.mapInPandas(run, f"n_pretokens long, n_tokens long, n_tokens_edited long, n_reencoded long, doc_id {kind}").select(
+    return lean(given).mapInPandas(run, f"n_pretokens long, n_tokens long, n_tokens_edited long, n_reencoded long, doc_id {kind}").select(
         "doc_id", "n_pretokens", "n_tokens", "n_tokens_edited", "n_reencoded"
     )
 

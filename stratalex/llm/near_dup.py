@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, released, saved
+from .common import lean, mixed, released, saved
 from .components import components
 
 
@@ -118,7 +118,7 @@ def signatures(docs: DataFrame, near: Near) -> DataFrame:
         released()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"))
-    return rows.mapInPandas(run, "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>")
+    return lean(rows).mapInPandas(run, "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>")
 
 
 class Forest:
@@ -211,7 +211,7 @@ def verified(groups: DataFrame, near: Near) -> DataFrame:
         del shingler
         released()
 
-    return groups.mapInPandas(run, "u long, v long")
+    return lean(groups).mapInPandas(run, "u long, v long")
 
 
 def maybe_among(rows: DataFrame, wanted: DataFrame, keys: list[str], bits: int = 1 << 24) -> DataFrame:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample
+from .common import held_out, labelled_sample, lean
 
 WIDTH, STRIDE, CHUNK, EMBED, FILTERS = 8, 4, 64, 6, 16
 SPAN = CHUNK * STRIDE
@@ -187,7 +187,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", max_d
             net.w["shift"][:] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
         yield pd.DataFrame({"weights": [net.packed()]})
 
-    return bytes(rows.repartition(1).mapInPandas(fit, "weights binary").collect()[0].weights)
+    return bytes(lean(rows).repartition(1).mapInPandas(fit, "weights binary").collect()[0].weights)
 
 
 def hash_of(doc_id: int) -> int:
@@ -207,4 +207,4 @@ def score(documents: DataFrame, weights: bytes, threshold: float = 0.7) -> DataF
 
     rows = documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"))
     schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double"
-    return rows.mapInPandas(apply, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return lean(rows).mapInPandas(apply, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

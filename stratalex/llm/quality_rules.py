@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import labelled_sample, lean
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SHARES = ["mean_word", "symbol_share", "upper_share", "digit_share", "bar_share", "mark_share", "dup_line_share", "repeat_share", "distinct_share", "line_words", "other_share"]
@@ -82,7 +82,7 @@ def statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
             yield pd.concat([p.drop(columns="__bytes").reset_index(drop=True), rows.astype(dict.fromkeys(BASE, "int64"))], axis=1)
 
     fields = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__bytes"]
-    return kept.mapInPandas(run, ", ".join([*fields, *(f"{c} long" for c in BASE), *(f"{c} double" for c in SHARES)]))
+    return lean(kept).mapInPandas(run, ", ".join([*fields, *(f"{c} long" for c in BASE), *(f"{c} double" for c in SHARES)]))
 
 
 @dataclass(frozen=True)

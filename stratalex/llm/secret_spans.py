@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 KINDS = ["assign", "access", "hex", "pem", "der", "ssh", "jwt", "basic"]
 _ASSIGN = re.compile(rb"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 # a run that fails the length test leaves no longer run inside it, so the least lengths can stand in the patterns
@@ -199,7 +201,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return (
-        docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"))
+        lean(docs).select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"))
         .mapInPandas(run, f"n_assign long, n_access long, n_hex long, base_sha256 string, spans string, doc_id {kind}")
         .select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
     )
@@ -222,7 +224,7 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
             out.append("".join([*parts, t[at:]]) if spans else t)
         return pd.Series(out, dtype=object)
 
-    rows = docs.withColumn("text", clean(F.col("text")))
+    rows = lean(docs).withColumn("text", clean(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
     return rows

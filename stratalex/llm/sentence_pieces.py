@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released
+from .common import lean, released
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -365,7 +365,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, verify: bool
         released()
 
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.withColumn("__text", F.col(text).cast("string")).mapInPandas(run, f"{fields}, {added}")
+    return lean(kept).withColumn("__text", F.col(text).cast("string")).mapInPandas(run, f"{fields}, {added}")
 
 
 def decode(rows: DataFrame, ids: str = "ids", model: str = MODEL, to: str = "decoded") -> DataFrame:
@@ -377,4 +377,4 @@ def decode(rows: DataFrame, ids: str = "ids", model: str = MODEL, to: str = "dec
         enc = _encoder(vocab, name)
         return pd.Series([None if i is None else enc.decode(np.asarray(i, np.int64)) for i in col])
 
-    return rows.withColumn(to, texts(F.col(ids)))
+    return lean(rows).withColumn(to, texts(F.col(ids)))
