@@ -82,7 +82,7 @@ def glob_regex(glob: str) -> str:
 
 
 def within(path: Column, glob: str) -> Column:
-    return F.coalesce(path.rlike(glob_regex(glob)), F.lit(False))
+    return path.rlike(glob_regex(glob))
 
 
 def outside(path: Column, glob: str) -> Column:
@@ -90,22 +90,23 @@ def outside(path: Column, glob: str) -> Column:
 
 
 def compiled(p: Predicate, text: Column | None, number: Column | None, batch: bool) -> Column:
-    """A predicate over a field's text and number; a missing field fails it, except NOT MATCHES in WHERE (``batch``)."""
+    """A filter over a field's text and number. A missing field makes it null, which a filter drops; only NOT MATCHES in
+    WHERE (``batch``) keeps it. Nothing wraps a comparison, so that it can be pushed into the scan."""
     no = F.lit(False)
     missing = F.lit(None).cast("string")
     text = missing if text is None else text
     number = integer(text) if number is None else number
     if p.op in ("MATCHES", "NOT MATCHES"):
         hit = matches(text, str(p.value))
-        return F.coalesce(hit, no) if p.op == "MATCHES" else F.coalesce(~hit, F.lit(batch))
+        return hit if p.op == "MATCHES" else F.coalesce(~hit, F.lit(True)) if batch else ~hit
     if p.op in ("LIKE", "NOT LIKE"):
         hit = like(text, str(p.value))
-        return F.coalesce(hit if p.op == "LIKE" else ~hit, no)
+        return hit if p.op == "LIKE" else ~hit
     if isinstance(p.value, bool):
         return no
     if p.op in ("=", "!="):
         side = number if isinstance(p.value, int) else text
-        return F.coalesce(side == F.lit(p.value) if p.op == "=" else side != F.lit(p.value), no)
+        return side == F.lit(p.value) if p.op == "=" else side != F.lit(p.value)
     if not isinstance(p.value, int):
         return no
-    return F.coalesce({">": number > p.value, ">=": number >= p.value, "<": number < p.value, "<=": number <= p.value}[p.op], no)
+    return {">": number > p.value, ">=": number >= p.value, "<": number < p.value, "<=": number <= p.value}[p.op]
