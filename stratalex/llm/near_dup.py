@@ -251,8 +251,9 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
         .select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("node").alias("doc_id"), "text_hash")
     )
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("bytes"))
-    texts = maybe_among(texts, members.select(F.col("node").alias("doc_id"), "text_hash"), ["doc_id", "text_hash"])
-    one = texts.join(members.select(F.col("node").alias("doc_id"), "text_hash"), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    # an inner join, as a semi-join would be pushed below the bitmap and shuffle every text
+    wanted = members.select(F.col("node").alias("doc_id"), "text_hash")
+    one = maybe_among(texts, wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
     groups = dealt.join(one, ["doc_id", "text_hash"]).select("grp", "i", "j", "block", F.col("doc_id").alias("node"), "bytes")
     links = verified(groups.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j"), near)
     grouped = components(links)
