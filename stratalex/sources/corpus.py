@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity, text
 
-WALK_SKIP = r"(^|/)(\.git|target|node_modules|\.forge[^/]*)(/|$)"
+WALK_SKIP = r"(^|/)(\.git|target|node_modules|\.stratalex[^/]*)(/|$)"
 
 
 def decoded(content: Column) -> Column:
