@@ -141,9 +141,8 @@ class Reader:
             return False
         if kind and (opened is None or words.index(kind) < opened - start) and not ("fn" in words):
             k = words.index(kind)
-            names = [w for w, t in zip(words[k + 1 :], head[k + 1 :]) if t.kind == "name" and w not in ("final", "class")]
             base = words.index(":") if ":" in words else len(words)
-            names = [w for w, t in zip(words[k + 1 : base], head[k + 1 : base]) if t.kind == "name" and w not in ("final", "class")] or names
+            names = [w for w, t in zip(words[k + 1 : base], head[k + 1 : base]) if t.kind == "name" and w not in ("final", "class")]
             name = (names[-1] if "for" in words and kind == "impl" else names[0]) if names else ""
             row = self.add(name, _TYPES[kind], start, end, parent)
             self.definition(row, start, words)

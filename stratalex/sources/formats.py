@@ -45,7 +45,6 @@ def python(text: str) -> list[Row]:
     def visit(node: ast.AST, parent: int, owner: str, local: bool) -> None:
         for child in ast.iter_child_nodes(node):
             at, inner = parent, owner
-            deco = getattr(child, "decorator_list", [])
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 rows.append(lines.row(child.name, "function", child.lineno, child.end_lineno, parent, **function(child, owner)))
                 at, inner = len(rows) - 1, ""
@@ -73,7 +72,6 @@ def python(text: str) -> list[Row]:
             elif isinstance(child, ast.Constant) and isinstance(child.value, (int, float)) and not isinstance(child.value, bool):
                 raw = ast.get_source_segment(text, child) or str(child.value)
                 rows.append(lines.row(raw, "number", child.lineno, child.end_lineno, parent, is_magic="true"))
-            del deco
             visit(child, at, inner, local)
 
     def function(node, owner: str) -> dict[str, str]:
@@ -229,7 +227,7 @@ def by_lines(rules: list[tuple[str, str]], sections: str | None = None) -> Calla
 
 
 def markdown(text: str) -> list[Row]:
-    lines, rows, open_, fence = Lines(text), [], [], None
+    lines, rows, open_ = Lines(text), [], []
     body = text.split("\n")
     n = 1
     while n <= len(body):
@@ -262,7 +260,6 @@ def markdown(text: str) -> list[Row]:
             rows.append(lines.row(line.strip()[:60], "paragraph", n, end, open_[-1][1] if open_ else -1))
             n = end
         n += 1
-    del fence
     return rows
 
 
