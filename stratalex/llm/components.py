@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from .common import dropped, saved
 
+#: Shares of all edges above which a node is a hub: 1 / HUBS.
+HUBS = 1000
+
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v: longs); component is the smallest node reachable.
 
-    A step pre-aggregates each node's smallest neighbour and joins it back; nothing gathers a node's neighbours, and
-    every step's edges are a table in the shared folder. Loops and repeated edges do no harm; no edges give no rows."""
+    A step pre-aggregates each node's smallest neighbour and joins it back; nothing gathers a node's neighbours, the
+    edges of a hub aren't shuffled by it, and every step's edges are a table in the shared folder. Loops and repeated
+    edges do no harm; no edges give no rows."""
     now = saved(_pairs(edges.filter("u != v")), "edges")
     before = None
     for _ in range(rounds):
@@ -20,8 +24,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if mark == before:
             break
         before = mark
-        large = saved(_star(now, True), "edges")
-        small = saved(_star(large, False), "edges")
+        large = saved(_star(now, mark["n"], True), "edges")
+        small = saved(_star(large, mark["n"], False), "edges")
         dropped(now)
         dropped(large)
         now = small
@@ -37,14 +41,21 @@ def _pairs(edges: DataFrame) -> DataFrame:
     return edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, n: int, large: bool) -> DataFrame:
     """Large star: each node hands its smallest neighbour (itself included) to its greater neighbours. Small star: to
-    its smaller neighbours and itself. Edges come as (greater, smaller)."""
+    its smaller neighbours and itself. Edges come as (greater, smaller); ``n`` is their number."""
     if large:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        out = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return _pairs(out.filter("u != v"))
+        ends = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = ends.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("degree"))
+        return _pairs(_handed(ends.filter("v > u"), least, n).filter("u != v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
+    return _pairs(_handed(edges, least, n).unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v"))
+
+
+def _handed(ends: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """(v, m) for each row (u, v), m being what ``least`` has for u. Nodes of a degree above n / ``HUBS`` are at most
+    2 * ``HUBS``: they are broadcast, so that the edges of a hub stay where they lie."""
+    hub = F.col("degree") > max(16, n // HUBS)
+    hubs = F.broadcast(least.filter(hub).select("u", "m"))
+    near, far = least.filter(~hub).select("u", "m"), ends.join(hubs.select("u"), "u", "left_anti")
+    return ends.join(hubs, "u").unionByName(far.join(near, "u").select("u", "v", "m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
