@@ -62,7 +62,7 @@ def paths(nodes: DataFrame, branches: int = 1, rounds: int = 40) -> DataFrame:
     )
     # after k joins: 'up' is the ancestor 2^k steps above (null if there is none), 'steps' and 'score' sum what lies between
     jump = saved(linked, "jumps")
-    jumps, done = [jump.filter("up is not null").select("tree", "node", "up")], [jump.filter("up is null")]
+    jumps = [jump.filter("up is not null").select("tree", "node", "up")]
     for _ in range(rounds):
         open_ = jump.filter("up is not null")
         if open_.isEmpty():
@@ -80,10 +80,10 @@ def paths(nodes: DataFrame, branches: int = 1, rounds: int = 40) -> DataFrame:
     leaves = finished.join(inner, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc(F.col("score") / F.col("steps")), "node"))
     found = leaves.withColumn("rank", rank).filter(F.col("rank") <= branches).select("tree", "rank", "node", F.col("steps").alias("depth"))
-    for k, table in reversed([*enumerate(jumps)]):
+    for k, table in reversed([*enumerate(jumps)]):  # each row stays and brings its ancestor: one join a level
         up = table.select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
-        more = found.join(up, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "rank", F.col("up").alias("node"), (F.col("depth") - 2**k).alias("depth"))
-        found = found.unionByName(more)
+        both = F.inline(F.array(F.struct("node", "depth"), F.struct(F.col("up").alias("node"), (F.col("depth") - 2**k).alias("depth"))))
+        found = found.join(up, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left").select("tree", "rank", both).filter("node is not null")
     return found
 
 
