@@ -6,6 +6,7 @@ import difflib
 import re
 import tempfile
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,6 +35,7 @@ class Session:
         self.undo: list[DataFrame] = []
         self.marks: list[tuple[str, DataFrame]] = []
         self.commits: list[tuple[str, str]] = []
+        self.trees: dict[str, tuple[DataFrame, DataFrame]] = {}
         self.outputs: list[DataFrame] = []
         self.found: tuple[DataFrame, str] | None = None
         self.set_version(files.select("path", "content"))
@@ -72,17 +74,28 @@ class Session:
         _ = self.symbols
         return self._sites
 
+    def reachable(self) -> set[str]:
+        """Names of the tables in ``store`` that this session may still read."""
+        held = [self.files, self.base, *self.undo, *self.outputs, *(f for _, f in self.marks), *(f for pair in self.trees.values() for f in pair)]
+        held += [t for t in (self._symbols, self._sites) if t is not None] + ([self.found[0]] if self.found else [])
+        return {f.split("/")[-2] for t in held for f in t.inputFiles()}
+
     # statements
 
     def run(self, fql: str) -> DataFrame:
         """The rows that a statement answers with; refused statements raise QueryError before anything runs."""
-        s = parse(fql)
+        return self.execute(parse(fql))
+
+    def execute(self, s: Statement) -> DataFrame:
         for p in (*s.clauses.where, *s.clauses.having):
             if p.op.endswith("MATCHES"):
                 P.regex(str(p.value))
         if s.clauses != Clauses() and s.verb.split()[0] in ("change", "insert", "delete", "move", "copy"):
             raise QueryError("an edit takes no clauses")
-        out = getattr(self, "_" + s.verb.replace(" ", "_"))(s)
+        act = getattr(self, "_" + s.verb.replace(" ", "_"), None)
+        if act is None:
+            raise QueryError(f"{s.verb} is asked of a catalog, not of a session")
+        out = act(s)
         if s.verb.startswith("show ") and s.verb != "show more":
             self.outputs = [*self.outputs, out][-OUTPUTS:]
         return out
@@ -103,11 +116,15 @@ class Session:
     def _find_files(self, s: Statement) -> DataFrame:
         C.refused(s.clauses, SHAPES["file"], depth=True)
         files = corpus.stamped(corpus.with_paths(self.files))
-        bad = self.symbols.filter("fql_kind = 'error'").groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("error_count"))
-        files = files.join(bad, "path", "left").withColumn("error_count", F.coalesce("error_count", F.lit(0))).withColumn("parse_coverage", F.when(F.col("error_count") > 0, 0).otherwise(100)).drop("content")
+        bytes_ = F.col("byte_end") - F.col("byte_start")
+        bad = self.symbols.filter("fql_kind = 'error'").groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("error_count"), F.sum(bytes_).alias("__bad"))
+        left = F.greatest(F.lit(0), F.col("size") - F.coalesce("__bad", F.lit(0)))
+        cover = F.when(F.col("size") == 0, 100).otherwise(F.floor(100 * left / F.col("size"))).cast("int")
+        files = files.join(bad, "path", "left").withColumns({"error_count": F.coalesce("error_count", F.lit(0)), "parse_coverage": cover}).drop("content", "__bad")
         if s.clauses.depth is not None:
             files = C.filtered(files, s.clauses, SHAPES["file"])
-            return C.paged(corpus.collapsed(files, s.clauses.depth), Clauses(limit=s.clauses.limit, offset=s.clauses.offset), SHAPES["file"], PAGE)
+            rows = corpus.collapsed(files, s.clauses.depth).withColumns({"name": F.element_at(F.split(F.rtrim(F.col("path"), F.lit("/")), "/"), -1), "extension": text.extension(F.col("path"))})
+            return C.paged(rows, Clauses(order_by=s.clauses.order_by, limit=s.clauses.limit, offset=s.clauses.offset), SHAPES["file"], PAGE)
         out = C.applied(files, s.clauses, SHAPES["file"], default=PAGE)
         self.arm(out)
         return out
@@ -246,16 +263,26 @@ class Session:
         return C.paged(C.filtered(rows, s.clauses, SHAPES["line"]), s.clauses, SHAPES["line"], None, [F.asc("output_line")])
 
     def _show_diff(self, s: Statement) -> DataFrame:
-        """Files that differ from the last commit, with lines added and removed; without STAT also the hunks."""
-        C.refused(s.clauses, SHAPES["diff"] if not any(p.field == "text" for p in s.clauses.where) else SHAPES["line"])
-        changed = edits.changed_files(self.base, self.files)
-        count = edits.line_changes(corpus.lines(self.base.join(changed, "path", "left_semi")), corpus.lines(self.files.join(changed, "path", "left_semi")))
+        """Files that differ from the last commit (or, with OF, in one commit from the one before), with lines added and
+        removed; without STAT the hunks of the files that the clauses keep."""
+        of_text = tuple(p for p in s.clauses.where if p.field == "text")
+        of_rows = replace(s.clauses, where=tuple(p for p in s.clauses.where if p.field != "text"))
+        C.refused(of_rows, SHAPES["diff"])
+        before, after = self.base, self.files
+        if s.args["of"] is not None:
+            known = [h for h in self.trees if h.startswith(s.args["of"])]
+            if len(known) != 1:
+                raise QueryError(f"no commit {s.args['of']}")
+            before, after = self.trees[known[0]]
+        changed = edits.changed_files(before, after)
+        count = edits.line_changes(corpus.lines(before.join(changed, "path", "left_semi")), corpus.lines(after.join(changed, "path", "left_semi")))
         rows = changed.join(count, "path", "left").select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "status", F.coalesce("added", F.lit(0)).alias("added"), F.coalesce("removed", F.lit(0)).alias("removed"))
         rows = rows.withColumn("changed", F.col("added") + F.col("removed"))
+        rows = C.applied(rows, of_rows, SHAPES["diff"])
         if s.args["stat"]:
-            return C.applied(rows, s.clauses, SHAPES["diff"])
-        old, new = self.base.withColumnRenamed("content", "a"), self.files.withColumnRenamed("content", "b")
-        pairs = changed.join(old, "path", "left").join(new, "path", "left").select("path", "a", "b")
+            return rows
+        old, new = before.withColumnRenamed("content", "a"), after.withColumnRenamed("content", "b")
+        pairs = rows.select("path").join(old, "path", "left").join(new, "path", "left").select("path", "a", "b")
 
         def hunks(parts):
             import pandas as pd
@@ -267,7 +294,7 @@ class Session:
                     out += [(path, i, t) for i, t in enumerate(diff, 1)]
                 yield pd.DataFrame(out, columns=["path", "line", "text"])
 
-        return self._shown(pairs.mapInPandas(hunks, "path string, line int, text string"), s.clauses, "line", ("path", "line"), False)
+        return self._shown(pairs.mapInPandas(hunks, "path string, line int, text string"), Clauses(where=of_text), "line", ("path", "line"), False)
 
     def _show_commits(self, s: Statement) -> DataFrame:
         C.refused(s.clauses, SHAPES["commit"])
@@ -286,6 +313,8 @@ class Session:
         return self._one(version=VERSION)
 
     def _show_stats(self, s: Statement) -> DataFrame:
+        if s.args["of"] not in (None, self.name):
+            raise QueryError(f"no session {s.args['of']}")
         return self.symbols.groupBy("language", "fql_kind").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("path").alias("files"))
 
     # edits
@@ -322,6 +351,10 @@ class Session:
             done = edits.replaced(picked, s.args["old"], s.args["new"], s.args["word"])
             if done.agg(F.sum("hits")).first()[0] in (None, 0):
                 raise QueryError("nothing matches")
+        elif s.args["mode"] == "delete":
+            if picked.isEmpty():
+                raise QueryError(f"no file {paths[0]}")
+            return self.apply(rest)
         elif s.args["mode"] == "lines":
             done = edits.joined(edits.lines_changed(corpus.lines(picked), *s.args["span"], s.args["new"].split("\n") if s.args["new"] else [])).select("path", F.concat("body", F.lit("\n")).alias("content"))
         else:
@@ -329,6 +362,8 @@ class Session:
         return self.apply(rest.unionByName(done.select("path", "content")))
 
     def _change_node(self, s: Statement) -> DataFrame:
+        if s.args["mode"] not in ("matching", "whole"):
+            raise QueryError("a node is changed by MATCHING or WITH its new text")
         row, _ = self.node(s.args["id"])
         body = self.content(row)
         self.gate(s.args["rev"], body)
@@ -341,6 +376,7 @@ class Session:
 
     def _insert_node(self, s: Statement) -> DataFrame:
         row, _ = self.node(s.args["id"])
+        self.gate(s.args["rev"], self.content(row))
         at = row["char_start"] if s.args["side"] == "before" else row["char_end"]
         new = s.args["content"] + "\n" if s.args["side"] == "before" else "\n" + s.args["content"]
         return self.apply(self.spliced(row["path"], at, at, new))
@@ -362,6 +398,7 @@ class Session:
         row, _ = self.node(s.args["id"])
         anchor, _ = self.node(s.args["anchor"])
         body = self.content(row)
+        self.gate(s.args["rev"], body)
         at = anchor["char_start"] if s.args["side"] == "before" else anchor["char_end"]
         put = body + "\n" if s.args["side"] == "before" else "\n" + body
         c, path = F.col("content"), F.col("path")
@@ -392,6 +429,7 @@ class Session:
             return self.apply((self.files if keep else self.files.filter(~mine)).unionByName(moved))
         row, _ = self.node(s.args["id"])
         body = self.content(row)
+        self.gate(s.args["rev"], body)
         files = self.files if keep else self.spliced(row["path"], row["char_start"], row["char_end"], "")
         if self.files.filter(F.col("path") == target).isEmpty():
             return self.apply(files.unionByName(self.spark.createDataFrame([(target, body + "\n")], "path string, content string")))
@@ -468,6 +506,7 @@ class Session:
         rows = corpus.stamped(corpus.with_paths(self.files)).select("node_id", "rev", "path")
         rev = rows.agg(F.sha2(F.bit_xor(F.xxhash64("node_id", "rev")).cast("string"), 256).alias("r")).first()["r"]
         self.commits.insert(0, (rev, s.args["message"]))
+        self.trees[rev] = (self.base, self.files)
         self.marks, self.base = [], self.files
         return self._one(hash=rev, subject=s.args["message"])
 

@@ -1,6 +1,6 @@
 import pytest
 
-from stratalex.lang.parser import parse
+from stratalex.lang.parser import parse, program
 from stratalex.lang.statement import Predicate, QueryError
 from stratalex.plans import clauses as C
 from stratalex.plans.predicates import glob_regex, regex
@@ -63,3 +63,18 @@ def test_metric_field():
     field = lambda q: C.metric_field(parse(q).clauses, shape)
     assert field("FIND symbols WHERE naming = 'x' WHERE param_count > 3") == "param_count"
     assert field("FIND symbols WHERE naming = 'x' ORDER BY lines") == "lines" and field("FIND symbols WHERE name = 'x'") is None
+
+
+def test_forms_of_the_grammar():
+    assert [s.verb for s in program("-- two\nFIND files LIMIT 1 SHOW LINES 2 - 4 OF a -- end")] == ["find files", "show lines"]
+    assert parse("SHOW LINES 2 - 4 OF a").args["span"] == (2, 4) and parse("SHOW LINES 2-4 OF a").args["span"] == (2, 4)
+    s = parse("INSERT AFTER NODE n1 IF REV h2 WITH 'x'")
+    assert (s.verb, s.args["side"], s.args["rev"]) == ("insert node", "after", "h2")
+    assert parse("MOVE NODE a IF REV h BEFORE NODE b").args == {"id": "a", "side": "before", "anchor": "b", "rev": "h"}
+    assert parse("MOVE NODES FOUND IF REV 'r' TO d").args == {"to": "d", "rev": "r"} and parse("COPY NODE a TO b").verb == "copy node to"
+    assert parse("CHANGE FILES 'a', 'b' WITH NOTHING").args["mode"] == "delete" and parse("CHANGE FILE 'a' LINES 1-2 NOTHING").args["new"] == ""
+    assert parse("VACUUM SOURCE 's' KEEP 2 ALL APPLY").args == {"source": "s", "keep": 2, "all": True, "apply": True}
+    assert parse("USE src.main AS 'w'").args == {"source": "src", "branch": "main", "alias": "w"}
+    for bad in ("COMMIT 'x'", "USE src AS w", "RUN 'make'", "VERIFY build 'x'", "EXPORT PATCH", "JOB LIST", "UNDO 3", "FIND files FIND", "INSERT NODE BEFORE a WITH 'x'"):
+        with pytest.raises(QueryError):
+            program(bad)

@@ -136,11 +136,11 @@ def test_edits_undo_and_transactions(session):
     run(f"CHANGE NODE {node} MATCHING 'local' WITH 'mine'")
     assert "return &mine;" in text("src/pump.cpp")
     node = run("FIND symbols WHERE name = 'leak'").first()["node_id"]
-    run(f"INSERT NODE BEFORE {node} WITH '// é note'")
+    run(f"INSERT BEFORE NODE {node} WITH '// é note'")
     assert "// é note\nint *leak()" in text("src/pump.cpp")
     node = run("FIND symbols WHERE name = 'leak'").first()["node_id"]
     other = run("FIND symbols WHERE name = 'Pump' WHERE kind = 'struct'").first()["node_id"]
-    run(f"MOVE NODE {node} BEFORE {other}")
+    run(f"MOVE NODE {node} BEFORE NODE {other}")
     assert text("src/pump.cpp").index("*leak()") < text("src/pump.cpp").index("struct Pump") and text("src/pump.cpp").count("*leak()") == 1
     node = run("FIND symbols WHERE name = 'leak'").first()["node_id"]
     run(f"MOVE NODE {node} TO 'src/leak.c'")
