@@ -48,7 +48,7 @@ class Session:
         files.select("path", "content").write.parquet(path)
         self.files = self.spark.read.parquet(path)
         self.found = None
-        self._symbols = self._sites = None
+        self._symbols = self._sites = self._raw = None
 
     @property
     def lines(self) -> DataFrame:
@@ -62,8 +62,8 @@ class Session:
             path = f"{self.store}/raw-{uuid.uuid4().hex}"
             raw.write.parquet(path)
             raw = self.spark.read.parquet(path)
-            self._sites = index.roles(self.lines, raw)
-            found = index.symbols(self.files, self._sites.filter("role = 'code'"))
+            self._raw, self._sites = raw, index.roles(self.lines, raw)
+            found = index.symbols(raw, self._sites.filter("role = 'code'"))
             path = f"{self.store}/symbols-{uuid.uuid4().hex}"
             found.write.parquet(path)
             self._symbols = self.spark.read.parquet(path)
@@ -77,7 +77,7 @@ class Session:
     def reachable(self) -> set[str]:
         """Names of the tables in ``store`` that this session may still read."""
         held = [self.files, self.base, *self.undo, *self.outputs, *(f for _, f in self.marks), *(f for pair in self.trees.values() for f in pair)]
-        held += [t for t in (self._symbols, self._sites) if t is not None] + ([self.found[0]] if self.found else [])
+        held += [t for t in (self._symbols, self._sites, self._raw) if t is not None] + ([self.found[0]] if self.found else [])
         return {f.split("/")[-2] for t in held for f in t.inputFiles()}
 
     # statements
@@ -204,7 +204,8 @@ class Session:
 
     def _show_callees(self, s: Statement) -> DataFrame:
         C.refused(s.clauses, SHAPES["callee"], shaping=False)
-        rows = index.callees(self.symbols).filter(F.col("caller") == s.args["of"]).select("name", "path", "line")
+        _ = self.symbols
+        rows = index.callees(self._raw).filter(F.col("caller") == s.args["of"]).select("name", "path", "line")
         return self._shown(rows, s.clauses, "callee", ("line", "name", "path"), False)
 
     def _show_lines(self, s: Statement) -> DataFrame:

@@ -27,6 +27,10 @@ _TYPES = {"struct": "struct", "class": "class", "union": "struct", "enum": "enum
 _MODIFIERS = ("const", "static", "inline", "extern", "volatile", "virtual", "mutable", "constexpr", "explicit", "override", "final", "unsafe", "async", "pub", "mut")
 _COMPOUND = {"+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>="}
 _CAST = re.compile(r"\b(static|dynamic|const|reinterpret)_cast\s*<([^<>]*)>")
+# fixed values: the grammar's names of type nodes, and who sees a member by default
+_OWNERS = {"struct": "struct_specifier", "class": "class_specifier", "union": "union_specifier", "enum": "enum_specifier"}
+_RUST_OWNERS = {"struct": "struct_item", "enum": "enum_item", "trait": "trait_item", "union": "union_item"}
+_SEEN = {"cpp": {"class": "private", "struct": "public"}, "rust": {"struct": "private", "enum": "public"}}
 _SAFETY = {"static": "safe", "dynamic": "safe", "const": "moderate", "reinterpret": "unsafe"}
 _TODO = re.compile(r"(?<![A-Za-z0-9])(TODO|FIXME|HACK|XXX)(?![A-Za-z0-9])", re.I)
 _PASS = re.compile(r"(?:/\*|//)\s*(?:fall[ -]?through|fallthru)\b|\[\[fallthrough\]\]", re.I)
@@ -68,6 +72,8 @@ class Reader:
         self.code = [t for t in self.all if t.kind not in ("comment", "pre")]
         self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
         self.rows: list[Row] = []
+        self.word: dict[int, str] = {}
+        self.access: dict[int, str] = {}
         self.close = self.matched()
 
     def line(self, at: int) -> int:
@@ -114,6 +120,8 @@ class Reader:
             elif t == "}":
                 start = i + 1
             elif t == ":" and i == start + 1 and code[start].text in ("public", "private", "protected"):
+                if parent in self.word:
+                    self.access[parent] = code[start].text
                 start = i + 1
             elif t in ("(", "[") and i in self.close:
                 i = self.close[i]
@@ -146,6 +154,9 @@ class Reader:
             name = (names[-1] if "for" in words and kind == "impl" else names[0]) if names else ""
             row = self.add(name, _TYPES[kind], start, end, parent)
             self.definition(row, start, words)
+            self.word[row] = kind
+            if seen := _SEEN.get(self.language, {}).get(kind):
+                self.access[row] = seen
             self.items(brace + 1, end, row, "enum" if kind == "enum" else "struct" if _TYPES[kind] in ("struct", "class", "interface") else "file")
             members = sum(r.parent == row and r.fql_kind in ("field", "function") for r in self.rows)
             self.rows[row].fields["member_count"] = str(members)
@@ -168,7 +179,7 @@ class Reader:
         f = self.rows[row].fields
         for w in _MODIFIERS:
             if w in words:
-                f[f"is_{w}"] = "true"
+                f[modifier(w)] = "true"
         before = [t for t in self.all if t.end <= self.code[start].at][-1:]
         f["has_doc"] = "true" if before and before[0].kind == "comment" and self.line(before[0].end) >= self.code[start].line - 1 else "false"
 
@@ -194,27 +205,61 @@ class Reader:
                 k = words.index("(")
                 if k and code[k - 1].kind == "name":
                     if where == "struct":
-                        self.add(code[k - 1].text, "field", a, b, parent, member_kind="method", enclosing_type=self.rows[parent].name if parent >= 0 else "")
+                        self.add(code[k - 1].text, "field", a, b, parent, member_kind="method", **self.member(parent, code[k - 1].text))
+                    elif where == "file" and self.language != "rust" and words[0] not in ("return", "template", "friend") and any(t.kind == "name" for t in code[: k - 1]):
+                        self.add(code[k - 1].text, "variable", a, b, parent, **self.declared("file", words[: k - 1], "function"))
                 return
             if names and (len(names) > 1 or self.language == "rust") and words[0] not in ("return", "goto", "break", "continue", "friend", "template"):
                 pick = names[-1]
                 row = self.add(pick.text, "field" if where == "struct" else "variable", a, b, parent, scope="file")
                 f = self.rows[row].fields
                 if where == "struct":
-                    f["member_kind"] = "field"
                     f.pop("scope")
+                    f |= {"member_kind": "field", **self.member(parent)}
+                else:
+                    f |= self.declared("file", words[:cut], "variable")
                 if self.language == "rust":
                     f["type"] = "".join(words[cut + 1 : words.index("=") if "=" in words else len(words)]).rstrip(",;")
                 else:
                     f["type"] = " ".join(t.text for t in code[:cut] if t is not pick and t.text not in ("static", "extern"))
                 if "=" in words:
                     f["value"] = self.text[code[words.index("=")].end : code[-1].end].strip()
-                if "static" in words:
-                    f["storage"] = "static"
-                f["is_exported"] = "false" if "static" in words else "true"
                 for w in _MODIFIERS:
                     if w in words:
-                        f[f"is_{w}"] = "true"
+                        f[modifier(w)] = "true"
+
+    def member(self, parent: int, method: str = "") -> dict[str, str]:
+        """What a field or a declared method says about the type around it."""
+        if parent < 0:
+            return {}
+        owner, out = self.rows[parent].name, {}
+        if kind := (_RUST_OWNERS if self.language == "rust" else _OWNERS).get(self.word.get(parent, "")):
+            out["owner_kind"] = kind
+        if parent in self.access:
+            out["visibility"] = self.access[parent]
+        if method:
+            out["enclosing_type"] = owner
+            if owner:
+                out["body_symbol"] = f"{owner}::{method}"
+        return out
+
+    def declared(self, scope: str, words: list[str], binding: str) -> dict[str, str]:
+        out = {"scope": scope, "binding_kind": binding}
+        if storage := next((w for w in words if w in _MODIFIERS), None):
+            out["storage"] = storage
+        if scope == "file" and "static" not in words:
+            out["is_exported"] = "true"
+        return out
+
+    def first_statement(self, brace: int, end: int) -> str:
+        i = brace + 1
+        while i < end and self.code[i].text != ";":
+            if self.code[i].text in ("(", "[", "{") and i in self.close:
+                block, i = self.code[i].text == "{", self.close[i]
+                if block:
+                    break
+            i += 1
+        return self.text[self.code[brace + 1].at : self.code[min(i, end - 1)].end] if end > brace + 1 else ""
 
     def function(self, start: int, opened: int, brace: int, end: int, parent: int, where: str) -> None:
         code = self.code
@@ -235,7 +280,10 @@ class Reader:
             owner = self.rows[parent].name
         if owner:
             f["enclosing_type"] = owner
-        f["scope"], f["is_exported"] = "file", "false" if "static" in words else "true"
+        if "pub" in words:
+            f["is_exported"] = "true"
+        if first := self.first_statement(brace, end):
+            f["first_body_statement_fingerprint"] = content_hash(first)
         params = self.params(opened)
         body = code[brace + 1 : end]
         f["lines"] = str(self.line(code[end].end - 1) - code[start].line + 1)
@@ -372,8 +420,6 @@ class Reader:
         calls = [t.text for i, t in enumerate(body[:-1]) if t.kind == "name" and body[i + 1].text == "(" and t.text not in _CONTROL]
         if name in calls:
             f |= {"is_recursive": "true", "recursion_count": str(calls.count(name))}
-        if calls:
-            f["callees"] = ",".join(dict.fromkeys(calls))
         scopes: list[dict[str, int]] = [dict.fromkeys(params, -1)]
         shadows, declared, addresses = set(), {}, []
         for i in range(brace, end + 1):
@@ -387,16 +433,21 @@ class Reader:
                     shadows.add(t.text)
                 scopes[-1][t.text] = i
                 declared.setdefault(t.text, i)
-                self.add(t.text, "variable", self.statement_start(i), i, row, scope="local")
+                first = self.statement_start(i)
+                self.add(t.text, "variable", first, i, row, **self.declared("local", [x.text for x in code[first:i]], "variable"))
         if shadows:
             f |= {"has_shadow": "true", "shadow_count": str(len(shadows)), "shadow_vars": ",".join(sorted(shadows))}
-        far, total = 0, 0
+        far, total, conditional, level, deep = 0, 0, False, 0, []
+        for t in body:
+            level += (t.text == "{") - (t.text == "}")
+            deep.append(level)
         for v, i in declared.items():
-            use = next((t for t in code[i + 1 : end] if t.kind == "name" and t.text == v), None)
-            if use and use.line - code[i].line >= 2:
-                total += use.line - code[i].line
+            use = next((k for k in range(i + 1, end) if code[k].kind == "name" and code[k].text == v), None)
+            if use is not None and code[use].line - code[i].line >= 2:
+                total += code[use].line - code[i].line
                 far += 1
-        f["decl_distance"], f["decl_far_count"] = str(total), str(far)
+                conditional |= i > brace and (deep[i - brace - 1] > 0 or deep[use - brace - 1] > 0)
+        f["decl_distance"], f["decl_far_count"], f["decl_far_conditional"] = str(total), str(far), "true" if conditional else "false"
         arrays = {v for v, i in declared.items() if i + 1 < end and code[i + 1].text == "["}
         static = {v for v, i in declared.items() if "static" in [t.text for t in code[self.statement_start(i) : i]]}
         for i in range(brace, end):
@@ -430,6 +481,7 @@ class Reader:
     def stores(self, row: int, declared: dict[str, int], brace: int, end: int) -> None:
         """A write that follows an unread write of a local variable."""
         code, pending, depth, f = self.code, {}, 0, self.rows[row].fields
+        f |= {"has_unused_reassign": "false", "dead_store_conditional": "false"}
         for i in range(brace + 1, end):
             t = code[i]
             depth += (t.text == "{") - (t.text == "}")
@@ -450,6 +502,10 @@ class Reader:
         code, casts = self.code, 0
         for i in range(brace + 1, end):
             t, after = code[i], code[i + 1].text
+            if t.kind == "name" and after in ("(", "[", "{") and i + 1 in self.close and t.text not in _CONTROL and (after == "(" or t.text.endswith("!")):
+                called = self.arguments(i + 1)
+                kind = "macro_call" if t.text.endswith("!") else "call"
+                self.add(t.text.rstrip("!"), kind, i, self.close[i + 1], row, arguments="\x1f".join(called), argument_count=str(len(called)))
             if t.kind == "number":
                 self.number(i, row)
             elif t.text in ("++", "--"):
@@ -480,6 +536,17 @@ class Reader:
         if tags:
             f |= {"has_todo": "true", "todo_count": str(len(tags)), "todo_tags": ",".join(sorted(set(tags)))}
 
+    def arguments(self, opened: int) -> list[str]:
+        """The texts between the top-level commas of a call."""
+        out, depth, at, stop = [], 0, self.code[opened].end, self.code[self.close[opened]].at
+        for t in self.code[opened + 1 : self.close[opened]]:
+            depth += (t.text in ("(", "[", "{")) - (t.text in (")", "]", "}"))
+            if t.text == "," and depth == 0:
+                out.append(self.text[at : t.at].strip())
+                at = t.end
+        last = self.text[at:stop].strip()
+        return [*out, last] if out or last else []
+
     def number(self, i: int, parent: int) -> None:
         t = self.code[i]
         negative = self.code[i - 1].text == "-" and self.code[i - 2].kind not in ("name", "number") and self.code[i - 2].text != ")"
@@ -542,6 +609,10 @@ class Reader:
             r.fields |= {k: ",".join(v) for k, v in (("guard_defines", yes), ("guard_negates", no), ("guard_mentions", every)) if v}
 
 
+def modifier(word: str) -> str:
+    return "is_mutable" if word == "mut" else f"is_{word}"
+
+
 def negated(cond: str) -> str:
     if re.fullmatch(r"!\s*[\w()]+", cond):
         return cond.lstrip("! ")

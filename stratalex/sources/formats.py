@@ -48,6 +48,8 @@ def python(text: str) -> list[Row]:
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 rows.append(lines.row(child.name, "function", child.lineno, child.end_lineno, parent, **function(child, owner)))
                 at, inner = len(rows) - 1, ""
+                for n in (n for b in child.body for n in ast.walk(b) if isinstance(n, ast.Call) and isinstance(n.func, (ast.Name, ast.Attribute))):
+                    rows.append(lines.row(n.func.id if isinstance(n.func, ast.Name) else n.func.attr, "call", n.lineno, n.lineno, at))
                 visit(child, at, inner, True)
                 continue
             if isinstance(child, ast.ClassDef):
@@ -90,8 +92,6 @@ def python(text: str) -> list[Row]:
             f |= {"has_unused_param": "true", "unused_param_count": str(len(unused)), "unused_params": ",".join(unused)}
         if node.name in calls:
             f |= {"is_recursive": "true", "recursion_count": str(calls.count(node.name))}
-        if calls:
-            f["callees"] = ",".join(dict.fromkeys(calls))
         if owner:
             f["enclosing_type"] = owner
         if isinstance(node, ast.AsyncFunctionDef):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
@@ -13,8 +14,63 @@ from ..functions import identity, text
 from ..operators import relations
 from . import formats
 
-RAW = "path string, language string, pos int, name string, fql_kind string, line int, end_line int, byte_start int, byte_end int, char_start int, char_end int, parent_pos int, fields map<string,string>"
-ADDRESSABLE = ("function", "class", "struct", "interface", "enum", "field", "variable", "macro", "type_alias", "namespace", "import", "object", "array", "pair", "section", "heading", "paragraph", "table", "code_block", "list_item", "block_quote", "call_statement", "if", "while", "for", "switch", "do")
+RAW = "path string, language string, pos int, name string, fql_kind string, line int, end_line int, byte_start int, byte_end int, char_start int, char_end int, parent_pos int, ordinal int, fields map<string,string>"
+ADDRESSABLE = ("function", "class", "struct", "interface", "enum", "field", "variable", "macro", "type_alias", "namespace", "import", "object", "array", "pair", "section", "heading", "paragraph", "table", "code_block", "list_item", "block_quote", "call_statement", "macro_call", "comment_block", "include_block", "import_block", "macro_block", "type_alias_block", "array_block", "if", "while", "for", "switch", "do")
+
+
+# fixed values: runs of siblings that count as one block, by language: kind, block, least run, field that splits runs
+_C_BLOCKS = [("comment", "comment_block", 2, "comment_style"), ("import", "include_block", 2, ""), ("macro", "macro_block", 2, "")]
+_BLOCKS = {
+    "c": _C_BLOCKS, "cpp": [*_C_BLOCKS, ("type_alias", "type_alias_block", 2, "")], "json": [("array", "array_block", 8, "")], "yaml": [("comment", "comment_block", 2, "")],
+    "python": [("comment", "comment_block", 2, ""), ("import", "import_block", 2, "")], "rust": [("comment", "comment_block", 2, "comment_style"), ("import", "import_block", 2, "")],
+}
+_SUFFIXES = {
+    "ull": "unsigned_long_long", "ul": "unsigned_long", "ll": "long_long", "uz": "unsigned_size", "u": "unsigned", "l": "long", "z": "size", "f": "float",
+    "u8": "unsigned_8", "u16": "unsigned_16", "u32": "unsigned_32", "u64": "unsigned_64", "u128": "unsigned_128", "usize": "unsigned_size",
+    "i8": "signed_8", "i16": "signed_16", "i32": "signed_32", "i64": "signed_64", "i128": "signed_128", "isize": "signed_size", "f32": "float_32", "f64": "float_64",
+}
+
+
+def with_blocks(language: str, rows: list[formats.Row], content: str) -> list[formats.Row]:
+    """``rows`` with one more row before each run of adjacent siblings of a kind that makes blocks. Members stay as they are,
+    tagged with their place in the block; the block is their sibling."""
+    specs = {s[0]: s[1:] for s in _BLOCKS.get(language, ())}
+    if not specs:
+        return rows
+    runs: list[list[int]] = []
+    last: dict[int, list[int]] = {}
+    key = lambda r: (r.fql_kind, r.fields.get(specs[r.fql_kind][2], ""))
+    for i, r in enumerate(rows):
+        if r.fql_kind in ("call", "number"):
+            continue
+        run = last.get(r.parent)
+        if r.fql_kind not in specs:
+            last.pop(r.parent, None)
+        elif run and key(rows[run[-1]]) == key(r) and not content[rows[run[-1]].end : r.start].strip(" \t\r\n,;"):
+            run.append(i)
+        else:
+            last[r.parent] = run = [i]
+            runs.append(run)
+    heads = {run[0]: run for run in runs if len(run) >= specs[rows[run[0]].fql_kind][1]}
+    out, place = [], {-1: -1}
+    for i, r in enumerate(rows):
+        if run := heads.get(i):
+            end = rows[run[-1]]
+            kind = specs[r.fql_kind][0]
+            head = content[r.start : r.end].split("\n")[0][:60]
+            out.append(formats.Row(kind, kind, r.start, end.end, r.line, end.end_line, r.parent, {"block_label": f"{head} ({len(run)})"}))
+            for k in run:
+                a, b = rows[k].line - r.line + 1, rows[k].end_line - r.line + 1
+                rows[k].fields |= {"block_ord": str(len(out) - 1), "block_off": str(a) if a == b else f"{a}-{b}"}
+        place[i] = len(out)
+        out.append(r)
+    blocks = {id(r) for r in out} - {id(r) for r in rows}
+    for r in out:
+        r.parent = place[r.parent] if id(r) not in blocks else r.parent
+    for r in out:
+        if id(r) in blocks and r.parent >= 0:
+            r.parent = place[r.parent]
+    return out
 
 
 def byte_offsets(content: str) -> Callable[[int], int]:
@@ -31,26 +87,40 @@ def raw_symbols(files: DataFrame) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             for path, content in zip(p.path, p.content):
-                language, rows = formats.read(path, content or "")
-                at = byte_offsets(content or "")
-                out = [(path, language, i, r.name, r.fql_kind, r.line, r.end_line, at(r.start), at(r.end), r.start, r.end, r.parent, r.fields) for i, r in enumerate(rows)]
+                content = content or ""
+                language, rows = formats.read(path, content)
+                rows = with_blocks(language, rows, content)
+                at, out, ordinals = byte_offsets(content), [], []
+                for r in rows:
+                    ordinals.append((ordinals[-1] if ordinals else 0) + (r.fql_kind in ADDRESSABLE))
+                for i, r in enumerate(rows):
+                    piece = content[r.start : r.end].encode("utf-8", "replace")
+                    if r.fql_kind != "call":
+                        r.fields["content_hash"] = sha256(piece).hexdigest()[:16]
+                    if r.fql_kind == "error":
+                        r.fields["error_bytes"] = str(len(piece))
+                    if "block_ord" in r.fields:
+                        r.fields["block_ord"] = f"{ordinals[int(r.fields['block_ord'])]:04d}"
+                    number = ordinals[i] if r.fql_kind in ADDRESSABLE else None
+                    out.append((path, language, i, r.name, r.fql_kind, r.line, r.end_line, at(r.start), at(r.end), r.start, r.end, r.parent, number, r.fields))
                 if out:
-                    yield pd.DataFrame(out, columns=[c.split()[0] for c in RAW.split(", ")])
+                    yield pd.DataFrame(out, columns=[c.split()[0] for c in RAW.split(", ")]).astype({"ordinal": "Int32"})
 
     return files.select("path", "content").mapInPandas(run, RAW)
 
 
-def symbols(files: DataFrame, occurrences: DataFrame | None = None) -> DataFrame:
-    """Symbol rows with ordinals, handles, derived fields of names and numbers, and usages of their names."""
-    rows = raw_symbols(files)
+def symbols(raw: DataFrame, occurrences: DataFrame | None = None) -> DataFrame:
+    """Symbol rows of ``raw_symbols`` with handles, derived fields of names and numbers, macro calls and usages of names."""
+    rows = raw.filter("fql_kind <> 'call'").unionByName(macro_calls(raw))
     name, kind, fields = F.col("name"), F.col("fql_kind"), F.col("fields")
     of_names = F.map_from_arrays(F.array(F.lit("naming"), F.lit("name_length")), F.array(text.naming_style(name), text.name_length(name).cast("string")))
-    of_numbers = F.map_from_arrays(F.array(*map(F.lit, ("num_format", "num_value", "num_suffix"))), F.array(text.number_format(name), text.number_value(name).cast("string"), text.number_suffix(name)))
+    meaning = F.create_map(*[F.lit(x) for pair in _SUFFIXES.items() for x in pair])[F.lower(text.number_suffix(name))]
+    keys = F.array(*map(F.lit, ("num_format", "num_value", "num_suffix", "suffix_meaning")))
+    of_numbers = F.map_from_arrays(keys, F.array(text.number_format(name), text.number_value(name).cast("string"), text.number_suffix(name), meaning))
     declared = kind.isin("function", "class", "struct", "interface", "enum", "field", "variable", "macro", "type_alias", "namespace")
     none = F.create_map().cast("map<string,string>")
     fields = F.map_concat(fields, F.when(declared, of_names).otherwise(none), F.when(kind == "number", of_numbers).otherwise(none))
-    ordinal = F.when(kind.isin(*ADDRESSABLE), F.count(F.when(kind.isin(*ADDRESSABLE), 1)).over(Window.partitionBy("path").orderBy("pos")).cast("int"))
-    rows = rows.withColumn("fields", F.map_filter(fields, lambda k, v: v.isNotNull())).withColumn("ordinal", ordinal)
+    rows = rows.withColumn("fields", F.map_filter(fields, lambda k, v: v.isNotNull()))
     rows = rows.withColumn("node_id", F.when(F.col("ordinal").isNotNull(), identity.node_id(F.col("path"), F.col("ordinal"))))
     for field in ("body", "role", "value", "type"):
         rows = rows.withColumn(field, F.col("fields")[field])
@@ -69,17 +139,35 @@ def roles(lines: DataFrame, found: DataFrame) -> DataFrame:
     return sites.select("path", "line", "role", F.posexplode(text.tokens(F.col("text"))).alias("pos", "name")).select("name", "path", "line", "pos", "role")
 
 
-def callees(found: DataFrame) -> DataFrame:
+def callees(raw: DataFrame) -> DataFrame:
     """(caller, name, path, line) of the calls that functions make."""
-    f = found.filter((F.col("fql_kind") == "function") & F.col("fields")["callees"].isNotNull())
-    return f.select(F.col("name").alias("caller"), F.explode(F.split(F.col("fields")["callees"], ",")).alias("name"), "path", "line").distinct()
-
-
-def with_macros(found: DataFrame) -> DataFrame:
-    """Calls of known macros: each caller's callee that some file defines as a macro, with the first definition."""
-    defs = found.filter("fql_kind = 'macro'").select("name", F.col("path").alias("macro_def_file"), F.col("line").alias("macro_def_line"), F.col("fields")["macro_arity"].cast("int").alias("arity"))
-    first = relations.best_candidate(defs, "name", [F.asc("macro_def_file"), F.asc("macro_def_line")])
-    return callees(found).join(first, "name")
+    f = raw.filter("fql_kind = 'function'").select("path", F.col("pos").alias("parent_pos"), F.col("name").alias("caller"))
+    return raw.filter("fql_kind in ('call', 'macro_call')").join(f, ["path", "parent_pos"]).select("caller", "name", "path", "line").distinct()
+
+
+def macro_calls(raw: DataFrame) -> DataFrame:
+    """Calls whose name some file defines as a macro, as ``macro_call`` rows with their expansion by one level. The first
+    definition of a name and arity, by path and line, stands for all, so a call meets one row an arity."""
+    field = F.col("fields")
+    define = F.struct(F.col("path").alias("file"), "line", F.coalesce(field["value"], F.lit("")).alias("body"), F.coalesce(field["parameters"], F.lit("")).alias("parameters"))
+    defs = raw.filter("fql_kind = 'macro' and language <> 'rust'").groupBy("name", field["macro_arity"].cast("int").alias("arity")).agg(F.min(define).alias("def_pos"))
+    calls = raw.filter("fql_kind = 'call'").withColumns({"call_id": F.struct("path", "pos"), "args": F.coalesce(field["argument_count"].cast("int"), F.lit(0))})
+    known = calls.join(defs.select("name").distinct(), "name", "left_semi")
+    best = relations.macro_matches(known.select("call_id", "name", "args"), defs).select("call_id", "def_pos", "arity")
+    d = F.col("def_pos")
+    pairs = F.arrays_zip(F.split(d["parameters"], r"\s*,\s*").alias("p"), F.split(field["arguments"], "\x1f").alias("a"))
+    put = lambda acc, x: F.regexp_replace(acc, F.concat(F.lit("\\b\\Q"), x["p"], F.lit("\\E\\b")), F.regexp_replace(x["a"], r"([\\$])", r"\\$1"))
+    text_ = F.when(F.coalesce("arity", F.lit(0)) > 0, F.aggregate(pairs, d["body"], put)).otherwise(d["body"])
+    reads = F.regexp_extract_all("__text", F.lit("(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9_]+"), 0)
+    found = {
+        "macro_def_file": d["file"], "macro_def_line": d["line"].cast("string"), "macro_arity": F.coalesce("arity", F.lit(0)).cast("string"), "macro_expansion": F.col("__text"), "expansion_depth": F.lit("0"),
+        "expanded_reads": F.when(F.size(reads) > 0, F.array_join(reads, ",")), "expanded_has_escape": F.when(F.contains("__text", F.lit("&")), "true"),
+    }
+    lost = {"expansion_failed": F.lit("true"), "expansion_failure_reason": F.lit("budget_exhausted")}
+    as_map = lambda m: F.map_from_arrays(F.array(*map(F.lit, m)), F.array(*m.values()))
+    rows = known.join(best, "call_id", "left").withColumn("__text", text_)
+    more = F.map_filter(F.when(d.isNotNull(), as_map(found)).otherwise(as_map(lost)), lambda k, v: v.isNotNull())
+    return rows.withColumns({"fields": F.map_concat(field, more), "fql_kind": F.lit("macro_call")}).select(*raw.columns)
 
 
 def members(found: DataFrame, owner: str) -> DataFrame:
@@ -93,9 +181,16 @@ def outline(found: DataFrame, everything: bool = False) -> DataFrame:
     """Rows of files in order with the depth of their ancestors that are listed too."""
     kinds = ("function", "class", "struct", "interface", "enum", "variable", "field", "import", "macro", "type_alias", "namespace", "object", "section", "array")
     rows = found if everything else found.filter(F.col("fql_kind").isin(*kinds) & (F.coalesce(F.col("fields")["scope"], F.lit("")) != "local"))
-    out = rows.select("path", "pos", "name", "fql_kind", "line", "parent_pos", "node_id", F.lit(0).alias("depth"))
-    up = rows.select("path", F.col("pos").alias("__p"), F.col("parent_pos").alias("__pp"))
-    out = out.withColumn("__at", F.col("parent_pos"))
-    for _ in range(6):  # levels of nesting that a listing shows
-        out = out.join(up, (out["path"] == up["path"]) & (out["__at"] == up["__p"]), "left").select(out["path"], "pos", "name", "fql_kind", "line", "parent_pos", "node_id", (F.col("depth") + F.col("__p").isNotNull().cast("int")).alias("depth"), F.coalesce("__pp", F.lit(-1)).alias("__at"))
-    return out.drop("__at")
+    return _with_depth(rows.select("path", "pos", "name", "fql_kind", "line", "parent_pos", "node_id"))
+
+
+def _with_depth(rows: DataFrame) -> DataFrame:
+    """``rows`` with the number of their listed ancestors: level by level, until a level is empty."""
+    keys = ["path", "pos"]
+    level = rows.join(rows.select("path", F.col("pos").alias("parent_pos")), ["path", "parent_pos"], "left_anti").withColumn("depth", F.lit(0))
+    out, depth = level, 0
+    while not level.isEmpty():
+        depth += 1
+        level = rows.join(level.select("path", F.col("pos").alias("parent_pos")), ["path", "parent_pos"]).select(*rows.columns).withColumn("depth", F.lit(depth))
+        out = out.unionByName(level)
+    return out.dropDuplicates(keys)

@@ -218,3 +218,49 @@ def test_stream_of_versions(spark, tmp_path):
         ingest.upserted(spark, spark.readStream.schema(schema).parquet(source), store, str(tmp_path / "check")).awaitTermination(120)
         last = max(tmp_path.joinpath("store").glob("v*"), key=lambda p: int(p.name[1:]))
         assert {r["path"]: r["content"] for r in spark.read.parquet(str(last)).collect()} == expect
+
+
+def test_macros_blocks_and_declared_fields(spark):
+    c = """#include <a.h>
+#include <b.h>
+#define SQ(x) ((x) * (x) + xx)
+#define ADDR &global
+#define SQ(x, y) (x)
+// one
+// two
+/* three */
+static const int limit = 10u;
+int proto(int a);
+int f(int n) {
+    int far = n;
+
+    if (n) {
+        n = SQ(n + $1);
+        return far + SQ(1, 2, 3) + ADDR() + plain(n);
+    }
+    return 0;
+}
+"""
+    cpp = "class A {\n  int hidden;\npublic:\n  void go(int);\n};\n"
+    s = Session(spark, spark.createDataFrame([("a.c", c), ("b.cpp", cpp), ("j.json", "[" + ",\n".join(["[1]"] * 9) + "]"), ("e.py", "def (:\n")], "path string, content string"))
+    rows = s.symbols.collect()
+    one = lambda name, kind, k=0: [r for r in rows if r["name"] == name and r["fql_kind"] == kind][k]
+    calls = {(r["name"], r["fields"]["argument_count"]): r["fields"] for r in rows if r["fql_kind"] == "macro_call"}
+    assert set(calls) == {("SQ", "1"), ("SQ", "3"), ("ADDR", "0")}
+    sq = calls["SQ", "1"]
+    assert sq["macro_expansion"] == "((n + $1) * (n + $1) + xx)" and sq["macro_def_line"] == "3" and sq["macro_arity"] == "1" and sq["expanded_reads"] == "xx"
+    assert calls["ADDR", "0"]["expanded_has_escape"] == "true" and calls["ADDR", "0"]["expansion_depth"] == "0"
+    assert calls["SQ", "3"]["expansion_failed"] == "true" and calls["SQ", "3"]["expansion_failure_reason"] == "budget_exhausted"
+    assert {(r["line"], r["name"]) for r in s.run("SHOW callees OF f").collect()} >= {(16, "plain"), (15, "SQ")}
+    block = one("comment_block", "comment_block")
+    assert block["line"] == 6 and block["end_line"] == 7 and block["node_id"].endswith(one("// two", "comment")["fields"]["block_ord"]) and one("// two", "comment")["fields"]["block_off"] == "2"
+    assert one("include_block", "include_block")["end_line"] == 2 and one("macro_block", "macro_block")["fields"]["block_label"].endswith("(3)")
+    assert [r["name"] for r in rows if r["fql_kind"] == "array_block"] == ["array_block"]
+    f = one("limit", "variable")["fields"]
+    assert f["storage"] == "static" and f["binding_kind"] == "variable" and "is_exported" not in f and one("proto", "variable")["fields"]["binding_kind"] == "function"
+    f = one("f", "function")["fields"]
+    assert f["decl_far_conditional"] == "true" and f["has_unused_reassign"] == "false" and len(f["content_hash"]) == 16 == len(f["first_body_statement_fingerprint"])
+    assert one("hidden", "field")["fields"]["visibility"] == "private" and one("go", "field")["fields"]["visibility"] == "public"
+    assert one("go", "field")["fields"]["body_symbol"] == "A::go" and one("go", "field")["fields"]["owner_kind"] == "class_specifier"
+    assert int(one("", "error")["fields"]["error_bytes"]) == 6
+    assert {r["name"]: r["depth"] for r in s.run("SHOW outline OF 'b.cpp'").collect()} == {"A": 0, "hidden": 1, "go": 1}
