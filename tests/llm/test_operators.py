@@ -328,6 +328,13 @@ def test_chat_round_trip_and_digests(spark, empty):
     assert reply_trees.digests(df.filter("false")).count() == 0
 
 
+def test_a_long_conversation_takes_a_plan_of_few_joins(spark):
+    df = spark.createDataFrame([(1, t, "user", str(t)) for t in range(600)], "conv_id long, turn long, role string, text string")
+    out = reply_trees.digests(df)
+    assert out.first()["n_turns"] == 600
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") < 16
+
+
 def test_reply_trees_choose_the_best_path(spark):
     r = random.Random(3)
     nodes, score = [], {}
