@@ -253,7 +253,7 @@ class Encoder:
         if odd:
             skip = set(odd)
             plain = [s for s in plain if s not in skip]
-        size = np.cumsum([*map(len, plain)]) // 1_000_000 if plain else np.zeros(0, int)
+        size = np.cumsum([*map(len, plain)]) // 400_000 if plain else np.zeros(0, int)
         for a, b in zip(*(np.searchsorted(size, np.unique(size), side) for side in ("left", "right"))):
             ids, count = self.relax(plain[a:b])
             self.put(np.fromiter(map(self.memo.__getitem__, plain[a:b]), np.int64, b - a), ids, count)
