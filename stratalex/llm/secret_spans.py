@@ -33,7 +33,8 @@ _ASSIGN = re.compile(rb"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(rb"[0-9a-f]{32,}")
 _WORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
-_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]{0,40}?PRIVATE KEY)-----([^-]{16,20000}?)-----END \1-----")
+_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]{0,40}?PRIVATE KEY)-----")
+_LINE_END = re.compile(rb"(?:\\r)?\\n|\r?\n")
 _BLOB = re.compile(rb"(?:[A-Za-z0-9+/]{40,}(?:\r?\n)?)+={0,2}")
 _HEXES = re.compile(rb"[0-9a-fA-F]{60,}")
 _JWT = re.compile(rb"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{16,})")
@@ -135,15 +136,32 @@ def base_spans(text: bytes) -> list[Span]:
     return out
 
 
+def armoured(text: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """Start, end and body of each block from a BEGIN line to its END line. A BEGIN line whose END line does not come before
+    the next BEGIN line of a key opens nothing, so every byte is searched once."""
+    heads = list(_PEM.finditer(text))
+    for i, m in enumerate(heads):
+        mark = b"-----END " + m[1] + b"-----"
+        at = text.find(mark, m.end(), heads[i + 1].start() if i + 1 < len(heads) else len(text))
+        if at >= 0:
+            yield m.start(), at + len(mark), text[m.end() : at]
+
+
+def unarmoured(body: bytes) -> tuple[bytes, bytes]:
+    """The header lines of an armoured body and what follows them; line ends may be escaped."""
+    lines = _LINE_END.split(body)
+    n = max((i + 1 for i, line in enumerate(lines) if b":" in line), default=0)
+    return b"\n".join(lines[:n]), b"\n".join(lines[n:])
+
+
 def confirmed_spans(text: bytes) -> list[Span]:
     out: list[Span] = []
     if b"-----BEGIN" in text:
-        for m in _PEM.finditer(text):
-            body = m[2].replace(b"\\n", b"\n")
-            plain = body.rpartition(b"\n\n")[2] if b":" in body else body
+        for start, end, body in armoured(text):
+            headers, plain = unarmoured(body)
             data = decoded64(plain)
-            if is_private_key(data) or (data and len(data) >= 32 and b"ENCRYPTED" in body and len(data) % 8 == 0):
-                out.append(("pem", m.start(), m.end()))
+            if is_private_key(data) or (data and len(data) >= 32 and b"ENCRYPTED" in headers and len(data) % 8 == 0):
+                out.append(("pem", start, end))
     if b"eyJ" in text:
         for m in _JWT.finditer(text):
             head, load = _json(decoded64(m[1], True)), _json(decoded64(m[2], True))

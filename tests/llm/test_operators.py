@@ -424,3 +424,21 @@ def test_secrets_base_and_confirmed(spark, awkward, empty):
     assert clean.loc[11].text == '[secret]"' and clean.loc[9].text == LONG and clean.loc[1].text is None
     assert secret_spans.scan(empty).count() == 0
     assert isinstance(got, pd.DataFrame)
+
+
+def test_secrets_armour_with_headers_and_of_any_length():
+    spans = lambda t: [s for s in secret_spans.spans_of(t) if s[0] not in secret_spans.KINDS[:3]]
+    wrap = lambda data, end=b"\n": end.join(re.findall(b".{1,64}", base64.b64encode(data)))
+    armour = lambda kind, body, end=b"\n": b"-----BEGIN " + kind + b"-----" + end + body + end + b"-----END " + kind + b"-----"
+    r = random.Random(5)
+    for end in (b"\n", b"\r\n", b"\\n", b"\\r\\n"):
+        headers = end.join([b"Proc-Type: 4,ENCRYPTED", b"DEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF", b"", b""])
+        key = armour(b"RSA PRIVATE KEY", headers + wrap(r.randbytes(1200), end), end)
+        assert spans(b"x " + key + b" y") == [("pem", 2, 2 + len(key))]
+        assert not spans(key.replace(b"ENCRYPTED", b"CLEAR")) and not spans(key.replace(b"END RSA", b"END EC"))
+        stray = b"-----BEGIN RSA PRIVATE KEY-----\n" + key
+        assert spans(stray) == [("pem", len(stray) - len(key), len(stray))]
+    large = der((0x30, der((2, b"\0"), *[(2, bytes([1 + i]) * 2500) for i in range(8)])))
+    key = armour(b"PRIVATE KEY", wrap(large))
+    assert len(key) > 20_000 and spans(key) == [("pem", 0, len(key))]
+    assert not spans(b"-----BEGIN PRIVATE KEY-----" * 50_000)
