@@ -35,7 +35,8 @@ _HEX = re.compile(rb"[0-9a-f]{32,}")
 _WORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 _PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]{0,40}?PRIVATE KEY)-----")
 _LINE_END = re.compile(rb"(?:\\r)?\\n|\r?\n")
-_BLOB = re.compile(rb"(?:[A-Za-z0-9+/]{40,}(?:\r?\n)?)+={0,2}")
+# lines of 40 characters or more, then perhaps the shorter last line of a wrapped run
+_BLOB = re.compile(rb"(?:[A-Za-z0-9+/]{40,}(?:\r?\n)?)+(?:(?<=\n)(?P<last>[A-Za-z0-9+/]{1,39}={0,2})|={0,2})")
 _HEXES = re.compile(rb"[0-9a-fA-F]{60,}")
 _JWT = re.compile(rb"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{16,})")
 _BASIC = re.compile(rb"(?i:basic)\x20+([A-Za-z0-9+/]{8,}={0,2})")
@@ -111,6 +112,18 @@ def is_ssh_key(data: bytes) -> bool:
     return 1 <= keys <= 16 and 0 < n and at + 8 + n <= len(data)
 
 
+def fills_ssh_key(data: bytes) -> bool:
+    """The public keys and the private section of an OpenSSH key end where ``data`` ends."""
+    at = 15
+    for _ in range(3):
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    keys = int.from_bytes(data[at : at + 4], "big")
+    at += 4
+    for _ in range(keys + 1):
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at == len(data)
+
+
 def is_private_key(data: bytes | None) -> str | None:
     if not data:
         return None
@@ -173,15 +186,30 @@ def confirmed_spans(text: bytes) -> list[Span]:
             if data and 3 <= len(data) and b":" in data[1:-1] and all(32 <= c < 127 for c in data):
                 out.append(("basic", m.start(1), m.end(1)))
     armour = [(a, b) for k, a, b in out if k == "pem"]
-    for pattern, decode in ((_BLOB, decoded64), (_HEXES, _unhex)):
-        for m in pattern.finditer(text):
-            if any(a <= m.start() < b for a, b in armour):
-                continue
-            if kind := is_private_key(decode(m[0])):
-                out.append((kind, m.start(), m.end()))
+    for m in _BLOB.finditer(text):
+        if not any(a <= m.start() < b for a, b in armour) and (found := blob_key(m)):
+            out.append((found[0], m.start(), found[1]))
+    for m in _HEXES.finditer(text):
+        if not any(a <= m.start() < b for a, b in armour) and (kind := is_private_key(_unhex(m[0]))):
+            out.append((kind, m.start(), m.end()))
     return out
 
 
+def blob_key(m: re.Match[bytes]) -> tuple[str, int] | None:
+    """Kind and end of the key in a base64 run. A shorter last line is part of it unless the lines before it are a whole key,
+    as the line may be a word that follows."""
+    whole = decoded64(m[0])
+    if m["last"] is None:
+        return (kind, m.end()) if (kind := is_private_key(whole)) else None
+    lines = decoded64(m.string[m.start() : m.start("last")])
+    kind = is_private_key(lines)
+    if kind == "der" or (kind == "ssh" and fills_ssh_key(lines)):
+        return kind, m.start("last")
+    if wider := is_private_key(whole):
+        return wider, m.end()
+    return (kind, m.start("last")) if kind else None
+
+
 def _unhex(data: bytes) -> bytes | None:
     return bytes.fromhex(data.decode()) if len(data) % 2 == 0 else None
 

@@ -442,3 +442,24 @@ def test_secrets_armour_with_headers_and_of_any_length():
     key = armour(b"PRIVATE KEY", wrap(large))
     assert len(key) > 20_000 and spans(key) == [("pem", 0, len(key))]
     assert not spans(b"-----BEGIN PRIVATE KEY-----" * 50_000)
+
+
+def test_secrets_in_wrapped_runs():
+    spans = lambda t: [s for s in secret_spans.spans_of(t) if s[0] not in secret_spans.KINDS[:3]]
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    keys = [("der", der((0x30, der((2, b"\0"), (0x30, der((6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01"), (5, b""))), (4, bytes([9]) * n))))) for n in range(900, 960)]
+    keys += [("ssh", b"openssh-key-v1\0" + b"".join(map(field, (b"none", b"none", b""))) + (1).to_bytes(4, "big") + field(b"p" * 51) + field(b"k" * n)) for n in range(136, 200)]
+    for kind, key in keys:
+        blob = base64.b64encode(key)
+        for width in (48, 60, 64, 70, 76):
+            for end in (b"\n", b"\r\n"):
+                lines = end.join(blob[i : i + width] for i in range(0, len(blob), width))
+                for tail in (b"", end, b" and words", end + end + b"more", end + b"-----END PRIVATE KEY-----"):
+                    (got,) = spans(b"key " + lines + tail)
+                    assert got[0] == kind and len((b"key " + lines + tail)[4 : got[2]].rstrip()) == len(lines) and got[1] == 4
+        cut = len(blob.rstrip(b"=")) // 64 * 64
+        if cut == len(blob):
+            lines = b"\n".join(blob[i : i + 64] for i in range(0, cut, 64))
+            assert spans(lines + b"\nword and") == [(kind, 0, len(lines) + 1)]
+    assert {len(base64.b64encode(k)) % 64 == 0 for _, k in keys} == {True, False}
+    assert not spans(b"\n".join(base64.b64encode(b"plain words " * 20)[i : i + 64] for i in range(0, 320, 64)))
