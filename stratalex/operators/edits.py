@@ -43,7 +43,9 @@ def replaced(files: DataFrame, old: str, new: str, word: bool) -> DataFrame:
         raise QueryError("nothing to match")
     pattern = "\\Q" + old.replace("\\E", "\\E\\\\E\\Q") + "\\E"
     if word:
-        pattern = f"\\b{pattern}\\b"
+        # the sides of a word boundary, as \b takes another view of marks and letters in every version of Java
+        edge = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+        pattern = f"(?U){edge}{pattern}{edge}"
         body = F.regexp_replace("content", pattern, re.sub(r"([\\$])", r"\\\1", new))
     else:
         body = F.replace("content", F.lit(old), F.lit(new))

@@ -559,6 +559,17 @@ def matching_word_replace(spark: SparkSession, d: str) -> DataFrame:
     return edits.replaced(docs, "the", "THE", word=True).select("doc_id", F.sha2("content", 256).alias("rev"))
 
 
+_EDGED = "'(^|[^\\pL\\pM\\p{Nd}\\p{Nl}\\p{Pc}])the($|[^\\pL\\pM\\p{Nd}\\p{Nl}\\p{Pc}])', '\\1THE\\2', 'g'"
+
+
+# words next to each other share the character between them, so the SQL replaces twice
+@query("matching_word_replace_all", f"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, {_EDGED}), {_EDGED})) AS rev FROM documents")
+def matching_word_replace_all(spark: SparkSession, d: str) -> DataFrame:
+    """``matching_word_replace`` over documents of every script."""
+    docs = _table("documents")(spark, d).withColumnRenamed("text", "content")
+    return edits.replaced(docs, "the", "THE", word=True).select("doc_id", F.sha2("content", 256).alias("rev"))
+
+
 @query("change_lines", f"WITH {LINES} SELECT path, string_agg(text, chr(10) ORDER BY line) AS body FROM (SELECT path, line, text FROM lines WHERE line NOT BETWEEN 2 AND 3 UNION ALL SELECT path, 2, 'NEW' FROM files) GROUP BY path")
 def change_lines(spark: SparkSession, d: str) -> DataFrame:
     return edits.joined(edits.lines_changed(lines(spark, d), 2, 3, ["NEW"]))

@@ -1,6 +1,7 @@
 """Every registered query of the engine against its SQL on the smallest tables."""
 
 import glob
+import hashlib
 import math
 import os
 
@@ -44,3 +45,16 @@ def test_plans_push_down_and_prune(spark, data):
     assert "PushedFilters: [IsNotNull(p_size)" in plan or "GreaterThanOrEqual(p_size,10)" in plan
     assert "ReadSchema: struct<p_partkey:bigint,p_name:string,p_size:int>" in plan
     assert "TakeOrderedAndProject" in engine.queries()["offset_limit"](spark, data)._jdf.queryExecution().executedPlan().toString()
+
+
+DOCS = "doc_id long, text string, lang string, source string"
+
+
+def test_words_of_every_script_are_replaced(spark, tmp_path):
+    texts = {
+        "": "", "the": "THE", "the the\nthe": "THE THE\nTHE", "the été the_ thé éthe theé (the)": "THE été the_ thé éthe theé (THE)",
+        "ü the, the\u203f the\u0301 中the 9the the9 —the—": "ü THE, the\u203f the\u0301 中the 9the the9 —THE—", "other lathe then": "other lathe then",
+    }
+    spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.rev for r in engine.queries()["matching_word_replace_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts.values())}
