@@ -13,7 +13,7 @@ from .operators import edits, relations
 from .plans import clauses as C
 from .plans import predicates as P
 from .plans.shapes import SHAPES, Shape, shape_of
-from .sources import corpus
+from .sources import corpus, index
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -504,6 +504,14 @@ def callees(spark: SparkSession, d: str) -> DataFrame:
     return lineitem(spark, d).filter("l_orderkey <= 500").select(F.col("l_orderkey").alias("caller"), F.col("l_suppkey").alias("callee")).distinct()
 
 
+@query("callees_all", "SELECT DISTINCT o_orderkey AS caller, l_suppkey AS callee, l_linenumber AS line FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+def callees_all(spark: SparkSession, d: str) -> DataFrame:
+    """The operator over all of lineitem: an order is a function and its items are the calls that it makes."""
+    of_order = orders(spark, d).select(F.col("o_orderkey").alias("path"), F.lit(0).alias("pos"), F.lit(None).cast("int").alias("parent_pos"), F.col("o_orderkey").alias("name"), F.lit("function").alias("fql_kind"), F.lit(0).alias("line"))
+    calls = lineitem(spark, d).select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("pos"), F.lit(0).alias("parent_pos"), F.col("l_suppkey").alias("name"), F.lit("call").alias("fql_kind"), F.col("l_linenumber").alias("line"))
+    return index.callees(of_order.unionByName(calls)).select("caller", F.col("name").alias("callee"), "line")
+
+
 @query("compact_group_lists", f"WITH {SITES} SELECT path, array_to_string(list(line ORDER BY line), ',') AS lines FROM (SELECT DISTINCT path, line FROM sites WHERE name = 'that') GROUP BY path")
 def compact_group_lists(spark: SparkSession, d: str) -> DataFrame:
     rows = relations.compact(sites(spark, d).filter("name = 'that'").select("path", "line").distinct(), ["path"], F.col("line"), "lines")

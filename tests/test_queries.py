@@ -58,3 +58,11 @@ def test_words_of_every_script_are_replaced(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.rev for r in engine.queries()["matching_word_replace_all"](spark, str(tmp_path)).collect()}
     assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts.values())}
+
+
+def test_callees_of_every_order(spark, tmp_path):
+    spark.createDataFrame([(k, 1) for k in (3, 499, 501, 10**10)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    items = [(3, 7, 1), (3, 7, 1), (3, 7, 2), (499, 8, 1), (501, 7, 1), (501, 9, 2), (10**10, 3, 1)]
+    spark.createDataFrame(items, "l_orderkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = engine.queries()["callees_all"](spark, str(tmp_path)).select("caller", "callee", "line").collect()
+    assert sorted(map(tuple, got)) == sorted(set(items))
