@@ -138,7 +138,7 @@ def where_set_membership(spark: SparkSession, d: str) -> DataFrame:
 
 @query("in_glob", f"WITH {FILES} SELECT path FROM files WHERE regexp_matches(path, '^src1[^/]?/(?:[^/]+/)*[^/]*5\\.txt$')")
 def in_glob(spark: SparkSession, d: str) -> DataFrame:
-    return asked(files(spark, d).filter(P.within(F.col("path"), "src1*/**/*5.txt") & (F.length(F.element_at(F.split("path", "/"), 1)) < 6)), "FIND files IN 'src1*/**/*5.txt'", SHAPES["file"]).select("path")
+    return asked(files(spark, d), "FIND files IN 'src1*/**/*5.txt'", SHAPES["file"]).select("path")
 
 
 @query("exclude_globs", f"WITH {FILES} SELECT path FROM files WHERE NOT regexp_matches(path, '^src0/') AND NOT regexp_matches(path, '^[^/]+/de/[^/]+$')")
@@ -265,6 +265,11 @@ def token_line_positions(spark: SparkSession, d: str) -> DataFrame:
     return sites(spark, d).filter(P.within(F.col("path"), "src1")).select("name", "path", "line", "pos")
 
 
+@query("token_line_positions_all", f"WITH {SITES} SELECT name, path, line, pos FROM sites")
+def token_line_positions_all(spark: SparkSession, d: str) -> DataFrame:
+    return sites(spark, d).select("name", "path", "line", "pos")
+
+
 # --- implicit joins ------------------------------------------------------------------------------------------------
 
 
@@ -462,11 +467,21 @@ def context_window_lines(spark: SparkSession, d: str) -> DataFrame:
     return edits.context(lines(spark, d).filter(P.within(F.col("path"), "src2")), 4, 2)
 
 
+@query("context_window_lines_all", f"WITH {LINES} SELECT path, line, text, CASE WHEN line = 4 THEN '>>>' END AS marker FROM lines WHERE line BETWEEN 2 AND 6")
+def context_window_lines_all(spark: SparkSession, d: str) -> DataFrame:
+    return edits.context(lines(spark, d), 4, 2)
+
+
 @query("line_range", f"WITH {LINES} SELECT path, line, text FROM lines WHERE line BETWEEN 3 AND 8 AND regexp_matches(path, '/2[^/]*[.]txt$')")
 def line_range(spark: SparkSession, d: str) -> DataFrame:
     return edits.line_range(lines(spark, d).filter(P.within(F.col("path"), "**/2*.txt")), 3, 8)
 
 
+@query("line_range_all", f"WITH {LINES} SELECT path, line, text FROM lines WHERE line BETWEEN 3 AND 8")
+def line_range_all(spark: SparkSession, d: str) -> DataFrame:
+    return edits.line_range(lines(spark, d), 3, 8)
+
+
 @query("buffer_tail", f"WITH {LINES} SELECT l.path, line, text FROM lines l JOIN (SELECT path, max(line) AS n FROM lines GROUP BY 1) m ON m.path = l.path WHERE line > n - 3")
 def buffer_tail(spark: SparkSession, d: str) -> DataFrame:
     return edits.tail(lines(spark, d), 3)
@@ -524,6 +539,12 @@ def compact_symbols_by_kind(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("p_type").alias("fql_kind"), F.array_join(F.transform("items", lambda x: F.concat(x["p_name"], F.lit(":"), x["p_size"].cast("string"))), ";").alias("rows"))
 
 
+@query("compact_symbols_by_kind_all", "SELECT p_type AS fql_kind, string_agg(p_name || ':' || p_size, ';' ORDER BY p_name, p_size) AS rows FROM part GROUP BY 1")
+def compact_symbols_by_kind_all(spark: SparkSession, d: str) -> DataFrame:
+    rows = relations.compact(part(spark, d), ["p_type"], F.struct("p_name", "p_size"), "items")
+    return rows.select(F.col("p_type").alias("fql_kind"), F.array_join(F.transform("items", lambda x: F.concat(x["p_name"], F.lit(":"), x["p_size"].cast("string"))), ";").alias("rows"))
+
+
 @query("json_rows", """SELECT n_nationkey, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS json FROM nation""")
 def json_rows(spark: SparkSession, d: str) -> DataFrame:
     return nation(spark, d).select("n_nationkey", F.to_json(F.struct("n_nationkey", "n_name", "n_regionkey")).alias("json"))

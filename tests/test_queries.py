@@ -66,3 +66,20 @@ def test_callees_of_every_order(spark, tmp_path):
     spark.createDataFrame(items, "l_orderkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = engine.queries()["callees_all"](spark, str(tmp_path)).select("caller", "callee", "line").collect()
     assert sorted(map(tuple, got)) == sorted(set(items))
+
+
+def test_whole_tables_of_documents_and_parts(spark, tmp_path):
+    text = "".join(f"word{i} x yy\n" for i in range(1, 11))
+    places = [(5, "src100"), (15, "src1"), (25, "src2"), (7, "src3")]
+    spark.createDataFrame([(i, text, "en", s) for i, s in places], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("a", "t", 46), ("b", "t", 3), ("c", "u", 1)], "p_name string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    run = lambda name: engine.queries()[name](spark, str(tmp_path))
+    paths = {f"{s}/en/{i}.txt" for i, s in places}
+    assert {r.path for r in run("in_glob").collect()} == {"src100/en/5.txt", "src1/en/15.txt"}
+    got = run("token_line_positions_all").select("name", "path", "line", "pos").collect()
+    assert sorted(map(tuple, got)) == sorted((n, p, i, k) for p in paths for i in range(1, 11) for k, n in enumerate((f"word{i}", "yy")))
+    got = run("context_window_lines_all").select("path", "line", "text", "marker").collect()
+    assert {tuple(r) for r in got} == {(p, i, f"word{i} x yy", ">>>" if i == 4 else None) for p in paths for i in range(2, 7)}
+    got = run("line_range_all").select("path", "line", "text").collect()
+    assert {tuple(r) for r in got} == {(p, i, f"word{i} x yy") for p in paths for i in range(3, 9)}
+    assert {(r.fql_kind, r.rows) for r in run("compact_symbols_by_kind_all").collect()} == {("t", "a:46;b:3"), ("u", "c:1")}
