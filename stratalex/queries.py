@@ -443,7 +443,7 @@ def condition_tests(spark: SparkSession, d: str) -> DataFrame:
 
 @query("paren_depth", "SELECT doc_id, CAST(CASE WHEN regexp_matches(text, '\\(') THEN 1 ELSE 0 END AS INTEGER) AS nested FROM documents")
 def paren_depth(spark: SparkSession, d: str) -> DataFrame:
-    return _table("documents")(spark, d).select("doc_id", F.least(text.paren_depth(F.col("text")), F.lit(1)).alias("nested"))
+    return _table("documents")(spark, d).select("doc_id", text.paren_depth(F.col("text")).alias("nested"))
 
 
 @query("todo_markers", "SELECT p_partkey, CAST(CASE p_partkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS INTEGER) AS todo_count, CASE p_partkey % 4 WHEN 1 THEN 'TODO' WHEN 2 THEN 'FIXME,TODO' ELSE '' END AS todo_tags FROM part")

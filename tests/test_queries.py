@@ -4,6 +4,7 @@ import glob
 import hashlib
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -83,3 +84,19 @@ def test_whole_tables_of_documents_and_parts(spark, tmp_path):
     got = run("line_range_all").select("path", "line", "text").collect()
     assert {tuple(r) for r in got} == {(p, i, f"word{i} x yy") for p in paths for i in range(3, 9)}
     assert {(r.fql_kind, r.rows) for r in run("compact_symbols_by_kind_all").collect()} == {("t", "a:46;b:3"), ("u", "c:1")}
+
+
+def test_paren_depth_equals_brute_force(spark, tmp_path):
+    r = random.Random(3)
+    texts = ["", "()", "((a)(b(c)))", ")(", "(" * 300 + ")" * 300, *("".join(r.choice("(()) aé\n") for _ in range(r.randint(0, 60))) for _ in range(200))]
+    spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def depth(t):
+        now = most = 0
+        for c in t:
+            now = now + 1 if c == "(" else max(now - 1, 0) if c == ")" else now
+            most = max(most, now)
+        return most
+
+    got = {x.doc_id: x.nested for x in engine.queries()["paren_depth"](spark, str(tmp_path)).collect()}
+    assert got == {i: depth(t) for i, t in enumerate(texts)} and max(got.values()) == 300
