@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalex.llm import mixing, near_dup, quality_rules, secret_spans, sentence_pieces
@@ -16,11 +16,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8): the one of the smallest id, once. Rows without an id stay."""
-    kept = near_dup.near_duplicates(docs, near_dup.Near()).filter("kept")
+    """One document of each group of near-duplicates (five words, 0.8): the one of the smallest id, and of the smallest hash
+    among texts of one id. Rows equal in id and text are one. Rows without an id stay."""
     nameless = docs.filter("doc_id is null")
-    named = docs.filter("doc_id is not null").join(kept.filter("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(nameless)
+    named = docs.filter("doc_id is not null").withColumn("__hash", F.xxhash64("text"))
+    # links are between ids, so each further text of an id is given an id below all others for as long as groups are sought
+    hashes = named.groupBy("doc_id").agg(F.array_sort(F.collect_set("__hash")).alias("all")).filter(F.size("all") > 1)
+    more = hashes.select("doc_id", F.posexplode("all").alias("at", "__hash")).filter("at > 0").drop("at")
+    if more.isEmpty():
+        kept = near_dup.near_duplicates(named, near_dup.Near()).filter("kept").select("doc_id", F.col("text_hash").alias("__hash"))
+    else:
+        least = named.agg(F.min("doc_id").cast("long")).first()[0]
+        more = saved(more.withColumn("__node", F.lit(least) - F.row_number().over(Window.orderBy("doc_id", "__hash"))), "more_texts")
+        alone = named.join(more, ["doc_id", "__hash"], "left").withColumn("doc_id", F.coalesce("__node", F.col("doc_id").cast("long"))).select("doc_id", "text")
+        found = near_dup.near_duplicates(alone, near_dup.Near()).select(F.col("doc_id").alias("__node"), F.col("text_hash").alias("__hash"), "component_id")
+        member = found.join(more.select("__node", F.col("doc_id").alias("__id")), "__node", "left").withColumn("doc_id", F.coalesce("__id", "__node"))
+        first = member.groupBy("component_id").agg(F.min(F.struct("doc_id", "__hash")).alias("first"))
+        kept = first.select("first.*")
+    rows = named.join(kept.distinct(), ["doc_id", "__hash"], "left_semi").dropDuplicates(["doc_id", "__hash"])
+    return rows.select(*docs.columns).unionByName(nameless)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,14 @@ def test_stages_against_brute_force(spark, data):
 def test_run_gives_the_last_stage(spark, data):
     out = corpus_pipeline.run(spark, data)
     assert {"doc_id", "ids", "n_tokens", "round_trip"} <= set(out.columns) and out.count() > 0
+
+
+def test_texts_that_share_an_id_are_judged_apart(spark):
+    text = lambda c, n=60: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(5, text("a")), (5, text("b")), (5, text("a")), (2, text("b")), (7, text("c")), (7, text("d")), (7, text("c", 59)), (8, text("d")), (9, None), (9, None), (9, text("e")), (1, text("f")), (None, text("b")), (None, text("b"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    want = [(5, text("a")), (2, text("b")), (7, text("d")), (9, None), (9, text("e")), (1, text("f")), (None, text("b")), (None, text("b"))]
+    close = [(7, text("c")), (7, text("c", 59))]
+    count = Counter((r.doc_id, r.text) for r in got)
+    assert sum(count[c] for c in close) == 1 and count - Counter(close) == Counter(want)
