@@ -102,11 +102,19 @@ def condition_tests(text: Column) -> Column:
 
 
 def mixed_logic(text: Column) -> Column:
-    """``&&`` and ``||`` both outside parentheses, once outer parentheses are off."""
-    flat = F.regexp_replace(text, r"^\s*\((.*)\)\s*$", "$1")
-    for _ in range(4):
-        flat = F.regexp_replace(flat, r"\([^()]*\)", "")
-    return F.contains(flat, F.lit("&&")) & F.contains(flat, F.lit("||"))
+    """``&&`` and ``||`` both outside parentheses, once outer parentheses are off: both at the least depth of what is not a
+    parenthesis, or of a place between two groups."""
+    marks = F.regexp_extract_all(text, F.lit(r"&&|\|\||\)\s*\(|[()]|[^()\s]"), F.lit(0))
+    start = F.struct(F.lit(0).alias("now"), F.lit(2**31 - 1).alias("low"), F.lit(False).alias("all"), F.lit(False).alias("any"))
+
+    def step(a: Column, c: Column) -> Column:
+        joint = c.startswith(")") & (F.length(c) > 1)
+        now = F.when(c == "(", a["now"] + 1).when(c == ")", F.greatest(a["now"] - 1, F.lit(0))).otherwise(a["now"])
+        at = F.when(joint, F.greatest(a["now"] - 1, F.lit(0))).when(~c.isin("(", ")"), a["now"]).otherwise(F.lit(2**31 - 1))
+        seen = lambda field, op: F.when(at < a["low"], c == op).otherwise(a[field] | ((at == a["low"]) & (c == op)))
+        return F.struct(now.alias("now"), F.least(a["low"], at).alias("low"), seen("all", "&&").alias("all"), seen("any", "||").alias("any"))
+
+    return F.aggregate(marks, start, step, lambda a: a["all"] & a["any"])
 
 
 def has_assignment(text: Column) -> Column:

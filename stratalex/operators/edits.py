@@ -25,14 +25,14 @@ def tail(lines: DataFrame, n: int) -> DataFrame:
     return lines.join(last, "path").filter(F.col("line") > F.col("__last") - n).drop("__last")
 
 
-def depths(nodes: DataFrame, most: int = 64) -> DataFrame:
-    """(node, depth) of the nodes of trees (node, parent), level by level; each level is one join with the level above."""
+def depths(nodes: DataFrame) -> DataFrame:
+    """(node, depth) of the nodes of trees (node, parent), level by level until one is empty; each is one join with the level
+    above, kept as it is found, so that plans stay short in deep trees."""
     level = nodes.filter("parent is null").select("node", F.lit(0).alias("depth"))
-    out = level
-    for k in range(1, most):
-        level = nodes.join(level.select(F.col("node").alias("parent")), "parent").select("node", F.lit(k).alias("depth"))
-        if level.isEmpty():
-            return out
+    out, k = level, 0
+    while not level.isEmpty():
+        k += 1
+        level = nodes.join(level.select(F.col("node").alias("parent")), "parent").select("node", F.lit(k).alias("depth")).localCheckpoint()
         out = out.unionByName(level)
     return out
 

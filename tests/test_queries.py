@@ -11,6 +11,9 @@ import pytest
 
 import __spark_entry__ as entry
 from stratalex import queries as engine
+from stratalex.functions import text as functions
+from stratalex.operators import edits
+from stratalex.sources import clike
 
 
 @pytest.fixture(scope="module")
@@ -100,3 +103,24 @@ def test_paren_depth_equals_brute_force(spark, tmp_path):
 
     got = {x.doc_id: x.nested for x in engine.queries()["paren_depth"](spark, str(tmp_path)).collect()}
     assert got == {i: depth(t) for i, t in enumerate(texts)} and max(got.values()) == 300
+
+
+def test_depths_beyond_64_levels(spark):
+    nodes = spark.createDataFrame([(i, i - 1 if i else None) for i in range(70)], "node long, parent long").coalesce(1)
+    assert {(r.node, r.depth) for r in edits.depths(nodes).collect()} == {(i, i) for i in range(70)}
+
+
+def test_mixed_logic_of_any_nesting(spark):
+    r = random.Random(4)
+
+    def condition(n):
+        if n == 0 or r.random() < 0.1:
+            return r.choice(("a", "f()", "(b)", "g(x)(y)"))
+        ops = f" {r.choice(('&&', '||'))} ".join(condition(n - 1) for _ in range(r.randint(1, 2)))
+        return f"({ops})" if r.random() < 0.8 else ops
+
+    deep = "(" * 9 + "p || q" + ")" * 9 + " && r"
+    texts = [deep, f"({deep})", "(a && b) || (c && d)", "a && b || c", "((a && b || c))", "(a && b)(c || d)", *(condition(8) for _ in range(200))]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(functions.mixed_logic(functions.F.col("t"))).collect()
+    want = [all(op in clike.top_level(t) for op in ("&&", "||")) for t in texts]
+    assert [x[0] for x in got] == want and set(want) == {True, False} and want[:2] == [False, False]
