@@ -48,10 +48,10 @@ def dropped(df: DataFrame) -> None:
 
 
 def lean(df: DataFrame) -> DataFrame:
-    """``df``, its session set to hand Python at most 1,000 rows and 16 MB at a time: texts may be long, and both
+    """``df``, its session set to hand Python at most 1,000 rows and 4 MB at a time: texts may be long, and both
     sides hold a whole batch. Settings that ask for less are left alone."""
     conf = df.sparkSession.conf
-    for name, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 16 << 20)):
+    for name, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 4 << 20)):
         key = f"spark.sql.execution.arrow.{name}"
         if not 0 < int(re.sub(r"\D", "", conf.get(key)) or 0) <= most:
             conf.set(key, str(most))

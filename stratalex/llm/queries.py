@@ -26,7 +26,7 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sentence_pieces as op
 
-    return op.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), verify=True).drop("text")
+    return op.ids_for_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), verify=True)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

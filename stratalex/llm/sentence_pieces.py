@@ -5,7 +5,9 @@ the longest piece's length; every piece is binary-searched for its range of occu
 sorted by the position they end at, and one relaxation over positions finds, for every prefix, the one piece that can
 end it. A BPE model merges by rank rather than adding scores, so relaxing an edge means testing that merging would
 keep it apart from the piece before it (a prefix's encoding has exactly one last piece, so one edge a position holds).
-Segment encodings are remembered across batches up to a bound.
+Encodings of short segments are remembered across batches up to a bound. A long segment is relaxed in overlapping windows:
+what ends a prefix depends on the positions of one longest piece before it only, so a window is right from where it
+agrees with the one before over that many positions, and pieces are given out as soon as no later one can change them.
 """
 
 from __future__ import annotations
@@ -13,10 +15,12 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +28,9 @@ from .common import lean, released
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-TIE = -1e8
+#: Characters of texts taken at a time, of new segments indexed at a time, of segments that are remembered, of a window
+#: of a longer segment and of what it shares with the next one, and windows relaxed at a time.
+SLICE, INDEXED, SHORT, WINDOW, OVERLAP, WINDOWS = 1_000_000, 100_000, 256, 1024, 128, 128
 
 
 class Pieces:
@@ -59,7 +65,7 @@ class Numbered(dict):
 class Encoder:
     """Encodes and decodes in one Python process."""
 
-    def __init__(self, vocab: Pieces, remember: int = 300_000):
+    def __init__(self, vocab: Pieces, remember: int = 200_000):
         self.v, self.remember = vocab, remember
         skip = vocab.special | set(vocab.bytes_of.values())
         self.ids = {p: i for i, p in enumerate(vocab.pieces) if i not in skip}
@@ -76,6 +82,7 @@ class Encoder:
             if got == [i]:
                 usable.append(i)
                 self.left[i], self.right[i] = last
+        self.usable = {vocab.pieces[i]: i for i in usable}
         ok = set(usable)
         pairs = {}
         for i in by:
@@ -98,7 +105,11 @@ class Encoder:
         self.chars = np.zeros(n, np.int64)
         self.chars[self.name_ids] = self.name_len
         self.name_ends = np.char.add(self.names, "\U0010ffff")
-        self.flat, self.count, self.first = np.zeros(1 << 20, np.int32), np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int64)
+        self.most_spaces = max([1, *map(len, runs)])
+        m = self.most_spaces
+        whole = [self.ids.get(SPACE * m)]
+        self.spaces_repeat = all(self.merged(SPACE * k)[0] == whole + self.merged(SPACE * (k - m))[0] for k in range(3 * m, 6 * m))
+        self.answers: dict[tuple[int, int], bool] = {}
         self.forget()
         self.seen_key = np.full(1 << 20, -1, np.int64)
         self.seen_ok = np.zeros(1 << 20, bool)
@@ -210,8 +221,9 @@ class Encoder:
         at = np.arange(count.sum()) + np.repeat(lo - np.cumsum(count) + count, count)
         return array[at], which
 
-    def relax(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of segments (spaces only in front, one at most), one after another, and how many each has."""
+    def prefixes(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The last piece of every prefix of every segment (spaces only in front, one at most; -1 where no piece ends):
+        that of the first p characters of segment i lies at starts[i] + p. Then the starts and sizes of the segments."""
         size = np.array([*map(len, segments)])
         text = np.frombuffer(("\0".join(segments) + "\0").encode("utf-32-le"), np.uint32)
         base = np.r_[0, np.cumsum(size + 1)[:-1]]
@@ -231,7 +243,12 @@ class Encoder:
             ask = np.flatnonzero(~good & (before >= 0))
             good[ask] = self.apart(before[ask], t[ask])
             last[e[good]] = t[good]
-        used = np.zeros(len(text) + 1, bool)
+        return last, base, size
+
+    def relax(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of segments, one after another, and how many each has."""
+        last, base, size = self.prefixes(segments)
+        used = np.zeros(len(last), bool)
         at, floor = base + size, base
         while len(at):
             used[at] = True
@@ -241,8 +258,96 @@ class Encoder:
         ends = np.flatnonzero(used)
         return last[ends].astype(np.int32), np.add.reduceat(used, base + 1, dtype=np.int64)
 
+    def windowed(self, s: str) -> np.ndarray:
+        """Ids of one long segment. ``last`` holds the last pieces of its prefixes of more than ``done`` characters; what
+        lies before ``done`` has been given out."""
+        out, done, last, n = [], 0, np.zeros(0, np.int64), len(s)
+        tail = last  # the end of what is known
+        for a in range(0, n, WINDOW * WINDOWS):
+            starts = range(a, min(n, a + WINDOW * WINDOWS), WINDOW)
+            found, base, size = self.prefixes([s[b : b + WINDOW + OVERLAP] for b in starts])
+            grown = [last]
+            for b, x, m in zip(starts, base, size):
+                mine = found[x + 1 : x + 1 + m]
+                if b:
+                    shared = min(OVERLAP, m)
+                    same = mine[:shared] == tail[len(tail) - shared :]
+                    if m > shared and not self._settles(same):
+                        mine = self._extended(s, tail, b + shared, b + m)
+                    else:
+                        mine = mine[shared:]
+                grown.append(mine)
+                tail = np.concatenate([tail[-OVERLAP:], mine])[-OVERLAP - WINDOW :]
+            last = np.concatenate(grown)
+            end = done + len(last)
+            cut = end if end == n else self._agreed(last, done)
+            at, ids = cut, []
+            flat = last[: cut - done].tolist()
+            while at > done:
+                ids.append(flat[at - done - 1])
+                at -= int(self.chars[ids[-1]])
+            out.append(np.array(ids[::-1], np.int32))
+            last, done = last[cut - done :], cut
+        return np.concatenate(out)
+
+    def _settles(self, same: np.ndarray) -> bool:
+        """Whether two relaxations agree over as many positions as the longest piece has."""
+        runs = np.cumsum(np.r_[0, same])
+        return bool((runs[self.longest :] - runs[: -self.longest] == self.longest).any())
+
+    def _extended(self, s: str, tail: np.ndarray, a: int, b: int) -> np.ndarray:
+        """The last pieces of the prefixes of ``s`` of a + 1 to b characters, one by one; ``tail`` ends with that of a."""
+        last = tail[-self.longest :].tolist()
+        off, usable = a - len(last), self.usable
+        if len(self.answers) > 1_000_000:
+            self.answers.clear()
+        for p in range(a + 1, b + 1):
+            got = -1
+            for q in range(p - 1, max(p - 1 - self.longest, off, 0), -1):
+                t, before = usable.get(s[q:p], -1), last[q - off - 1]
+                if t >= 0 and before >= 0:
+                    ok = self.answers.get((before, t))
+                    if ok is None:
+                        ok = self.answers[before, t] = bool(self._apart(np.array([before]), np.array([t]))[0])
+                    if ok:
+                        got = t
+                        break
+            last.append(got)
+        return np.array(last[a - off :], np.int64)
+
+    def _agreed(self, last: np.ndarray, done: int) -> int:
+        """The last position that every encoding which goes on beyond the end passes through."""
+        end = done + len(last)
+        live = {p for p in range(max(done, end - self.longest + 1), end + 1) if p == done or last[p - done - 1] >= 0}
+        while len(live) > 1:
+            p = max(live)
+            live.remove(p)
+            live.add(p - int(self.chars[last[p - done - 1]]))
+        return live.pop()
+
+    def spaces(self, n: int) -> list[int]:
+        """Ids of a run of spaces. Merging takes the leftmost pair first, so a long run is its longest pieces and then what
+        the rest merges to, if that was found to hold for the runs that were tried."""
+        m = self.most_spaces
+        k = max(0, n // m - 4) if self.spaces_repeat else 0
+        return [self.ids[SPACE * m]] * k + self.merged(SPACE * (n - k * m))[0] if k else self.merged(SPACE * n)[0]
+
+    def behind_spaces(self, lead: int, tail: list[int]) -> list[int]:
+        """Ids of ``lead`` spaces and a body, by those of one space and the body."""
+        alone = int(self.ids.get(SPACE) == tail[0])
+        return [*self.spaces(lead - 1 + alone), *tail[alone:]]
+
+    def long(self, s: str) -> np.ndarray:
+        """Ids of a segment that is too long to be remembered."""
+        body = s.lstrip(SPACE)
+        lead = len(s) - len(body)
+        if lead < 2:
+            return self.windowed(s)
+        return np.array(self.behind_spaces(lead, self.windowed(SPACE + body).tolist()) if body else self.spaces(lead), np.int32)
+
     def forget(self) -> None:
         self.memo, self.filled = Numbered(), 0
+        self.flat, self.count, self.first = np.zeros(1 << 18, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
 
     def learn(self) -> None:
         """Encodes the segments that the memo has numbered since the last call; those in need of a fallback or a run of
@@ -253,7 +358,7 @@ class Encoder:
         if odd:
             skip = set(odd)
             plain = [s for s in plain if s not in skip]
-        size = np.cumsum([*map(len, plain)]) // 400_000 if plain else np.zeros(0, int)
+        size = np.cumsum([*map(len, plain)]) // INDEXED if plain else np.zeros(0, int)
         for a, b in zip(*(np.searchsorted(size, np.unique(size), side) for side in ("left", "right"))):
             ids, count = self.relax(plain[a:b])
             self.put(np.fromiter(map(self.memo.__getitem__, plain[a:b]), np.int64, b - a), ids, count)
@@ -261,14 +366,12 @@ class Encoder:
             body = s.lstrip(SPACE)
             lead = len(s) - len(body)
             if not body:
-                out = self.merged(s)[0]
+                out = self.spaces(lead)
             elif not lead:
                 out = self.fallback(s)
             else:
                 i = tails[s]
-                tail = self.flat[self.first[i] : self.first[i] + self.count[i]].tolist()
-                alone = int(self.ids.get(SPACE) == tail[0])
-                out = [*self.merged(SPACE * (lead - 1 + alone))[0], *tail[alone:]]
+                out = self.behind_spaces(lead, self.flat[self.first[i] : self.first[i] + self.count[i]].tolist())
             self.put(np.array([self.memo[s]]), np.array(out, np.int32), np.array([len(out)]))
         self.memo.fresh = []
 
@@ -286,22 +389,34 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts; an empty text has none."""
         out: list[np.ndarray] = []
-        a = 0
-        while a < len(texts):
-            b, size = a, 0
-            while b < len(texts) and (b == a or size + len(texts[b]) < 4_000_000):
-                size += len(texts[b])
-                b += 1
-            if size > 8_000_000:  # one very long text
-                found = self.cut.finditer(SPACE + texts[a].replace(" ", SPACE))
-                parts = []
-                while block := [m.group() for m in islice(found, 500_000)]:
-                    parts += self._encoded([block])
-                out.append(np.concatenate(parts))
+        held, size = [], 0
+        for t in texts:
+            if held and size + len(t) > SLICE:
+                out += self._encoded(held)
+                held, size = [], 0
+            t = SPACE + t.replace(" ", SPACE) if t else t
+            if len(t) > SLICE:
+                out.append(self._very_long(t))
             else:
-                out += self._encoded([self.cut.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts[a:b]])
-            a = b
-        return out
+                held.append(self.cut.findall(t))
+                size += len(t)
+                if len(t) > SHORT and len(max(held[-1], key=len)) > SHORT:
+                    held.pop()
+                    out += [*(self._encoded(held) if held else []), self._very_long(t)]
+                    held, size = [], 0
+        return out + (self._encoded(held) if held else [])
+
+    def _very_long(self, t: str) -> np.ndarray:
+        """Ids of a text that is long or has a long segment, a part of its segments at a time."""
+        parts, held, size = [], [], 0
+        for m in self.cut.finditer(t):
+            held.append(m.group())
+            size += len(held[-1])
+            if size > SLICE or len(held[-1]) > SHORT:
+                long = [held.pop()] if len(held[-1]) > SHORT else []
+                parts += [*(self._encoded([held]) if held else []), *map(self.long, long)]
+                held, size = [], 0
+        return np.concatenate(parts + (self._encoded([held]) if held else []))
 
     def _encoded(self, lists: list[list[str]]) -> list[np.ndarray]:
         words = [*chain.from_iterable(lists)]
@@ -319,7 +434,7 @@ class Encoder:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces with their spaces, bytes joined, broken bytes as U+FFFD, the added space gone."""
-        s = b"".join(map(self.raw.__getitem__, ids.tolist()))
+        s = b"".join(b"".join(map(self.raw.__getitem__, ids[a : a + SLICE].tolist())) for a in range(0, len(ids), SLICE))
         return (s[1:] if s[:1] == b" " else s).decode("utf-8", "replace")
 
 
@@ -333,12 +448,11 @@ def _encoder(vocab: Pieces, name: str) -> Encoder:
     return _ENCODERS[name]
 
 
-def _sliced(frame: pd.DataFrame, column: str, limit: int = 3_000_000) -> Iterator[pd.DataFrame]:
-    """Rows in slices of about ``limit`` characters, so that a batch of long texts stays small."""
-    size = frame[column].str.len().fillna(0).to_numpy().cumsum()
-    part = (size // limit).astype(int)
-    for p in np.unique(part):
-        yield frame[part == p]
+def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``SLICE`` characters."""
+    part = np.cumsum(sizes) // SLICE
+    cuts = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)]
+    yield from zip(cuts[:-1], cuts[1:])
 
 
 def encode(docs: DataFrame, text: str = "text", model: str = MODEL, verify: bool = False) -> DataFrame:
@@ -346,26 +460,47 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, verify: bool
     also ``round_trip``: decoding gave the text back.
 
     A null or empty text has no ids. Texts holding U+2581 read as if it were a space, as in the library, and so don't
-    round-trip. Other columns pass through; rows aren't moved; an empty table gives no rows."""
-    vocab, name = Pieces(model), model
+    round-trip. Very long texts, and texts that nothing breaks, take memory for themselves and their ids only. Repeated
+    rows get a row each; other columns pass through; rows aren't moved; an empty table gives no rows."""
+    return _encoded_rows(docs.drop("ids", "n_tokens", "round_trip").withColumn("__text", F.col(text).cast("string")), model, verify)
+
+
+def ids_for_texts(docs: DataFrame, text: str = "text", model: str = MODEL, verify: bool = False) -> DataFrame:
+    """As ``encode``, with the ids in place of the column of texts, which then reaches Python once."""
     kept = docs.drop("ids", "n_tokens", "round_trip")
+    return _encoded_rows(kept.withColumn("__text", F.col(text).cast("string")).drop(text), model, verify)
+
+
+def _encoded_rows(rows: DataFrame, model: str, verify: bool) -> DataFrame:
+    vocab, name = Pieces(model), model
     added = "ids array<int>, n_tokens long" + ", round_trip boolean" * verify
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(vocab, name)
-        for frame in parts:
-            for p in _sliced(frame, "__text"):
-                texts = [t or "" for t in p["__text"]]
+        for batch in parts:
+            names = batch.schema.names
+            given = batch.column(names.index("__text"))
+            others = [(n, batch.column(i)) for i, n in enumerate(names) if n != "__text"]
+            if not len(batch):
+                continue
+            sizes = pc.fill_null(pc.binary_length(given), 0).to_numpy(zero_copy_only=False)
+            for a, b in _slices(sizes.astype(np.int64)):
+                texts = [t or "" for t in given.slice(a, b - a).to_pylist()]
                 ids = enc.encode(texts)
-                more = {"ids": ids, "n_tokens": [len(i) for i in ids]}
+                count = np.array([len(i) for i in ids], np.int64)
+                lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(count)].astype(np.int32), np.concatenate(ids).astype(np.int32, copy=False))
+                more = [("ids", lists), ("n_tokens", pa.array(count))]
                 if verify:
-                    more["round_trip"] = [enc.decode(i) == t for i, t in zip(ids, texts)]
-                yield p.drop(columns="__text").assign(**more)
-            del frame, p, texts, ids, more
+                    more.append(("round_trip", pa.array([enc.decode(i) == t for i, t in zip(ids, texts)])))
+                del texts, ids
+                columns = [(n, c.slice(a, b - a)) for n, c in others] + more
+                yield pa.RecordBatch.from_arrays([c for _, c in columns], [n for n, _ in columns])
+                del lists, more, columns
+            del batch, given, others
         released()
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema)
-    return lean(kept).withColumn("__text", F.col(text).cast("string")).mapInPandas(run, f"{fields}, {added}")
+    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
+    return lean(rows).mapInArrow(run, f"{fields}, {added}" if fields else added)
 
 
 def decode(rows: DataFrame, ids: str = "ids", model: str = MODEL, to: str = "decoded") -> DataFrame:

@@ -5,6 +5,8 @@ import hashlib
 import json
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -121,6 +123,45 @@ def test_pieces_equal_the_library(spark, awkward, empty):
         assert list(ids) == sp.encode(t or "") and n == len(ids)
         assert same == ("▁" not in (t or "")) and (not same or text == (t or ""))
     assert sentence_pieces.encode(empty).count() == 0
+    only = sentence_pieces.ids_for_texts(awkward, verify=True)
+    assert "text" not in only.columns and set(awkward.columns) - {"text"} <= set(only.columns)
+    assert sorted(map(tuple, only.select("ids").toPandas().ids)) == sorted(map(tuple, back.ids))
+    assert sentence_pieces.ids_for_texts(empty).count() == 0
+
+
+def test_pieces_of_texts_that_nothing_breaks():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.MODEL)
+    r = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    enc = sentence_pieces.Encoder(sentence_pieces.Pieces())
+    texts = ["".join(r.choices(letters, k=k)) for k in (255, 256, 257, 1023, 1024, 1025, 1151, 1152, 1153, 131_071, 131_072, 131_073, 1_500_000)]
+    texts += [x * (30_011 // len(x)) for x in ("a", "ab", "abc", "the", "internationalization", "=", "->", "0", "中文", "\n", " ", ". ")]
+    texts += ["x  " + " " * 3000 + "".join(r.choices("ab", k=5000)) + " " * 999 + "y" * 700, " " * 700 + "the" * 400, "é " * 700_000]
+    for t, ids in zip(texts, enc.encode(texts)):
+        assert ids.tolist() == sp.encode(t) and enc.decode(ids) == t
+    for n in (1, 2, 17, 63, 64, 65, 81, 1000, 4099):
+        assert enc.spaces(n) == enc.merged(sentence_pieces.SPACE * n)[0]
+    # windows that never agree are gone through character by character
+    enc._settles = lambda same: False
+    for t in (texts[10][:20_000], "the" * 3000, "=" * 5000):
+        assert enc.encode([t])[0].tolist() == sp.encode(t)
+
+
+def test_pieces_of_a_very_long_unbroken_text_take_bounded_memory():
+    run = """
+import random, resource
+from stratalex.llm import sentence_pieces
+enc = sentence_pieces.Encoder(sentence_pieces.Pieces())
+text = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=4_000_000))
+enc.encode([text[:400_000]])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n = len(enc.encode([text])[0])
+print(n, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    n, grown = map(int, subprocess.run([sys.executable, "-c", run], capture_output=True, text=True, check=True).stdout.split()[-2:])
+    assert n > 1_000_000 and grown < 100
 
 
 def test_edit_counts_equal_a_full_count(spark, awkward, empty):
