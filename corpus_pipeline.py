@@ -48,8 +48,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the ids of their texts in place of the texts."""
-    return sentence_pieces.encode(docs, verify=True).drop("text")
+    """Documents with the ids of their texts in place of the texts, and whether decoding gave the text back."""
+    return sentence_pieces.ids_for_texts(docs, verify=True)
 
 
 STAGES = [("quality_rules", quality), ("near_duplicates", near_duplicates), ("secret_scan", secrets), ("mixing", mixture), ("sentence_pieces", pieces)]
