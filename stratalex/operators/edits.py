@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lang.statement import QueryError
+from ..store import bounded, saved
 
 
 def line_range(lines: DataFrame, first: int, last: int) -> DataFrame:
@@ -26,62 +29,109 @@ def tail(lines: DataFrame, n: int) -> DataFrame:
 
 
 def depths(nodes: DataFrame) -> DataFrame:
-    """(node, depth) of the nodes of trees (node, parent), level by level until one is empty; each is one join with the level
-    above, kept as it is found, so that plans stay short in deep trees."""
-    level = nodes.filter("parent is null").select("node", F.lit(0).alias("depth"))
-    out, k = level, 0
-    while not level.isEmpty():
-        k += 1
-        level = nodes.join(level.select(F.col("node").alias("parent")), "parent").select("node", F.lit(k).alias("depth")).localCheckpoint()
-        out = out.unionByName(level)
-    return out
-
-
-def replaced(files: DataFrame, old: str, new: str, word: bool) -> DataFrame:
-    """Files with every occurrence of a literal replaced, as a whole word if asked, and the number of ``hits``."""
+    """(node, depth) of the nodes of trees (node, parent). Each round doubles how far up a node points, so a tree of depth d
+    takes log2(d) joins, and every round is a table. Nodes that no root is above (under a missing parent, or in a ring) have
+    no depth and no row."""
+    now = saved(nodes.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth")), "depths")
+    before = None
+    while (left := now.filter("up is not null").count()) not in (0, before):
+        before = left
+        above = now.select(F.col("node").alias("up"), F.col("up").alias("__up"), F.col("depth").alias("__more"))
+        climbed = now.filter("up is not null").join(above, "up").select("node", F.col("__up").alias("up"), (F.col("depth") + F.col("__more")).alias("depth"))
+        now = saved(now.filter("up is null").unionByName(climbed), "depths")
+    return now.filter("up is null").select("node", "depth")
+
+
+def pattern_of(old: str, word: bool) -> str:
+    """A literal as a pattern, between the sides of words if asked: ``\\b`` takes another view of marks and letters in every
+    version of Java."""
     if not old:
         raise QueryError("nothing to match")
     pattern = "\\Q" + old.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-    if word:
-        # the sides of a word boundary, as \b takes another view of marks and letters in every version of Java
-        edge = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
-        pattern = f"(?U){edge}{pattern}{edge}"
-        body = F.regexp_replace("content", pattern, re.sub(r"([\\$])", r"\\\1", new))
-    else:
-        body = F.replace("content", F.lit(old), F.lit(new))
-    return files.withColumns({"hits": F.regexp_count("content", F.lit(pattern)).cast("bigint"), "content": body})
+    edge = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+    return f"(?U){edge}{pattern}{edge}" if word else pattern
+
+
+def replaced_text(content: Column, old: str, new: str, word: bool) -> Column:
+    """``content`` with every occurrence of a literal replaced, as a whole word if asked."""
+    pattern = pattern_of(old, word)
+    return F.regexp_replace(content, pattern, re.sub(r"([\\$])", r"\\\1", new)) if word else F.replace(content, F.lit(old), F.lit(new))
+
+
+def replaced(files: DataFrame, old: str, new: str, word: bool) -> DataFrame:
+    """Files with every occurrence of a literal replaced, and the number of ``hits``."""
+    hits = F.regexp_count("content", F.lit(pattern_of(old, word))).cast("bigint")
+    return files.withColumns({"hits": hits, "content": replaced_text(F.col("content"), old, new, word)})
+
+
+def spans_changed(files: DataFrame, spans: DataFrame, change: Callable[[Column], Column]) -> DataFrame:
+    """(path, content) of the files that ``spans`` (path, start, end; characters) lie in, each span replaced by ``change`` of
+    its text, from the last to the first. Spans inside others go with them; spans that cross are refused."""
+    merged = disjoint(spans)
+    if not overlaps(merged, ["path"], ["end"]).filter("overlaps").isEmpty():
+        raise QueryError("edits cross each other")
+    listed = merged.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start", "end")), asc=False).alias("__spans"))
+    put = lambda acc, s: spliced(acc, s["start"], s["end"], change(F.substring(acc, s["start"] + 1, s["end"] - s["start"])))
+    return files.join(listed, "path").select("path", F.aggregate("__spans", F.col("content"), put).alias("content"))
+
+
+def disjoint(spans: DataFrame) -> DataFrame:
+    """The spans that no other one of their file holds."""
+    before = Window.partitionBy("path").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    return spans.select("path", "start", "end").distinct().withColumn("__end", F.max("end").over(before)).filter("__end is null or end > __end").drop("__end")
+
+
+def line_start(content: Column, line: int) -> Column:
+    """How many characters come before a line, counted from 1; all of them where the text has no such line."""
+    return F.lit(0) if line <= 1 else F.least(F.length(content), F.length(F.substring_index(content, "\n", line - 1)) + 1)
+
+
+def spliced(content: Column, start: Column, end: Column, new: Column) -> Column:
+    """``content`` with the characters from ``start`` to ``end`` replaced: every other character stays as it is."""
+    return F.concat(F.substring(content, F.lit(1), start), new, F.substring(content, end + 1, F.length(content)))
+
+
+def _whole_lines(text: Column) -> Column:
+    return F.when((text == "") | text.endswith("\n"), text).otherwise(F.concat(text, F.lit("\n")))
 
 
-def renumbered(lines: DataFrame, order: list) -> DataFrame:
-    return lines.withColumn("line", F.row_number().over(Window.partitionBy("path").orderBy(*order)))
+def lines_changed(content: Column, first: int, last: int, new: str) -> Column:
+    """Lines ``first`` to ``last`` with their line ends replaced by ``new``, which is given a line end if it has none;
+    nothing takes the lines away. A text that ends before ``first`` takes the new lines at its end."""
+    start = line_start(content, first)
+    return spliced(content, start, line_start(content, last + 1), F.concat(_lead(content, start, F.lit(new)), _whole_lines(F.lit(new))))
 
 
-def lines_changed(lines: DataFrame, first: int, last: int, new: list[str]) -> DataFrame:
-    """Lines ``first`` to ``last`` of each file replaced; files that end before take the new lines at their end."""
-    rest = lines.filter(~F.col("line").between(first, last)).withColumn("__sub", F.lit(0))
-    put = lines.select("path").distinct().select("path", F.lit(first).alias("line"), F.posexplode(F.array(*map(F.lit, new))).alias("__sub", "text")) if new else None
-    both = rest if put is None else rest.unionByName(put)
-    return renumbered(both, ["line", "__sub"]).drop("__sub")
+def _lead(content: Column, at: Column, new: Column) -> Column:
+    """The line end that new lines need before them at the end of a text without one."""
+    open_ = (at > 0) & (at == F.length(content)) & ~content.endswith("\n")
+    return F.when(open_ & (new != ""), F.lit("\n")).otherwise(F.lit(""))
 
 
-def lines_inserted(lines: DataFrame, block: DataFrame, after: int | None) -> DataFrame:
-    """A block of lines (path, line, text) put behind line ``after`` of its file, or at its end."""
-    at = F.lit(2**31 - 1) if after is None else F.lit(after)
-    both = lines.select("path", "text", F.col("line").alias("__at"), F.lit(0).alias("__sub")).unionByName(block.select("path", "text", at.alias("__at"), F.col("line").alias("__sub")))
-    return both.select("path", F.row_number().over(Window.partitionBy("path").orderBy("__at", "__sub")).alias("line"), "text")
+def lines_of(content: Column, first: int, last: int) -> Column:
+    """The text of lines, with their line ends."""
+    start = line_start(content, first)
+    return F.substring(content, start + 1, line_start(content, last + 1) - start)
 
 
-def lines_moved(lines: DataFrame, source: str, first: int, last: int, target: str, after: int | None, keep: bool) -> DataFrame:
-    """Lines of one file copied (``keep``) or moved to another."""
-    block = line_range(lines.filter(F.col("path") == source), first, last).withColumn("path", F.lit(target))
-    left = lines if keep else lines.filter(~((F.col("path") == source) & F.col("line").between(first, last)))
-    return renumbered(lines_inserted(left, block, after), ["line"])
+def lines_inserted(content: Column, block: Column, after: int | None) -> Column:
+    """``block`` as whole lines behind line ``after``, or at the end."""
+    at = F.length(content) if after is None else line_start(content, after + 1)
+    return spliced(content, at, at, F.concat(_lead(content, at, block), _whole_lines(block)))
 
 
-def joined(lines: DataFrame) -> DataFrame:
-    """(path, body): the lines of each file as one text."""
-    parts = F.array_sort(F.collect_list(F.struct("line", "text")))
-    return lines.groupBy("path").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("body"))
+def lines_moved(files: DataFrame, source: str, first: int, last: int, block: str, target: str, after: int | None, keep: bool) -> DataFrame:
+    """``files`` with ``block``, lines ``first`` to ``last`` of ``source``, put behind line ``after`` of ``target``; gone from
+    where they were unless ``keep``. The later of two places in one file is changed first."""
+    path, c = F.col("path"), F.col("content")
+    if source == target and not keep and after is not None and first <= after < last:
+        raise QueryError("lines cannot move into themselves")
+    put = lambda x: lines_inserted(x, F.lit(block), after)
+    cut = lambda x: x if keep else spliced(x, line_start(x, first), line_start(x, last + 1), F.lit(""))
+    if source == target:
+        both = cut(put(c)) if after is None or after >= last else put(cut(c))
+        return files.withColumn("content", F.when(path == source, both).otherwise(c))
+    return files.withColumn("content", F.when(path == source, cut(c)).when(path == target, put(c)).otherwise(c))
 
 
 def overlaps(edits: DataFrame, by: list[str], ties: list[str]) -> DataFrame:
@@ -98,9 +148,47 @@ def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.filter(~F.col("__a").eqNullSafe(F.col("__b"))).select("path", status.alias("status"))
 
 
-def line_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(path, added, removed): lines that one version has more often than the other."""
-    count = lambda d, n: d.groupBy("path", "text").agg(F.count(F.lit(1)).alias(n))
-    both = count(before, "a").join(count(after, "b"), ["path", "text"], "full_outer")
-    more = F.coalesce("b", F.lit(0)) - F.coalesce("a", F.lit(0))
-    return both.groupBy("path").agg(F.sum(F.greatest(more, F.lit(0))).alias("added"), F.sum(F.greatest(-more, F.lit(0))).alias("removed"))
+def paired(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, status, a, b): ``changed_files`` with both contents."""
+    a, b = before.select("path", F.col("content").alias("a")), after.select("path", F.col("content").alias("b"))
+    return changed_files(before, after).join(a, "path", "left").join(b, "path", "left")
+
+
+def line_changes(pairs: DataFrame) -> DataFrame:
+    """(path, added, removed) of pairs of versions (path, a, b; null is no file): lines that a longest common subsequence of
+    lines leaves over. A file's lines take one task; pairs are independent."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield pd.DataFrame([(path, *changed_lines(split_lines(a), split_lines(b))) for path, a, b in zip(p.path, p.a, p.b)], columns=["path", "added", "removed"])
+
+    kind = pairs.schema["path"].dataType.simpleString()
+    return bounded(pairs.select("path", "a", "b")).mapInPandas(run, f"path {kind}, added bigint, removed bigint")
+
+
+def split_lines(text: str | None) -> list[str]:
+    """Lines without their line ends; what follows the last line end is a line if it is not empty."""
+    lines = (text or "").split("\n")
+    return lines if lines[-1] else lines[:-1]
+
+
+def changed_lines(a: list[str], b: list[str]) -> tuple[int, int]:
+    """How many lines of ``b`` and of ``a`` are outside a longest common subsequence, found with one row of bits."""
+    at = 0
+    while at < min(len(a), len(b)) and a[at] == b[at]:
+        at += 1
+    end = 0
+    while end < min(len(a), len(b)) - at and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[at : len(a) - end], b[at : len(b) - end]
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for x in b:
+        if mask := places.get(x, 0):
+            hit = row & mask
+            row = ((row + hit) | (row - hit)) & full
+    common = len(a) - row.bit_count()
+    return len(b) - common, len(a) - common

@@ -9,12 +9,20 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lang.statement import QueryError
 from . import relations
 
 
+def page_of(df: DataFrame, most: int) -> DataFrame:
+    """``df``, refused if it has more than ``most`` rows: what is rendered is a page, and a part of it would look like all."""
+    if df.limit(most + 1).count() > most:
+        raise QueryError(f"more than {most} rows to render: ask with a LIMIT")
+    return df
+
+
 def as_json(df: DataFrame, most: int = 1000) -> str:
-    """A page of rows as a JSON array; a page is what is rendered, never a whole table."""
-    return "[" + ",".join(r[0] for r in df.limit(most).select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).collect()) + "]"
+    """A page of rows as a JSON array."""
+    return "[" + ",".join(r[0] for r in page_of(df, most).select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).collect()) + "]"
 
 
 def _csv(rows: list[list]) -> str:
@@ -25,7 +33,7 @@ def _csv(rows: list[list]) -> str:
 
 def compact(df: DataFrame, verb: str, most: int = 1000, metric: str | None = None) -> str:
     """Symbols grouped by kind, usages by file and role, counts and lists as they are."""
-    page = df.limit(most)
+    page = page_of(df, most)
     if "count" in df.columns:
         key = [c for c in ("path", "fql_kind", "extension", "name") if c in df.columns][:1]
         return _csv([["key", "count"], *([r[k] for k in [*key, "count"]] for r in page.select(*key, "count").collect())])

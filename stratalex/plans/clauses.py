@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lang.statement import Clauses, QueryError
+from ..store import numbered
 from . import predicates as P
 from .shapes import Shape
 
@@ -61,17 +62,12 @@ def order_keys(df: DataFrame, clauses: Clauses, shape: Shape) -> list[Column]:
     return [*(k.asc_nulls_first() if up else k.desc_nulls_last() for k in keys), *tie_keys(df)]
 
 
-def grouped(df: DataFrame, field: str, shape: Shape, storage_order: list[Column]) -> DataFrame:
-    """The first row of each group in storage order, with the group's count; a missing key is the group ''."""
-    key = F.coalesce(shape.text(field), F.lit(""))
-    by = Window.partitionBy("__key")
-    return (
-        df.withColumn("__key", key)
-        .withColumn("__first", F.row_number().over(by.orderBy(*storage_order)))
-        .withColumn("count", F.count(F.lit(1)).over(by))
-        .filter("__first = 1")
-        .drop("__key", "__first")
-    )
+def grouped(df: DataFrame, field: str, shape: Shape, storage_order: list[str]) -> DataFrame:
+    """The first row of each group in storage order, with the group's count; a missing key is the group ''. Rows are put
+    together before they are shuffled, so a group of any size is one row a partition."""
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*storage_order)).alias("__row")
+    rows = df.groupBy(F.coalesce(shape.text(field), F.lit("")).alias("__key")).agg(first, F.count(F.lit(1)).alias("__count"))
+    return rows.select("__row.*", F.col("__count").alias("count"))
 
 
 def counted(df: DataFrame, field: str, shape: Shape) -> DataFrame:
@@ -96,11 +92,11 @@ def paged(df: DataFrame, clauses: Clauses, shape: Shape, default: int | None = N
     return df if limit is None else df.limit(limit)
 
 
-def applied(df: DataFrame, clauses: Clauses, shape: Shape, storage_order: list[Column] | None = None, default: int | None = None, total: bool = False) -> DataFrame:
+def applied(df: DataFrame, clauses: Clauses, shape: Shape, storage_order: list[str] | None = None, default: int | None = None, total: bool = False) -> DataFrame:
     """The whole pipeline; ``total`` adds the number of rows before paging as column ``total``."""
     df = filtered(df, clauses, shape)
     if clauses.group_by:
-        df = grouped(df, clauses.group_by, shape, storage_order or tie_keys(df))
+        df = grouped(df, clauses.group_by, shape, storage_order or [c for c in TIES if c in df.columns] or df.columns[:1])
         default = None
     df = having(df, clauses, shape)
     if total:
@@ -112,11 +108,11 @@ def file_pages(df: DataFrame, limit: int | None, offset: int = 0, ceiling: int =
     """Usage rows by whole files: LIMIT and OFFSET count files in their order, and the page ends before the file that
     would lift its sites above ``ceiling``; its first file is always complete. Counts a file, not rows, are ranked."""
     files = df.groupBy("path").agg(F.count(F.lit(1)).alias("__sites"))
-    by = Window.orderBy("path")
-    ranked = files.withColumn("__rank", F.row_number().over(by)).filter(F.col("__rank") > offset)
-    if limit is not None:
-        ranked = ranked.filter(F.col("__rank") <= offset + limit)
-    page = ranked.withColumn("__sum", F.sum("__sites").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ranked = numbered(files, [F.asc("path")], "__rank").filter(F.col("__rank") > offset)
+    # every file has a site, so a page has no more than ``ceiling`` files: those are summed up in one task
+    most = ceiling + 1 if limit is None else min(limit, ceiling + 1)
+    upto = Window.orderBy("__rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    page = ranked.filter(F.col("__rank") <= offset + most).withColumn("__sum", F.sum("__sites").over(upto))
     page = page.filter((F.col("__sum") <= ceiling) | (F.col("__rank") == offset + 1)).select("path")
     return df.join(page, "path", "left_semi")
 

@@ -43,13 +43,14 @@ class Shape:
         return None if text is None else integer(text)
 
 
-_SYMBOL_REFUSED = frozenset("node_kind text byte_start byte_end size depth extension signature marker declaration".split())
+# fixed values: the fields of each kind of row
+_SYMBOL_REFUSED = frozenset(["node_kind", "text", "byte_start", "byte_end", "size", "depth", "extension", "signature", "marker", "declaration"])
 SHAPES = {
     s.name: s
     for s in (
-        Shape("symbol", frozenset("name fql_kind language path node_id body role value type".split()), frozenset(["usages", "line"]), "fields", _SYMBOL_REFUSED),
-        Shape("usage", frozenset("name path role node_id rev".split()), frozenset(["line"])),
-        Shape("file", frozenset("path extension name has_error node_id rev".split()), frozenset("size depth error_count parse_coverage".split()), None, frozenset(),
+        Shape("symbol", frozenset(["name", "fql_kind", "language", "path", "node_id", "body", "role", "value", "type"]), frozenset(["usages", "line"]), "fields", _SYMBOL_REFUSED),
+        Shape("usage", frozenset(["name", "path", "role", "node_id", "rev"]), frozenset(["line"])),
+        Shape("file", frozenset(["path", "extension", "name", "has_error", "node_id", "rev"]), frozenset(["size", "depth", "error_count", "parse_coverage"]), None, frozenset(),
               {"has_error": "CASE WHEN error_count IS NULL THEN NULL WHEN error_count > 0 THEN 'true' ELSE 'false' END"}),
         Shape("diff", frozenset(["path", "name", "status"]), frozenset(["added", "removed", "changed"])),
         Shape("outline", frozenset(["name", "fql_kind", "path"]), frozenset(["line", "depth"])),
