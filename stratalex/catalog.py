@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from .lang.parser import program
 from .lang.statement import QueryError, Statement
 from .session import Session
 from .sources import corpus
+from .store import shared_dir
 
 
 class Catalog:
@@ -20,7 +20,7 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, store: str | None = None):
         self.spark = spark
-        shared = store or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stratalex-")
+        shared = store or shared_dir(spark)
         self.store = f"{shared.rstrip('/')}/catalog-{uuid.uuid4().hex}"
         self.sources: dict[str, str] = {}
         self.sessions: dict[str, tuple[str, str, Session]] = {}
@@ -67,8 +67,7 @@ class Catalog:
             if source == s.args["name"]:
                 edited = bool(session.undo or session.commits)
                 if not edited:
-                    session.set_version(self._files(source, branch))
-                    session.base = session.files
+                    session.reset(self._files(source, branch))
                 rows.append((alias, branch, not edited))
         return self._rows(rows, "session string, branch string, refreshed boolean")
 

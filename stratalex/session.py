@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import difflib
 import re
-import tempfile
 import uuid
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import identity, text
@@ -18,73 +17,138 @@ from .operators import edits, relations, render
 from .plans import clauses as C
 from .plans import predicates as P
 from .plans.shapes import SHAPES
-from .sources import corpus, index
+from .sources import corpus, formats, index, trees
+from .store import bounded, numbered, shared_dir
 
 VERSION = "0.1"
 PAGE, SHOWN, CONTEXT = 20, 40, 5
 UNDO, OUTPUTS = 10, 5
 
 
+@dataclass(frozen=True)
+class Found:
+    """What the last FIND answered with, of which kind, and the same without a page."""
+
+    rows: DataFrame
+    of: str
+    whole: DataFrame
+
+
+@dataclass(frozen=True)
+class Version:
+    """What differs from the files that a session began with: ``dirty`` (path, content; null is gone) and the index rows of
+    those files. Both are tables of the files that were edited, however large the corpus is."""
+
+    dirty: DataFrame | None = None
+    rows: DataFrame | None = None
+
+
 class Session:
     """Runs statements over ``files`` (path, content). ``store`` is a folder that driver and executors share; it defaults to
     the session's checkpoint folder."""
 
     def __init__(self, spark: SparkSession, files: DataFrame, name: str = "corpus", store: str | None = None):
         self.spark, self.name = spark, name
-        self.store = store or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stratalex-")
-        self.undo: list[DataFrame] = []
-        self.marks: list[tuple[str, DataFrame]] = []
+        self.store = store or shared_dir(spark)
         self.commits: list[tuple[str, str]] = []
-        self.trees: dict[str, tuple[DataFrame, DataFrame]] = {}
+        self.trees: dict[str, tuple[Version, Version]] = {}
         self.outputs: list[DataFrame] = []
-        self.found: tuple[DataFrame, str] | None = None
-        self.set_version(files.select("path", "content"))
-        self.base = self.files
+        self.reset(files)
 
     # versions
 
-    def set_version(self, files: DataFrame) -> None:
-        path = f"{self.store}/version-{uuid.uuid4().hex}"
-        files.select("path", "content").write.parquet(path)
-        self.files = self.spark.read.parquet(path)
+    def reset(self, files: DataFrame) -> None:
+        """Begins again with ``files``: the only time that a whole corpus is written and indexed."""
+        self.origin = self.kept(files.select("path", "content"), "version")
+        self._first: tuple[DataFrame, DataFrame, DataFrame] | None = None
+        self.undo: list[Version] = []
+        self.marks: list[tuple[str, Version]] = []
+        self.base = Version()
+        self.set_version(Version())
+
+    def kept(self, df: DataFrame, tag: str) -> DataFrame:
+        path = f"{self.store}/{tag}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def set_version(self, version: Version) -> None:
+        self.version = version
+        self.files = self.files_of(version)
         self.found = None
-        self._symbols = self._sites = self._raw = None
+        self._symbols: DataFrame | None = None
+
+    def files_of(self, version: Version) -> DataFrame:
+        return self.origin if version.dirty is None else relations.shadowed(self.origin, version.dirty).filter("content is not null")
 
     @property
     def lines(self) -> DataFrame:
         return corpus.lines(self.files)
 
+    @property
+    def first(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Rows, usage counts and symbols of the files that the session began with, built when first asked for."""
+        if self._first is None:
+            raw = self.kept(index.raw_symbols(self.origin), "raw")
+            counts = self.kept(index.code_counts(self.origin, raw), "counts")
+            self._first = raw, counts, self.kept(index.symbols(raw, counts), "symbols")
+        return self._first
+
+    @property
+    def raw(self) -> DataFrame:
+        """The index rows of the current version: only edited files were read again."""
+        version = self.version
+        if version.dirty is None:
+            return self.first[0]
+        if version.rows is None:
+            self.version = version = self.indexed(version.dirty, version.dirty, self.first[0], None)
+        return self.first[0].join(version.dirty.select("path"), "path", "left_anti").select(*version.rows.columns).unionByName(version.rows)
+
+    def indexed(self, dirty: DataFrame, edited: DataFrame, old: DataFrame, rows: DataFrame | None) -> Version:
+        """A version whose ``edited`` files are read again, their ordinals those of the ``old`` rows that go on."""
+        mine = index.read_again(edited.filter("content is not null"), old.join(edited.select("path"), "path", "left_semi"))
+        if rows is not None:
+            mine = mine.unionByName(rows.join(edited.select("path"), "path", "left_anti"))
+        return Version(dirty, self.kept(mine, "dirty-rows"))
+
     @property
     def symbols(self) -> DataFrame:
-        """The index of the current version, built when first asked for and kept as a table."""
+        """The symbols of the current version. Those of the first one are a table; the rows of edited files, and calls of the
+        macros that they define or defined, are a small one beside it, and so are the changes of usage counts."""
         if self._symbols is None:
-            raw = index.raw_symbols(self.files)
-            path = f"{self.store}/raw-{uuid.uuid4().hex}"
-            raw.write.parquet(path)
-            raw = self.spark.read.parquet(path)
-            self._raw, self._sites = raw, index.roles(self.lines, raw)
-            found = index.symbols(raw, self._sites.filter("role = 'code'"))
-            path = f"{self.store}/symbols-{uuid.uuid4().hex}"
-            found.write.parquet(path)
-            self._symbols = self.spark.read.parquet(path)
+            raw, (first, counts, table) = self.raw, self.first
+            version = self.version
+            self._symbols = table if version.dirty is None else self.merged(version, raw, first, counts, table)
         return self._symbols
 
-    @property
-    def sites(self) -> DataFrame:
-        _ = self.symbols
-        return self._sites
+    def merged(self, version: Version, raw: DataFrame, first: DataFrame, counts: DataFrame, table: DataFrame) -> DataFrame:
+        paths = version.dirty.select("path")
+        had = first.join(paths, "path", "left_semi")
+        sides = lambda old, new: old.withColumn("path", F.concat(F.lit("-"), "path")).unionByName(new.withColumn("path", F.concat(F.lit("+"), "path")))
+        sites = index.roles(corpus.lines(sides(self.origin.join(paths, "path", "left_semi"), version.dirty.filter("content is not null"))), sides(had, version.rows))
+        change = F.sum(F.when(F.col("path").startswith("+"), 1).otherwise(-1))
+        delta = self.kept(sites.filter("role = 'code'").groupBy("name").agg(change.alias("__more")).filter("__more <> 0"), "delta")
+        macros = self.kept(had.unionByName(version.rows).filter("fql_kind = 'macro'").select("name").distinct(), "macros")
+        calls, others = version.rows, table.join(paths, "path", "left_anti").select(*table.columns)
+        if not macros.isEmpty():
+            calls = calls.unionByName(first.filter("fql_kind = 'call'").join(macros, "name", "left_semi").join(paths, "path", "left_anti"))
+            others = others.join(macros.withColumn("fql_kind", F.lit("macro_call")), ["name", "fql_kind"], "left_anti").select(*table.columns)
+        some = index.symbols(version.rows, None, calls, raw).drop("usages")
+        mine = self.kept(some.join(counts, "name", "left"), "dirty-symbols")
+        now = F.coalesce("usages", F.lit(0)) + F.coalesce("__more", F.lit(0))
+        return others.unionByName(mine.select(*others.columns)).join(delta, "name", "left").withColumn("usages", now).select(*table.columns)
 
     def reachable(self) -> set[str]:
         """Names of the tables in ``store`` that this session may still read."""
-        held = [self.files, self.base, *self.undo, *self.outputs, *(f for _, f in self.marks), *(f for pair in self.trees.values() for f in pair)]
-        held += [t for t in (self._symbols, self._sites, self._raw) if t is not None] + ([self.found[0]] if self.found else [])
+        versions = [self.version, self.base, *self.undo, *(v for _, v in self.marks), *(v for pair in self.trees.values() for v in pair)]
+        held = [self.origin, *(self._first or ()), *self.outputs, *(t for v in versions for t in (v.dirty, v.rows) if t is not None)]
+        held += [self.found.rows] if self.found else []
         return {f.split("/")[-2] for t in held for f in t.inputFiles()}
 
     # statements
 
-    def run(self, fql: str) -> DataFrame:
+    def run(self, statement: str) -> DataFrame:
         """The rows that a statement answers with; refused statements raise QueryError before anything runs."""
-        return self.execute(parse(fql))
+        return self.execute(parse(statement))
 
     def execute(self, s: Statement) -> DataFrame:
         for p in (*s.clauses.where, *s.clauses.having):
@@ -100,18 +164,18 @@ class Session:
             self.outputs = [*self.outputs, out][-OUTPUTS:]
         return out
 
-    def rendered(self, fql: str, how: str = "compact") -> str:
-        s = parse(fql)
-        df = self.run(fql)
+    def rendered(self, statement: str, how: str = "compact") -> str:
+        s = parse(statement)
+        df = self.execute(s)
         return render.as_json(df) if how == "json" else render.compact(df, s.verb, metric=C.metric_field(s.clauses, SHAPES["symbol"]))
 
     def _find_symbols(self, s: Statement) -> DataFrame:
         shape = SHAPES["symbol"]
         C.refused(s.clauses, shape)
-        rows = relations.deduplicated(self.symbols, ["name", "fql_kind", "path", "line"], [F.asc("pos")])
-        out = C.applied(rows, s.clauses, shape, storage_order=[F.asc("path"), F.asc("pos")], default=PAGE)
-        self.arm(out)
-        return out
+        rows = self.symbols.filter("first")
+        out = C.applied(rows, s.clauses, shape, storage_order=["path", "pos"], default=PAGE)
+        self.arm(out, "symbols", C.applied(rows, replace(s.clauses, order_by=None, limit=None, offset=None), shape, storage_order=["path", "pos"]))
+        return out.drop("first")
 
     def _find_files(self, s: Statement) -> DataFrame:
         C.refused(s.clauses, SHAPES["file"], depth=True)
@@ -126,7 +190,7 @@ class Session:
             rows = corpus.collapsed(files, s.clauses.depth).withColumns({"name": F.element_at(F.split(F.rtrim(F.col("path"), F.lit("/")), "/"), -1), "extension": text.extension(F.col("path"))})
             return C.paged(rows, Clauses(order_by=s.clauses.order_by, limit=s.clauses.limit, offset=s.clauses.offset), SHAPES["file"], PAGE)
         out = C.applied(files, s.clauses, SHAPES["file"], default=PAGE)
-        self.arm(out)
+        self.arm(out, "files", C.applied(files, replace(s.clauses, order_by=None, limit=None, offset=None), SHAPES["file"]))
         return out
 
     def _find_usages(self, s: Statement) -> DataFrame:
@@ -134,16 +198,18 @@ class Session:
         shape, c, needle = SHAPES["usage"], s.clauses, s.args["of"]
         C.refused(c, shape)
         word = re.fullmatch(r"[\w]+", needle) is not None
-        hit = self.lines.filter(text.word_match(F.col("text"), needle) if word else F.contains("text", F.lit(needle)))
-        posted = self.sites.filter(F.col("name") == needle).groupBy("path", "line").agg(F.min("role").alias("role")).withColumn("was_read", F.lit(True))
+        near = C.filtered(self.lines.filter(F.contains("text", F.lit(needle))), Clauses(within=c.within, exclude=c.exclude), shape)
+        hit = near.filter(text.word_match(F.col("text"), needle)) if word else near
+        posted = index.roles(near, self.raw).filter(F.col("name") == needle).groupBy("path", "line").agg(F.min("role").alias("role")).withColumn("was_read", F.lit(True))
         rows = relations.reconciled(hit.select("path", "line"), posted).withColumn("name", F.lit(needle))
         stamps = self.files.select("path", identity.path_handle(F.col("path")).alias("node_id"), identity.span_rev(F.col("content")).alias("rev"))
         rows = rows.join(stamps, "path", "left")
         if c.group_by or c.having:
             return C.applied(rows, c, shape)
         rows = C.filtered(rows, c, shape)
-        rows = C.file_pages(rows, c.limit if c.limit is not None else PAGE, c.offset or 0)
-        return C.paged(rows, Clauses(order_by=c.order_by), shape)
+        page = C.file_pages(rows, c.limit if c.limit is not None else PAGE, c.offset or 0)
+        self.arm(page, "usages", rows)
+        return C.paged(page, Clauses(order_by=c.order_by), shape)
 
     def _find_callees(self, s: Statement) -> DataFrame:
         return self._show_callees(s)
@@ -172,7 +238,7 @@ class Session:
         C.refused(s.clauses, SHAPES["symbol"] if not any(p.field == "text" for p in s.clauses.where) else SHAPES["line"], depth=True, shaping=False)
         row = self.resolved(s.args["of"], s.clauses)
         body = self.files.filter(F.col("path") == row["path"]).select(F.substring("content", row["char_start"] + 1, row["char_end"] - row["char_start"]).alias("body")).first()["body"]
-        folded = folded_body(body, s.clauses.depth or 0)
+        folded = formats.folded(row["language"], body, s.clauses.depth or 0)
         rows = self.spark.createDataFrame([(row["path"], row["line"] + i, t) for i, t in folded], "path string, line int, text string")
         return self._shown(rows, s.clauses, paged=s.clauses.limit is None)
 
@@ -204,8 +270,7 @@ class Session:
 
     def _show_callees(self, s: Statement) -> DataFrame:
         C.refused(s.clauses, SHAPES["callee"], shaping=False)
-        _ = self.symbols
-        rows = index.callees(self._raw).filter(F.col("caller") == s.args["of"]).select("name", "path", "line")
+        rows = index.callees(self.raw).filter(F.col("caller") == s.args["of"]).select("name", "path", "line")
         return self._shown(rows, s.clauses, "callee", ("line", "name", "path"), False)
 
     def _show_lines(self, s: Statement) -> DataFrame:
@@ -234,7 +299,8 @@ class Session:
     def _show_node(self, s: Statement) -> DataFrame:
         handle = s.args["id"]
         if re.fullmatch(r"n[0-9a-f]{12}", handle):
-            return corpus.stamped(corpus.with_paths(self.files)).filter(F.col("node_id") == handle).drop("content")
+            got = corpus.stamped(corpus.with_paths(self.files)).filter(F.col("node_id") == handle).drop("content")
+            return got if not got.isEmpty() else self.directory(handle)
         row, part = self.node(handle)
         if s.args["mode"] == "metadata":
             near = self.symbols.filter((F.col("path") == row["path"]) & F.col("node_id").isNotNull())
@@ -247,13 +313,20 @@ class Session:
         last = row["line"] + part[1] - 1 if part else row["end_line"]
         return self._shown(self._of(row, first, last), s.clauses)
 
+    def directory(self, handle: str) -> DataFrame:
+        """The record of a directory by its handle: what lies below it and the revision of its membership."""
+        found = corpus.directories(corpus.with_paths(self.files)).withColumn("node_id", identity.path_handle(F.col("dir"))).filter(F.col("node_id") == handle)
+        if found.isEmpty():
+            raise QueryError(f"no file or folder {handle}")
+        return found.withColumnRenamed("dir", "path")
+
     def _show_more(self, s: Statement) -> DataFrame:
         """A window of an earlier output, its rows numbered from 1."""
         if s.args["last"] >= len(self.outputs):
             raise QueryError("no such output")
         df = self.outputs[-1 - s.args["last"]]
         keys = [c for c in ("path", "line", "pos") if c in df.columns] or df.columns[:1]
-        rows = df.withColumn("output_line", F.row_number().over(Window.orderBy(*keys)))  # a shown page, not a table
+        rows = numbered(df, [F.asc(k) for k in keys], "output_line")
         kind, n = s.args["window"] or ("all", 0)
         if kind == "head":
             rows = rows.filter(F.col("output_line") <= n)
@@ -269,21 +342,18 @@ class Session:
         of_text = tuple(p for p in s.clauses.where if p.field == "text")
         of_rows = replace(s.clauses, where=tuple(p for p in s.clauses.where if p.field != "text"))
         C.refused(of_rows, SHAPES["diff"])
-        before, after = self.base, self.files
+        versions = self.base, self.version
         if s.args["of"] is not None:
             known = [h for h in self.trees if h.startswith(s.args["of"])]
             if len(known) != 1:
                 raise QueryError(f"no commit {s.args['of']}")
-            before, after = self.trees[known[0]]
-        changed = edits.changed_files(before, after)
-        count = edits.line_changes(corpus.lines(before.join(changed, "path", "left_semi")), corpus.lines(after.join(changed, "path", "left_semi")))
-        rows = changed.join(count, "path", "left").select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "status", F.coalesce("added", F.lit(0)).alias("added"), F.coalesce("removed", F.lit(0)).alias("removed"))
+            versions = self.trees[known[0]]
+        pairs = self.kept(edits.paired(*self.edited(*versions)), "diff")
+        rows = pairs.select("path", "status").join(edits.line_changes(pairs), "path").select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "status", "added", "removed")
         rows = rows.withColumn("changed", F.col("added") + F.col("removed"))
         rows = C.applied(rows, of_rows, SHAPES["diff"])
         if s.args["stat"]:
             return rows
-        old, new = before.withColumnRenamed("content", "a"), after.withColumnRenamed("content", "b")
-        pairs = rows.select("path").join(old, "path", "left").join(new, "path", "left").select("path", "a", "b")
 
         def hunks(parts):
             import pandas as pd
@@ -291,11 +361,20 @@ class Session:
             for p in parts:
                 out = []
                 for path, a, b in zip(p.path, p.a, p.b):
-                    diff = difflib.unified_diff((a or "").splitlines(), (b or "").splitlines(), path, path, lineterm="")
+                    diff = difflib.unified_diff(edits.split_lines(a), edits.split_lines(b), path, path, lineterm="")
                     out += [(path, i, t) for i, t in enumerate(diff, 1)]
                 yield pd.DataFrame(out, columns=["path", "line", "text"])
 
-        return self._shown(pairs.mapInPandas(hunks, "path string, line int, text string"), Clauses(where=of_text), "line", ("path", "line"), False)
+        picked = bounded(pairs.join(rows.select("path"), "path", "left_semi").select("path", "a", "b"))
+        return self._shown(picked.mapInPandas(hunks, "path string, line int, text string"), Clauses(where=of_text), "line", ("path", "line"), False)
+
+    def edited(self, before: Version, after: Version) -> tuple[DataFrame, DataFrame]:
+        """The files of two versions that either of them has edited: all others are the same in both."""
+        paths = [v.dirty.select("path") for v in (before, after) if v.dirty is not None]
+        if not paths:
+            return self.origin.limit(0), self.origin.limit(0)
+        every = paths[0] if len(paths) == 1 else paths[0].unionByName(paths[1]).distinct()
+        return tuple(self.files_of(v).join(every, "path", "left_semi") for v in (before, after))
 
     def _show_commits(self, s: Statement) -> DataFrame:
         C.refused(s.clauses, SHAPES["commit"])
@@ -320,61 +399,88 @@ class Session:
 
     # edits
 
-    def keep(self) -> None:
-        self.undo = [*self.undo, self.files][-UNDO:]
-
-    def apply(self, files: DataFrame) -> DataFrame:
-        """Makes ``files`` the next version; answers with the files that changed."""
-        before = self.files
-        self.keep()
-        self.set_version(files)
-        return edits.changed_files(before, self.files)
+    def apply(self, changed: DataFrame) -> DataFrame:
+        """Makes a next version, with ``changed`` (path, content; null is gone) in place of what was there; answers with the
+        files that differ. Nothing but edited files is written or read again."""
+        before = self.version
+        changed = self.kept(changed.select("path", "content"), "changed")
+        dirty = changed if before.dirty is None else self.kept(relations.shadowed(before.dirty, changed), "dirty")
+        known = before.rows is not None or (before.dirty is None and self._first is not None)
+        after = self.indexed(dirty, changed, self.raw, before.rows) if known else Version(dirty)
+        out = edits.changed_files(self.files.join(changed.select("path"), "path", "left_semi"), changed.filter("content is not null"))
+        self.undo = [*self.undo, before][-UNDO:]
+        self.set_version(after)
+        return out
 
     def gate(self, want: str | None, content: str) -> None:
         have = self.spark.range(1).select(identity.span_rev(F.lit(content))).first()[0]
         if want is not None and want != have:
-            raise QueryError(f"stale revision: {want}, now {have}")
+            raise QueryError(f"stale revision: {want}, now {have}; the node is now {content!r}")
+
+    def file(self, path: str) -> DataFrame:
+        return self.files.filter(F.col("path") == path)
 
     def spliced(self, path: str, start: int, end: int, new: str) -> DataFrame:
-        c = F.col("content")
-        put = F.concat(F.substring(c, 1, start), F.lit(new), F.substring(c, end + 1, 2**30))
-        return self.files.withColumn("content", F.when(F.col("path") == path, put).otherwise(c))
+        return self.file(path).withColumn("content", edits.spliced(F.col("content"), F.lit(start), F.lit(end), F.lit(new)))
 
     def content(self, row: dict) -> str:
         part = F.substring("content", row["char_start"] + 1, row["char_end"] - row["char_start"])
-        return self.files.filter(F.col("path") == row["path"]).select(part).first()[0]
+        return self.file(row["path"]).select(part).first()[0]
+
+    def rows_of(self, *pairs: tuple[str, str | None]) -> DataFrame:
+        return self.spark.createDataFrame(list(pairs), "path string, content string")
 
     def _change_files(self, s: Statement) -> DataFrame:
         paths = [corpus.safe_path(p) for p in s.args["paths"]]
-        mine = F.col("path").isin(*paths)
-        rest, picked = self.files.filter(~mine), self.files.filter(mine)
+        picked = self.files.filter(F.col("path").isin(*paths))
+        if s.args["mode"] == "whole":
+            return self.apply(self.rows_of(*[(p, s.args["new"]) for p in dict.fromkeys(paths)]))
+        if missing := sorted(set(paths) - {r["path"] for r in picked.select("path").collect()}):
+            raise QueryError(f"no file {missing[0]}")
         if s.args["mode"] == "matching":
             done = edits.replaced(picked, s.args["old"], s.args["new"], s.args["word"])
             if done.agg(F.sum("hits")).first()[0] in (None, 0):
                 raise QueryError("nothing matches")
         elif s.args["mode"] == "delete":
-            if picked.isEmpty():
-                raise QueryError(f"no file {paths[0]}")
-            return self.apply(rest)
-        elif s.args["mode"] == "lines":
-            done = edits.joined(edits.lines_changed(corpus.lines(picked), *s.args["span"], s.args["new"].split("\n") if s.args["new"] else [])).select("path", F.concat("body", F.lit("\n")).alias("content"))
+            done = picked.withColumn("content", F.lit(None).cast("string"))
         else:
-            done = self.spark.createDataFrame([(p, s.args["new"]) for p in paths], "path string, content string")
-        return self.apply(rest.unionByName(done.select("path", "content")))
+            first, last = s.args["span"]
+            self.within_lines(picked, first, last)
+            done = picked.withColumn("content", edits.lines_changed(F.col("content"), first, last, s.args["new"]))
+        return self.apply(done)
+
+    def within_lines(self, files: DataFrame, first: int, last: int) -> None:
+        """Refuses a range that some file does not have; line 1 of an empty file is where its first content goes."""
+        if first < 1 or last < first:
+            raise QueryError(f"no lines {first}-{last}")
+        count = F.when(F.col("content") == "", 1).otherwise(F.length("content") - F.length(F.replace("content", F.lit("\n"))) + (~F.col("content").endswith("\n")).cast("int"))
+        short = files.select("path", count.alias("n")).filter(F.col("n") < last).orderBy("path").first()
+        if short:
+            raise QueryError(f"{short['path']} has {short['n']} lines")
 
     def _change_node(self, s: Statement) -> DataFrame:
         if s.args["mode"] not in ("matching", "whole"):
             raise QueryError("a node is changed by MATCHING or WITH its new text")
-        row, _ = self.node(s.args["id"])
+        row, part = self.node(s.args["id"])
+        row = self.part_of(row, part)
         body = self.content(row)
         self.gate(s.args["rev"], body)
         new = s.args["new"]
         if s.args["mode"] == "matching":
-            new = re.sub(rf"\b{re.escape(s.args['old'])}\b", lambda m: s.args["new"], body) if s.args["word"] else body.replace(s.args["old"], s.args["new"])
+            change = edits.replaced_text(F.lit(body), s.args["old"], new, s.args["word"])
+            new = self.spark.range(1).select(change).first()[0]
             if new == body:
                 raise QueryError("nothing matches")
         return self.apply(self.spliced(row["path"], row["char_start"], row["char_end"], new))
 
+    def part_of(self, row: dict, part: tuple[int, int] | None) -> dict:
+        """A node, or some of its lines without the last line end, as a span of characters."""
+        if part is None:
+            return row
+        body = self.content(row).split("\n")
+        start = row["char_start"] + sum(len(x) + 1 for x in body[: part[0] - 1])
+        return {**row, "char_start": start, "char_end": start + len("\n".join(body[part[0] - 1 : part[1]]))}
+
     def _insert_node(self, s: Statement) -> DataFrame:
         row, _ = self.node(s.args["id"])
         self.gate(s.args["rev"], self.content(row))
@@ -384,16 +490,20 @@ class Session:
 
     def _insert_path(self, s: Statement) -> DataFrame:
         path = corpus.safe_path(s.args["path"])
-        if not self.files.filter(F.col("path") == path).isEmpty():
+        if not self.file(path).isEmpty():
             raise QueryError(f"{path} exists")
-        return self.apply(self.files.unionByName(self.spark.createDataFrame([(path, s.args["content"])], "path string, content string")))
+        return self.apply(self.rows_of((path, s.args["content"])))
 
     def _delete_node(self, s: Statement) -> DataFrame:
         if re.fullmatch(r"n[0-9a-f]{12}", s.args["id"]):
-            return self.apply(self.files.filter(identity.path_handle(F.col("path")) != s.args["id"]))
-        row, _ = self.node(s.args["id"])
+            return self.apply(self.files.filter(identity.path_handle(F.col("path")) == s.args["id"]).withColumn("content", F.lit(None).cast("string")))
+        row, part = self.node(s.args["id"])
+        row = self.part_of(row, part)
         self.gate(s.args["rev"], self.content(row))
-        return self.apply(self.spliced(row["path"], row["char_start"], row["char_end"], ""))
+        start, end = row["char_start"], row["char_end"]
+        if row["language"] == "json" and part is None:
+            start, end = trees.json_member_span(self.file(row["path"]).first()["content"], start, end)
+        return self.apply(self.spliced(row["path"], start, end, ""))
 
     def _move_node(self, s: Statement, keep: bool = False) -> DataFrame:
         row, _ = self.node(s.args["id"])
@@ -401,22 +511,16 @@ class Session:
         body = self.content(row)
         self.gate(s.args["rev"], body)
         at = anchor["char_start"] if s.args["side"] == "before" else anchor["char_end"]
-        put = body + "\n" if s.args["side"] == "before" else "\n" + body
-        c, path = F.col("content"), F.col("path")
-        cut = lambda x, a, b, new: F.concat(F.substring(x, 1, a), F.lit(new), F.substring(x, b + 1, 2**30))
-        if row["path"] == anchor["path"] and row["char_start"] < at < row["char_end"]:
+        put = F.lit(body + "\n" if s.args["side"] == "before" else "\n" + body)
+        same, c = row["path"] == anchor["path"], F.col("content")
+        if same and row["char_start"] < at < row["char_end"]:
             raise QueryError("a node cannot move into itself")
-        later_first = row["path"] == anchor["path"] and at <= row["char_start"]
-        inserted = F.when(path == anchor["path"], cut(c, at, at, put)).otherwise(c)
-        files = self.files.withColumn("content", inserted) if not keep and later_first else self.files
-        if not keep:
-            shift = len(put) if later_first else 0
-            files = files.withColumn("content", F.when(path == row["path"], cut(c, row["char_start"] + shift, row["char_end"] + shift, "")).otherwise(c))
-            if later_first:
-                return self.apply(files)
-            back = row["char_end"] - row["char_start"] if row["path"] == anchor["path"] else 0
-            return self.apply(files.withColumn("content", F.when(path == anchor["path"], cut(c, at - back, at - back, put)).otherwise(c)))
-        return self.apply(files.withColumn("content", inserted))
+        insert = lambda x: edits.spliced(x, F.lit(at), F.lit(at), put)
+        cut = lambda x: x if keep else edits.spliced(x, F.lit(row["char_start"]), F.lit(row["char_end"]), F.lit(""))
+        if same:  # the later place first, so that the other one stays where it is
+            return self.apply(self.file(row["path"]).withColumn("content", cut(insert(c)) if at >= row["char_end"] else insert(cut(c))))
+        files = self.files.filter(F.col("path").isin(row["path"], anchor["path"]))
+        return self.apply(files.withColumn("content", F.when(F.col("path") == anchor["path"], insert(c)).otherwise(cut(c))))
 
     def _copy_node(self, s: Statement) -> DataFrame:
         return self._move_node(s, True)
@@ -425,16 +529,18 @@ class Session:
         """A file to another path, or a symbol to the end of a file."""
         target = corpus.safe_path(s.args["to"])
         if re.fullmatch(r"n[0-9a-f]{12}", s.args["id"]):
-            mine = identity.path_handle(F.col("path")) == s.args["id"]
-            moved = self.files.filter(mine).withColumn("path", F.lit(target))
-            return self.apply((self.files if keep else self.files.filter(~mine)).unionByName(moved))
+            mine = self.files.filter(identity.path_handle(F.col("path")) == s.args["id"])
+            moved = mine.withColumn("path", F.lit(target))
+            gone = mine.filter(F.col("path") != target).withColumn("content", F.lit(None).cast("string"))
+            return self.apply(moved if keep else moved.unionByName(gone))
         row, _ = self.node(s.args["id"])
         body = self.content(row)
         self.gate(s.args["rev"], body)
-        files = self.files if keep else self.spliced(row["path"], row["char_start"], row["char_end"], "")
-        if self.files.filter(F.col("path") == target).isEmpty():
-            return self.apply(files.unionByName(self.spark.createDataFrame([(target, body + "\n")], "path string, content string")))
-        return self.apply(files.withColumn("content", F.when(F.col("path") == target, F.concat("content", F.lit("\n" + body + "\n"))).otherwise(F.col("content"))))
+        c, path = F.col("content"), F.col("path")
+        cut = lambda x: x if keep else edits.spliced(x, F.lit(row["char_start"]), F.lit(row["char_end"]), F.lit(""))
+        files = self.files.filter(path.isin(row["path"], target))
+        there = files.withColumn("content", F.when(path == row["path"], cut(c)).otherwise(c)).withColumn("content", F.when(path == target, F.concat(c, F.lit("\n" + body + "\n"))).otherwise(c))
+        return self.apply(there.unionByName(self.rows_of((target, body + "\n"))) if self.file(target).isEmpty() else there)
 
     def _copy_node_to(self, s: Statement) -> DataFrame:
         return self._move_node_to(s, True)
@@ -443,72 +549,112 @@ class Session:
         first, last = s.args["span"]
         after = None if s.args["line"] is None else s.args["line"] - 1
         a, b = corpus.safe_path(s.args["of"]), corpus.safe_path(s.args["to"])
-        mine = F.col("path").isin(a, b)
-        moved = edits.joined(edits.lines_moved(corpus.lines(self.files.filter(mine)), a, first, last, b, after, keep))
-        return self.apply(self.files.filter(~mine).unionByName(moved.select("path", F.concat("body", F.lit("\n")).alias("content"))))
+        for path in (a, b):
+            if self.file(path).isEmpty():
+                raise QueryError(f"no file {path}")
+        self.within_lines(self.file(a), first, last)
+        block = self.file(a).select(edits.lines_of(F.col("content"), first, last)).first()[0]
+        return self.apply(edits.lines_moved(self.files.filter(F.col("path").isin(a, b)), a, first, last, block, b, after, keep))
 
     def _move_lines(self, s: Statement) -> DataFrame:
         return self._copy_lines(s, False)
 
     # found sets
 
-    def arm(self, rows: DataFrame) -> None:
-        """Remembers what a FIND answered with; its digest is computed when an edit names it."""
-        self.found = (rows, "")
+    def arm(self, rows: DataFrame, of: str, whole: DataFrame) -> None:
+        """Remembers what a FIND answered with; ``whole`` is its result without a page. Its digest is computed when asked for."""
+        self.found = Found(rows, of, whole) if "path" in rows.columns and "count" not in rows.columns else None
 
-    def found_paths(self, rev: str | None) -> DataFrame:
+    def found_set(self, rev: str | None) -> Found:
         if self.found is None:
             raise QueryError("no FIND to act on, or the corpus changed since")
-        paths = self.found[0].select("path").distinct()
-        have = self.master_rev()
-        if rev is not None and rev != have:
-            raise QueryError(f"stale set: {rev}, now {have}")
-        return paths
+        if self.found.rows.count() < self.found.whole.count():
+            raise QueryError("the last FIND showed a part of its result: ask again with a LIMIT that covers it")
+        have = self.master_rev() if rev is not None else None
+        if rev != have:
+            raise QueryError(f"stale set: {rev}; find it again")
+        return self.found
+
+    def spans(self) -> DataFrame:
+        """(path, node_id, start, end) of what was found: whole files, the spans of nodes, or the lines of the others."""
+        rows = self.found.rows
+        if self.found.of == "files":
+            return self.files.join(rows.select("path"), "path", "left_semi").select("path", identity.path_handle(F.col("path")).alias("node_id"), F.lit(0).alias("start"), F.length("content").alias("end"))
+        before = F.expr("length(substring_index(content, '\n', line - 1))")
+        start = F.when(F.col("line") == 1, 0).otherwise(before + 1)
+        end = F.least(F.length("content"), F.expr("length(substring_index(content, '\n', line))") + 1)
+        if self.found.of == "usages":
+            lines = rows.select("path", "line").distinct()
+            return self.files.join(lines, "path").select("path", F.concat(identity.path_handle(F.col("path")), F.lit(":"), "line").alias("node_id"), start.alias("start"), end.alias("end"))
+        nodes = rows.filter("node_id is not null").select("path", "node_id", F.col("char_start").alias("start"), F.col("char_end").alias("end"))
+        others = rows.filter("node_id is null").select("path", F.concat("path", F.lit(":"), F.col("char_start").cast("string")).alias("node_id"), F.col("char_start").alias("start"), F.col("char_end").alias("end"))
+        return nodes.unionByName(others)
 
     def master_rev(self) -> str:
-        rows = self.found[0].select("path").distinct().join(corpus.stamped(corpus.with_paths(self.files)), "path").select("node_id", "rev", "path")
-        return identity.master_rev(rows, "node_id", "rev", "path").first()["master_rev"]
+        """One digest over the handles and texts of a found set, whose rows are a page."""
+        text_ = F.expr("substring(content, start + 1, end - start)")
+        rows = self.spans().join(self.files, "path").select("node_id", identity.span_rev(text_).alias("rev"))
+        return identity.master_rev(rows, "node_id", "rev", "node_id").first()["master_rev"]
 
     def _change_found(self, s: Statement) -> DataFrame:
         if s.args["mode"] != "matching":
             raise QueryError("a set is changed by MATCHING")
-        paths = self.found_paths(s.args["rev"])
-        picked = edits.replaced(self.files.join(paths, "path", "left_semi"), s.args["old"], s.args["new"], s.args["word"])
-        return self.apply(self.files.join(paths, "path", "left_anti").unionByName(picked.select("path", "content")))
+        self.found_set(s.args["rev"])
+        return self.apply(edits.spans_changed(self.files, self.spans(), lambda x: edits.replaced_text(x, s.args["old"], s.args["new"], s.args["word"])))
 
     def _delete_found(self, s: Statement) -> DataFrame:
-        return self.apply(self.files.join(self.found_paths(s.args["rev"]), "path", "left_anti"))
+        """Found files go; found nodes and lines go out of their files."""
+        found = self.found_set(s.args["rev"])
+        if found.of == "files":
+            return self.apply(found.rows.select("path", F.lit(None).cast("string").alias("content")))
+        return self.apply(edits.spans_changed(self.files, self.spans(), lambda x: F.lit("")))
 
     def _move_found(self, s: Statement, keep: bool = False) -> DataFrame:
+        """Found files go into a folder; the texts of found nodes, in order, to the end of a file."""
         to = corpus.safe_path(s.args["to"])
-        paths = self.found_paths(s.args["rev"])
-        moved = self.files.join(paths, "path", "left_semi").withColumn("path", F.concat(F.lit(to + "/"), F.element_at(F.split("path", "/"), -1)))
-        return self.apply((self.files if keep else self.files.join(paths, "path", "left_anti")).unionByName(moved.select("path", "content")))
+        found = self.found_set(s.args["rev"])
+        if found.of == "files":
+            picked = self.files.join(found.rows.select("path"), "path", "left_semi")
+            moved = picked.withColumn("path", F.concat(F.lit(to + "/"), F.element_at(F.split("path", "/"), -1)))
+            gone = picked.join(moved.select("path"), "path", "left_anti").withColumn("content", F.lit(None).cast("string"))
+            return self.apply(moved if keep else moved.unionByName(gone))
+        spans = edits.disjoint(self.spans())
+        if not spans.filter(F.col("path") == to).isEmpty():
+            raise QueryError(f"{to} holds what was found")
+        parts = F.array_sort(F.collect_list(F.struct("path", "start", F.expr("substring(content, start + 1, end - start)").alias("text"))))
+        block = spans.join(self.files, "path").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n")).first()[0] + "\n"  # a page of nodes
+        there = self.file(to).withColumn("content", edits.lines_inserted(F.col("content"), F.lit(block), None))
+        put = self.rows_of((to, block)) if self.file(to).isEmpty() else there
+        return self.apply(put if keep else put.unionByName(edits.spans_changed(self.files, spans, lambda x: F.lit(""))))
 
     def _copy_found(self, s: Statement) -> DataFrame:
         return self._move_found(s, True)
 
     # history
 
+    def back_to(self, target: Version) -> DataFrame:
+        before = self.version
+        self.set_version(target)
+        return edits.changed_files(*self.edited(before, target))
+
     def _undo(self, s: Statement) -> DataFrame:
         n = s.args["last"] + 1
         if n > len(self.undo):
             raise QueryError("nothing to undo")
-        before, target = self.files, self.undo[-n]
+        target = self.undo[-n]
         self.undo = self.undo[:-n]
-        self.set_version(target)
-        return edits.changed_files(before, self.files)
+        return self.back_to(target)
 
     def _begin(self, s: Statement) -> DataFrame:
-        self.marks.append((s.args["name"], self.files))
+        self.marks.append((s.args["name"], self.version))
         return self._one(transaction=s.args["name"])
 
     def _commit(self, s: Statement) -> DataFrame:
         rows = corpus.stamped(corpus.with_paths(self.files)).select("node_id", "rev", "path")
         rev = rows.agg(F.sha2(F.bit_xor(F.xxhash64("node_id", "rev")).cast("string"), 256).alias("r")).first()["r"]
         self.commits.insert(0, (rev, s.args["message"]))
-        self.trees[rev] = (self.base, self.files)
-        self.marks, self.base = [], self.files
+        self.trees[rev] = (self.base, self.version)
+        self.marks, self.base = [], self.version
         return self._one(hash=rev, subject=s.args["message"])
 
     def _rollback(self, s: Statement) -> DataFrame:
@@ -516,29 +662,6 @@ class Session:
         at = next((i for i in range(len(self.marks) - 1, -1, -1) if want in (None, self.marks[i][0])), None)
         if at is None:
             raise QueryError("no such transaction")
-        before, target = self.files, self.marks[at][1]
+        target = self.marks[at][1]
         self.marks = self.marks[:at]
-        self.set_version(target)
-        return edits.changed_files(before, self.files)
-
-
-def folded_body(body: str, depth: int) -> list[tuple[int, str]]:
-    """(line offset, text) of a body whose blocks deeper than ``depth`` are folded to ``{ }``; 0 leaves the signature."""
-    out, level, line, started = [""], 0, 0, [0]
-    for c in body:
-        if c == "{":
-            level += 1
-            if level == depth + 1:
-                out[-1] += "{ }"
-        if level <= depth:
-            if c == "\n":
-                out.append("")
-                started.append(line + 1)
-            else:
-                out[-1] += c
-        line += c == "\n"
-        if c == "}":
-            level -= 1
-    if "{" not in body and depth == 0:
-        return [(0, body.split("\n")[0])]
-    return list(zip(started, out))
+        return self.back_to(target)

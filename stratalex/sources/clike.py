@@ -24,6 +24,7 @@ _LEX = re.compile(
 )
 _CONTROL = {"if", "while", "for", "switch", "do", "match", "loop", "else", "return", "sizeof", "catch", "case"}
 _TYPES = {"struct": "struct", "class": "class", "union": "struct", "enum": "enum", "trait": "interface", "impl": "class", "namespace": "namespace", "mod": "namespace"}
+# fixed values: the words that modify a declaration
 _MODIFIERS = ("const", "static", "inline", "extern", "volatile", "virtual", "mutable", "constexpr", "explicit", "override", "final", "unsafe", "async", "pub", "mut")
 _COMPOUND = {"+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>="}
 _CAST = re.compile(r"\b(static|dynamic|const|reinterpret)_cast\s*<([^<>]*)>")
@@ -80,17 +81,34 @@ class Reader:
         return bisect_right(self.starts, at)
 
     def matched(self) -> dict[int, int]:
+        """Places of opening brackets with those of the closing ones; ``odd`` collects what has no partner."""
         pairs, out, stack = {"(": ")", "{": "}", "[": "]"}, {}, []
+        self.odd: list[int] = []
         for i, t in enumerate(self.code):
             if t.kind == "op" and t.text in pairs:
                 stack.append(i)
             elif t.kind == "op" and t.text in pairs.values():
-                while stack and pairs[self.code[stack[-1]].text] != t.text:
-                    stack.pop()
-                if stack:
-                    out[stack.pop()] = i
+                at = next((k for k in range(len(stack) - 1, -1, -1) if pairs[self.code[stack[k]].text] == t.text), None)
+                if at is None:
+                    self.odd.append(i)
+                else:
+                    self.odd += stack[at + 1 :]
+                    out[stack[at]] = i
+                    del stack[at:]
+        self.odd += stack
         return out
 
+    def errors(self) -> None:
+        """A row for each bracket without a partner: from an opening one to the end of its line, else the bracket."""
+        for i in self.odd:
+            t = self.code[i]
+            end = self.text.find("\n", t.at) if t.text in "({[" else t.end
+            end = len(self.text) if end < 0 else end
+            owner = min((k for k, r in enumerate(self.rows) if r.name and r.start <= t.at and end <= r.end), key=lambda k: self.rows[k].end - self.rows[k].start, default=-1)
+            text = self.text[t.at : end]
+            name = text if len(text) <= 60 else text[:60] + "…"
+            self.rows.append(Row(name, "error", t.at, end, t.line, t.line, owner, {"error_scope": "nested" if owner >= 0 else "file"}))
+
     def add(self, name: str, kind: str, a: int, b: int, parent: int = -1, **fields: str) -> int:
         """A row from code token ``a`` to ``b``."""
         x, y = self.code[a], self.code[min(b, len(self.code) - 1)]
@@ -102,6 +120,7 @@ class Reader:
         self.preprocessor()
         self.comments()
         self.guards()
+        self.errors()
         order = sorted(range(len(self.rows)), key=lambda i: (self.rows[i].start, -self.rows[i].end))
         place = {old: new for new, old in enumerate(order)}
         for r in self.rows:
@@ -189,6 +208,7 @@ class Reader:
         if not code:
             return
         words = [t.text for t in code]
+        self.outside(a, b, parent)
         if words[0] in ("use", "import", "using") and "=" not in words:
             self.add("".join(words[1:]), "import", a, b, parent)
         elif words[0] in ("typedef", "type") or (words[0] == "using" and "=" in words):
@@ -228,6 +248,17 @@ class Reader:
                     if w in words:
                         f[modifier(w)] = "true"
 
+    def outside(self, a: int, b: int, parent: int) -> None:
+        """Numbers and calls of a declaration outside functions: a call stands behind ``=``, or is all there is."""
+        code, value = self.code, False
+        for i in range(a, min(b, len(code) - 1)):
+            value |= code[i].text in ("=", "{")
+            if code[i].kind == "number":
+                self.number(i, parent)
+            elif code[i].kind == "name" and code[i + 1].text == "(" and i + 1 in self.close and code[i].text not in _CONTROL and (value or (i == a and self.close[i + 1] >= b - 1)):
+                called = self.arguments(i + 1)
+                self.add(code[i].text.rstrip("!"), "macro_call" if code[i].text.endswith("!") else "call", i, self.close[i + 1], parent, arguments="\x1f".join(called), argument_count=str(len(called)))
+
     def member(self, parent: int, method: str = "") -> dict[str, str]:
         """What a field or a declared method says about the type around it."""
         if parent < 0:
@@ -548,12 +579,34 @@ class Reader:
         return [*out, last] if out or last else []
 
     def number(self, i: int, parent: int) -> None:
-        t = self.code[i]
-        negative = self.code[i - 1].text == "-" and self.code[i - 2].kind not in ("name", "number") and self.code[i - 2].text != ")"
-        constant = self.code[i - 1].text == "=" and any(x.text in ("const", "constexpr") for x in self.code[self.statement_start(i) : i])
-        at = self.add(t.text, "number", i, i, parent, num_sign="negative" if negative else "positive", is_magic="false" if constant else "true")
+        code, t = self.code, self.code[i]
+        before = lambda k: code[i - k].text if i >= k else ""
+        negative = before(1) == "-" and (i < 2 or (code[i - 2].kind not in ("name", "number") and before(2) != ")"))
+        at = self.add(t.text, "number", i, i, parent, num_sign="negative" if negative else "positive", is_magic="false" if self.names_constant(i - negative) or self.first_place(i) else "true")
         self.rows[at].fields["has_separator"] = "true" if re.search("[_']", t.text) else "false"
 
+    def names_constant(self, i: int) -> bool:
+        """Whether the literal at ``i`` is all that a declaration or an enumerator of C or C++ is set to."""
+        code = self.code
+        after = next((x.text for x in code[i + 1 : i + 3] if x.kind != "number"), ";")
+        if self.language == "rust" or i < 2 or code[i - 1].text != "=" or after not in (";", ",", "}"):
+            return False
+        start = self.statement_start(i)
+        head = code[start : i - 1]
+        words = [x.text for x in head]
+        enumerator = len(head) == 1 or (len(head) > 1 and words[-2] == "," and start > 0 and code[start - 1].text == "{")
+        if enumerator:
+            owner = [x.text for x in code[self.statement_start(start - 1) : start]] if start else []
+            return "enum" in owner
+        return len([x for x in head if x.kind == "name"]) > 1 and words[0] not in ("return", "case", "goto") and not {".", "->"} & set(words)
+
+    def first_place(self, i: int) -> bool:
+        """Zero as a subscript."""
+        code = self.code
+        if i < 2 or i + 1 >= len(code) or code[i - 1].text != "[" or code[i + 1].text != "]" or not re.fullmatch(r"0[xXbB]?0*", code[i].text):
+            return False
+        return (code[i - 2].kind == "name" and code[i - 2].text not in _CONTROL) or code[i - 2].text in (")", "]")
+
     def preprocessor(self) -> None:
         for t in self.all:
             if t.kind != "pre":

@@ -81,11 +81,11 @@ def stamped(files: DataFrame) -> DataFrame:
 
 
 def directories(files: DataFrame) -> DataFrame:
-    """Every ancestor directory with the size and number of the files below it."""
+    """Every ancestor directory with the size and number of the files below it, and the revision of its membership."""
     parts = F.split("path", "/")
     each = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")))
     deep = files.filter(F.size(parts) > 1)
-    return deep.select(each.alias("dir"), "size").groupBy("dir").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("files"))
+    return deep.select(each.alias("dir"), "path", "size").groupBy("dir").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("files"), identity.dir_rev(F.col("path")).alias("rev"))
 
 
 def collapsed(files: DataFrame, depth: int) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import ast
-import json
+import io
 import re
+import tokenize
 from collections.abc import Callable
 
-from .clike import _TODO, Reader, Row
+from . import trees
+from .clike import _TODO, Reader, Row, lexed
 
 LANGUAGES = {
     "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "rs": "rust", "py": "python", "json": "json", "yaml": "yaml", "yml": "yaml",
@@ -28,10 +30,19 @@ class Lines:
         self.text = text
         self.start = [0, *(m.end() for m in re.finditer("\n", text))]
 
+    def end(self, line: int) -> int:
+        """Where a line ends, before its line end."""
+        return self.start[line] - 1 if line < len(self.start) else len(self.text)
+
+    def until(self, row: Row, last: int) -> None:
+        """Moves the end of a row to that of the last line up to ``last`` that is not blank."""
+        while last > row.line and not self.text[self.start[last - 1] : self.end(last)].strip():
+            last -= 1
+        row.end_line, row.end = last, self.end(last)
+
     def row(self, name: str, kind: str, first: int, last: int, parent: int = -1, **fields: str) -> Row:
         last = max(first, min(last, len(self.start)))
-        end = self.start[last] - 1 if last < len(self.start) else len(self.text)
-        return Row(name, kind, self.start[first - 1], end, first, last, parent, fields)
+        return Row(name, kind, self.start[first - 1], self.end(last), first, last, parent, fields)
 
 
 def python(text: str) -> list[Row]:
@@ -73,7 +84,12 @@ def python(text: str) -> list[Row]:
                 rows.append(lines.row(ast.unparse(child.target), "for", child.lineno, child.end_lineno, parent, for_style="range"))
             elif isinstance(child, ast.Constant) and isinstance(child.value, (int, float)) and not isinstance(child.value, bool):
                 raw = ast.get_source_segment(text, child) or str(child.value)
-                rows.append(lines.row(raw, "number", child.lineno, child.end_lineno, parent, is_magic="true"))
+                index = isinstance(node, ast.Subscript) and child is node.slice and child.value == 0
+                negative = isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub)
+                at_line = lines.start[child.lineno - 1]
+                start = at_line + len(text[at_line : lines.end(child.lineno)].encode()[: child.col_offset].decode())
+                fields = {"is_magic": "false" if index else "true", "num_sign": "negative" if negative else "positive", "has_separator": "true" if "_" in raw else "false"}
+                rows.append(Row(raw, "number", start, start + len(raw), child.lineno, child.end_lineno, parent, fields))
             visit(child, at, inner, local)
 
     def function(node, owner: str) -> dict[str, str]:
@@ -101,10 +117,17 @@ def python(text: str) -> list[Row]:
         return f
 
     visit(tree, -1, "", False)
-    for n, line in enumerate(text.split("\n"), 1):
-        if m := re.search(r"(?:^|\s)(#.*)$", line):
-            rows.append(lines.row(m[1][:60], "comment", n, n, -1, comment_style="line"))
-    tags = [(n, m[1].upper()) for n, line in enumerate(text.split("\n"), 1) for m in _TODO.finditer(line.partition("#")[2])]
+    tags = []
+    for token in comment_tokens(text):
+        n, at = token.start
+        start = lines.start[n - 1] + at
+        rows.append(Row(token.string[:60], "comment", start, start + len(token.string), n, n, -1, {"comment_style": "line"}))
+        tags += [(n, m[1].upper()) for m in _TODO.finditer(token.string)]
+    order = sorted(range(len(rows)), key=lambda i: (rows[i].start, -rows[i].end))
+    place = {old: new for new, old in enumerate(order)}
+    for r in rows:
+        r.parent = place.get(r.parent, -1)
+    rows = [rows[i] for i in order]
     for r in rows:
         mine = [t for n, t in tags if r.fql_kind == "function" and r.line <= n <= r.end_line]
         if mine:
@@ -112,60 +135,70 @@ def python(text: str) -> list[Row]:
     return rows
 
 
-def data_tree(value, lines: Lines, where: Callable[[str, int], int]) -> list[Row]:
-    rows: list[Row] = []
-
-    def walk(v, path: str, name: str, parent: int, at: int) -> None:
-        line = where(name, at)
-        kind = "object" if isinstance(v, dict) else "array" if isinstance(v, list) else "pair"
-        fields = {"key_path": path}
-        if kind == "pair":
-            fields["value"] = v if isinstance(v, str) else json.dumps(v, default=str)
-        rows.append(lines.row(name, kind, line, line, parent, **fields))
-        me = len(rows) - 1
-        for k, x in v.items() if isinstance(v, dict) else enumerate(v) if isinstance(v, list) else ():
-            walk(x, f"{path}.{k}" if path else str(k), str(k), me, line)
-
-    for k, x in value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ():
-        walk(x, str(k), str(k), -1, 1)
-    return rows
-
-
-def _finder(text: str) -> Callable[[str, int], int]:
-    split = text.split("\n")
-
-    def where(name: str, at: int) -> int:
-        pattern = re.compile(rf'(^|[\s"\'{{,\[.])({re.escape(name)})["\'\]]*\s*[:=\]]')
-        for n in range(at, len(split) + 1):
-            if pattern.search(split[n - 1]):
-                return n
-        return at
-
-    return where
-
-
-def parsed(load: Callable[[str], object]) -> Callable[[str], list[Row]]:
-    def read(text: str) -> list[Row]:
-        lines = Lines(text)
-        try:
-            value = load(text)
-        except Exception:
-            return [lines.row("", "error", 1, len(lines.start), -1, error_scope="root")]
-        return data_tree(value, lines, _finder(text))
-
-    return read
-
-
-def _yaml(text: str):
-    import yaml
-
-    return yaml.safe_load(text)
-
-
-def _toml(text: str):
-    import tomllib
-
-    return tomllib.loads(text)
+def comment_tokens(text: str) -> list[tokenize.TokenInfo]:
+    """The comments of a Python text; a ``#`` inside a string is none."""
+    out = []
+    try:
+        out += (t for t in tokenize.generate_tokens(io.StringIO(text).readline) if t.type == tokenize.COMMENT)
+    except (tokenize.TokenError, IndentationError):
+        pass
+    return out
+
+
+def folded(language: str, body: str, depth: int) -> list[tuple[int, str]]:
+    """(line offset, text) of a body whose blocks nested deeper than ``depth`` are folded; 0 leaves the head."""
+    return folded_blocks(body, depth) if language == "python" else folded_braces(body, depth)
+
+
+def folded_braces(body: str, depth: int) -> list[tuple[int, str]]:
+    """Blocks between braces become ``{ }``. Braces in strings, characters and comments are none."""
+    marks = {t.at: t.text for t in lexed(body) if t.kind == "op" and t.text in "{}"}
+    if not marks and depth == 0:
+        return [(0, body.split("\n")[0])]
+    out, level, line, started = [""], 0, 0, [0]
+    for i, c in enumerate(body):
+        mark = marks.get(i)
+        if mark == "{":
+            level += 1
+            if level == depth + 1:
+                out[-1] += "{ }"
+        if level <= depth:
+            if c == "\n":
+                out.append("")
+                started.append(line + 1)
+            else:
+                out[-1] += c
+        line += c == "\n"
+        if mark == "}":
+            level = max(0, level - 1)
+    return list(zip(started, out))
+
+
+def folded_blocks(body: str, depth: int) -> list[tuple[int, str]]:
+    """Indented blocks become ``...`` behind the line that opens them; lines that go on in a string or in brackets belong to
+    their statement."""
+    lines = body.split("\n")
+    level_of, level, strip = {}, 0, len(lines[0]) - len(lines[0].lstrip())
+    plain = "\n".join(x[strip:] if x[:strip].isspace() else x for x in lines)
+    try:
+        for t in tokenize.generate_tokens(io.StringIO(plain).readline):
+            level += (t.type == tokenize.INDENT) - (t.type == tokenize.DEDENT)
+            if t.type not in (tokenize.NL, tokenize.COMMENT, tokenize.INDENT, tokenize.DEDENT, tokenize.NEWLINE, tokenize.ENDMARKER):
+                for n in range(t.start[0], t.end[0] + 1):
+                    level_of.setdefault(n, level)
+    except (tokenize.TokenError, IndentationError):
+        pass
+    out: list[tuple[int, str]] = []
+    now = 0
+    for i, text in enumerate(lines):
+        # a blank line or a comment stands where the next statement does
+        after = next((level_of[n] for n in range(i + 1, min(len(lines), i + 50) + 1) if n in level_of), now)
+        now = level_of.get(i + 1, after)
+        if now <= depth:
+            out.append((i, text))
+        elif out and not out[-1][1].endswith(" ..."):
+            out[-1] = (out[-1][0], out[-1][1] + " ...")
+    return out
 
 
 def xml(text: str) -> list[Row]:
@@ -216,11 +249,11 @@ def by_lines(rules: list[tuple[str, str]], sections: str | None = None) -> Calla
                     rows.append(lines.row((groups.get("name") or "").strip()[:120], kind, n, n, -1 if kind == sections else section, **fields))
                     if kind == sections:
                         if section >= 0:
-                            rows[section].end_line = n - 1
+                            lines.until(rows[section], n - 1)
                         section = len(rows) - 1
                     break
         if section >= 0:
-            rows[section].end_line = len(lines.start)
+            lines.until(rows[section], len(lines.start))
         return rows
 
     return read
@@ -239,8 +272,8 @@ def markdown(text: str) -> list[Row]:
         elif m := re.match(r"^(#{1,6})\s+(.*?)\s*#*$", line):
             level = len(m[1])
             while open_ and open_[-1][0] >= level:
-                rows[open_.pop()[1]].end_line = n - 1
-            rows.append(lines.row(m[2], "section", n, len(body), open_[-1][1] if open_ else -1, level=str(level)))
+                lines.until(rows[open_.pop()[1]], n - 1)
+            rows.append(lines.row(m[2], "section", n, n, open_[-1][1] if open_ else -1, level=str(level)))
             open_.append((level, len(rows) - 1))
             rows.append(lines.row(m[2], "heading", n, n, len(rows) - 1, level=str(level)))
         elif re.match(r"^\s*\|.*\|\s*$", line):
@@ -260,22 +293,34 @@ def markdown(text: str) -> list[Row]:
             rows.append(lines.row(line.strip()[:60], "paragraph", n, end, open_[-1][1] if open_ else -1))
             n = end
         n += 1
+    for _, at in open_:
+        lines.until(rows[at], len(body))
     return rows
 
 
 def rst(text: str) -> list[Row]:
-    lines, rows, body = Lines(text), [], text.split("\n")
-    for n in range(2, len(body) + 1):
-        title, rule = body[n - 2], body[n - 1]
-        if title.strip() and re.fullmatch(r"([=\-~^\"'#*+])\1+", rule) and len(rule) >= len(title.rstrip()):
-            for r in rows:
-                if r.fql_kind == "section" and r.end_line == len(body):
-                    r.end_line = n - 2
-            rows.append(lines.row(title.strip(), "section", n - 1, len(body), -1, adornment=rule[0]))
-            rows.append(lines.row(title.strip(), "heading", n - 1, n, len(rows) - 1))
-    for n, line in enumerate(body, 1):
-        if m := re.match(r"^\.\. (?:code-block|code)::\s*(\S*)", line):
-            rows.append(lines.row(m[1] or "code", "code_block", n, n))
+    """Sections by the order in which their adornments come, with their headings; code blocks with their indented lines."""
+    lines, rows, body, levels, open_ = Lines(text), [], text.split("\n"), [], []
+    for n in range(1, len(body) + 1):
+        line = body[n - 1]
+        if m := re.match(r"^(\s*)\.\. (?:code-block|code)::\s*(\S*)", line):
+            end = n
+            while end < len(body) and (not body[end].strip() or re.match(rf"{m[1]}\s", body[end])):
+                end += 1
+            rows.append(lines.row(m[2] or "code", "code_block", n, n, open_[-1][1] if open_ else -1))
+            lines.until(rows[-1], end)
+        rule = body[n] if n < len(body) else ""
+        if line.strip() and re.fullmatch(r"([=\-~^\"'#*+])\1+", rule) and len(rule) >= len(line.rstrip()):
+            if rule[0] not in levels:
+                levels.append(rule[0])
+            level = levels.index(rule[0])
+            while open_ and open_[-1][0] >= level:
+                lines.until(rows[open_.pop()[1]], n - 1)
+            rows.append(lines.row(line.strip(), "section", n, n + 1, open_[-1][1] if open_ else -1, adornment=rule[0]))
+            open_.append((level, len(rows) - 1))
+            rows.append(lines.row(line.strip(), "heading", n, n + 1, len(rows) - 1))
+    for _, at in open_:
+        lines.until(rows[at], len(body))
     return rows
 
 
@@ -284,9 +329,9 @@ READERS: dict[str, Callable[[str], list[Row]]] = {
     "cpp": lambda t: Reader(t, "cpp").scan(),
     "rust": lambda t: Reader(t, "rust").scan(),
     "python": python,
-    "json": parsed(json.loads),
-    "yaml": parsed(_yaml),
-    "toml": parsed(_toml),
+    "json": trees.json_rows,
+    "yaml": trees.yaml_rows,
+    "toml": trees.toml_rows,
     "xml": xml,
     "ini": by_lines([("comment", r"^\s*[;#](?P<name>.*)"), ("object", r"^\s*\[(?P<name>[^\]]+)\]"), ("pair", r"^\s*(?P<name>[^=:\s][^=:]*?)\s*[=:]\s*(?P<value>.*)")], "object"),
     "dbc": by_lines([("object", r"^BO_ \d+ (?P<name>\w+)\s*:"), ("field", r"^\s+SG_ (?P<name>\w+)[^:]*:\s*(?P<value>\S+)"), ("enum", r"^VAL_ \d+ (?P<name>\w+)\s+(?P<value>.*);")], "object"),

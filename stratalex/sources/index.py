@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity, text
-from ..operators import relations
-from . import formats
+from ..operators import edits, relations
+from ..store import bounded
+from . import corpus, formats
 
-RAW = "path string, language string, pos int, name string, fql_kind string, line int, end_line int, byte_start int, byte_end int, char_start int, char_end int, parent_pos int, ordinal int, fields map<string,string>"
+RAW = "path string, language string, pos int, name string, fql_kind string, line int, end_line int, byte_start int, byte_end int, char_start int, char_end int, parent_pos int, ordinal int, first boolean, fields map<string,string>"
 ADDRESSABLE = ("function", "class", "struct", "interface", "enum", "field", "variable", "macro", "type_alias", "namespace", "import", "object", "array", "pair", "section", "heading", "paragraph", "table", "code_block", "list_item", "block_quote", "call_statement", "macro_call", "comment_block", "include_block", "import_block", "macro_block", "type_alias_block", "array_block", "if", "while", "for", "switch", "do")
 
 
@@ -81,37 +82,89 @@ def byte_offsets(content: str) -> Callable[[int], int]:
     return lambda i: int(upto[i])
 
 
+def rows_of_file(path: str, content: str) -> pd.DataFrame:
+    """The rows of one file in the columns of RAW. ``first`` marks the first row of a name and kind in a line."""
+    language, rows = formats.read(path, content)
+    rows = with_blocks(language, rows, content)
+    at, out, ordinals, seen = byte_offsets(content), [], [], set()
+    for r in rows:
+        ordinals.append((ordinals[-1] if ordinals else 0) + (r.fql_kind in ADDRESSABLE))
+    for i, r in enumerate(rows):
+        piece = content[r.start : r.end].encode("utf-8", "replace")
+        if r.fql_kind != "call":
+            r.fields["content_hash"] = sha256(piece).hexdigest()[:16]
+        if r.fql_kind == "error":
+            r.fields["error_bytes"] = str(len(piece))
+        if "block_ord" in r.fields:
+            r.fields["block_ord"] = f"{ordinals[int(r.fields['block_ord'])]:04d}"
+        number = ordinals[i] if r.fql_kind in ADDRESSABLE else None
+        first = (r.name, r.fql_kind, r.line) not in seen
+        seen.add((r.name, r.fql_kind, r.line))
+        out.append((path, language, i, r.name, r.fql_kind, r.line, r.end_line, at(r.start), at(r.end), r.start, r.end, r.parent, number, first, r.fields))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in RAW.split(", ")]).astype({"ordinal": "Int32"})
+
+
 def raw_symbols(files: DataFrame) -> DataFrame:
     """Rows of every file (path, content); files are independent, so nothing is shuffled."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             for path, content in zip(p.path, p.content):
-                content = content or ""
-                language, rows = formats.read(path, content)
-                rows = with_blocks(language, rows, content)
-                at, out, ordinals = byte_offsets(content), [], []
-                for r in rows:
-                    ordinals.append((ordinals[-1] if ordinals else 0) + (r.fql_kind in ADDRESSABLE))
-                for i, r in enumerate(rows):
-                    piece = content[r.start : r.end].encode("utf-8", "replace")
-                    if r.fql_kind != "call":
-                        r.fields["content_hash"] = sha256(piece).hexdigest()[:16]
-                    if r.fql_kind == "error":
-                        r.fields["error_bytes"] = str(len(piece))
-                    if "block_ord" in r.fields:
-                        r.fields["block_ord"] = f"{ordinals[int(r.fields['block_ord'])]:04d}"
-                    number = ordinals[i] if r.fql_kind in ADDRESSABLE else None
-                    out.append((path, language, i, r.name, r.fql_kind, r.line, r.end_line, at(r.start), at(r.end), r.start, r.end, r.parent, number, r.fields))
-                if out:
-                    yield pd.DataFrame(out, columns=[c.split()[0] for c in RAW.split(", ")]).astype({"ordinal": "Int32"})
-
-    return files.select("path", "content").mapInPandas(run, RAW)
-
-
-def symbols(raw: DataFrame, occurrences: DataFrame | None = None) -> DataFrame:
-    """Symbol rows of ``raw_symbols`` with handles, derived fields of names and numbers, macro calls and usages of names."""
-    rows = raw.filter("fql_kind <> 'call'").unionByName(macro_calls(raw))
+                rows = rows_of_file(path, content or "")
+                if len(rows):
+                    yield rows
+
+    return bounded(files.select("path", "content")).mapInPandas(run, RAW)
+
+
+def read_again(files: DataFrame, old: DataFrame) -> DataFrame:
+    """Rows of new versions of files with the ordinals of the ``old`` rows that they continue: equal in kind, name and text,
+    else in kind and name, in order; what is new is numbered beyond the largest. Files without old rows keep what their
+    reader gave them; a block's members follow its number. One file is one group."""
+    before = old.filter("ordinal is not null").select("path", "pos", "ordinal", "name", "fql_kind", F.col("fields")["content_hash"].alias("hash"))
+
+    def run(had: pd.DataFrame, now: pd.DataFrame) -> pd.DataFrame:
+        if not len(now):
+            return pd.DataFrame(columns=[c.split()[0] for c in RAW.split(", ")])
+        rows = rows_of_file(now.path.iloc[0], now.content.iloc[0] or "")
+        if not len(had) or not len(rows):
+            return rows
+        had = had.sort_values("pos")
+        live = [i for i, n in enumerate(rows.ordinal) if not pd.isna(n)]
+        keys = [(k, n, f.get("content_hash")) for k, n, f in zip(rows.fql_kind, rows.name, rows.fields)]
+        given: dict[int, int] = {}
+        left = [*zip(had.ordinal, zip(had.fql_kind, had.name, had.hash))]
+        for parts in (3, 2):
+            waiting: dict[tuple, list[int]] = {}
+            for n, key in left:
+                waiting.setdefault(key[:parts], []).append(int(n))
+            for i in live:
+                if i not in given and (same := waiting.get(keys[i][:parts])):
+                    given[i] = same.pop(0)
+            taken = set(given.values())
+            left = [(n, key) for n, key in left if n not in taken]
+        top = int(had.ordinal.max())
+        for i in live:
+            if i not in given:
+                top = given[i] = top + 1
+        moved = {f"{rows.ordinal[i]:04d}": f"{n:04d}" for i, n in given.items()}
+        for f in rows.fields:
+            if "block_ord" in f:
+                f["block_ord"] = moved[f["block_ord"]]
+        return rows.assign(ordinal=pd.array([given.get(i) for i in range(len(rows))], "Int32"))
+
+    return before.groupBy("path").cogroup(files.select("path", "content").groupBy("path")).applyInPandas(run, RAW)
+
+
+def code_counts(files: DataFrame, raw: DataFrame) -> DataFrame:
+    """(name, usages): how often identifiers occur in code."""
+    return relations.usage_counts(roles(corpus.lines(files), raw))
+
+
+def symbols(raw: DataFrame, counts: DataFrame | None = None, calls: DataFrame | None = None, defs: DataFrame | None = None) -> DataFrame:
+    """Symbol rows of ``raw_symbols`` with handles, derived fields of names and numbers, macro calls and usages of names.
+    ``calls`` and ``defs`` are rows whose calls are looked up among whose macros, if they are not ``raw``."""
+    rows = raw.filter("fql_kind <> 'call'").unionByName(macro_calls(raw if calls is None else calls, raw if defs is None else defs))
     name, kind, fields = F.col("name"), F.col("fql_kind"), F.col("fields")
     of_names = F.map_from_arrays(F.array(F.lit("naming"), F.lit("name_length")), F.array(text.naming_style(name), text.name_length(name).cast("string")))
     meaning = F.create_map(*[F.lit(x) for pair in _SUFFIXES.items() for x in pair])[F.lower(text.number_suffix(name))]
@@ -124,9 +177,7 @@ def symbols(raw: DataFrame, occurrences: DataFrame | None = None) -> DataFrame:
     rows = rows.withColumn("node_id", F.when(F.col("ordinal").isNotNull(), identity.node_id(F.col("path"), F.col("ordinal"))))
     for field in ("body", "role", "value", "type"):
         rows = rows.withColumn(field, F.col("fields")[field])
-    if occurrences is None:
-        return rows.withColumn("usages", F.lit(0).cast("bigint"))
-    return relations.with_usages(rows, relations.usage_counts(occurrences, None))
+    return rows.withColumn("usages", F.lit(0).cast("bigint")) if counts is None else relations.with_usages(rows, counts)
 
 
 def roles(lines: DataFrame, found: DataFrame) -> DataFrame:
@@ -145,12 +196,12 @@ def callees(raw: DataFrame) -> DataFrame:
     return raw.filter("fql_kind in ('call', 'macro_call')").join(f, ["path", "parent_pos"]).select("caller", "name", "path", "line").distinct()
 
 
-def macro_calls(raw: DataFrame) -> DataFrame:
-    """Calls whose name some file defines as a macro, as ``macro_call`` rows with their expansion by one level. The first
-    definition of a name and arity, by path and line, stands for all, so a call meets one row an arity."""
+def macro_calls(raw: DataFrame, rows: DataFrame) -> DataFrame:
+    """Calls in ``raw`` whose name some file of ``rows`` defines as a macro, as ``macro_call`` rows with their expansion by one
+    level. The first definition of a name and arity, by path and line, stands for all, so a call meets one row an arity."""
     field = F.col("fields")
     define = F.struct(F.col("path").alias("file"), "line", F.coalesce(field["value"], F.lit("")).alias("body"), F.coalesce(field["parameters"], F.lit("")).alias("parameters"))
-    defs = raw.filter("fql_kind = 'macro' and language <> 'rust'").groupBy("name", field["macro_arity"].cast("int").alias("arity")).agg(F.min(define).alias("def_pos"))
+    defs = rows.filter("fql_kind = 'macro' and language <> 'rust'").groupBy("name", field["macro_arity"].cast("int").alias("arity")).agg(F.min(define).alias("def_pos"))
     calls = raw.filter("fql_kind = 'call'").withColumns({"call_id": F.struct("path", "pos"), "args": F.coalesce(field["argument_count"].cast("int"), F.lit(0))})
     known = calls.join(defs.select("name").distinct(), "name", "left_semi")
     best = relations.macro_matches(known.select("call_id", "name", "args"), defs).select("call_id", "def_pos", "arity")
@@ -185,12 +236,9 @@ def outline(found: DataFrame, everything: bool = False) -> DataFrame:
 
 
 def _with_depth(rows: DataFrame) -> DataFrame:
-    """``rows`` with the number of their listed ancestors: level by level, until a level is empty."""
-    keys = ["path", "pos"]
-    level = rows.join(rows.select("path", F.col("pos").alias("parent_pos")), ["path", "parent_pos"], "left_anti").withColumn("depth", F.lit(0))
-    out, depth = level, 0
-    while not level.isEmpty():
-        depth += 1
-        level = rows.join(level.select("path", F.col("pos").alias("parent_pos")), ["path", "parent_pos"]).select(*rows.columns).withColumn("depth", F.lit(depth))
-        out = out.unionByName(level)
-    return out.dropDuplicates(keys)
+    """``rows`` with the number of their listed ancestors."""
+    key = F.struct("path", "pos")
+    up = rows.select("path", F.col("pos").alias("parent_pos"), F.lit(True).alias("__listed"))
+    nodes = rows.join(up, ["path", "parent_pos"], "left").select(key.alias("node"), F.when(F.col("__listed"), F.struct("path", F.col("parent_pos").alias("pos"))).alias("parent"))
+    found = edits.depths(nodes).select(F.col("node.path").alias("path"), F.col("node.pos").alias("pos"), "depth")
+    return rows.join(found, ["path", "pos"])

@@ -1,3 +1,9 @@
+import hashlib
+import json
+import os
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,8 +11,9 @@ from stratalex.lang.statement import QueryError
 from stratalex.plans import clauses as C
 from stratalex.plans import predicates as P
 from stratalex.lang.statement import Predicate
+from stratalex.operators import edits
 from stratalex.plans.shapes import SHAPES
-from stratalex.session import Session, folded_body
+from stratalex.session import Session
 from stratalex.sources import corpus, formats
 from stratalex.streaming import ingest
 
@@ -64,7 +71,7 @@ def test_find_symbols_and_fields(session):
     assert run("FIND symbols WHERE guard_defines = 'FAST' WHERE name = 'speed'").count() == 1
     assert run("FIND symbols WHERE mixed_logic = 'true'").first()["name"] == "a <= b && a > c || a == d"
     assert run("FIND symbols WHERE duplicate_condition = 'true'").count() == 2
-    assert run("FIND symbols WHERE fql_kind = 'number' WHERE num_value = 225 LIMIT 5").count() == 0  # numbers outside functions have no row
+    assert run("FIND symbols WHERE fql_kind = 'number' WHERE num_value = 225 LIMIT 5").first()["fields"]["is_magic"] == "false"
     assert run("FIND symbols WHERE cast_style = 'c_style'").first()["name"] == "c_style<int>"
     assert set(names(run("FIND globals LIMIT 50"))) >= {"counter", "speed"}
     assert names(run("FIND symbols WHERE fql_kind = 'struct' ORDER BY name ASC")) == ["P", "Pump"]
@@ -125,9 +132,9 @@ def test_edits_undo_and_transactions(session):
     run("BEGIN TRANSACTION 't'")
     run("INSERT NODE FOR 'new/n.txt' WITH 'hello'")
     run("COPY LINES 1-1 OF 'conf/c.toml' TO 'new/n.txt' AT LINE 1")
-    assert text("new/n.txt") == "[t]\nhello\n"
+    assert text("new/n.txt") == "[t]\nhello"
     run("MOVE LINES 1-1 OF 'new/n.txt' TO 'conf/d.ini'")
-    assert text("new/n.txt") == "hello\n" and text("conf/d.ini").endswith("[t]\n")
+    assert text("new/n.txt") == "hello" and text("conf/d.ini") == FILES["conf/d.ini"] + "[t]\n"
     run("ROLLBACK")
     assert session.files.filter("path = 'new/n.txt'").isEmpty() and "ticks" in text("src/pump.cpp")
     node = run("FIND symbols WHERE name = 'leak'").first()["node_id"]
@@ -192,8 +199,8 @@ def test_decoding_and_directory(spark, tmp_path):
 
 
 def test_folding_and_readers():
-    assert folded_body("int f() {\n  if (x) {\n    y;\n  }\n}", 1)[1][1] == "  if (x) { }"
-    assert folded_body("int f() {\n  y;\n}", 0) == [(0, "int f() { }")]
+    assert formats.folded("c", "int f() {\n  if (x) {\n    y;\n  }\n}", 1)[1][1] == "  if (x) { }"
+    assert formats.folded("c", "int f() {\n  y;\n}", 0) == [(0, "int f() { }")]
     for path, content in FILES.items():
         language, rows = formats.read(path, content)
         assert rows or language == "text"
@@ -264,3 +271,192 @@ int f(int n) {
     assert one("go", "field")["fields"]["body_symbol"] == "A::go" and one("go", "field")["fields"]["owner_kind"] == "class_specifier"
     assert int(one("", "error")["fields"]["error_bytes"]) == 6
     assert {r["name"]: r["depth"] for r in s.run("SHOW outline OF 'b.cpp'").collect()} == {"A": 0, "hidden": 1, "go": 1}
+
+
+def test_line_edits_leave_all_other_bytes_alone(spark):
+    r = random.Random(4)
+    texts = ["", "one", "one\n", "one\r\ntwo\r\nthree", "a\n\n\nb", "\n", "\r\n\r\n", *("".join(r.choice(["a", "é", "\n", "\r\n", " "]) for _ in range(r.randint(0, 30))) for _ in range(60))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, content string").coalesce(1)
+    c = F.col("content")
+
+    def pieces(t):
+        return [x for x in re.split(r"(?<=\n)", t) if x]
+
+    def whole(t):
+        return t if not t or t.endswith("\n") else t + "\n"
+
+    for first, last, new in ((1, 1, "N"), (2, 3, "x\ny\n"), (1, 2, ""), (4, 4, "z")):
+        got = {x.id: (x.a, x.b) for x in df.select("id", edits.lines_changed(c, first, last, new).alias("a"), edits.lines_inserted(c, edits.lines_of(c, first, last), first).alias("b")).collect()}
+        for i, t in enumerate(texts):
+            p = pieces(t)
+            head, tail = "".join(p[: first - 1]), "".join(p[last:])
+            lead = "\n" if first > 1 and len(p) < first and new and t and not t.endswith("\n") else ""
+            assert got[i][0] == head + lead + whole(new) + tail
+            block, at = "".join(p[first - 1 : last]), "".join(p[:first])
+            lead = "\n" if block and at == t and t and not t.endswith("\n") else ""
+            assert got[i][1] == at + lead + whole(block) + t[len(at) :]
+
+
+def test_every_edit_replaces_one_range(spark):
+    files = {"w.txt": "one\r\ntwo\r\nthree", "j.json": '{"a": {"x": [1, 2]},\n "b": 1,\n "c": "q"}\n', "y.yaml": "a:\n  b: 1\n# n\nc: [x]\n", "t.toml": "[t]\nk = [1,\n 2]\n\n[u]\nz = 1\n", "m.md": "# A\r\ntext\r\n\r\n# B\r\nx\r\n", "i.ini": "[s]\nk=1\n\n[t]\nz=2\n", "p.py": "def f():\n    return 1\n\ndef g():\n    return 2\n"}
+    s = Session(spark, spark.createDataFrame(list(files.items()), "path string, content string"))
+    text = lambda p: s.files.filter(F.col("path") == p).first()["content"]
+    s.run("CHANGE FILE 'w.txt' LINES 1-1 WITH 'ONE'")
+    assert text("w.txt") == "ONE\ntwo\r\nthree"
+    with pytest.raises(QueryError):
+        s.run("CHANGE FILE 'w.txt' LINES 4-4 WITH 'x'")
+    with pytest.raises(QueryError):
+        s.run("MOVE LINES 1-2 OF 'w.txt' TO 'w.txt' AT LINE 2")
+    s.run("MOVE LINES 2-2 OF 'w.txt' TO 'w.txt' AT LINE 1")
+    assert text("w.txt") == "two\r\nONE\nthree"
+    ids = {(r.path, r.name): r.node_id for r in sorted(s.symbols.filter("node_id is not null").collect(), key=lambda r: -r.pos)}  # a section, not its heading
+    assert [r["text"] for r in s.run(f"SHOW NODE {ids['t.toml', 'k']}").collect()] == ["k = [1,", " 2]"]
+    s.run(f"DELETE NODE {ids['j.json', 'a']}")
+    s.run(f"DELETE NODE {ids['j.json', 'c']}")  # ids outlive the edits before them
+    assert text("j.json") == '{"b": 1}\n'
+    for path, name, left in (("y.yaml", "a", "\n# n\nc: [x]\n"), ("t.toml", "t", "\n\n[u]\nz = 1\n"), ("m.md", "A", "\r\n\r\n# B\r\nx\r\n"), ("i.ini", "t", "[s]\nk=1\n\n\n"), ("p.py", "f", "\n\ndef g():\n    return 2\n")):
+        row = next(r for r in formats.read(path, files[path])[1] if r.name == name)
+        assert (files[path][: row.start] + files[path][row.end :]).replace("\r", "") == left.replace("\r", "")
+    s.run(f"CHANGE NODE '{ids['p.py', 'g']}(2)' WITH '    return 3'")
+    assert text("p.py") == "def f():\n    return 1\n\ndef g():\n    return 3\n"
+
+
+def test_an_edit_writes_and_reads_one_file(spark, tmp_path):
+    body = "int shared_name(int a) { return shared_name(a); }\n"
+    files = spark.createDataFrame([(f"d{i % 3}/f{i}.c", f"int only{i};\n" + body) for i in range(30)], "path string, content string")
+    s = Session(spark, files, store=str(tmp_path))
+    before = {(r.path, r.name, r.fql_kind): (r.node_id, r.usages) for r in s.symbols.collect()}
+    had = set(os.listdir(tmp_path))
+    s.run("CHANGE FILE 'd1/f4.c' MATCHING 'only4' WITH 'other'")
+    rows = s.symbols.collect()
+    for name in set(os.listdir(tmp_path)) - had:
+        new = spark.read.parquet(f"{tmp_path}/{name}")
+        assert new.count() <= 12 and ("path" not in new.columns or new.select("path").distinct().count() <= 1)
+    after = {(r.path, r.name, r.fql_kind): (r.node_id, r.usages) for r in rows}
+    same = set(before) & set(after)
+    assert len(same) == len(before) - 1 and all(before[k] == after[k] for k in same) and ("d1/f4.c", "other", "variable") in after
+    s.run("INSERT NODE FOR 'd1/new.c' WITH 'int shared_name;'")
+    assert {r.usages for r in s.symbols.filter("name = 'shared_name'").collect()} == {61}
+    s.run("CHANGE FILE 'd0/f0.c' WITH NOTHING")
+    assert {r.usages for r in s.symbols.filter("name = 'shared_name'").collect()} == {59} and s.files.count() == 30
+    s.run("UNDO LAST-2")
+    assert {(r.path, r.name, r.fql_kind): (r.node_id, r.usages) for r in s.symbols.collect()} == before
+    first = s.run("FIND symbols WHERE path = 'd1/f4.c' WHERE kind = 'function'").first()
+    s.run(f"INSERT BEFORE NODE {first['node_id']} WITH 'int early; // é'")
+    assert s.run("FIND symbols WHERE path = 'd1/f4.c' WHERE kind = 'function'").first()["node_id"] == first["node_id"]
+
+
+def test_found_nodes_and_lines(spark):
+    code = "int keep(int a) { return a; }\nint drop_a(int b) { return b; }\nint drop_b(int b) { return drop_a(b); }\n"
+    s = Session(spark, spark.createDataFrame([("x.c", code), ("y.c", code), ("z.txt", "drop_a here\nand drop_a\n")], "path string, content string"))
+    text = lambda p: s.files.filter(F.col("path") == p).first()["content"]
+    s.run("FIND symbols WHERE name LIKE 'drop%' WHERE kind = 'function' LIMIT 1")
+    with pytest.raises(QueryError):
+        s.run("DELETE NODES FOUND")  # three more were not shown
+    s.run("FIND symbols WHERE name LIKE 'drop%' WHERE kind = 'function'")
+    rev = s.master_rev()
+    s.run(f"CHANGE NODES FOUND IF REV '{rev}' MATCHING WORD 'b' WITH 'c'")
+    assert text("x.c") == code.replace("int b", "int c").replace("return b", "return c").replace("(b)", "(c)")
+    s.run("FIND symbols WHERE name = 'drop_b' IN 'x.c'")
+    with pytest.raises(QueryError):
+        s.run(f"DELETE NODES FOUND IF REV '{rev}'")
+    s.run("MOVE NODES FOUND TO 'w.c'")
+    assert "drop_b" not in text("x.c") and text("w.c") == "int drop_b(int c) { return drop_a(c); }\n"
+    s.run("FIND usages OF drop_a IN 'z.txt'")
+    s.run("DELETE NODES FOUND")
+    assert text("z.txt") == "" and "drop_a" in text("y.c")
+    s.run("FIND files IN '*.txt'")
+    s.run("DELETE NODES FOUND")
+    assert s.files.filter("path = 'z.txt'").isEmpty()
+
+
+def test_directories_have_records(spark):
+    s = Session(spark, spark.createDataFrame([("a/b/x.c", "int x;\n"), ("a/y.c", "int y;\n")], "path string, content string"))
+    handle = "n" + hashlib.sha256(b"a").hexdigest()[:12]
+    row = s.run(f"SHOW NODE {handle}").first()
+    mark = 0
+    for p in (b"a/b/x.c", b"a/y.c"):
+        mark ^= int.from_bytes(hashlib.sha256(p).digest()[:8], "little")
+    assert (row["path"], row["files"], row["size"], row["rev"]) == ("a", 2, 14, f"h{mark:016x}")
+    s.run("CHANGE FILE 'a/y.c' WITH 'int z;'")
+    assert s.run(f"SHOW NODE {handle}").first()["rev"] == row["rev"]
+    with pytest.raises(QueryError):
+        s.run("SHOW NODE n000000000000")
+
+
+def test_diff_counts_are_those_of_a_longest_common_subsequence(spark):
+    r = random.Random(7)
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    for _ in range(300):
+        a, b = ([r.choice("abc") for _ in range(r.randint(0, 12))] for _ in "ab")
+        n = common(a, b)
+        assert edits.changed_lines(a, b) == (len(b) - n, len(a) - n)
+    s = Session(spark, spark.createDataFrame([("a.txt", "x\ny\nz\n")], "path string, content string"))
+    s.run("CHANGE FILE 'a.txt' WITH 'z\ny\nx\n'")
+    assert [tuple(x) for x in s.run("SHOW DIFF STAT").select("status", "added", "removed").collect()] == [("M", 2, 2)]
+
+
+def test_readers_by_token():
+    rows = formats.read("a.py", 'A = "#no"  # yes\nif A:\n    # in\n    x = 1\n')[1]
+    assert [(r.fql_kind, r.name) for r in rows] == [("variable", "A"), ("comment", "# yes"), ("if", "A"), ("comment", "# in"), ("variable", "x"), ("number", "1")]
+    assert [r.start for r in rows] == sorted(r.start for r in rows)
+    rows = formats.read("a.c", "enum { A = 3 };\nint y = 7;\nint f(int *p) { int k = 9; k = 8; return p[0] + p[1]; }\nint g = make(5);\nint bad( {\n}}\n")[1]
+    assert [(r.name, r.fields["is_magic"]) for r in rows if r.fql_kind == "number"] == [("3", "false"), ("7", "false"), ("9", "false"), ("8", "true"), ("0", "false"), ("1", "true"), ("5", "true")]
+    assert [(r.name, r.fields["error_scope"]) for r in rows if r.fql_kind == "error"] == [("( {", "nested"), ("}", "file")]
+    assert "make" in [r.name for r in rows if r.fql_kind == "call"]
+    assert formats.folded("c", "int f() { char c = '{'; char *s = \"}\"; if (x) { y; } return 0; }", 1) == [(0, "int f() { char c = '{'; char *s = \"}\"; if (x) { } return 0; }")]
+    python = "    def f(self):\n        if a:\n            return 1\n        return [\n  2]\n"
+    assert [t for _, t in formats.folded("python", python, 1)] == ["    def f(self):", "        if a: ...", "        return [", "  2]", ""]
+    assert formats.folded("python", python, 0) == [(0, "    def f(self): ...")]
+
+
+def test_trees_of_data_formats_cover_their_text():
+    r = random.Random(3)
+
+    def value(depth):
+        kind = r.randint(0, 5 if depth else 3)
+        if kind == 4:
+            return {f"k{i}": value(depth - 1) for i in range(r.randint(0, 3))}
+        if kind == 5:
+            return [value(depth - 1) for _ in range(r.randint(0, 3))]
+        return [r.randint(-9, 9), 'a "]} é', r.random() < 0.5, 1.5][kind]
+
+    def expect(v, path, out):
+        for k, x in v.items() if isinstance(v, dict) else enumerate(v):
+            here = [*path, str(k)]
+            out.append((".".join(here), "object" if isinstance(x, dict) else "array" if isinstance(x, list) else "pair"))
+            if isinstance(x, (dict, list)):
+                expect(x, here, out)
+        return out
+
+    import yaml
+
+    for _ in range(60):
+        v = {f"r{i}": value(3) for i in range(3)}
+        for indent in (None, 1):
+            text = json.dumps(v, indent=indent, ensure_ascii=False)
+            rows = formats.read("a.json", text)[1]
+            assert [(x.fields["key_path"], x.fql_kind) for x in rows] == expect(v, [], [])
+            for x in rows:
+                piece = text[x.start : x.end]
+                in_array = x.parent >= 0 and rows[x.parent].fql_kind == "array"
+                got = json.loads(piece if in_array else "{" + piece + "}")
+                want = v
+                for k in x.fields["key_path"].split("."):
+                    want = want[int(k) if isinstance(want, list) else k]
+                assert (got if in_array else got[x.name]) == want
+        for style in (True, False, None):
+            text = yaml.safe_dump(v, default_flow_style=style, allow_unicode=True, sort_keys=False)
+            rows = formats.read("a.yaml", text)[1]
+            assert [(x.fields["key_path"], x.fql_kind) for x in rows] == expect(v, [], [])
+            assert all(x.start < x.end and (x.parent < 0 or rows[x.parent].end >= x.end) for x in rows)
+    toml = 'x = 1 # c\n[t]\ns = """a\nb"""\n\n[t.u]\nz.y = [1,\n  {q = 2, r.s = "}"}, # no\n]\n[[p]]\nn = 1\n[[p]]\nn = \'a]\'\n'
+    assert [x.fields["key_path"] for x in formats.read("a.toml", toml)[1]] == ["x", "t", "t.s", "t.u", "t.u.z", "t.u.z.y", "t.u.z.y.0", "t.u.z.y.1", "t.u.z.y.1.q", "t.u.z.y.1.r", "t.u.z.y.1.r.s", "p", "p.0", "p.0.n", "p.1", "p.1.n"]
