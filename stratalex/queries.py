@@ -36,9 +36,9 @@ def query(name: str, sql: str) -> Callable[[Query], Query]:
     return add
 
 
-def asked(df: DataFrame, fql: str, shape: Shape, **how) -> DataFrame:
+def asked(df: DataFrame, statement: str, shape: Shape, **how) -> DataFrame:
     """``df`` under the clauses of a statement, checked first."""
-    c = parse(fql).clauses
+    c = parse(statement).clauses
     C.refused(c, shape)
     return C.applied(df, c, shape, **how)
 
@@ -81,10 +81,10 @@ def conversations_as_files(spark: SparkSession, d: str) -> DataFrame:
     return asked(corpus.from_conversations(spark, d), "FIND files WHERE extension LIKE 'AS%'", SHAPES["file"]).select("path", "extension", "size")
 
 
-def _rows(name: str, fql: str, table: Query, columns: list[str], sql: str) -> None:
+def _rows(name: str, statement: str, table: Query, columns: list[str], sql: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         df = table(spark, d)
-        return asked(df, fql, shape_of(df)).select(*columns)
+        return asked(df, statement, shape_of(df)).select(*columns)
 
     run.__name__ = name
     query(name, sql)(run)
@@ -119,7 +119,7 @@ def where_missing_field(spark: SparkSession, d: str) -> DataFrame:
     """A missing field fails ``!=``; NOT MATCHES keeps it in WHERE and drops it in HAVING."""
     docs = _table("documents")(spark, d).join(_table("labels")(spark, d), "doc_id", "left").select("doc_id", "quality")
     shape = shape_of(docs)
-    ask = lambda fql: C.having(C.filtered(docs, parse(fql).clauses, shape), parse(fql).clauses, shape)
+    ask = lambda said: C.having(C.filtered(docs, parse(said).clauses, shape), parse(said).clauses, shape)
     out = [ask(f"FIND files {q}").select("doc_id", F.lit(i).alias("how")) for i, q in ((1, "WHERE quality != 0"), (2, "WHERE quality NOT MATCHES '0'"), (3, "HAVING quality NOT MATCHES '0'"))]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
@@ -169,7 +169,7 @@ def group_having(spark: SparkSession, d: str) -> DataFrame:
 
 @query("group_first_row", "SELECT o_orderpriority, o_orderkey, count FROM (SELECT *, count(*) OVER (PARTITION BY o_orderpriority) AS count, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS n FROM orders) WHERE n = 1")
 def group_first_row(spark: SparkSession, d: str) -> DataFrame:
-    return asked(orders(spark, d), "FIND files GROUP BY o_orderpriority ORDER BY count DESC", shape_of(orders(spark, d)), storage_order=[F.asc("o_orderkey")]).select("o_orderpriority", "o_orderkey", "count")
+    return asked(orders(spark, d), "FIND files GROUP BY o_orderpriority ORDER BY count DESC", shape_of(orders(spark, d)), storage_order=["o_orderkey"]).select("o_orderpriority", "o_orderkey", "count")
 
 
 @query("group_missing_key", "SELECT coalesce(CAST(quality AS VARCHAR), '') AS quality, count(*) AS count FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
@@ -260,13 +260,8 @@ def token_extract(spark: SparkSession, d: str) -> DataFrame:
     return sites(spark, d).groupBy("path").agg(F.count(F.lit(1)).alias("tokens"))
 
 
-@query("token_line_positions", f"WITH {SITES} SELECT name, path, line, pos FROM sites WHERE starts_with(path, 'src1/')")
+@query("token_line_positions", f"WITH {SITES} SELECT name, path, line, pos FROM sites")
 def token_line_positions(spark: SparkSession, d: str) -> DataFrame:
-    return sites(spark, d).filter(P.within(F.col("path"), "src1")).select("name", "path", "line", "pos")
-
-
-@query("token_line_positions_all", f"WITH {SITES} SELECT name, path, line, pos FROM sites")
-def token_line_positions_all(spark: SparkSession, d: str) -> DataFrame:
     return sites(spark, d).select("name", "path", "line", "pos")
 
 
@@ -383,7 +378,7 @@ def children_of_node(spark: SparkSession, d: str) -> DataFrame:
 
 @query("dir_rollup", f"WITH {FILES} SELECT dir, CAST(sum(size) AS BIGINT) AS size, count(*) AS files FROM (SELECT source AS dir, strlen(text) AS size FROM documents UNION ALL SELECT source || '/' || lang, strlen(text) FROM documents) GROUP BY 1")
 def dir_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.directories(files(spark, d))
+    return corpus.directories(files(spark, d)).select("dir", "size", "files")
 
 
 @query("depth_grouping", "SELECT source || '/' AS path, CAST(sum(strlen(text)) AS BIGINT) AS size, count(*) AS count FROM documents GROUP BY 1")
@@ -462,23 +457,13 @@ def comment_style(spark: SparkSession, d: str) -> DataFrame:
 # --- display -------------------------------------------------------------------------------------------------------
 
 
-@query("context_window_lines", f"WITH {LINES} SELECT path, line, text, CASE WHEN line = 4 THEN '>>>' END AS marker FROM lines WHERE line BETWEEN 2 AND 6 AND starts_with(path, 'src2/')")
+@query("context_window_lines", f"WITH {LINES} SELECT path, line, text, CASE WHEN line = 4 THEN '>>>' END AS marker FROM lines WHERE line BETWEEN 2 AND 6")
 def context_window_lines(spark: SparkSession, d: str) -> DataFrame:
-    return edits.context(lines(spark, d).filter(P.within(F.col("path"), "src2")), 4, 2)
-
-
-@query("context_window_lines_all", f"WITH {LINES} SELECT path, line, text, CASE WHEN line = 4 THEN '>>>' END AS marker FROM lines WHERE line BETWEEN 2 AND 6")
-def context_window_lines_all(spark: SparkSession, d: str) -> DataFrame:
     return edits.context(lines(spark, d), 4, 2)
 
 
-@query("line_range", f"WITH {LINES} SELECT path, line, text FROM lines WHERE line BETWEEN 3 AND 8 AND regexp_matches(path, '/2[^/]*[.]txt$')")
+@query("line_range", f"WITH {LINES} SELECT path, line, text FROM lines WHERE line BETWEEN 3 AND 8")
 def line_range(spark: SparkSession, d: str) -> DataFrame:
-    return edits.line_range(lines(spark, d).filter(P.within(F.col("path"), "**/2*.txt")), 3, 8)
-
-
-@query("line_range_all", f"WITH {LINES} SELECT path, line, text FROM lines WHERE line BETWEEN 3 AND 8")
-def line_range_all(spark: SparkSession, d: str) -> DataFrame:
     return edits.line_range(lines(spark, d), 3, 8)
 
 
@@ -514,13 +499,8 @@ def outline_depth(spark: SparkSession, d: str) -> DataFrame:
     return edits.depths(nodes)
 
 
-@query("callees", "SELECT DISTINCT l_orderkey AS caller, l_suppkey AS callee FROM lineitem WHERE l_orderkey <= 500")
+@query("callees", "SELECT DISTINCT o_orderkey AS caller, l_suppkey AS callee, l_linenumber AS line FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
 def callees(spark: SparkSession, d: str) -> DataFrame:
-    return lineitem(spark, d).filter("l_orderkey <= 500").select(F.col("l_orderkey").alias("caller"), F.col("l_suppkey").alias("callee")).distinct()
-
-
-@query("callees_all", "SELECT DISTINCT o_orderkey AS caller, l_suppkey AS callee, l_linenumber AS line FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
-def callees_all(spark: SparkSession, d: str) -> DataFrame:
     """The operator over all of lineitem: an order is a function and its items are the calls that it makes."""
     of_order = orders(spark, d).select(F.col("o_orderkey").alias("path"), F.lit(0).alias("pos"), F.lit(None).cast("int").alias("parent_pos"), F.col("o_orderkey").alias("name"), F.lit("function").alias("fql_kind"), F.lit(0).alias("line"))
     calls = lineitem(spark, d).select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("pos"), F.lit(0).alias("parent_pos"), F.col("l_suppkey").alias("name"), F.lit("call").alias("fql_kind"), F.col("l_linenumber").alias("line"))
@@ -533,14 +513,8 @@ def compact_group_lists(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("path", F.array_join(F.transform("lines", lambda x: x.cast("string")), ",").alias("lines"))
 
 
-@query("compact_symbols_by_kind", "SELECT p_type AS fql_kind, string_agg(p_name || ':' || p_size, ';' ORDER BY p_name, p_size) AS rows FROM part WHERE p_size > 45 GROUP BY 1")
+@query("compact_symbols_by_kind", "SELECT p_type AS fql_kind, string_agg(p_name || ':' || p_size, ';' ORDER BY p_name, p_size) AS rows FROM part GROUP BY 1")
 def compact_symbols_by_kind(spark: SparkSession, d: str) -> DataFrame:
-    rows = relations.compact(part(spark, d).filter("p_size > 45"), ["p_type"], F.struct("p_name", "p_size"), "items")
-    return rows.select(F.col("p_type").alias("fql_kind"), F.array_join(F.transform("items", lambda x: F.concat(x["p_name"], F.lit(":"), x["p_size"].cast("string"))), ";").alias("rows"))
-
-
-@query("compact_symbols_by_kind_all", "SELECT p_type AS fql_kind, string_agg(p_name || ':' || p_size, ';' ORDER BY p_name, p_size) AS rows FROM part GROUP BY 1")
-def compact_symbols_by_kind_all(spark: SparkSession, d: str) -> DataFrame:
     rows = relations.compact(part(spark, d), ["p_type"], F.struct("p_name", "p_size"), "items")
     return rows.select(F.col("p_type").alias("fql_kind"), F.array_join(F.transform("items", lambda x: F.concat(x["p_name"], F.lit(":"), x["p_size"].cast("string"))), ";").alias("rows"))
 
@@ -570,10 +544,9 @@ def master_rev(spark: SparkSession, d: str) -> DataFrame:
     return identity.master_rev(nation(spark, d).withColumn("rev", F.col("n_regionkey").cast("string")), "n_name", "rev", "n_nationkey")
 
 
-@query("dir_rev", f"WITH {FILES} SELECT split_part(path, '/', 1) AS dir, bit_xor(strlen(path) * 1000003 + size) AS rev FROM files GROUP BY 1")
+@query("dir_rev", f"WITH {FILES}, marks AS (SELECT source AS dir, path FROM documents JOIN files ON path = source || '/' || lang || '/' || doc_id || '.txt' UNION ALL SELECT source || '/' || lang, path FROM documents JOIN files ON path = source || '/' || lang || '/' || doc_id || '.txt') SELECT dir, 'h' || printf('%016x', bit_xor(CAST('0x' || list_aggregate(list_reverse(regexp_extract_all(substr(sha256(path), 1, 16), '..')), 'string_agg', '') AS UBIGINT))) AS rev FROM marks GROUP BY 1")
 def dir_rev(spark: SparkSession, d: str) -> DataFrame:
-    mark = (F.octet_length("path") * 1000003 + F.col("size")).cast("bigint")
-    return files(spark, d).groupBy(F.element_at(F.split("path", "/"), 1).alias("dir")).agg(F.bit_xor(mark).alias("rev"))
+    return corpus.directories(files(spark, d)).select("dir", "rev")
 
 
 @query("matching_replace", "SELECT doc_id, sha256(replace(text, 'the', '<T>')) AS rev, CAST((strlen(text) - strlen(replace(text, 'the', ''))) // 3 AS BIGINT) AS hits FROM documents")
@@ -582,32 +555,34 @@ def matching_replace(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.sha2("content", 256).alias("rev"), "hits")
 
 
-@query("matching_word_replace", "SELECT doc_id, sha256(regexp_replace(text, '\\bthe\\b', 'THE', 'g')) AS rev FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')")
-def matching_word_replace(spark: SparkSession, d: str) -> DataFrame:
-    docs = _table("documents")(spark, d).filter(~F.col("text").rlike("[^\\x00-\\x7f]")).withColumnRenamed("text", "content")
-    return edits.replaced(docs, "the", "THE", word=True).select("doc_id", F.sha2("content", 256).alias("rev"))
-
-
 _EDGED = "'(^|[^\\pL\\pM\\p{Nd}\\p{Nl}\\p{Pc}])the($|[^\\pL\\pM\\p{Nd}\\p{Nl}\\p{Pc}])', '\\1THE\\2', 'g'"
 
 
 # words next to each other share the character between them, so the SQL replaces twice
-@query("matching_word_replace_all", f"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, {_EDGED}), {_EDGED})) AS rev FROM documents")
-def matching_word_replace_all(spark: SparkSession, d: str) -> DataFrame:
-    """``matching_word_replace`` over documents of every script."""
+@query("matching_word_replace", f"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, {_EDGED}), {_EDGED})) AS rev FROM documents")
+def matching_word_replace(spark: SparkSession, d: str) -> DataFrame:
     docs = _table("documents")(spark, d).withColumnRenamed("text", "content")
     return edits.replaced(docs, "the", "THE", word=True).select("doc_id", F.sha2("content", 256).alias("rev"))
 
 
-@query("change_lines", f"WITH {LINES} SELECT path, string_agg(text, chr(10) ORDER BY line) AS body FROM (SELECT path, line, text FROM lines WHERE line NOT BETWEEN 2 AND 3 UNION ALL SELECT path, 2, 'NEW' FROM files) GROUP BY path")
+_PARTS = "p AS (SELECT doc_id, text, string_split(text, chr(10)) AS x FROM documents)"
+
+
+@query("change_lines", f"WITH {_PARTS} SELECT doc_id, sha256(CASE WHEN len(x) < 2 THEN text || CASE WHEN text = '' THEN '' ELSE chr(10) END || 'NEW' || chr(10) ELSE x[1] || chr(10) || 'NEW' || chr(10) || array_to_string(x[4:], chr(10)) END) AS rev FROM p")
 def change_lines(spark: SparkSession, d: str) -> DataFrame:
-    return edits.joined(edits.lines_changed(lines(spark, d), 2, 3, ["NEW"]))
+    return _table("documents")(spark, d).select("doc_id", F.sha2(edits.lines_changed(F.col("text"), 2, 3, "NEW"), 256).alias("rev"))
 
 
-@query("copy_lines", f"WITH {LINES} SELECT path, CAST(count(*) + count(*) FILTER (WHERE line <= 2) AS BIGINT) AS lines, min(text) FILTER (WHERE line = 1) AS first FROM lines GROUP BY path")
+@query("copy_lines", f"WITH {_PARTS} SELECT doc_id, sha256(text || CASE WHEN text = '' OR suffix(text, chr(10)) THEN '' ELSE chr(10) END || CASE WHEN text = '' THEN '' WHEN len(x) > 2 THEN x[1] || chr(10) || x[2] || chr(10) WHEN suffix(text, chr(10)) THEN text ELSE text || chr(10) END) AS rev FROM p")
 def copy_lines(spark: SparkSession, d: str) -> DataFrame:
-    out = edits.lines_inserted(lines(spark, d), lines(spark, d).filter("line <= 2"), after=None)
-    return out.groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.min_by("text", "line").alias("first"))
+    """The first two lines of each text once more at its end."""
+    c = F.col("text")
+    return _table("documents")(spark, d).select("doc_id", F.sha2(edits.lines_inserted(c, edits.lines_of(c, 1, 2), None), 256).alias("rev"))
+
+
+@query("delete_lines", f"WITH {_PARTS} SELECT doc_id, sha256(CASE WHEN len(x) <= 2 THEN '' ELSE array_to_string(x[3:], chr(10)) END) AS rev FROM p")
+def delete_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _table("documents")(spark, d).select("doc_id", F.sha2(edits.lines_changed(F.col("text"), 1, 2, ""), 256).alias("rev"))
 
 
 @query("merge_edits_overlap", "SELECT l_orderkey, l_linenumber, coalesce(lag(l_partkey + 3) OVER w > l_partkey, false) AS overlaps FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber, l_suppkey)")
@@ -623,15 +598,20 @@ def snapshot_diff_rows(spark: SparkSession, d: str) -> DataFrame:
     return edits.changed_files(docs.filter("path % 7 <> 0"), after).select("path", "status")
 
 
-@query("diff_line_counts", f"WITH {LINES}, b AS (SELECT path, line, CASE WHEN line % 3 = 0 THEN text || '!' ELSE text END AS text FROM lines), a1 AS (SELECT path, text, count(*) AS n FROM lines GROUP BY 1, 2), b1 AS (SELECT path, text, count(*) AS n FROM b GROUP BY 1, 2) SELECT coalesce(a1.path, b1.path) AS path, CAST(sum(greatest(coalesce(b1.n, 0) - coalesce(a1.n, 0), 0)) AS BIGINT) AS added, CAST(sum(greatest(coalesce(a1.n, 0) - coalesce(b1.n, 0), 0)) AS BIGINT) AS removed FROM a1 FULL JOIN b1 ON a1.path = b1.path AND a1.text = b1.text GROUP BY 1")
+# every third line gets a mark that no line has, so the lines left alone are the longest common subsequence
+@query("diff_line_counts", f"WITH {LINES} SELECT path, CAST(count(*) FILTER (WHERE line % 3 = 0) AS BIGINT) AS added, CAST(count(*) FILTER (WHERE line % 3 = 0) AS BIGINT) AS removed FROM lines GROUP BY path")
 def diff_line_counts(spark: SparkSession, d: str) -> DataFrame:
-    before = lines(spark, d)
-    return edits.line_changes(before, before.withColumn("text", F.when(F.col("line") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))))
+    marked = F.array_join(F.transform(F.split("content", "\n", -1), lambda x, i: F.when(i % 3 == 2, F.concat(x, F.lit("\x01"))).otherwise(x)), "\n")
+    ends = F.col("content").endswith("\n") & (F.size(F.split("content", "\n", -1)) % 3 == 0)
+    after = F.when(ends, F.regexp_replace(marked, "\x01\\z", "")).otherwise(marked)
+    return edits.line_changes(files(spark, d).select("path", F.col("content").alias("a"), after.alias("b")))
 
 
 def queries() -> dict[str, Query]:
+    from . import engine_queries  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {name: _SQL[name] for name in queries() if name in _SQL}

@@ -60,7 +60,7 @@ def test_words_of_every_script_are_replaced(spark, tmp_path):
         "ü the, the\u203f the\u0301 中the 9the the9 —the—": "ü THE, the\u203f the\u0301 中the 9the the9 —THE—", "other lathe then": "other lathe then",
     }
     spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.rev for r in engine.queries()["matching_word_replace_all"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.rev for r in engine.queries()["matching_word_replace"](spark, str(tmp_path)).collect()}
     assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts.values())}
 
 
@@ -68,7 +68,7 @@ def test_callees_of_every_order(spark, tmp_path):
     spark.createDataFrame([(k, 1) for k in (3, 499, 501, 10**10)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     items = [(3, 7, 1), (3, 7, 1), (3, 7, 2), (499, 8, 1), (501, 7, 1), (501, 9, 2), (10**10, 3, 1)]
     spark.createDataFrame(items, "l_orderkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = engine.queries()["callees_all"](spark, str(tmp_path)).select("caller", "callee", "line").collect()
+    got = engine.queries()["callees"](spark, str(tmp_path)).select("caller", "callee", "line").collect()
     assert sorted(map(tuple, got)) == sorted(set(items))
 
 
@@ -80,13 +80,13 @@ def test_whole_tables_of_documents_and_parts(spark, tmp_path):
     run = lambda name: engine.queries()[name](spark, str(tmp_path))
     paths = {f"{s}/en/{i}.txt" for i, s in places}
     assert {r.path for r in run("in_glob").collect()} == {"src100/en/5.txt", "src1/en/15.txt"}
-    got = run("token_line_positions_all").select("name", "path", "line", "pos").collect()
+    got = run("token_line_positions").select("name", "path", "line", "pos").collect()
     assert sorted(map(tuple, got)) == sorted((n, p, i, k) for p in paths for i in range(1, 11) for k, n in enumerate((f"word{i}", "yy")))
-    got = run("context_window_lines_all").select("path", "line", "text", "marker").collect()
+    got = run("context_window_lines").select("path", "line", "text", "marker").collect()
     assert {tuple(r) for r in got} == {(p, i, f"word{i} x yy", ">>>" if i == 4 else None) for p in paths for i in range(2, 7)}
-    got = run("line_range_all").select("path", "line", "text").collect()
+    got = run("line_range").select("path", "line", "text").collect()
     assert {tuple(r) for r in got} == {(p, i, f"word{i} x yy") for p in paths for i in range(3, 9)}
-    assert {(r.fql_kind, r.rows) for r in run("compact_symbols_by_kind_all").collect()} == {("t", "a:46;b:3"), ("u", "c:1")}
+    assert {(r.fql_kind, r.rows) for r in run("compact_symbols_by_kind").collect()} == {("t", "a:46;b:3"), ("u", "c:1")}
 
 
 def test_paren_depth_equals_brute_force(spark, tmp_path):
