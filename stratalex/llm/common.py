@@ -1,61 +1,18 @@
-"""What the operators of this package share: the shared folder, tables written into it, and byte helpers."""
+"""What the operators of this package share: samples, hashes, counts of words; and, from the library, saved tables."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The bytes that separate words: space and 0x09 to 0x0D, exactly what ``bytes.split()`` splits on.
-WORD = r"[^\x20\x09-\x0D]+"
+from ..store import bounded as lean
+from ..store import dropped, numbered, saved, shared_dir
 
+__all__ = ["dropped", "held_out", "labelled_sample", "lean", "mixed", "numbered", "released", "saved", "shared_dir", "table", "words_in"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session may do without it."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="stratalex-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a table written to the shared folder and read again: its lineage is cut, and a lost executor costs
-    nothing that was written. The folder goes when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a table that ``saved`` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/part-" not in name and name.startswith(("file:", "hdfs:", "s3", "/", "viewfs:")):
-            where = jvm.org.apache.hadoop.fs.Path(name)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def lean(df: DataFrame) -> DataFrame:
-    """``df``, its session set to hand Python at most 1,000 rows and 4 MB at a time: texts may be long, and both
-    sides hold a whole batch. Settings that ask for less are left alone."""
-    conf = df.sparkSession.conf
-    for name, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 4 << 20)):
-        key = f"spark.sql.execution.arrow.{name}"
-        if not 0 < int(re.sub(r"\D", "", conf.get(key)) or 0) <= most:
-            conf.set(key, str(most))
-    return df
+#: The bytes that separate words: space and 0x09 to 0x0D, exactly what ``bytes.split()`` splits on.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,26 +44,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def digits_bucket(hash_col: Column, buckets: int) -> Column:
-    """A bucket from 0 to ``buckets`` - 1 by the order of a 64-bit hash: greater hashes have no smaller buckets."""
-    return F.least(
-        F.floor((hash_col.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64 / buckets)), F.lit(buckets - 1)
-    ).cast("int")
-
-
-def numbered(df: DataFrame, order: list[Column], to: str) -> DataFrame:
-    """``df`` with ranks from 1 by ``order`` in column ``to``: rows are dealt out by range, ranked within their range,
-    and shifted by the counts of the ranges before (one number a partition reaches the driver)."""
-    ranged = saved(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranked")
-    shift, at = [], 0
-    for r in sorted(ranged.groupBy("__range").count().collect(), key=lambda r: r["__range"]):
-        shift += [F.lit(r["__range"]), F.lit(at)]
-        at += r["count"]
-    inner = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
-    offset = F.element_at(F.create_map(*shift), F.col("__range")) if shift else F.lit(0)
-    return ranged.withColumn(to, (inner + offset).cast("long")).drop("__range")
-
-
 def words_in(text: Column) -> Column:
     """The number of words of a text, 0 for null: each word becomes one character and what separates words goes, which
     leaves far less garbage than a list of the words."""

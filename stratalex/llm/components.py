@@ -15,17 +15,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v: longs); component is the smallest node reachable.
 
     A step pre-aggregates each node's smallest neighbour and joins it back; nothing gathers a node's neighbours, the
-    edges of a hub aren't shuffled by it, and every step's edges are a table in the shared folder. Loops and repeated
-    edges do no harm; no edges give no rows."""
+    edges of a hub aren't shuffled by it, and every step's edges are a table in the shared folder. It ends when the edges
+    are stars around smallest nodes. Loops and repeated edges do no harm; no edges give no rows."""
     now = saved(_pairs(edges.filter("u != v")), "edges")
-    before = None
     for _ in range(rounds):
-        mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if mark == before:
+        if settled(now):
             break
-        before = mark
-        large = saved(_star(now, mark["n"], True), "edges")
-        small = saved(_star(large, mark["n"], False), "edges")
+        n = now.count()
+        large = saved(_star(now, n, True), "edges")
+        small = saved(_star(large, n, False), "edges")
         dropped(now)
         dropped(large)
         now = small
@@ -36,6 +34,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     )
 
 
+def settled(edges: DataFrame) -> bool:
+    """Whether each greater node has one edge and is no one's smaller node: then the smaller nodes are the components."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).union(edges.select(F.col("v").alias("x"), F.lit(0).alias("up")))
+    nodes = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    return nodes.filter("ups > 1 or (ups = 1 and least = 0)").isEmpty()
+
+
 def _pairs(edges: DataFrame) -> DataFrame:
     """Each edge once, from the greater node to the smaller one."""
     return edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()

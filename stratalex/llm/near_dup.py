@@ -5,26 +5,30 @@
    every element in bin j, so every coordinate fills, while sets of some size fill all of them in a round or two with
    values that concentrate as those of independent permutations do. Two sets agree in a coordinate with probability
    of their similarity.
-2. Texts of equal sets are one class. Classes that share a band of coordinates are candidates; a bucket only emits
-   edges to its smallest class, never its pairs, and the components of these edges are candidate groups.
-3. The texts of each candidate group are read once more, dealt into blocks of bounded size when the group is large, and each
-   pair of blocks is compared exactly in one task: intersections of whole sets by products of membership matrices. It
-   emits a spanning forest of its links, so links grow with rows, not with pairs.
-4. Components of the links are the near-duplicate groups.
+2. Texts of equal sets are one class, numbered in the order of its smallest row. Classes that share a band of coordinates
+   are candidates; a bucket only emits edges to its smallest class, never its pairs, and the components of these edges
+   are candidate groups.
+3. The texts of each candidate group are read once more and compared exactly, by products of membership matrices. A large
+   group is dealt by size (sets whose sizes differ too much cannot link) into small blocks, each compared with itself and
+   with the smallest class of its sizes: as a rule that joins nearly all of the group. Only classes that are then not in
+   the group's largest component are compared with the rest of it, block by block. A pair inside that component needs
+   no comparison, and every other pair has gone through one, so no link between components is lost.
+4. Links are emitted as spanning forests, so they grow with rows, not with pairs; their components are the groups.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, mixed, released, saved
+from .common import lean, mixed, numbered, released, saved
 from .components import components
 
 
@@ -32,16 +36,19 @@ from .components import components
 class Near:
     """Shingles of ``words`` words; a link takes 100 * intersection >= ``percent`` * union. ``rows`` coordinates a band
     and ``bands`` bands let a pair at the threshold slip with probability (1 - (percent / 100)^rows)^bands: 2e-7 for the
-    settings below. ``block`` is the number of shingles that a block of a candidate group holds at about most."""
+    settings below, while of pairs of similarity 0.5 one in four (CONTRACT: one in fifteen) becomes a candidate. ``block``
+    is the number of shingles that a block of a candidate group holds at about most, ``few`` the number of classes in the
+    blocks that a large group is first dealt into."""
 
     words: int = 5
     percent: int = 80
-    rows: int = 6
-    bands: int = 50
-    block: int = 1_500_000
+    rows: int = 8
+    bands: int = 84
+    block: int = 1_000_000
+    few: int = 256
 
 
-CONTRACT = Near(words=3, percent=85, rows=7, bands=40)
+CONTRACT = Near(words=3, percent=85, rows=10, bands=70)
 
 
 class Shingler:
@@ -225,39 +232,85 @@ def maybe_among(rows: DataFrame, wanted: DataFrame, keys: list[str], bits: int =
     return rows.join(F.broadcast(map_), F.bitmap_bucket_number(place) == F.col("__map")).filter(hit).drop("__map", "__bits")
 
 
-def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
-    """doc_id, text_hash (xxhash64 of the text), n_shingles, component_id, kept for each row of ``docs``.
+#: Blocks of one size of a group.
+DEAL = 1_000_000
+
+
+def size_bin(near: Near) -> Column:
+    """Sets whose bins differ by two or more differ too much in size to link."""
+    step = -math.log(near.percent / 100) * (1 + 1e-9)
+    return F.floor(F.log(F.col("n_shingles").cast("double")) / step).cast("long")
+
+
+def dealt(members: DataFrame, near: Near, few: bool) -> DataFrame:
+    """``members`` with ``block``: those of one group and size in as many blocks as bounds ask for."""
+    blocks = F.ceil(F.sum("n_shingles") / near.block)
+    blocks = F.greatest(blocks, F.ceil(F.count(F.lit(1)) / near.few)) if few else blocks
+    counts = members.groupBy("grp", "bin").agg(F.least(blocks, F.lit(DEAL)).alias("blocks"), F.min("node").alias("pivot"))
+    return members.join(counts, ["grp", "bin"]).withColumn("block", F.col("bin") * DEAL + F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")))
+
+
+def grouped_within(members: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
+    """(node, component) of the linked ones of ``members`` (grp, node, doc_id, text_hash, n_shingles)."""
+    place = ["grp", "i", "j", "block", "node", "doc_id", "text_hash"]
+    check = lambda rows: saved(verified(_with_texts(rows.select(place), texts).repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j"), near), "links")
+    sums = members.groupBy("grp").agg((F.sum("n_shingles") > near.block).alias("heavy"), (F.count(F.lit(1)) > near.few).alias("many"))
+    known = saved(members.join(sums, "grp").withColumn("large", F.col("heavy") | F.col("many")).withColumn("bin", F.when(F.col("large"), size_bin(near)).otherwise(0)), "members")
+    small = known.filter("not large").withColumn("block", F.lit(0).cast("long"))
+    large = saved(dealt(known.filter("large"), near, True), "dealt")
+    # the smallest class of a size stands in every block of that size
+    first = large.filter("node = pivot and blocks > 1").withColumn("own", F.col("block"))
+    first = first.withColumn("block", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.col("bin") * DEAL + k))).filter("block <> own")
+    near_by = [x.withColumns({"i": F.col("block"), "j": F.col("block")}).select(place) for x in (small, large, first)]
+    links = check(near_by[0].unionByName(near_by[1]).unionByName(near_by[2]))
+    found = components(links)
+    joined = large.select("grp", "bin", "node", "doc_id", "text_hash", "n_shingles").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    joined = saved(joined, "joined")
+    main = joined.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.max(F.struct("n", "component")).alias("m"))
+    left = saved(joined.join(main.select("grp", F.col("m.component").alias("main")), "grp").filter("component <> main").drop("component", "main"), "left")
+    if left.isEmpty():
+        return found
+    # what is left, against all of its group: their blocks are numbered below zero
+    all_ = dealt(joined.drop("component"), near, False)
+    asked = dealt(left, near, False).withColumn("block", -1 - F.col("block"))
+    beside = lambda rows: rows.select("grp", "block", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin")).distinct()
+    right = all_.join(beside(asked).withColumnRenamed("block", "i"), ["grp", "bin"]).withColumn("j", F.col("block"))
+    mine = asked.withColumn("i", F.col("block")).join(beside(all_).withColumnRenamed("block", "j"), ["grp", "bin"])
+    return components(links.unionByName(check(mine.select(place).unionByName(right.select(place)))))
+
+
+def _with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    wanted = rows.select("doc_id", "text_hash")
+    # an inner join, as a semi-join would be pushed below the bitmap and shuffle every text
+    one = maybe_among(texts, wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+    return rows.join(one, ["doc_id", "text_hash"]).select("grp", "i", "j", "block", "node", "bytes")
 
-    A row's component_id is the smallest doc_id of the rows reachable by links, its own included; ``kept`` marks the row
-    whose doc_id that is. Null texts and texts without words have no shingles and no links. Rows with a null doc_id
-    link nothing: their component_id is null and they are kept. Rows that repeat a doc_id are kept or not together.
-    Other columns are not read; an empty table gives no rows."""
+
+def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
+    """doc_id, text_hash (xxhash64 of the text), n_shingles, component_id, kept, first for each row of ``docs``.
+
+    A row's component_id is the smallest doc_id of the rows reachable by links, its own included; ``kept`` marks the rows
+    whose doc_id that is. ``first`` marks the rows of one text of each component: of the smallest doc_id, and of the smallest
+    hash among its texts. Links are between texts: rows that share a doc_id, but not the text, are judged apart. Null texts
+    and texts without words have no shingles and no links. Rows with a null doc_id link nothing: their component_id is
+    null and they are kept. Very long texts are read whole, a text at a time. Other columns are not read; an empty table gives
+    no rows."""
     sig = saved(signatures(docs, near), "signatures")
     live = sig.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    first = live.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = saved(first.select("set_key", "copies", F.col("rep.doc_id").alias("node"), F.col("rep.text_hash").alias("text_hash")), "classes")
-    reps = live.join(classes.select(F.col("node").alias("doc_id"), "text_hash"), ["doc_id", "text_hash"], "left_semi")
-    bucketed = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"))
+    rep = live.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep")).select("set_key", "rep.doc_id", "rep.text_hash")
+    classes = numbered(rep, [F.col("doc_id").asc(), F.col("text_hash").asc()], "node")
+    classes = saved(classes, "classes")
+    reps = live.drop("set_key").join(classes.select("doc_id", "text_hash", "node"), ["doc_id", "text_hash"])
+    bucketed = reps.select(F.explode("bands").alias("bucket"), "node")
     shared = bucketed.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least != most").select("bucket", "least")
     candidates = components(bucketed.join(shared, "bucket").filter("node != least").select(F.col("node").alias("u"), F.col("least").alias("v")))
-    members = saved(
-        candidates.join(reps.select(F.col("doc_id").alias("node"), "text_hash", "n_shingles").dropDuplicates(["node", "text_hash"]), "node").withColumnRenamed("component", "grp"), "members"
-    )
-    total = members.groupBy("grp").agg(F.ceil(F.sum("n_shingles") / near.block).cast("int").alias("blocks"))
-    dealt = (
-        members.join(total, "grp")
-        .withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("node").alias("doc_id"), "text_hash")
-    )
+    thin = reps.select("node", "doc_id", "text_hash", "n_shingles").dropDuplicates(["node"])
+    members = saved(candidates.join(thin, "node").withColumnRenamed("component", "grp"), "members")
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("bytes"))
-    # an inner join, as a semi-join would be pushed below the bitmap and shuffle every text
-    wanted = members.select(F.col("node").alias("doc_id"), "text_hash")
-    one = maybe_among(texts, wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
-    groups = dealt.join(one, ["doc_id", "text_hash"]).select("grp", "i", "j", "block", F.col("doc_id").alias("node"), "bytes")
-    links = verified(groups.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j"), near)
-    grouped = components(links)
-    rest = classes.select("set_key", "node").join(grouped, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
+    grouped = grouped_within(members, texts, near)
+    heads = classes.select(F.col("node").alias("head"), F.col("doc_id").alias("component_id"), F.col("text_hash").alias("head_hash"))
+    rest = classes.select("set_key", "node").join(grouped, "node", "left").select("set_key", F.coalesce("component", "node").alias("head")).join(heads, "head")
+    least = F.coalesce("component_id", "doc_id")
     return (
         sig.select("doc_id", "text_hash", "n_shingles", "set_key")
         .join(rest, "set_key", "left")
@@ -265,7 +318,8 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
             "doc_id",
             "text_hash",
             "n_shingles",
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
-            F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"),
+            F.when(F.col("doc_id").isNotNull(), least).alias("component_id"),
+            F.coalesce(F.col("doc_id") == least, F.lit(True)).alias("kept"),
+            F.coalesce((F.col("doc_id") == least) & (F.col("text_hash") == F.coalesce("head_hash", "text_hash")), F.lit(True)).alias("first"),
         )
     )
