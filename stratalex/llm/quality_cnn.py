@@ -163,34 +163,42 @@ class ByteCNN:
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality", max_docs: int = 3000, max_bytes: int = 10_000_000, epochs: int = 8) -> bytes:
     """Weights fitted on at most ``max_docs`` labelled whole documents of at most ``max_bytes`` bytes together (a
-    document that would go beyond is left out), in one retried task. Without documents of both labels the untrained
-    output layer is cleared, so that every score is the share of label 1 (1/2 without labels)."""
+    document that would go beyond is left out), in one retried task. Which ones is decided by ids and sizes before any
+    text is fetched; of rows that repeat an id, the text of the smallest hash counts. Null texts are empty ones. Without
+    documents of both labels the untrained output layer is cleared, so that every score is the share of label 1 (1/2
+    without labels)."""
     sample = labelled_sample(labels, label, max_docs)
-    rows = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes")).join(F.broadcast(sample), "doc_id")
+    body = F.coalesce(F.col("text"), F.lit(""))
+    thin = documents.select("doc_id", F.xxhash64(body).alias("hash"), F.octet_length(body).alias("size")).join(F.broadcast(sample), "doc_id")
+    one = thin.groupBy("doc_id", "label").agg(F.min(F.struct("hash", "size")).alias("x")).select("doc_id", "label", "x.hash", "x.size")
+    used, chosen = 0, []
+    for r in sorted(one.collect(), key=lambda r: (hash_of(r.doc_id), r.doc_id)):  # max_docs rows at most
+        if used + r["size"] <= max_bytes:
+            used += r["size"]
+            chosen.append((r.doc_id, r["hash"], r.label))
+    shares = sum(label for *_, label in chosen)
+    if not 0 < shares < len(chosen):
+        net = ByteCNN()
+        net.w["out"][:] = 0
+        net.w["shift"][:] = np.log((shares + 1) / (len(chosen) - shares + 1))
+        return net.packed()
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    wanted = F.broadcast(documents.sparkSession.createDataFrame(chosen, f"doc_id {kind}, hash long, label int"))
+    rows = documents.select("doc_id", F.xxhash64(body).alias("hash"), body.cast("binary").alias("bytes")).join(wanted, ["doc_id", "hash"]).dropDuplicates(["doc_id"])
 
     def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts: list[tuple[int, bytes, int]] = []
         for p in parts:
             texts += zip(p.doc_id, map(bytes, p.bytes), p.label)
-        texts.sort(key=lambda x: (hash_of(x[0]), x[0], x[1]))
-        used, chosen = 0, []
-        for x in texts:
-            if used + len(x[1]) <= max_bytes and len(chosen) < max_docs:
-                used += len(x[1])
-                chosen.append(x)
-        y = np.array([x[2] for x in chosen], float)
-        net = ByteCNN()
-        if 0 < y.sum() < len(y):
-            net.fit([x[1] for x in chosen], y, epochs)
-        else:
-            net.w["out"][:] = 0
-            net.w["shift"][:] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+        texts.sort(key=lambda x: (hash_of(x[0]), x[0]))
+        net = ByteCNN().fit([x[1] for x in texts], np.array([x[2] for x in texts], float), epochs)
         yield pd.DataFrame({"weights": [net.packed()]})
 
     return bytes(lean(rows).repartition(1).mapInPandas(fit, "weights binary").collect()[0].weights)
 
 
 def hash_of(doc_id: int) -> int:
+    """The order in which documents are taken into the fit."""
     return (int(doc_id) * 0x9E3779B97F4A7C15 + 0x1234567) % 2**64 >> 20
 
 

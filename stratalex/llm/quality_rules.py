@@ -191,10 +191,12 @@ def base_failed() -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> list[Rule]:
     """Rules learnt from the statistics of at most ``max_rows`` labelled documents (a documented bound), held-out
-    documents and documents that the base rules reject left out."""
+    documents and documents that the base rules reject left out. Of rows that repeat an id, the one of the smallest
+    statistics counts; null texts are empty and fail the base rules. Without documents or labels there are no rules."""
     sample = labelled_sample(labels, "quality", max_rows)
     rows = statistics(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), ["doc_id", "label"])
-    got = rows.filter(~base_failed()).toPandas().sort_values(["doc_id", *BASE]).head(2 * max_rows).reset_index(drop=True)
+    one = rows.filter(~base_failed()).groupBy("doc_id").agg(F.min(F.struct(*BASE, *SHARES, "label")).alias("x"))
+    got = one.select("doc_id", "x.*").limit(max_rows).toPandas().sort_values("doc_id").reset_index(drop=True)
     return learn(got, (got["label"] == 0).to_numpy())
 
 
