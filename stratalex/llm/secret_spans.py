@@ -5,8 +5,9 @@ parsed before it is reported. Confirmed kinds, after the base kinds ``assign``,
 
 - ``pem``: BEGIN/END armour of a private key whose body decodes to DER with nested lengths that fit exactly, to the
   binary form of an OpenSSH key, or to an encrypted body under its headers;
-- ``der``: base64 or hex that decodes to a DER private key (a sequence that starts with a version and fits exactly);
-- ``ssh``: base64 of an OpenSSH private key (magic and length-prefixed fields);
+- ``der``: base64 or hex in which a DER private key begins (a sequence that starts with a version); its own nested
+  lengths say where it ends, whatever characters of the same alphabet stand before or after it;
+- ``ssh``: base64 in which an OpenSSH private key begins (magic and length-prefixed fields), up to where they end;
 - ``jwt``: header.payload.signature, the first two base64url JSON objects, the header naming an algorithm;
 - ``basic``: base64 of ``user:password`` after ``Basic`` in an authorization header.
 """
@@ -36,10 +37,13 @@ _WORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 _PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]{0,40}?PRIVATE KEY)-----")
 _LINE_END = re.compile(rb"(?:\\r)?\\n|\r?\n")
 # lines of 40 characters or more, then perhaps the shorter last line of a wrapped run
-_BLOB = re.compile(rb"(?:[A-Za-z0-9+/]{40,}(?:\r?\n)?)+(?:(?<=\n)(?P<last>[A-Za-z0-9+/]{1,39}={0,2})|={0,2})")
+_BLOB = re.compile(rb"(?:[A-Za-z0-9+/]{40,}(?:\r?\n)?)+(?:(?<=\n)[A-Za-z0-9+/]{1,39}={0,2}|={0,2})")
 _HEXES = re.compile(rb"[0-9a-fA-F]{60,}")
+_BREAK = re.compile(rb"\r?\n")
+# how keys begin in binary: a sequence of 32 bytes or more that opens with a version or with another sequence; a magic
+_KEY = re.compile(rb"\x30(?:\x82..|\x81.|\x83...|[\x20-\x7f])(?=\x02\x01[\x00\x01]|\x30)|openssh-key-v1\x00", re.S)
 _JWT = re.compile(rb"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{16,})")
-_BASIC = re.compile(rb"(?i:basic)\x20+([A-Za-z0-9+/]{8,}={0,2})")
+_BASIC = re.compile(rb"""(?i:authorization["']?[\x20\t]*[:=][\x20\t]*["']?basic)\x20+([A-Za-z0-9+/]{8,}={0,2})""")
 Span = tuple[str, int, int]
 
 
@@ -112,16 +116,39 @@ def is_ssh_key(data: bytes) -> bool:
     return 1 <= keys <= 16 and 0 < n and at + 8 + n <= len(data)
 
 
-def fills_ssh_key(data: bytes) -> bool:
-    """The public keys and the private section of an OpenSSH key end where ``data`` ends."""
+def ssh_end(data: bytes) -> int | None:
+    """Where an OpenSSH key ends: behind its public keys and its private section, if ``data`` holds them whole."""
     at = 15
     for _ in range(3):
         at += 4 + int.from_bytes(data[at : at + 4], "big")
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
     for _ in range(keys + 1):
+        if at + 4 > len(data):
+            return None
         at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at == len(data)
+    return at if at <= len(data) else None
+
+
+def keys_in(data: bytes, step: int) -> Iterator[tuple[str, int, int]]:
+    """Kinds, starts and ends of the private keys that begin at multiples of ``step`` in ``data``. An OpenSSH key that is cut
+    off goes on to the end."""
+    after = 0
+    for m in _KEY.finditer(data):
+        at = m.start()
+        if at < after or at % step:
+            continue
+        if data[at] == 0x30:
+            size = data[at + 1]
+            head = 2 + (size & 0x7F if size & 0x80 else 0)
+            end = at + head + (int.from_bytes(data[at + 2 : at + head], "big") if size & 0x80 else size)
+            kind = "der" if end <= len(data) and is_private_der(data[at:end]) else None
+        else:
+            kind = "ssh" if is_ssh_key(data[at:]) else None
+            end = at + (ssh_end(data[at:]) or len(data) - at) if kind else at
+        if kind:
+            yield kind, at, end
+            after = end
 
 
 def is_private_key(data: bytes | None) -> str | None:
@@ -186,32 +213,51 @@ def confirmed_spans(text: bytes) -> list[Span]:
             if data and 3 <= len(data) and b":" in data[1:-1] and all(32 <= c < 127 for c in data):
                 out.append(("basic", m.start(1), m.end(1)))
     armour = [(a, b) for k, a, b in out if k == "pem"]
-    for m in _BLOB.finditer(text):
-        if not any(a <= m.start() < b for a, b in armour) and (found := blob_key(m)):
-            out.append((found[0], m.start(), found[1]))
-    for m in _HEXES.finditer(text):
-        if not any(a <= m.start() < b for a, b in armour) and (kind := is_private_key(_unhex(m[0]))):
-            out.append((kind, m.start(), m.end()))
-    return out
-
-
-def blob_key(m: re.Match[bytes]) -> tuple[str, int] | None:
-    """Kind and end of the key in a base64 run. A shorter last line is part of it unless the lines before it are a whole key,
-    as the line may be a word that follows."""
-    whole = decoded64(m[0])
-    if m["last"] is None:
-        return (kind, m.end()) if (kind := is_private_key(whole)) else None
-    lines = decoded64(m.string[m.start() : m.start("last")])
-    kind = is_private_key(lines)
-    if kind == "der" or (kind == "ssh" and fills_ssh_key(lines)):
-        return kind, m.start("last")
-    if wider := is_private_key(whole):
-        return wider, m.end()
-    return (kind, m.start("last")) if kind else None
-
-
-def _unhex(data: bytes) -> bytes | None:
-    return bytes.fromhex(data.decode()) if len(data) % 2 == 0 else None
+    runs = [s for m in _BLOB.finditer(text) for s in keys_of_base64(m[0], m.start())]
+    runs += [s for m in _HEXES.finditer(text) for s in keys_of_hex(m[0], m.start())]
+    return out + [s for s in runs if not any(a <= s[1] < b for a, b in armour)]
+
+
+def keys_of_base64(run: bytes, offset: int) -> Iterator[Span]:
+    """Keys in a run of base64, which may be wrapped and may have begun before the key: a key starts with any character, so
+    the run is decoded from each of four. A span takes in padding, and the line end that a key's last line has in the run."""
+    plain = _BREAK.sub(b"", run).rstrip(b"=")
+    if not any(mark in plain for mark in (b"M", b"b3Blbn")):
+        return
+    wraps = [m.span() for m in _BREAK.finditer(run)]
+    # characters of ``plain`` before each line end, and where the next line begins
+    before, gone = [], 0
+    for a, b in wraps:
+        before.append(a - gone)
+        gone += b - a
+    place = lambda i: i + sum(b - a for (a, b), n in zip(wraps, before) if n <= i) if wraps else i
+    found: list[tuple[int, int, str]] = []
+    for shift in range(4):
+        part = plain[shift:]
+        data = base64.b64decode(part[: len(part) // 4 * 4] if len(part) % 4 == 1 else part + b"=" * (-len(part) % 4))
+        found += [(shift + a // 3 * 4, shift + -(-b * 4 // 3), kind) for kind, a, b in keys_in(data, 3)]
+    after = 0
+    for a, b, kind in sorted(found):
+        if a >= after:
+            end = place(b - 1) + 1
+            end += len(run[end:].rstrip(b"\r\n")) if b == len(plain) else 0  # padding, perhaps on a line of its own
+            wrap = _BREAK.match(run, end)
+            yield kind, offset + place(a), offset + (wrap.end() if wrap else end)
+            after = b
+
+
+def keys_of_hex(run: bytes, offset: int) -> Iterator[Span]:
+    """Keys in a run of hexadecimal digits, from either of the first two."""
+    found = []
+    for shift in range(2):
+        part = run[shift:]
+        data = bytes.fromhex(part[: len(part) // 2 * 2].decode())
+        found += [(offset + shift + 2 * a, offset + shift + 2 * b, kind) for kind, a, b in keys_in(data, 1)]
+    after = 0
+    for a, b, kind in sorted(found):
+        if a >= after:
+            yield kind, a, b
+            after = b
 
 
 def spans_of(text: bytes) -> list[Span]:
@@ -234,7 +280,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row of ``docs``.
 
     A null text is empty and has no spans; base_sha256 is then the digest of the empty string. Matches that overlap are
-    all reported. Repeated rows get a row each; other columns are not read; an empty table gives no rows."""
+    all reported. Texts and keys of any length are read whole. Repeated rows get a row each; other columns are not read; an
+    empty table gives no rows."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
