@@ -66,3 +66,21 @@ def test_texts_that_share_an_id_are_judged_apart(spark):
     close = [(7, text("c")), (7, text("c", 59))]
     count = Counter((r.doc_id, r.text) for r in got)
     assert sum(count[c] for c in close) == 1 and count - Counter(close) == Counter(want)
+
+
+def test_stages_on_awkward_rows(spark, data, tmp_path):
+    """Null, empty, repeated and long texts, null ids and sources, a clashing column, and no rows at all, through every stage."""
+    text = " ".join(f"word{i}" for i in range(240))
+    long = " ".join(f"entry{i}" for i in range(60_000))
+    given = [(1, None, "a"), (2, "", None), (3, text, "a"), (3, text, "a"), (3, text + " other " * 3, "b"), (4, text.upper(), None), (None, text, "c"), (5, long, "a"), (6, long + " end", "a"), (7, "short", "b")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, node long, first string"
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or ""), "x", 1, "y") for i, t, s in given], schema)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    counts = []
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        docs = saved(stage(spark, docs, str(tmp_path)), "awkward")
+        counts.append(Counter(r.doc_id for r in docs.select("doc_id").collect()))
+    assert counts[0] == {3: 3, 4: 1, None: 1, 5: 1, 6: 1}
+    assert counts[1] == {3: 1, None: 1, 5: 1} and counts[2] == counts[1]
+    assert set(counts[3]) <= {3, None, 5} and counts[4] == counts[3] and docs.filter("not round_trip").isEmpty()
