@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalex.llm import mixing, near_dup, quality_rules, secret_spans, sentence_pieces
@@ -10,45 +10,41 @@ from stratalex.llm.common import saved, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the learned list keep; null texts have no words and go."""
+    """Documents that the base rules and the learned list keep. Null and empty texts have no words and go; repeated rows are
+    judged alike; without labels only the base rules count. An empty table stays empty."""
     rules = quality_rules.train(docs, table(spark, sf_dir, "labels"))
     return quality_rules.judged(docs, rules).filter("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, 0.8): the one of the smallest id, and of the smallest hash
-    among texts of one id. Rows equal in id and text are one. Rows without an id stay."""
-    nameless = docs.filter("doc_id is null")
+    among texts of one id. Rows equal in id and text are one. Texts that no other is near to stay, whatever ids they share;
+    null texts and texts without words are near to none. Rows without an id stay. An empty table stays empty."""
     named = docs.filter("doc_id is not null").withColumn("__hash", F.xxhash64("text"))
-    # links are between ids, so each further text of an id is given an id below all others for as long as groups are sought
-    hashes = named.groupBy("doc_id").agg(F.array_sort(F.collect_set("__hash")).alias("all")).filter(F.size("all") > 1)
-    more = hashes.select("doc_id", F.posexplode("all").alias("at", "__hash")).filter("at > 0").drop("at")
-    if more.isEmpty():
-        kept = near_dup.near_duplicates(named, near_dup.Near()).filter("kept").select("doc_id", F.col("text_hash").alias("__hash"))
-    else:
-        least = named.agg(F.min("doc_id").cast("long")).first()[0]
-        more = saved(more.withColumn("__node", F.lit(least) - F.row_number().over(Window.orderBy("doc_id", "__hash"))), "more_texts")
-        alone = named.join(more, ["doc_id", "__hash"], "left").withColumn("doc_id", F.coalesce("__node", F.col("doc_id").cast("long"))).select("doc_id", "text")
-        found = near_dup.near_duplicates(alone, near_dup.Near()).select(F.col("doc_id").alias("__node"), F.col("text_hash").alias("__hash"), "component_id")
-        member = found.join(more.select("__node", F.col("doc_id").alias("__id")), "__node", "left").withColumn("doc_id", F.coalesce("__id", "__node"))
-        first = member.groupBy("component_id").agg(F.min(F.struct("doc_id", "__hash")).alias("first"))
-        kept = first.select("first.*")
-    rows = named.join(kept.distinct(), ["doc_id", "__hash"], "left_semi").dropDuplicates(["doc_id", "__hash"])
-    return rows.select(*docs.columns).unionByName(nameless)
+    found = near_dup.near_duplicates(named, near_dup.Near()).filter("first")
+    # which rows stay is decided on ids and hashes; texts are moved once, to meet that decision
+    kept = saved(found.groupBy("doc_id", F.col("text_hash").alias("__hash")).agg(F.count(F.lit(1)).alias("__n")), "kept")
+    rows = named.join(kept.filter("__n = 1"), ["doc_id", "__hash"], "left_semi")
+    if not (more := kept.filter("__n > 1")).isEmpty():
+        rows = rows.unionByName(named.join(more, ["doc_id", "__hash"], "left_semi").dropDuplicates(["doc_id", "__hash"]))
+    return rows.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced by a mark and n_chars brought up to date."""
+    """All documents, secrets in their texts replaced by a mark and n_chars brought up to date. Null and empty texts, and
+    texts without secrets, stay as they are; repeated rows stay."""
     return secret_spans.redacted(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as many times as the mix of sources takes them."""
+    """Documents as many times as the mix of sources takes them. Null texts have no words and are not taken more than once;
+    a null source is one source; rows that repeat an id and a text are taken alike. An empty table stays empty."""
     return mixing.mixed_documents(docs, [5, 2, 1])
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the ids of their texts in place of the texts, and whether decoding gave the text back."""
+    """Documents with the ids of their texts in place of the texts, and whether decoding gave the text back. Null and empty
+    texts have no ids; repeated rows get a row each."""
     return sentence_pieces.ids_for_texts(docs, verify=True)
 
 
