@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,22 +15,30 @@ from .common import dropped, saved
 HUBS = 1000
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Edges up to which one task finds the components (16 bytes each): beyond, every step is a join. The result is the same.
+SMALL = 1_000_000
+
+
+def components(edges: DataFrame, rounds: int = 60, small: int = SMALL) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v: longs); component is the smallest node reachable.
 
     A step pre-aggregates each node's smallest neighbour and joins it back; nothing gathers a node's neighbours, the
     edges of a hub aren't shuffled by it, and every step's edges are a table in the shared folder. It ends when the edges
     are stars around smallest nodes. Loops and repeated edges do no harm; no edges give no rows."""
-    now = saved(_pairs(edges.filter("u != v")), "edges")
+    given = saved(edges.filter("u != v").select("u", "v"), "edges")
+    if given.count() <= small:
+        return given.repartition(1).mapInPandas(found_in, "node long, component long")
+    now = saved(_pairs(given), "edges")
+    dropped(given)
     for _ in range(rounds):
         if settled(now):
             break
         n = now.count()
         large = saved(_star(now, n, True), "edges")
-        small = saved(_star(large, n, False), "edges")
+        stars = saved(_star(large, n, False), "edges")
         dropped(now)
         dropped(large)
-        now = small
+        now = stars
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
@@ -34,6 +46,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     )
 
 
+def found_in(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The components of all edges that one task is given: greater roots are hooked to smaller ones, and labels follow."""
+    frames = [(p.u.to_numpy(), p.v.to_numpy()) for p in parts]
+    if not frames:
+        return
+    nodes, places = np.unique(np.concatenate([x for pair in zip(*frames) for x in pair]), return_inverse=True)
+    a, b = places[: len(places) // 2], places[len(places) // 2 :]
+    root = np.arange(len(nodes))
+    while not np.array_equal(x := root[a], y := root[b]):
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := root[root], root):
+            root = up
+    yield pd.DataFrame({"node": nodes, "component": nodes[root]})
+
+
 def settled(edges: DataFrame) -> bool:
     """Whether each greater node has one edge and is no one's smaller node: then the smaller nodes are the components."""
     ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).union(edges.select(F.col("v").alias("x"), F.lit(0).alias("up")))

@@ -255,15 +255,18 @@ def grouped_within(members: DataFrame, texts: DataFrame, near: Near) -> DataFram
     place = ["grp", "i", "j", "block", "node", "doc_id", "text_hash"]
     check = lambda rows: saved(verified(_with_texts(rows.select(place), texts).repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j"), near), "links")
     sums = members.groupBy("grp").agg((F.sum("n_shingles") > near.block).alias("heavy"), (F.count(F.lit(1)) > near.few).alias("many"))
-    known = saved(members.join(sums, "grp").withColumn("large", F.col("heavy") | F.col("many")).withColumn("bin", F.when(F.col("large"), size_bin(near)).otherwise(0)), "members")
+    known = members.join(sums, "grp").withColumn("large", F.col("heavy") | F.col("many")).withColumn("bin", F.when(F.col("large"), size_bin(near)).otherwise(0).cast("long"))
+    known = saved(known, "members")
     small = known.filter("not large").withColumn("block", F.lit(0).cast("long"))
+    together = lambda x: x.withColumns({"i": F.col("block"), "j": F.col("block")}).select(place)
+    if known.filter("large").isEmpty():
+        return components(check(together(small)))
     large = saved(dealt(known.filter("large"), near, True), "dealt")
     # the smallest class of a size stands in every block of that size
     first = large.filter("node = pivot and blocks > 1").withColumn("own", F.col("block"))
     first = first.withColumn("block", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.col("bin") * DEAL + k))).filter("block <> own")
-    near_by = [x.withColumns({"i": F.col("block"), "j": F.col("block")}).select(place) for x in (small, large, first)]
-    links = check(near_by[0].unionByName(near_by[1]).unionByName(near_by[2]))
-    found = components(links)
+    links = check(together(small).unionByName(together(large)).unionByName(together(first)))
+    found = saved(components(links), "found")
     joined = large.select("grp", "bin", "node", "doc_id", "text_hash", "n_shingles").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     joined = saved(joined, "joined")
     main = joined.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.max(F.struct("n", "component")).alias("m"))

@@ -16,6 +16,7 @@ import pandas as pd
 import pytest
 
 from stratalex.llm import (
+    components,
     edit_counts,
     mixing,
     near_dup,
@@ -337,6 +338,27 @@ def test_near_duplicates_of_a_large_group_with_a_tail(spark):
         assert {i: (n, c) for i, n, c in zip(got.doc_id, got.n_shingles, got.component_id)} == brute_near(given, near)
 
 
+def test_components_in_one_task_and_by_joins(spark):
+    r = random.Random(6)
+    edges = [(i, i + 1) for i in range(0, 90)] + [(500, r.randrange(500, 620)) for _ in range(80)] + [(r.randrange(1000, 1400), r.randrange(1000, 1400)) for _ in range(250)] + [(7, 7), (3, 2), (3, 2)]
+    up = {x: x for e in edges for x in e}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if root(a) != root(b):
+            up[max(root(a), root(b))] = min(root(a), root(b))
+    df = spark.createDataFrame(edges, "u long, v long")
+    want = {x: root(x) for e in edges if e[0] != e[1] for x in e}
+    for small in (components.SMALL, 0):
+        got = components.components(df, small=small).collect()
+        assert len(got) == len(want) and {x.node: x.component for x in got} == want
+        assert components.components(df.limit(0), small=small).count() == 0
+
+
 def test_sketch_fills_and_estimates():
     r = np.random.default_rng(1)
     for n in (1, 2, 30, 5000):
