@@ -147,8 +147,3 @@ def extension(path: Column) -> Column:
 
 def depth(path: Column) -> Column:
     return F.size(F.split(path, "/"))
-
-
-def snippet(text: Column, width: int = 60) -> Column:
-    first = F.element_at(F.split(text, "\n"), 1)
-    return F.when(F.length(first) > width, F.concat(F.substring(first, 1, width), F.lit("…"))).otherwise(first)

@@ -121,3 +121,24 @@ def sibling_runs(rows: DataFrame, by: list[str], order: list[Column], kind: str,
 def compact(rows: DataFrame, keys: list[str], item: Column, to: str) -> DataFrame:
     """Rows of one key as one row with a sorted list, the layout of compact results."""
     return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias(to))
+
+
+def children(nodes: DataFrame, parents: DataFrame, on: Column, order: list[Column], to: str = "place") -> DataFrame:
+    """Each parent's nodes with their place under it, from 1."""
+    both = parents.join(nodes, on)
+    return both.withColumn(to, F.row_number().over(Window.partitionBy(*parents.columns).orderBy(*order)))
+
+
+def distinct_counts(rows: DataFrame, by: str, of: list[str], to: str) -> DataFrame:
+    return rows.groupBy(by).agg(F.countDistinct(*of).alias(to))
+
+
+def with_errors(files: DataFrame, errors: DataFrame, key: str, bad: Column, extent: Column) -> DataFrame:
+    """``files`` with the number of their error rows and the extent of them, 0 where there are none."""
+    sums = errors.filter(bad).groupBy(key).agg(F.count(F.lit(1)).alias("error_count"), F.sum(extent).alias("error_bytes"))
+    return files.join(sums, key, "left").withColumns({"error_count": F.coalesce("error_count", F.lit(0)), "error_bytes": F.coalesce("error_bytes", F.lit(0))})
+
+
+def maxima(rows: DataFrame, by: str, of: str, most: str, count: str) -> DataFrame:
+    """The largest value and the number of the rows inside each owner."""
+    return rows.groupBy(by).agg(F.max(of).alias(most), F.count(F.lit(1)).alias(count))

@@ -20,9 +20,14 @@ def page_of(df: DataFrame, most: int) -> DataFrame:
     return df
 
 
+def json_lines(df: DataFrame, to: str = "json") -> DataFrame:
+    """``df`` with each row as a JSON object."""
+    return df.withColumn(to, F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+
+
 def as_json(df: DataFrame, most: int = 1000) -> str:
     """A page of rows as a JSON array."""
-    return "[" + ",".join(r[0] for r in page_of(df, most).select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).collect()) + "]"
+    return "[" + ",".join(r[0] for r in json_lines(page_of(df, most), "__json").select("__json").collect()) + "]"
 
 
 def _csv(rows: list[list]) -> str:
@@ -32,7 +37,8 @@ def _csv(rows: list[list]) -> str:
 
 
 def compact(df: DataFrame, verb: str, most: int = 1000, metric: str | None = None) -> str:
-    """Symbols grouped by kind, usages by file and role, counts and lists as they are."""
+    """Symbols grouped by kind, usages by file and role, outlines in order with their depth, members by type, callees by file,
+    files and lines in rows of their own, counts as they are."""
     page = page_of(df, most)
     if "count" in df.columns:
         key = [c for c in ("path", "fql_kind", "extension", "name") if c in df.columns][:1]
@@ -44,5 +50,18 @@ def compact(df: DataFrame, verb: str, most: int = 1000, metric: str | None = Non
     if verb == "find usages":
         rows = relations.compact(page, ["path", "role", "node_id", "rev"], F.col("line"), "lines").orderBy("path", "role").collect()
         return _csv([["file", "role", "node_id", "rev", "lines"], *([r["path"], r["role"], r["node_id"], r["rev"], json.dumps(r["lines"])] for r in rows)])
+    if verb == "show outline":
+        rows = page.orderBy("path", "pos").collect()
+        return _csv([["depth", "[fql_kind,name,line,node_id]"], *([r["depth"], json.dumps([r["fql_kind"], r["name"], r["line"], r["node_id"]], ensure_ascii=False)] for r in rows)])
+    if verb in ("show members", "show callees", "find callees"):
+        key, items = ("fql_kind", ["text", "line", "node_id"]) if verb == "show members" else ("path", ["name", "line"])
+        rows = relations.compact(page, [key], F.struct(*sorted(items, key=lambda i: i != "line")), "rows").orderBy(key).collect()
+        return _csv([["type" if key == "fql_kind" else "file", f"[{','.join(items)}]"], *([r[key], json.dumps([[x[i] for i in items] for x in r["rows"]], ensure_ascii=False)] for r in rows)])
+    if verb == "find files":
+        shown = [c for c in ("path", "size", "node_id", "rev", "error_count", "parse_coverage") if c in df.columns]
+        return _csv([shown, *([r[c] for c in shown] for r in page.collect())])
+    if "line" in df.columns and "text" in df.columns:
+        shown = ["line", "text", *[c for c in ("marker",) if c in df.columns]]
+        return _csv([shown, *([r[c] for c in shown] for r in page.orderBy("line").collect())])
     plain = [c for c, kind in df.dtypes if kind not in ("map<string,string>",) and c != "content"]
     return _csv([plain, *([r[c] for c in plain] for r in page.collect())])

@@ -55,11 +55,6 @@ def matches(text: Column, pattern: str) -> Column:
     return text.rlike(regex(pattern))
 
 
-def in_set(text: Column, member: str) -> Column:
-    """Whether a comma-joined list holds a member."""
-    return F.array_contains(F.split(text, ","), member)
-
-
 def glob_of(glob: str) -> str:
     """Without wildcards, a path that ends with a slash or has no dot in its last segment is a directory: all below it."""
     bare = glob.rstrip("/")

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import identity, text
 from .lang.parser import parse
-from .operators import edits, relations
+from .operators import edits, relations, render
 from .plans import clauses as C
-from .plans import predicates as P
 from .plans.shapes import SHAPES, Shape, shape_of
 from .sources import corpus, index
 
@@ -191,26 +190,24 @@ def dedupe_identity(spark: SparkSession, d: str) -> DataFrame:
 
 @query("distinct_rows_per_file", f"WITH {SITES} SELECT path, count(DISTINCT (name, line)) AS distinct_rows FROM sites GROUP BY path")
 def distinct_rows_per_file(spark: SparkSession, d: str) -> DataFrame:
-    return sites(spark, d).groupBy("path").agg(F.countDistinct("name", "line").alias("distinct_rows"))
+    return relations.distinct_counts(sites(spark, d), "path", ["name", "line"], "distinct_rows")
 
 
 @query("corpus_stats", f"WITH {LINES} SELECT (SELECT count(*) FROM files) AS files, (SELECT CAST(sum(size) AS BIGINT) FROM files) AS bytes, (SELECT count(*) FROM lines) AS lines, (SELECT count(DISTINCT extension) FROM files) AS extensions")
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    one = files(spark, d).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.countDistinct("extension").alias("extensions"))
-    return one.crossJoin(F.broadcast(lines(spark, d).agg(F.count(F.lit(1)).alias("lines")))).select("files", "bytes", "lines", "extensions")
+    return corpus.totals(files(spark, d))
 
 
 @query("enclosing_maxima", "SELECT l_orderkey, CAST(max(l_quantity) AS DOUBLE) AS most, count(*) AS branches FROM lineitem GROUP BY 1")
 def enclosing_maxima(spark: SparkSession, d: str) -> DataFrame:
-    return lineitem(spark, d).groupBy("l_orderkey").agg(F.max("l_quantity").alias("most"), F.count(F.lit(1)).alias("branches"))
+    return relations.maxima(lineitem(spark, d), "l_orderkey", "l_quantity", "most", "branches")
 
 
 @query("parse_coverage", "SELECT page_id, CASE WHEN strlen(html) = 0 THEN 100 ELSE CAST(100 * (strlen(html) - bad) // strlen(html) AS BIGINT) END AS parse_coverage FROM (SELECT page_id, html, coalesce(list_sum(list_transform(regexp_extract_all(html, '<br>|<p>'), lambda x: strlen(x))), 0) AS bad FROM pages)")
 def parse_coverage(spark: SparkSession, d: str) -> DataFrame:
     pages = _table("pages")(spark, d)
     bad = F.aggregate(F.regexp_extract_all("html", F.lit("<br>|<p>"), 0), F.lit(0), lambda a, x: a + F.octet_length(x))
-    size = F.octet_length("html")
-    return pages.select("page_id", F.when(size == 0, 100).otherwise(F.floor(100 * (size - bad) / size)).cast("bigint").alias("parse_coverage"))
+    return pages.select("page_id", corpus.coverage(F.octet_length("html"), bad).cast("bigint").alias("parse_coverage"))
 
 
 # --- occurrence search ---------------------------------------------------------------------------------------------
@@ -313,10 +310,10 @@ def innermost_span(spark: SparkSession, d: str) -> DataFrame:
     return relations.innermost(points, spans, ["doc_id"], "line", "start", "finish", "id", 256)
 
 
-@query("file_error_left_join", "SELECT c_custkey, coalesce(e.error_count, 0) AS error_count, e.n IS NOT NULL AS has_orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS error_count, count(*) AS n FROM orders GROUP BY 1) e ON o_custkey = c_custkey")
+@query("file_error_left_join", "SELECT c_custkey, coalesce(e.n, 0) AS error_count, coalesce(e.s, 0) AS error_bytes FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(o_orderkey) AS s FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) e ON o_custkey = c_custkey")
 def file_error_left_join(spark: SparkSession, d: str) -> DataFrame:
-    errors = orders(spark, d).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("error_count"), F.count(F.lit(1)).alias("n"))
-    return customer(spark, d).join(errors, "c_custkey", "left").select("c_custkey", F.coalesce("error_count", F.lit(0)).alias("error_count"), F.col("n").isNotNull().alias("has_orders"))
+    errors = orders(spark, d).withColumnRenamed("o_custkey", "c_custkey")
+    return relations.with_errors(customer(spark, d), errors, "c_custkey", F.col("o_orderstatus") == "F", F.col("o_orderkey")).select("c_custkey", "error_count", "error_bytes")
 
 
 @query("usage_file_stamp", f"WITH {LINES} SELECT l.path, l.line, 'n' || substr(sha256(l.path), 1, 12) AS node_id FROM lines l JOIN files f ON f.path = l.path WHERE contains(l.text, 'tion')")
@@ -371,9 +368,8 @@ def ordinal_remap(spark: SparkSession, d: str) -> DataFrame:
 
 @query("children_of_node", "SELECT r_name AS parent, n_name AS child, CAST(row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) AS INTEGER) AS place FROM region JOIN nation ON n_regionkey = r_regionkey")
 def children_of_node(spark: SparkSession, d: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("r_regionkey").orderBy("n_nationkey"))
-    both = _table("region")(spark, d).join(nation(spark, d), F.col("n_regionkey") == F.col("r_regionkey"))
-    return both.select(F.col("r_name").alias("parent"), F.col("n_name").alias("child"), place.alias("place"))
+    found = relations.children(nation(spark, d), _table("region")(spark, d), F.col("n_regionkey") == F.col("r_regionkey"), [F.asc("n_nationkey")])
+    return found.select(F.col("r_name").alias("parent"), F.col("n_name").alias("child"), "place")
 
 
 @query("dir_rollup", f"WITH {FILES} SELECT dir, CAST(sum(size) AS BIGINT) AS size, count(*) AS files FROM (SELECT source AS dir, strlen(text) AS size FROM documents UNION ALL SELECT source || '/' || lang, strlen(text) FROM documents) GROUP BY 1")
@@ -521,7 +517,7 @@ def compact_symbols_by_kind(spark: SparkSession, d: str) -> DataFrame:
 
 @query("json_rows", """SELECT n_nationkey, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS json FROM nation""")
 def json_rows(spark: SparkSession, d: str) -> DataFrame:
-    return nation(spark, d).select("n_nationkey", F.to_json(F.struct("n_nationkey", "n_name", "n_regionkey")).alias("json"))
+    return render.json_lines(nation(spark, d).select("n_nationkey", "n_name", "n_regionkey")).select("n_nationkey", "json")
 
 
 # --- identity and edits --------------------------------------------------------------------------------------------

@@ -167,8 +167,18 @@ class Session:
     def rendered(self, statement: str, how: str = "compact") -> str:
         s = parse(statement)
         df = self.execute(s)
+        if hint := self.hint(s, df):
+            return hint
         return render.as_json(df) if how == "json" else render.compact(df, s.verb, metric=C.metric_field(s.clauses, SHAPES["symbol"]))
 
+    def hint(self, s: Statement, rows: DataFrame) -> str | None:
+        """Where to look when FIND symbols finds no symbol of a name that the corpus uses all the same."""
+        name = next((str(p.value) for p in s.clauses.where if (p.field, p.op) == ("name", "=")), None)
+        if s.verb != "find symbols" or name is None or not rows.isEmpty():
+            return None
+        n = self.lines.filter(text.word_match(F.col("text"), name)).count()
+        return f"0 symbols, but {n} lines use the name without a declaration here: FIND usages OF '{name}'" if n else None
+
     def _find_symbols(self, s: Statement) -> DataFrame:
         shape = SHAPES["symbol"]
         C.refused(s.clauses, shape)
@@ -180,11 +190,9 @@ class Session:
     def _find_files(self, s: Statement) -> DataFrame:
         C.refused(s.clauses, SHAPES["file"], depth=True)
         files = corpus.stamped(corpus.with_paths(self.files))
-        bytes_ = F.col("byte_end") - F.col("byte_start")
-        bad = self.symbols.filter("fql_kind = 'error'").groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("error_count"), F.sum(bytes_).alias("__bad"))
-        left = F.greatest(F.lit(0), F.col("size") - F.coalesce("__bad", F.lit(0)))
-        cover = F.when(F.col("size") == 0, 100).otherwise(F.floor(100 * left / F.col("size"))).cast("int")
-        files = files.join(bad, "path", "left").withColumns({"error_count": F.coalesce("error_count", F.lit(0)), "parse_coverage": cover}).drop("content", "__bad")
+        files = relations.with_errors(files, self.symbols, "path", F.col("fql_kind") == "error", F.col("byte_end") - F.col("byte_start"))
+        cover = corpus.coverage(F.col("size"), F.col("error_bytes")).cast("int")
+        files = files.withColumns({"error_count": F.col("error_count").cast("int"), "parse_coverage": cover}).drop("content", "error_bytes")
         if s.clauses.depth is not None:
             files = C.filtered(files, s.clauses, SHAPES["file"])
             rows = corpus.collapsed(files, s.clauses.depth).withColumns({"name": F.element_at(F.split(F.rtrim(F.col("path"), F.lit("/")), "/"), -1), "extension": text.extension(F.col("path"))})
@@ -252,7 +260,15 @@ class Session:
         C.refused(s.clauses, SHAPES["symbol"] if not any(p.field == "text" for p in s.clauses.where) else SHAPES["line"], depth=True, shaping=False)
         row = self.resolved(s.args["of"], s.clauses)
         around = s.clauses.lines if s.clauses.lines is not None else s.clauses.depth if s.clauses.depth is not None else CONTEXT
-        return self._shown(edits.context(self.lines.filter(F.col("path") == row["path"]), row["line"], around), s.clauses)
+        return self._shown(self.placed(edits.context(self.lines.filter(F.col("path") == row["path"]), row["line"], around), row["path"]), s.clauses)
+
+    def placed(self, lines: DataFrame, path: str) -> DataFrame:
+        """Lines of a file with the innermost node that each lies in, and their place in it from 1."""
+        nodes = self.symbols.filter((F.col("path") == path) & F.col("node_id").isNotNull()).select("path", F.col("line").alias("__from"), "end_line", "node_id")
+        inner = relations.innermost(lines.select("path", "line").distinct(), nodes, ["path"], "line", "__from", "end_line", "node_id", 256)
+        first = nodes.select(F.col("node_id").alias("innermost"), "__from")
+        found = inner.join(first, "innermost").select("path", "line", F.col("innermost").alias("node_id"), (F.col("line") - F.col("__from") + 1).alias("offset"))
+        return lines.join(found, ["path", "line"], "left")
 
     def _paths(self, of: str) -> DataFrame:
         if re.fullmatch(r"n[0-9a-f]{12}", of):
@@ -280,7 +296,7 @@ class Session:
         got = edits.line_range(rows, first, last)
         if got.isEmpty():
             raise QueryError(f"{s.args['of']} has no line {first}")
-        return self._shown(got, s.clauses, paged=False)
+        return self._shown(self.placed(got, s.args["of"]), s.clauses, paged=False)
 
     def node(self, handle: str) -> tuple[dict, tuple[int, int] | None]:
         """A symbol by its id, and the lines that a suffix (n) or (n-m) picks from it."""
@@ -401,13 +417,15 @@ class Session:
 
     def apply(self, changed: DataFrame) -> DataFrame:
         """Makes a next version, with ``changed`` (path, content; null is gone) in place of what was there; answers with the
-        files that differ. Nothing but edited files is written or read again."""
+        files that differ and the lines that came and went. Nothing but edited files is written or read again."""
         before = self.version
         changed = self.kept(changed.select("path", "content"), "changed")
         dirty = changed if before.dirty is None else self.kept(relations.shadowed(before.dirty, changed), "dirty")
         known = before.rows is not None or (before.dirty is None and self._first is not None)
         after = self.indexed(dirty, changed, self.raw, before.rows) if known else Version(dirty)
-        out = edits.changed_files(self.files.join(changed.select("path"), "path", "left_semi"), changed.filter("content is not null"))
+        pairs = edits.paired(self.files.join(changed.select("path"), "path", "left_semi"), changed.filter("content is not null"))
+        count = edits.line_changes(pairs).withColumnsRenamed({"added": "lines_written", "removed": "lines_removed"})
+        out = pairs.select("path", "status").join(count, "path")
         self.undo = [*self.undo, before][-UNDO:]
         self.set_version(after)
         return out

@@ -105,9 +105,7 @@ class Reader:
             end = self.text.find("\n", t.at) if t.text in "({[" else t.end
             end = len(self.text) if end < 0 else end
             owner = min((k for k, r in enumerate(self.rows) if r.name and r.start <= t.at and end <= r.end), key=lambda k: self.rows[k].end - self.rows[k].start, default=-1)
-            text = self.text[t.at : end]
-            name = text if len(text) <= 60 else text[:60] + "…"
-            self.rows.append(Row(name, "error", t.at, end, t.line, t.line, owner, {"error_scope": "nested" if owner >= 0 else "file"}))
+            self.rows.append(Row(snippet(self.text[t.at : end]), "error", t.at, end, t.line, t.line, owner, {"error_scope": "nested" if owner >= 0 else "file"}))
 
     def add(self, name: str, kind: str, a: int, b: int, parent: int = -1, **fields: str) -> int:
         """A row from code token ``a`` to ``b``."""
@@ -660,6 +658,54 @@ class Reader:
             no = re.findall(r"!\s*defined\s*\(?\s*(\w+)", text)
             every = sorted(set(re.findall(r"[A-Za-z_]\w*", text)) - {"defined"})
             r.fields |= {k: ",".join(v) for k, v in (("guard_defines", yes), ("guard_negates", no), ("guard_mentions", every)) if v}
+        if self.language == "rust":
+            self.attributes(group)
+
+    def attributes(self, group: int) -> None:
+        """The ``cfg`` attributes that each row stands under: an attribute guards the item that follows it, with all inside."""
+        for t in self.all:
+            m = re.match(r"\s*#\s*\[\s*cfg\s*\((.*)\)\s*\]", t.text, re.S) if t.kind == "pre" else None
+            if not m:
+                continue
+            group += 1
+            near = min((r.start for r in self.rows if r.start >= t.end and r.fql_kind != "comment"), default=None)
+            item = max((r for r in self.rows if r.start == near and r.fql_kind != "comment"), key=lambda r: r.end, default=None)
+            if item is None:
+                continue
+            guard = cfg_guard(m[1].strip())
+            for r in self.rows:
+                if item.start <= r.start and r.end <= item.end:
+                    had = r.fields.get("guard")
+                    r.fields["guard"] = f"{had} && {guard['guard']}" if had else guard["guard"]
+                    for k in ("guard_defines", "guard_negates", "guard_mentions"):
+                        if names := [x for x in (r.fields.get(k), ",".join(guard[k])) if x]:
+                            r.fields[k] = ",".join(names)
+                    r.fields |= {"guard_kind": "attribute", "guard_group_id": str(group), "guard_branch": "0"}
+
+
+def cfg_guard(cond: str) -> dict:
+    """What a ``cfg`` condition says for sure: ``not(x)`` negates, ``all(..)`` defines each name, ``any(..)`` only mentions
+    them, a plain name or ``key = "value"`` is defined."""
+    out = {"guard": cond, "guard_defines": [], "guard_negates": [], "guard_mentions": []}
+    m = re.fullmatch(r"(not|all|any)\s*\((.*)\)", cond, re.S)
+    word, inner = (m[1], m[2].strip()) if m else ("", cond)
+    parts, depth, at = [], 0, 0
+    for i, c in enumerate(inner):
+        depth += (c == "(") - (c == ")")
+        if c == "," and depth == 0:
+            parts.append(inner[at:i])
+            at = i + 1
+    names = [k[0] for p in [*parts, inner[at:]] if (k := re.fullmatch(r"(\w+)(?:\s*=.*)?", p.strip(), re.S) and re.match(r"\w+", p.strip()))]
+    if word == "not":
+        names = names if re.fullmatch(r"\w+", inner) else []
+        return out | {"guard": f"!{inner}", "guard_negates": names, "guard_mentions": names}
+    return out | {"guard_defines": [] if word == "any" else names, "guard_mentions": names}
+
+
+def snippet(text: str) -> str:
+    """The first line of a text, cut at 60 characters."""
+    line = text.split("\n", 1)[0].strip()
+    return line if len(line) <= 60 else line[:60] + "…"
 
 
 def modifier(word: str) -> str:

@@ -96,6 +96,17 @@ def collapsed(files: DataFrame, depth: int) -> DataFrame:
     return files.groupBy(at.alias("path")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("count"))
 
 
+def coverage(size: Column, bad: Column) -> Column:
+    """The share of a file's bytes outside of errors, in whole percent; an empty file is covered."""
+    return F.when(size == 0, 100).otherwise(F.floor(100 * F.greatest(F.lit(0), size - bad) / size))
+
+
+def totals(files: DataFrame) -> DataFrame:
+    """One row: files, bytes, lines and extensions of a corpus."""
+    one = files.agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.countDistinct("extension").alias("extensions"))
+    return one.crossJoin(F.broadcast(lines(files).agg(F.count(F.lit(1)).alias("lines")))).select("files", "bytes", "lines", "extensions")  # one row on either side
+
+
 def safe_path(path: str) -> str:
     """A relative path that stays below its root, or an error."""
     from ..lang.statement import QueryError

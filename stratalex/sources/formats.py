@@ -9,7 +9,7 @@ import tokenize
 from collections.abc import Callable
 
 from . import trees
-from .clike import _TODO, Reader, Row, lexed
+from .clike import _TODO, Reader, Row, lexed, snippet
 
 LANGUAGES = {
     "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "rs": "rust", "py": "python", "json": "json", "yaml": "yaml", "yml": "yaml",
@@ -50,7 +50,9 @@ def python(text: str) -> list[Row]:
         tree = ast.parse(text)
     except (SyntaxError, ValueError) as e:
         n = getattr(e, "lineno", 1) or 1
-        return [Lines(text).row("", "error", n, n, -1, error_scope="file")]
+        row = Lines(text).row("", "error", n, n, -1, error_scope="file")
+        row.name = snippet(text[row.start : row.end])
+        return [row]
     lines, rows = Lines(text), []
 
     def visit(node: ast.AST, parent: int, owner: str, local: bool) -> None:

@@ -48,6 +48,8 @@ def test_plans_push_down_and_prune(spark, data):
     plan = engine.queries()["where_numeric_range"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(p_size)" in plan or "GreaterThanOrEqual(p_size,10)" in plan
     assert "ReadSchema: struct<p_partkey:bigint,p_name:string,p_size:int>" in plan
+    first = engine.queries()["group_first_row"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in first and "partial_min_by" in first  # rows are put together before they are shuffled
     assert "TakeOrderedAndProject" in engine.queries()["offset_limit"](spark, data)._jdf.queryExecution().executedPlan().toString()
 
 

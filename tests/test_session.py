@@ -11,7 +11,7 @@ from stratalex.lang.statement import QueryError
 from stratalex.plans import clauses as C
 from stratalex.plans import predicates as P
 from stratalex.lang.statement import Predicate
-from stratalex.operators import edits
+from stratalex.operators import edits, render
 from stratalex.plans.shapes import SHAPES
 from stratalex.session import Session
 from stratalex.sources import corpus, formats
@@ -122,7 +122,7 @@ def test_show(session):
 
 def test_edits_undo_and_transactions(session):
     run, text = session.run, lambda p: session.files.filter(F.col("path") == p).first()["content"]
-    assert [tuple(r) for r in run("CHANGE FILE 'src/pump.cpp' MATCHING WORD 'counter' WITH 'ticks'").collect()] == [("src/pump.cpp", "M")]
+    assert [tuple(r) for r in run("CHANGE FILE 'src/pump.cpp' MATCHING WORD 'counter' WITH 'ticks'").collect()] == [("src/pump.cpp", "M", 1, 1)]
     assert "int ticks = 0" in text("src/pump.cpp")
     run("CHANGE FILE 'conf/b.yaml' LINES 1-2 WITH 'z: 1'")
     assert text("conf/b.yaml") == "z: 1\nc: [x]\n"
@@ -269,7 +269,7 @@ int f(int n) {
     assert f["decl_far_conditional"] == "true" and f["has_unused_reassign"] == "false" and len(f["content_hash"]) == 16 == len(f["first_body_statement_fingerprint"])
     assert one("hidden", "field")["fields"]["visibility"] == "private" and one("go", "field")["fields"]["visibility"] == "public"
     assert one("go", "field")["fields"]["body_symbol"] == "A::go" and one("go", "field")["fields"]["owner_kind"] == "class_specifier"
-    assert int(one("", "error")["fields"]["error_bytes"]) == 6
+    assert int(one("def (:", "error")["fields"]["error_bytes"]) == 6
     assert {r["name"]: r["depth"] for r in s.run("SHOW outline OF 'b.cpp'").collect()} == {"A": 0, "hidden": 1, "go": 1}
 
 
@@ -460,3 +460,27 @@ def test_trees_of_data_formats_cover_their_text():
             assert all(x.start < x.end and (x.parent < 0 or rows[x.parent].end >= x.end) for x in rows)
     toml = 'x = 1 # c\n[t]\ns = """a\nb"""\n\n[t.u]\nz.y = [1,\n  {q = 2, r.s = "}"}, # no\n]\n[[p]]\nn = 1\n[[p]]\nn = \'a]\'\n'
     assert [x.fields["key_path"] for x in formats.read("a.toml", toml)[1]] == ["x", "t", "t.s", "t.u", "t.u.z", "t.u.z.y", "t.u.z.y.0", "t.u.z.y.1", "t.u.z.y.1.q", "t.u.z.y.1.r", "t.u.z.y.1.r.s", "p", "p.0", "p.0.n", "p.1", "p.1.n"]
+
+
+def test_layouts_hints_and_places_of_lines(spark):
+    c = "struct P { int a; void m(); };\nint f(int x) {\n  if (x) { g(x); }\n  return h();\n}\nint k = missing;\n"
+    s = Session(spark, spark.createDataFrame([("a.c", c)], "path string, content string"))
+    assert s.rendered("FIND symbols WHERE name = 'missing'").startswith("0 symbols, but 1 lines use the name")
+    assert "0 symbols" not in s.rendered("FIND symbols WHERE name = 'nowhere'")
+    assert s.rendered("SHOW outline OF 'a.c'").split("\n")[:3] == ['"depth","[fql_kind,name,line,node_id]"', f'0,"[""struct"", ""P"", 1, ""{s.symbols.filter("name = \'P\'").first()["node_id"]}""]"'] + [s.rendered("SHOW outline OF 'a.c'").split("\n")[2]]
+    assert s.rendered("SHOW callees OF f").split("\n")[1] == '"a.c","[[""g"", 3], [""h"", 4]]"'
+    assert s.rendered("SHOW members OF P").startswith('"type","[text,line,node_id]"\n"field",') and s.rendered("FIND files").startswith('"path","size","node_id","rev","error_count","parse_coverage"')
+    assert s.rendered("SHOW LINES 5-6 OF 'a.c'") == '"line","text"\n5,"}"\n6,"int k = missing;"\n'
+    ids = {r.name: r.node_id for r in s.symbols.filter("node_id is not null").collect()}
+    assert [(r["node_id"], r["offset"]) for r in s.run("SHOW LINES 3-6 OF 'a.c'").orderBy("line").collect()] == [(ids["a"], 1), (ids["f"], 3), (ids["f"], 4), (ids["k"], 1)]
+    with pytest.raises(QueryError):
+        render.as_json(spark.range(1001))
+
+
+def test_cfg_guards():
+    rust = '#[cfg(feature = "x")]\nmod a {\n    #[cfg(not(test))]\n    fn f() {}\n}\n#[cfg(any(unix, windows))]\nfn g() {}\n#[cfg(all(p, q = "1"))]\nfn h() {}\nfn i() {}\n'
+    rows = {r.name: r.fields for r in formats.read("a.rs", rust)[1]}
+    pick = lambda n: tuple(rows[n].get(k) for k in ("guard", "guard_defines", "guard_negates", "guard_mentions", "guard_kind"))
+    assert pick("a") == ('feature = "x"', "feature", None, "feature", "attribute")
+    assert pick("f") == ('feature = "x" && !test', "feature", "test", "feature,test", "attribute")
+    assert pick("g") == ("any(unix, windows)", None, None, "unix,windows", "attribute") and pick("h")[1] == "p,q" and pick("i")[0] is None
