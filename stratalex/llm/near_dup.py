@@ -38,7 +38,7 @@ class Near:
     and ``bands`` bands let a pair at the threshold slip with probability (1 - (percent / 100)^rows)^bands: 2e-7 for the
     settings below, while of pairs of similarity 0.5 one in four (CONTRACT: one in fifteen) becomes a candidate. ``block``
     is the number of shingles that a block of a candidate group holds at about most, ``few`` the number of classes in the
-    blocks that a large group is first dealt into."""
+    blocks that a large group is first dealt into, and a fourth of those that its rest is compared in."""
 
     words: int = 5
     percent: int = 80
@@ -242,10 +242,9 @@ def size_bin(near: Near) -> Column:
     return F.floor(F.log(F.col("n_shingles").cast("double")) / step).cast("long")
 
 
-def dealt(members: DataFrame, near: Near, few: bool) -> DataFrame:
-    """``members`` with ``block``: those of one group and size in as many blocks as bounds ask for."""
-    blocks = F.ceil(F.sum("n_shingles") / near.block)
-    blocks = F.greatest(blocks, F.ceil(F.count(F.lit(1)) / near.few)) if few else blocks
+def dealt(members: DataFrame, near: Near, few: int) -> DataFrame:
+    """``members`` with ``block``: those of one group and size in as many blocks as bounds ask for, ``few`` classes in each."""
+    blocks = F.greatest(F.ceil(F.sum("n_shingles") / near.block), F.ceil(F.count(F.lit(1)) / few))
     counts = members.groupBy("grp", "bin").agg(F.least(blocks, F.lit(DEAL)).alias("blocks"), F.min("node").alias("pivot"))
     return members.join(counts, ["grp", "bin"]).withColumn("block", F.col("bin") * DEAL + F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")))
 
@@ -261,7 +260,7 @@ def grouped_within(members: DataFrame, texts: DataFrame, near: Near) -> DataFram
     together = lambda x: x.withColumns({"i": F.col("block"), "j": F.col("block")}).select(place)
     if known.filter("large").isEmpty():
         return components(check(together(small)))
-    large = saved(dealt(known.filter("large"), near, True), "dealt")
+    large = saved(dealt(known.filter("large"), near, near.few), "dealt")
     # the smallest class of a size stands in every block of that size
     first = large.filter("node = pivot and blocks > 1").withColumn("own", F.col("block"))
     first = first.withColumn("block", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.col("bin") * DEAL + k))).filter("block <> own")
@@ -274,8 +273,8 @@ def grouped_within(members: DataFrame, texts: DataFrame, near: Near) -> DataFram
     if left.isEmpty():
         return found
     # what is left, against all of its group: their blocks are numbered below zero
-    all_ = dealt(joined.drop("component"), near, False)
-    asked = dealt(left, near, False).withColumn("block", -1 - F.col("block"))
+    all_ = dealt(joined.drop("component"), near, 4 * near.few)
+    asked = dealt(left, near, 4 * near.few).withColumn("block", -1 - F.col("block"))
     beside = lambda rows: rows.select("grp", "block", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin")).distinct()
     right = all_.join(beside(asked).withColumnRenamed("block", "i"), ["grp", "bin"]).withColumn("j", F.col("block"))
     mine = asked.withColumn("i", F.col("block")).join(beside(all_).withColumnRenamed("block", "j"), ["grp", "bin"])
