@@ -7,7 +7,7 @@ parentheses. That covers ordinary code; what a macro hides from the lexer stays
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 from hashlib import sha256
@@ -72,6 +72,9 @@ class Reader:
         self.all = lexed(text)
         self.code = [t for t in self.all if t.kind not in ("comment", "pre")]
         self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
+        self.ends = [t.end for t in self.all]
+        self.notes = [t for t in self.all if t.kind == "comment"]
+        self.noted = [t.at for t in self.notes]
         self.rows: list[Row] = []
         self.word: dict[int, str] = {}
         self.access: dict[int, str] = {}
@@ -197,8 +200,9 @@ class Reader:
         for w in _MODIFIERS:
             if w in words:
                 f[modifier(w)] = "true"
-        before = [t for t in self.all if t.end <= self.code[start].at][-1:]
-        f["has_doc"] = "true" if before and before[0].kind == "comment" and self.line(before[0].end) >= self.code[start].line - 1 else "false"
+        k = bisect_right(self.ends, self.code[start].at) - 1
+        before = self.all[k] if k >= 0 else None
+        f["has_doc"] = "true" if before and before.kind == "comment" and self.line(before.end) >= self.code[start].line - 1 else "false"
 
     def simple(self, a: int, b: int, parent: int, where: str) -> None:
         """A statement that ends without braces."""
@@ -560,7 +564,7 @@ class Reader:
                 casts += 1
         f = self.rows[row].fields
         f |= {"has_cast": "true" if casts else "false", "cast_count": str(casts)}
-        inner = [t for t in self.all if t.kind == "comment" and code[brace].at < t.at < code[end].at]
+        inner = self.notes[bisect_right(self.noted, code[brace].at) : bisect_left(self.noted, code[end].at)]
         tags = [m[1].upper() for t in inner for m in _TODO.finditer(t.text)]
         if tags:
             f |= {"has_todo": "true", "todo_count": str(len(tags)), "todo_tags": ",".join(sorted(set(tags)))}
