@@ -402,6 +402,9 @@ def test_quality_rules_statistics_and_list(spark, data, awkward, empty):
     for rule in rules:
         listed |= quality_rules.covers(rule, judged)
     assert (judged.kept == ~(fails | listed)).all()
+    for row in judged.itertuples():
+        hit = any(all(getattr(row, c.stat) >= c.bound if c.above else getattr(row, c.stat) <= c.bound for c in rule) for rule in rules)
+        assert row.kept == (not row.base_failed and not hit)
     known = judged[~fails].merge(labels.toPandas(), on="doc_id")
     assert (known.kept == (known.quality == 1)).mean() > 0.9
     assert quality_rules.judged(awkward, []).count() == awkward.count()
@@ -461,6 +464,40 @@ def test_mix_by_weights(spark):
     assert mean[0] < mean[1] < mean[2] < mean[3]
 
 
+def test_mix_takes_the_smallest_ranks(spark):
+    """Every document's copies against a plain Pareto order sample: certain copies, then ranks, then the best fit of the gap."""
+    r = random.Random(12)
+    given = [(i, "w " * r.randint(0, 30), r.choice(["a", "b", None]), r.choice([0.2, 1.0, 4.0, None])) for i in range(600)]
+    df = spark.createDataFrame(given, "doc_id long, text string, source string, worth double")
+    for weight in (None, "worth"):
+        taken = {x.doc_id: x.taken for x in mixing.mix_sizes(df, [5, 2, 1], weight=weight).collect()}
+        docs = mixing.sized(df, weight).select("doc_id", "source", "size", "key", "weight").collect()
+        sizes = Counter()
+        for x in docs:
+            sizes[x.source] += x["size"]
+        goal = brute_targets(sizes, [5, 2, 1], 3)
+        for source in sizes:
+            mine = [x for x in docs if x.source == source]
+            tilted = sum(x.weight * x["size"] for x in mine)
+            copies, ranks = {}, []
+            for x in mine:
+                expected = min(x.weight * goal[source] / tilted, 3.0)
+                sure = copies[x.doc_id] = int(expected)
+                p, u = expected - sure, ((x.key % 2**64 >> 11) + 0.5) / 2**53
+                odds = u / (1 - u) * (1 - p) / p if p > 0 else None
+                if sure < 3:
+                    ranks.append((odds / (1 + odds) if p > 0 else 1.0, x.key, x["size"], x.doc_id))
+            rest = goal[source] - sum(copies[x.doc_id] * x["size"] for x in mine)
+            ranks.sort()
+            while ranks and ranks[0][2] <= rest:
+                rest -= ranks[0][2]
+                copies[ranks.pop(0)[3]] += 1
+            spare = min(((abs(n - rest), at, key, i) for at, key, n, i in ranks if n and abs(n - rest) < rest), default=None)
+            if spare:
+                copies[spare[3]] += 1
+            assert {x.doc_id: copies[x.doc_id] * x["size"] for x in mine} == {x.doc_id: taken[x.doc_id] for x in mine}
+
+
 def test_chat_round_trip_and_digests(spark, empty):
     r = random.Random(6)
     parts = ["<turn user>", "</turn>", "<\\turn", "<\\\\/turn", "\\", "\n", "a", "é", "", "\n</turn>\n", "<turn", "$1"]
