@@ -24,23 +24,23 @@ def test_literals_are_numbers_then_booleans_then_text():
             value(bad)
 
 
-@pytest.mark.parametrize("fql", ["", "FIND", "FIND things", "FIND files WHERE a ~ 1", "FIND files LIMIT x", "SHOW LINES 3 OF a", "FIND files ORDER size", "FIND files WHERE a = 'x"])
-def test_bad_statements_are_refused(fql):
+@pytest.mark.parametrize("statement", ["", "FIND", "FIND things", "FIND files WHERE a ~ 1", "FIND files LIMIT x", "SHOW LINES 3 OF a", "FIND files ORDER size", "FIND files WHERE a = 'x"])
+def test_bad_statements_are_refused(statement):
     with pytest.raises(QueryError):
-        parse(fql)
+        parse(statement)
 
 
 @pytest.mark.parametrize(
-    "fql, shape, how",
+    "statement, shape, how",
     [
         ("FIND symbols WHERE node_kind = 'x'", "symbol", {}), ("FIND symbols WHERE count > 1", "symbol", {}), ("FIND files WHERE lines > 1", "file", {}),
         ("FIND files ORDER BY nothing", "file", {}), ("FIND symbols DEPTH 2", "symbol", {}), ("SHOW LINES 1-2 OF a ORDER BY line", "line", {"shaping": False}),
         ("SHOW LINES 1-2 OF a IN 'b'", "line", {"globs": False}),
     ],
 )
-def test_unanswerable_clauses_are_refused(fql, shape, how):
+def test_unanswerable_clauses_are_refused(statement, shape, how):
     with pytest.raises(QueryError):
-        C.refused(parse(fql).clauses, SHAPES[shape], **how)
+        C.refused(parse(statement).clauses, SHAPES[shape], **how)
 
 
 def test_globs():
