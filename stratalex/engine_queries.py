@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .queries import query
 from .session import Session
 
-#: Sessions that no statement edits, by application and folder.
+#: Sessions that no statement edits, by application and folder: others begin as their forks, so a corpus is read once.
 _READ_ONLY: dict[tuple[str, str], Session] = {}
 
 
@@ -45,7 +45,7 @@ def _session(spark: SparkSession, d: str) -> Session:
 
 
 def _edited(spark: SparkSession, d: str, *statements: str) -> Session:
-    s = Session(spark, code_files(spark, d))
+    s = _session(spark, d).forked()
     for statement in statements:
         s.run(statement)
     return s
@@ -163,7 +163,7 @@ def session_diff_stat(spark: SparkSession, d: str) -> DataFrame:
 @query("session_delete_member", "SELECT 'conf/' || lower(replace(r_name, ' ', '_')) || '.json' AS path, sha256('{' || chr(10) || ' \"nations\": {' || chr(10) || string_agg('    \"' || n_name || '\": {\"key\": ' || n_nationkey || ', \"tags\": [\"a\", ' || n_nationkey || ']}', ',' || chr(10) ORDER BY n_nationkey) || chr(10) || ' }' || chr(10) || '}' || chr(10)) AS rev FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'EUROPE' GROUP BY r_name")
 def session_delete_member(spark: SparkSession, d: str) -> DataFrame:
     """A member of a JSON object goes with its comma; no other byte changes."""
-    s = Session(spark, code_files(spark, d))
+    s = _session(spark, d).forked()
     handle = s.run("FIND symbols WHERE key_path = 'region' IN 'conf/europe.json'").first()["node_id"]
     s.run(f"DELETE NODE {handle}")
     return s.file("conf/europe.json").select("path", F.sha2(F.replace("content", F.lit('{"nations"'), F.lit('{\n "nations"')), 256).alias("rev"))
@@ -172,7 +172,7 @@ def session_delete_member(spark: SparkSession, d: str) -> DataFrame:
 @query("session_change_found", f"WITH {FUNCTIONS} SELECT path, count(*) AS files FROM functions WHERE k % 7 = 6 GROUP BY path")
 def session_change_found(spark: SparkSession, d: str) -> DataFrame:
     """The lines that a FIND showed are changed, in whatever files they are."""
-    s = Session(spark, code_files(spark, d))
+    s = _session(spark, d).forked()
     s.run(f"FIND usages OF helper_6 IN 'code' LIMIT {ALL}")
     s.run("CHANGE NODES FOUND MATCHING 'helper_6' WITH 'other_6'")
     return s.run(f"FIND usages OF other_6 LIMIT {ALL}").groupBy("path").agg(F.count(F.lit(1)).alias("files"))
@@ -181,7 +181,7 @@ def session_change_found(spark: SparkSession, d: str) -> DataFrame:
 @query("session_ids_after_edit", f"WITH {FUNCTIONS}, o AS (SELECT 'helper_' || h AS name, 'n' || substr(sha256('lib/helpers.c'), 1, 12) || '.' || printf('%04d', h + 1) AS node_id FROM range(7) t(h)) SELECT * FROM o UNION ALL SELECT 'early', 'n' || substr(sha256('lib/helpers.c'), 1, 12) || '.0008'")
 def session_ids_after_edit(spark: SparkSession, d: str) -> DataFrame:
     """Handles of nodes behind an insertion stay; the new node takes the next number."""
-    s = Session(spark, code_files(spark, d))
+    s = _session(spark, d).forked()
     handle = s.run("FIND symbols WHERE name = 'helper_0'").first()["node_id"]
     s.run(f"INSERT BEFORE NODE {handle} WITH 'int early(void) {{ return 1; }}'")
     return s.run("FIND symbols WHERE kind = 'function' IN 'lib'").select("name", "node_id")

@@ -70,9 +70,27 @@ def spans_changed(files: DataFrame, spans: DataFrame, change: Callable[[Column],
     merged = disjoint(spans)
     if not overlaps(merged, ["path"], ["end"]).filter("overlaps").isEmpty():
         raise QueryError("edits cross each other")
-    listed = merged.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start", "end")), asc=False).alias("__spans"))
-    put = lambda acc, s: spliced(acc, s["start"], s["end"], change(F.substring(acc, s["start"] + 1, s["end"] - s["start"])))
-    return files.join(listed, "path").select("path", F.aggregate("__spans", F.col("content"), put).alias("content"))
+    listed = merged.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))
+    cut = files.join(listed, "path").select("path", "content", F.col("__spans.start").alias("starts"), F.col("__spans.end").alias("ends"))
+    parts = pieces(cut).withColumn("text", F.when(F.col("inside"), change(F.col("text"))).otherwise(F.col("text")))
+    whole = F.array_sort(F.collect_list(F.struct("nth", "text")))
+    return parts.groupBy("path").agg(F.array_join(whole["text"], "").alias("content"))
+
+
+def pieces(files: DataFrame) -> DataFrame:
+    """(path, nth, inside, text) of files (path, content, starts, ends; sorted spans that don't cross): a text is cut in one
+    walk, however many spans it has."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for path, content, starts, ends in zip(p.path, p.content, p.starts, p.ends):
+                at, out = 0, []
+                for a, b in zip(starts, ends):
+                    out += [(path, len(out), False, content[at:a]), (path, len(out) + 1, True, content[a:b])]
+                    at = b
+                yield pd.DataFrame([*out, (path, len(out), False, content[at:])], columns=["path", "nth", "inside", "text"])
+
+    return bounded(files).mapInPandas(run, "path string, nth int, inside boolean, text string")
 
 
 def disjoint(spans: DataFrame) -> DataFrame:
@@ -81,6 +99,17 @@ def disjoint(spans: DataFrame) -> DataFrame:
     return spans.select("path", "start", "end").distinct().withColumn("__end", F.max("end").over(before)).filter("__end is null or end > __end").drop("__end")
 
 
+def line_spans(files: DataFrame) -> DataFrame:
+    """(path, line, start, end) of every line of files: its characters with its line end. Lengths are summed up in order, so a
+    file is read once; only lengths are shuffled."""
+    sizes = F.transform(F.split("content", "\n", -1), lambda x: F.length(x) + 1)
+    known = files.select("path", F.length("content").alias("__length"), sizes.alias("__sizes"))  # before rows are made: a line must not carry its file
+    each = known.select("path", "__length", F.posexplode("__sizes").alias("__pos", "__size"))
+    upto = Window.partitionBy("path").orderBy("__pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    done = each.withColumn("__upto", F.sum("__size").over(upto))
+    return done.select("path", (F.col("__pos") + 1).alias("line"), (F.col("__upto") - F.col("__size")).cast("int").alias("start"), F.least("__upto", "__length").cast("int").alias("end"))
+
+
 def line_start(content: Column, line: int) -> Column:
     """How many characters come before a line, counted from 1; all of them where the text has no such line."""
     return F.lit(0) if line <= 1 else F.least(F.length(content), F.length(F.substring_index(content, "\n", line - 1)) + 1)
@@ -174,13 +203,22 @@ def split_lines(text: str | None) -> list[str]:
 
 def changed_lines(a: list[str], b: list[str]) -> tuple[int, int]:
     """How many lines of ``b`` and of ``a`` are outside a longest common subsequence, found with one row of bits."""
-    at = 0
-    while at < min(len(a), len(b)) and a[at] == b[at]:
-        at += 1
-    end = 0
-    while end < min(len(a), len(b)) - at and a[-1 - end] == b[-1 - end]:
-        end += 1
-    a, b = a[at : len(a) - end], b[at : len(b) - end]
+    gone = [0, 0]
+    while True:
+        at = 0
+        while at < min(len(a), len(b)) and a[at] == b[at]:
+            at += 1
+        end = 0
+        while end < min(len(a), len(b)) - at and a[-1 - end] == b[-1 - end]:
+            end += 1
+        a, b = a[at : len(a) - end], b[at : len(b) - end]
+        of_a, of_b = set(a), set(b)
+        if of_a == of_b:
+            break
+        # a line that the other side doesn't have is in no common subsequence, and what is left may begin alike
+        sizes = len(a), len(b)
+        a, b = [x for x in a if x in of_b], [x for x in b if x in of_a]
+        gone = [gone[0] + sizes[0] - len(a), gone[1] + sizes[1] - len(b)]
     places: dict[str, int] = {}
     for i, x in enumerate(a):
         places[x] = places.get(x, 0) | 1 << i
@@ -191,4 +229,4 @@ def changed_lines(a: list[str], b: list[str]) -> tuple[int, int]:
             hit = row & mask
             row = ((row + hit) | (row - hit)) & full
     common = len(a) - row.bit_count()
-    return len(b) - common, len(a) - common
+    return gone[1] + len(b) - common, gone[0] + len(a) - common

@@ -104,11 +104,14 @@ def applied(df: DataFrame, clauses: Clauses, shape: Shape, storage_order: list[s
     return paged(df, clauses, shape, None if clauses.having else default)
 
 
-def file_pages(df: DataFrame, limit: int | None, offset: int = 0, ceiling: int = 2000) -> DataFrame:
+def file_pages(df: DataFrame, limit: int | None, offset: int = 0, ceiling: int | None = None) -> DataFrame:
     """Usage rows by whole files: LIMIT and OFFSET count files in their order, and the page ends before the file that
-    would lift its sites above ``ceiling``; its first file is always complete. Counts a file, not rows, are ranked."""
+    would lift its sites above ``ceiling``, if there is one; its first file is always complete. Counts a file, not rows, are
+    ranked."""
     files = df.groupBy("path").agg(F.count(F.lit(1)).alias("__sites"))
     ranked = numbered(files, [F.asc("path")], "__rank").filter(F.col("__rank") > offset)
+    if ceiling is None:
+        return df.join(ranked.filter(F.lit(True) if limit is None else F.col("__rank") <= offset + limit).select("path"), "path", "left_semi")
     # every file has a site, so a page has no more than ``ceiling`` files: those are summed up in one task
     most = ceiling + 1 if limit is None else min(limit, ceiling + 1)
     upto = Window.orderBy("__rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)

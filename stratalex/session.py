@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 import uuid
+from copy import copy
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,7 +61,7 @@ class Session:
     def reset(self, files: DataFrame) -> None:
         """Begins again with ``files``: the only time that a whole corpus is written and indexed."""
         self.origin = self.kept(files.select("path", "content"), "version")
-        self._first: tuple[DataFrame, DataFrame, DataFrame] | None = None
+        self._first: dict[str, DataFrame] = {}
         self.undo: list[Version] = []
         self.marks: list[tuple[str, Version]] = []
         self.base = Version()
@@ -84,24 +85,35 @@ class Session:
     def lines(self) -> DataFrame:
         return corpus.lines(self.files)
 
-    @property
-    def first(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Rows, usage counts and symbols of the files that the session began with, built when first asked for."""
-        if self._first is None:
-            raw = self.kept(index.raw_symbols(self.origin), "raw")
-            counts = self.kept(index.code_counts(self.origin, raw), "counts")
-            self._first = raw, counts, self.kept(index.symbols(raw, counts), "symbols")
-        return self._first
+    def first(self, what: str) -> DataFrame:
+        """The ``raw`` rows, usage ``counts`` or ``symbols`` of the files that the session began with, built when first asked
+        for: rows alone answer what needs no symbols."""
+        if what not in self._first:
+            make = {
+                "raw": lambda: index.raw_symbols(self.origin),
+                "counts": lambda: index.code_counts(self.origin, self.first("raw")),
+                "symbols": lambda: index.symbols(self.first("raw"), self.first("counts")),
+            }
+            self._first[what] = self.kept(make[what](), what)
+        return self._first[what]
+
+    def forked(self) -> Session:
+        """Another session over the same first version, whose tables it shares: they never change, edits lie beside them."""
+        other = copy(self)
+        other.commits, other.trees, other.outputs, other.undo, other.marks = [], {}, [], [], []
+        other.base = Version()
+        other.set_version(Version())
+        return other
 
     @property
     def raw(self) -> DataFrame:
         """The index rows of the current version: only edited files were read again."""
         version = self.version
         if version.dirty is None:
-            return self.first[0]
+            return self.first("raw")
         if version.rows is None:
-            self.version = version = self.indexed(version.dirty, version.dirty, self.first[0], None)
-        return self.first[0].join(version.dirty.select("path"), "path", "left_anti").select(*version.rows.columns).unionByName(version.rows)
+            self.version = version = self.indexed(version.dirty, version.dirty, self.first("raw"), None)
+        return self.first("raw").join(version.dirty.select("path"), "path", "left_anti").select(*version.rows.columns).unionByName(version.rows)
 
     def indexed(self, dirty: DataFrame, edited: DataFrame, old: DataFrame, rows: DataFrame | None) -> Version:
         """A version whose ``edited`` files are read again, their ordinals those of the ``old`` rows that go on."""
@@ -115,8 +127,8 @@ class Session:
         """The symbols of the current version. Those of the first one are a table; the rows of edited files, and calls of the
         macros that they define or defined, are a small one beside it, and so are the changes of usage counts."""
         if self._symbols is None:
-            raw, (first, counts, table) = self.raw, self.first
-            version = self.version
+            raw, table = self.raw, self.first("symbols")
+            version, first, counts = self.version, self.first("raw"), self.first("counts")
             self._symbols = table if version.dirty is None else self.merged(version, raw, first, counts, table)
         return self._symbols
 
@@ -140,7 +152,7 @@ class Session:
     def reachable(self) -> set[str]:
         """Names of the tables in ``store`` that this session may still read."""
         versions = [self.version, self.base, *self.undo, *(v for _, v in self.marks), *(v for pair in self.trees.values() for v in pair)]
-        held = [self.origin, *(self._first or ()), *self.outputs, *(t for v in versions for t in (v.dirty, v.rows) if t is not None)]
+        held = [self.origin, *self._first.values(), *self.outputs, *(t for v in versions for t in (v.dirty, v.rows) if t is not None)]
         held += [self.found.rows] if self.found else []
         return {f.split("/")[-2] for t in held for f in t.inputFiles()}
 
@@ -214,7 +226,7 @@ class Session:
         rows = rows.join(stamps, "path", "left")
         if c.group_by or c.having:
             return C.applied(rows, c, shape)
-        rows = C.filtered(rows, c, shape)
+        rows = self.kept(C.filtered(rows, c, shape), "usages")
         page = C.file_pages(rows, c.limit if c.limit is not None else PAGE, c.offset or 0)
         self.arm(page, "usages", rows)
         return C.paged(page, Clauses(order_by=c.order_by), shape)
@@ -421,7 +433,7 @@ class Session:
         before = self.version
         changed = self.kept(changed.select("path", "content"), "changed")
         dirty = changed if before.dirty is None else self.kept(relations.shadowed(before.dirty, changed), "dirty")
-        known = before.rows is not None or (before.dirty is None and self._first is not None)
+        known = before.rows is not None or (before.dirty is None and "raw" in self._first)
         after = self.indexed(dirty, changed, self.raw, before.rows) if known else Version(dirty)
         pairs = edits.paired(self.files.join(changed.select("path"), "path", "left_semi"), changed.filter("content is not null"))
         count = edits.line_changes(pairs).withColumnsRenamed({"added": "lines_written", "removed": "lines_removed"})
@@ -598,12 +610,10 @@ class Session:
         rows = self.found.rows
         if self.found.of == "files":
             return self.files.join(rows.select("path"), "path", "left_semi").select("path", identity.path_handle(F.col("path")).alias("node_id"), F.lit(0).alias("start"), F.length("content").alias("end"))
-        before = F.expr("length(substring_index(content, '\n', line - 1))")
-        start = F.when(F.col("line") == 1, 0).otherwise(before + 1)
-        end = F.least(F.length("content"), F.expr("length(substring_index(content, '\n', line))") + 1)
         if self.found.of == "usages":
             lines = rows.select("path", "line").distinct()
-            return self.files.join(lines, "path").select("path", F.concat(identity.path_handle(F.col("path")), F.lit(":"), "line").alias("node_id"), start.alias("start"), end.alias("end"))
+            spans = edits.line_spans(self.files.join(lines.select("path"), "path", "left_semi"))
+            return spans.join(lines, ["path", "line"]).select("path", F.concat(identity.path_handle(F.col("path")), F.lit(":"), "line").alias("node_id"), "start", "end")
         nodes = rows.filter("node_id is not null").select("path", "node_id", F.col("char_start").alias("start"), F.col("char_end").alias("end"))
         others = rows.filter("node_id is null").select("path", F.concat("path", F.lit(":"), F.col("char_start").cast("string")).alias("node_id"), F.col("char_start").alias("start"), F.col("char_end").alias("end"))
         return nodes.unionByName(others)

@@ -370,6 +370,32 @@ def test_found_nodes_and_lines(spark):
     assert s.files.filter("path = 'z.txt'").isEmpty()
 
 
+def test_found_lines_of_any_number(spark):
+    """More sites than any page of 2,000 and spans behind characters of several bytes: all are shown and changed."""
+    code = "".join(f"int é_{i}() {{ return old_name({i}); }}\n" for i in range(1500)) + "old_name"
+    s = Session(spark, spark.createDataFrame([("a.c", code), ("b.c", code), ("c.c", "int x;\n")], "path string, content string"))
+    assert s.run("FIND usages OF old_name").count() == 3002
+    assert s.run("FIND usages OF old_name LIMIT 1").count() == 1501 and s.run("FIND usages OF old_name LIMIT 5 OFFSET 1").count() == 1501
+    s.run("FIND usages OF old_name LIMIT 10")
+    s.run("CHANGE NODES FOUND MATCHING 'old_name' WITH 'new'")
+    assert {r.path: r.content for r in s.files.collect()} == {"a.c": code.replace("old_name", "new"), "b.c": code.replace("old_name", "new"), "c.c": "int x;\n"}
+
+
+def test_line_spans_equal_their_definition(spark):
+    texts = ["", "\n", "a", "a\n", "é\n\nbc", "x\r\n\r\ny\n"]
+    got = edits.line_spans(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, content string")).collect()
+    for i, t in enumerate(texts):
+        mine = sorted((r.line, r.start, r.end) for r in got if r.path == str(i))
+        parts = [p + "\n" for p in t.split("\n")]
+        assert [t[a:b] for _, a, b in mine] == [*parts[:-1], parts[-1][:-1]] and [n for n, _, _ in mine] == [*range(1, len(parts) + 1)]
+
+
+def test_diff_of_many_changed_lines_takes_little():
+    a = [f"line {i // 2}" if i % 2 else f"old {i}" for i in range(200_000)]
+    b = [f"line {i // 2}" if i % 2 else f"new {i}" for i in range(200_000)]
+    assert edits.changed_lines(a, b) == (100_000, 100_000)
+
+
 def test_directories_have_records(spark):
     s = Session(spark, spark.createDataFrame([("a/b/x.c", "int x;\n"), ("a/y.c", "int y;\n")], "path string, content string"))
     handle = "n" + hashlib.sha256(b"a").hexdigest()[:12]
