@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,9 +41,10 @@ def comment_style(comment: Column) -> Column:
 def number_body(literal: Column) -> Column:
     """The literal without separators, sign and suffix; hexadecimal digits are no suffix."""
     plain = F.regexp_replace(F.regexp_replace(literal, "[_']", ""), "^[+-]", "")
-    return F.when(plain.rlike("^0[xX]"), F.regexp_replace(plain, "[uUlL]+$", "")).otherwise(
-        F.regexp_replace(plain, "([0-9.])(?:[uUlLfF]+|[iu](?:8|16|32|64|128|size)|f(?:32|64))$", "$1")
+    bare = lambda p: F.when(p.rlike("^0[xX]"), F.regexp_replace(p, "[uUlL]+$", "")).otherwise(
+        F.regexp_replace(p, "([0-9.])(?:[uUlLfF]+|[iu](?:8|16|32|64|128|size)|f(?:32|64))$", "$1")
     )
+    return let(plain, bare)
 
 
 def number_suffix(literal: Column) -> Column:
@@ -51,9 +54,12 @@ def number_suffix(literal: Column) -> Column:
     )
 
 
-def number_format(literal: Column) -> Column:
-    """hex, bin, oct, scientific, float, dec: the first that fits, so 0xE1 is hex and 0 is dec."""
-    body = number_body(literal)
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` a value that is computed once, however often ``of`` names it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def _format_of(body: Column) -> Column:
     return (
         F.when(body.rlike("^0[xX]"), "hex")
         .when(body.rlike("^0[bB]"), "bin")
@@ -64,9 +70,7 @@ def number_format(literal: Column) -> Column:
     )
 
 
-def number_value(literal: Column) -> Column:
-    """The value as a whole number: fractions are cut off, what doesn't fit or parse is 0."""
-    body, kind = number_body(literal), number_format(literal)
+def _value_of(body: Column, kind: Column, negative: Column) -> Column:
     based = lambda prefix, base, most: F.when(
         F.length(F.regexp_replace(body, prefix, "")).between(1, most), F.conv(F.regexp_replace(body, prefix, ""), base, 10).try_cast("bigint")
     )
@@ -77,7 +81,17 @@ def number_value(literal: Column) -> Column:
         .when(kind.isin("scientific", "float"), F.when(F.abs(body.try_cast("double")) < 9e18, body.try_cast("double")).cast("bigint"))
         .otherwise(body.try_cast("bigint"))
     )
-    return F.coalesce(F.when(literal.startswith("-"), -value).otherwise(value), F.lit(0)).cast("bigint")
+    return let(value, lambda v: F.coalesce(F.when(negative, -v).otherwise(v), F.lit(0)).cast("bigint"))
+
+
+def number_format(literal: Column) -> Column:
+    """hex, bin, oct, scientific, float, dec: the first that fits, so 0xE1 is hex and 0 is dec."""
+    return let(number_body(literal), _format_of)
+
+
+def number_value(literal: Column) -> Column:
+    """The value as a whole number: fractions are cut off, what doesn't fit or parse is 0."""
+    return let(number_body(literal), lambda body: let(_format_of(body), lambda kind: _value_of(body, kind, literal.startswith("-"))))
 
 
 def has_separator(literal: Column) -> Column:

@@ -14,6 +14,8 @@ from ..store import numbered
 from . import predicates as P
 from .shapes import Shape
 
+# rows that one task may put in order
+TOP = 100_000
 TIES = ("name", "line", "path", "fql_kind")
 
 
@@ -84,14 +86,24 @@ def having(df: DataFrame, clauses: Clauses, shape: Shape) -> DataFrame:
 def paged(df: DataFrame, clauses: Clauses, shape: Shape, default: int | None = None, keep_order: list[Column] | None = None) -> DataFrame:
     """ORDER BY, OFFSET and LIMIT; ``default`` is the page of a query that names none."""
     keys = keep_order if keep_order is not None and clauses.order_by is None else order_keys(df, clauses, shape)
+    limit = clauses.limit if clauses.limit is not None else default
+    if keys and limit is not None and limit + (clauses.offset or 0) > TOP and (n := df.count()) > TOP:
+        return long_page(df, keys if clauses.order_by else [], keys, limit, clauses.offset or 0, n)
     if keys and (clauses.order_by or clauses.offset or clauses.limit is not None or default is not None):
         df = df.orderBy(*keys)  # a whole result that names no order is left unsorted: it is a set until it is rendered
     if clauses.offset:
         df = df.offset(clauses.offset)
-    limit = clauses.limit if clauses.limit is not None else default
     return df if limit is None else df.limit(limit)
 
 
+def long_page(df: DataFrame, named: list[Column], keys: list[Column], limit: int, offset: int, n: int) -> DataFrame:
+    """A page of more rows than one task should hold: rows are ranked by range, and not at all if the page is the whole."""
+    if offset or n > limit:
+        ranked = numbered(df, keys, "__rank")
+        df = ranked.filter((F.col("__rank") > offset) & (F.col("__rank") <= offset + limit)).drop("__rank")
+    return df.orderBy(*named) if named else df
+
+
 def applied(df: DataFrame, clauses: Clauses, shape: Shape, storage_order: list[str] | None = None, default: int | None = None, total: bool = False) -> DataFrame:
     """The whole pipeline; ``total`` adds the number of rows before paging as column ``total``."""
     df = filtered(df, clauses, shape)

@@ -202,7 +202,7 @@ class Session:
     def _find_files(self, s: Statement) -> DataFrame:
         C.refused(s.clauses, SHAPES["file"], depth=True)
         files = corpus.stamped(corpus.with_paths(self.files))
-        files = relations.with_errors(files, self.symbols, "path", F.col("fql_kind") == "error", F.col("byte_end") - F.col("byte_start"))
+        files = relations.with_errors(files, self.raw, "path", F.col("fql_kind") == "error", F.col("byte_end") - F.col("byte_start"))
         cover = corpus.coverage(F.col("size"), F.col("error_bytes")).cast("int")
         files = files.withColumns({"error_count": F.col("error_count").cast("int"), "parse_coverage": cover}).drop("content", "error_bytes")
         if s.clauses.depth is not None:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 from hashlib import sha256
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,9 @@ from ..store import bounded
 from . import corpus, formats
 
 RAW = "path string, language string, pos int, name string, fql_kind string, line int, end_line int, byte_start int, byte_end int, char_start int, char_end int, parent_pos int, ordinal int, first boolean, fields map<string,string>"
+_NAME, _KIND, _ORDINAL = (RAW.split(", ").index(c) for c in ("name string", "fql_kind string", "ordinal int"))
+# bytes of a file that has a task for itself
+LONG = 1 << 18
 ADDRESSABLE = ("function", "class", "struct", "interface", "enum", "field", "variable", "macro", "type_alias", "namespace", "import", "object", "array", "pair", "section", "heading", "paragraph", "table", "code_block", "list_item", "block_quote", "call_statement", "macro_call", "comment_block", "include_block", "import_block", "macro_block", "type_alias_block", "array_block", "if", "while", "for", "switch", "do")
 
 
@@ -78,82 +82,133 @@ def byte_offsets(content: str) -> Callable[[int], int]:
     """Character offsets of a text to offsets of its UTF-8 bytes."""
     if content.isascii():
         return lambda i: i
-    upto = np.r_[0, np.cumsum([len(c.encode()) for c in content])]
+    points = np.frombuffer(content.encode("utf-32-le"), np.uint32)
+    upto = np.r_[0, np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))]
     return lambda i: int(upto[i])
 
 
-def rows_of_file(path: str, content: str) -> pd.DataFrame:
-    """The rows of one file in the columns of RAW. ``first`` marks the first row of a name and kind in a line."""
-    language, rows = formats.read(path, content)
-    rows = with_blocks(language, rows, content)
-    at, out, ordinals, seen = byte_offsets(content), [], [], set()
-    for r in rows:
-        ordinals.append((ordinals[-1] if ordinals else 0) + (r.fql_kind in ADDRESSABLE))
-    for i, r in enumerate(rows):
-        piece = content[r.start : r.end].encode("utf-8", "replace")
-        if r.fql_kind != "call":
-            r.fields["content_hash"] = sha256(piece).hexdigest()[:16]
-        if r.fql_kind == "error":
-            r.fields["error_bytes"] = str(len(piece))
-        if "block_ord" in r.fields:
-            r.fields["block_ord"] = f"{ordinals[int(r.fields['block_ord'])]:04d}"
-        number = ordinals[i] if r.fql_kind in ADDRESSABLE else None
-        first = (r.name, r.fql_kind, r.line) not in seen
-        seen.add((r.name, r.fql_kind, r.line))
-        out.append((path, language, i, r.name, r.fql_kind, r.line, r.end_line, at(r.start), at(r.end), r.start, r.end, r.parent, number, first, r.fields))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in RAW.split(", ")]).astype({"ordinal": "Int32"})
+def rows_of_file(path: str, content: str) -> Iterator[list[tuple]]:
+    """The rows of one file in the columns of RAW, piece by piece. ``first`` marks the first row of a name and kind in a line."""
+    language, pieces = formats.read_pieces(path, content)
+    at, base, last, seen = byte_offsets(content), 0, 0, set()
+    for rows in pieces:
+        rows = with_blocks(language, rows, content)
+        ordinals, out = [], []
+        for r in rows:
+            last += r.fql_kind in ADDRESSABLE
+            ordinals.append(last)
+        for i, r in enumerate(rows):
+            piece = content[r.start : r.end].encode("utf-8", "replace")
+            if r.fql_kind != "call":
+                r.fields["content_hash"] = sha256(piece).hexdigest()[:16]
+            if r.fql_kind == "error":
+                r.fields["error_bytes"] = str(len(piece))
+            if "block_ord" in r.fields:
+                r.fields["block_ord"] = f"{ordinals[int(r.fields['block_ord'])]:04d}"
+            number = ordinals[i] if r.fql_kind in ADDRESSABLE else None
+            first = (r.name, r.fql_kind, r.line) not in seen
+            seen.add((r.name, r.fql_kind, r.line))
+            parent = r.parent + base if r.parent >= 0 else r.parent
+            out.append((path, language, base + i, r.name, r.fql_kind, r.line, r.end_line, at(r.start), at(r.end), r.start, r.end, parent, number, first, r.fields))
+        if rows:
+            base += len(rows)
+            seen = {s for s in seen if s[2] >= rows[-1].line}  # the next piece may begin in the line that this one ends in
+            yield out
+
+
+def batches(rows: list[tuple], most: int = 5000) -> Iterator[pa.RecordBatch]:
+    """Rows in the columns of RAW as batches of Arrow."""
+    names = [c.split()[0] for c in RAW.split(", ")]
+    types = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    for k in range(0, len(rows), most):
+        *plain, fields = zip(*rows[k : k + most])
+        columns = [pa.array(values, types[c.split()[1]]) for values, c in zip(plain, RAW.split(", "))]
+        offsets = np.r_[0, np.cumsum([len(f) for f in fields])].astype(np.int32)
+        keys, values = [x for f in fields for x in f], [x for f in fields for x in f.values()]
+        columns.append(pa.MapArray.from_arrays(pa.array(offsets), pa.array(keys, pa.string()), pa.array(values, pa.string())))
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """``files`` with the long ones dealt out by path: those that a folder or a table holds together would meet in one task."""
+    long = F.coalesce(F.octet_length("content"), F.lit(0)) >= LONG
+    parts = max(64, 8 * files.sparkSession.sparkContext.defaultParallelism)
+    return files.filter(~long).unionByName(files.filter(long).repartition(parts, "path"))
 
 
 def raw_symbols(files: DataFrame) -> DataFrame:
-    """Rows of every file (path, content); files are independent, so nothing is shuffled."""
+    """Rows of every file (path, content); files are independent, so only long ones are moved."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
-            for path, content in zip(p.path, p.content):
-                rows = rows_of_file(path, content or "")
-                if len(rows):
-                    yield rows
+            for path, content in zip(p.column("path"), p.column("content")):
+                for rows in rows_of_file(path.as_py(), content.as_py() or ""):
+                    yield from batches(rows)
 
-    return bounded(files.select("path", "content")).mapInPandas(run, RAW)
+    return bounded(spread(files.select("path", "content"))).mapInArrow(run, RAW)
 
 
 def read_again(files: DataFrame, old: DataFrame) -> DataFrame:
     """Rows of new versions of files with the ordinals of the ``old`` rows that they continue: equal in kind, name and text,
     else in kind and name, in order; what is new is numbered beyond the largest. Files without old rows keep what their
-    reader gave them; a block's members follow its number. One file is one group."""
-    before = old.filter("ordinal is not null").select("path", "pos", "ordinal", "name", "fql_kind", F.col("fields")["content_hash"].alias("hash"))
-
-    def run(had: pd.DataFrame, now: pd.DataFrame) -> pd.DataFrame:
-        if not len(now):
-            return pd.DataFrame(columns=[c.split()[0] for c in RAW.split(", ")])
-        rows = rows_of_file(now.path.iloc[0], now.content.iloc[0] or "")
-        if not len(had) or not len(rows):
-            return rows
-        had = had.sort_values("pos")
-        live = [i for i, n in enumerate(rows.ordinal) if not pd.isna(n)]
-        keys = [(k, n, f.get("content_hash")) for k, n, f in zip(rows.fql_kind, rows.name, rows.fields)]
+    reader gave them; a block's members follow its number. A file of many pieces is read twice: for its keys, then for its
+    rows."""
+    one = F.struct("pos", "ordinal", "fql_kind", "name", F.col("fields")["content_hash"].alias("hash"))
+    before = old.filter("ordinal is not null").groupBy("path").agg(F.array_sort(F.collect_list(one)).alias("had"))
+
+    def numbers(had: pa.StructArray, keys: Iterator[tuple]) -> list[int]:
+        """The ordinals of rows with ``keys`` (kind, name, text)."""
+        keys = [*keys]
         given: dict[int, int] = {}
-        left = [*zip(had.ordinal, zip(had.fql_kind, had.name, had.hash))]
+        left = [*zip(had.field("ordinal").to_pylist(), zip(*(had.field(c).to_pylist() for c in ("fql_kind", "name", "hash"))))]
+        top = max(n for n, _ in left)
         for parts in (3, 2):
-            waiting: dict[tuple, list[int]] = {}
+            waiting: dict[tuple, deque[int]] = {}
             for n, key in left:
-                waiting.setdefault(key[:parts], []).append(int(n))
-            for i in live:
-                if i not in given and (same := waiting.get(keys[i][:parts])):
-                    given[i] = same.pop(0)
+                waiting.setdefault(key[:parts], deque()).append(n)
+            for i, key in enumerate(keys):
+                if i not in given and (same := waiting.get(key[:parts])):
+                    given[i] = same.popleft()
             taken = set(given.values())
             left = [(n, key) for n, key in left if n not in taken]
-        top = int(had.ordinal.max())
-        for i in live:
+        for i in range(len(keys)):
             if i not in given:
                 top = given[i] = top + 1
-        moved = {f"{rows.ordinal[i]:04d}": f"{n:04d}" for i, n in given.items()}
-        for f in rows.fields:
-            if "block_ord" in f:
-                f["block_ord"] = moved[f["block_ord"]]
-        return rows.assign(ordinal=pd.array([given.get(i) for i in range(len(rows))], "Int32"))
+        return [given[i] for i in range(len(keys))]
+
+    def again(path: str, content: str, had: pa.StructArray | None) -> Iterator[list[tuple]]:
+        if had is None or not len(had):
+            yield from rows_of_file(path, content)
+            return
+        held: list[list[tuple]] = []  # the first piece, which is most often all
+
+        def keys() -> Iterator[tuple]:
+            for n, rows in enumerate(rows_of_file(path, content)):
+                held[:] = [rows] if n == 0 else []
+                yield from ((r[_KIND], r[_NAME], r[-1].get("content_hash")) for r in rows if r[_ORDINAL] is not None)
+
+        given, at = numbers(had, keys()), 0
+        for rows in held or rows_of_file(path, content):
+            out, moved = [], {}
+            for r in rows:
+                if (n := r[_ORDINAL]) is not None:
+                    moved[f"{n:04d}"] = f"{given[at]:04d}"
+                    r = (*r[:_ORDINAL], given[at], *r[_ORDINAL + 1 :])
+                    at += 1
+                out.append(r)
+            for r in out:
+                if "block_ord" in r[-1]:
+                    r[-1]["block_ord"] = moved[r[-1]["block_ord"]]
+            yield out
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in parts:
+            for path, content, had in zip(p.column("path"), p.column("content"), p.column("had")):
+                for rows in again(path.as_py(), content.as_py() or "", had.values):
+                    yield from batches(rows)
 
-    return before.groupBy("path").cogroup(files.select("path", "content").groupBy("path")).applyInPandas(run, RAW)
+    both = files.select("path", "content").join(before, "path", "left")
+    return bounded(both).mapInArrow(run, RAW)
 
 
 def code_counts(files: DataFrame, raw: DataFrame) -> DataFrame:
@@ -177,7 +232,12 @@ def symbols(raw: DataFrame, counts: DataFrame | None = None, calls: DataFrame |
     rows = rows.withColumn("node_id", F.when(F.col("ordinal").isNotNull(), identity.node_id(F.col("path"), F.col("ordinal"))))
     for field in ("body", "role", "value", "type"):
         rows = rows.withColumn(field, F.col("fields")[field])
-    return rows.withColumn("usages", F.lit(0).cast("bigint")) if counts is None else relations.with_usages(rows, counts)
+    unused = F.lit(0).cast("bigint").alias("usages")
+    if counts is None:
+        return rows.select("*", unused)
+    counted = name.rlike("^[A-Za-z_][A-Za-z0-9_]+$")  # numbers, conditions and comments are no identifiers: they move nowhere
+    columns = [c for c in rows.columns if c != "name"]
+    return relations.with_usages(rows.filter(counted), counts).select("name", *columns, "usages").unionByName(rows.filter(~counted).select("name", *columns, unused))
 
 
 def roles(lines: DataFrame, found: DataFrame) -> DataFrame:

@@ -3,18 +3,19 @@ import json
 import os
 import random
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from stratalex.lang.statement import QueryError
+from stratalex.lang.statement import Clauses, QueryError
 from stratalex.plans import clauses as C
 from stratalex.plans import predicates as P
 from stratalex.lang.statement import Predicate
 from stratalex.operators import edits, render
 from stratalex.plans.shapes import SHAPES
 from stratalex.session import Session
-from stratalex.sources import corpus, formats
+from stratalex.sources import clike, corpus, formats, index
 from stratalex.streaming import ingest
 
 PUMP = '''// controls
@@ -444,6 +445,61 @@ def test_readers_by_token():
     assert formats.folded("python", python, 0) == [(0, "    def f(self): ...")]
 
 
+def test_pieces_of_a_text_are_what_the_whole_is():
+    """Whatever stands at a cut: conditions, comments, brackets without a partner, types, lines that two functions share."""
+    r = random.Random(11)
+    parts = [
+        "int f{0}(int a, int b) {{ if (a > {0} && b) {{ return f{0}(-a, 2); }} // n\n return x[0]; }}\n", "/** doc */\nint g{0}() {{ return 1; }} int g{0}() {{ int k = 3; k = 4; return k; }}",
+        "#ifdef A{0}\n", "#else\n", "#endif\n", "#define M{0}(x) (x + {0})\n#define N{0} {0}\n", "// one\n;\n// two\n", "struct S{0} {{ int a; void m(); }};\n", "struct T{0} {{ int a; }} t{0};\n",
+        "int v{0} = -{0}, w[2] = {{ 1, 2 }};\n", "}}\n", "namespace q {{ int h{0}() {{ return 2; }} }}\n", 'extern "C" {{ int e{0}() {{ return 3; }} }}\n', ";", "#include <a.h>\n", "enum E{0} {{ P{0} = 1, Q }};\n", "typedef int I{0};\n", "- 5;\n",
+    ]
+    for n in range(150):
+        text = "".join(r.choice(parts if r.random() < 0.5 else parts[:2]).format(r.randint(0, 9)) for _ in range(r.randint(1, 25))) + ("( [" if n % 5 == 0 else "")
+        language = r.choice(["c", "cpp"])
+        want = clike.Reader(text, language).scan()
+        cut = [*clike.scanned(text, language, r.choice([1, 20, 60]))]
+        at, got = 0, []
+        for rows in cut:
+            got += [replace(x, parent=x.parent + at if x.parent >= 0 else -1) for x in rows]
+            at += len(rows)
+        assert got == want
+        blocks = [(x.fql_kind, x.start, x.end, x.fields.get("block_off")) for x in index.with_blocks(language, want, text)]
+        assert blocks == [(x.fql_kind, x.start, x.end, x.fields.get("block_off")) for rows in cut for x in index.with_blocks(language, rows, text)]
+    text = "\n".join(f"int f{i}() {{ return {i}; }}" for i in range(200))
+    assert len([*clike.scanned(text, "c", 100)]) > 10 and len([*clike.scanned(text, "c")]) == 1
+
+
+def test_a_long_file_is_read_in_pieces(spark, monkeypatch):
+    code = "".join(f"// é {i}\n// two\nint f{i}(int a) {{ return f{i}(a + {i}); }}\n" for i in range(300))
+    one = [r for rows in index.rows_of_file("a.c", code) for r in rows]
+    monkeypatch.setattr(formats, "scanned", lambda text, language: clike.scanned(text, language, 50))
+    many = [*index.rows_of_file("a.c", code)]
+    assert len(many) > 50 and [r for rows in many for r in rows] == one
+    assert [r[8] for r in one] == [len(code[: r[10]].encode()) for r in one]  # ends in bytes and in characters
+
+
+def test_long_pages_meet_in_no_task(spark, monkeypatch):
+    monkeypatch.setattr(C, "TOP", 50)
+    rows = [(f"n{i * 7919 % 300:03d}", i % 5) for i in range(300)]
+    df = spark.createDataFrame(rows, "name string, line int")
+    shape = SHAPES["symbol"]
+    for limit, offset, order in ((300, None, None), (1000, None, ("line", True)), (60, None, ("line", False)), (200, 40, ("name", True)), (70, 250, None)):
+        got = C.paged(df, Clauses(limit=limit, offset=offset, order_by=order), shape)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrdered" not in plan and "GlobalLimit" not in plan
+        key = {None: lambda r: r, "name": lambda r: r, "line": lambda r: (r[1] if order[1] else -r[1], r[0])}[order and order[0]]
+        want = sorted(rows, key=key)[offset or 0 :][:limit]
+        got = [tuple(r) for r in got.collect()]
+        assert (got if order else sorted(got)) == want
+
+
+def test_values_of_numbers_are_computed_once(spark):
+    from stratalex.functions import text
+
+    plan = spark.range(1).select(text.number_value(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rlike") + plan.count("RLIKE") + plan.count("regexp_replace") < 40  # 1,252 when every use read the literal again
+
+
 def test_trees_of_data_formats_cover_their_text():
     r = random.Random(3)
 
