@@ -89,19 +89,27 @@ def remapped(old: DataFrame, new: DataFrame, tiers: list[list[str]]) -> DataFram
     """New rows with the ordinal of the old row they continue: tier by tier, rows equal in the tier's columns are paired by
     position, and what is paired leaves both sides; the rest gets numbers beyond the largest. ``old``: ordinal, pos;
     ``new``: pos; both have the tiers' columns. Ordinals are per file: ``path`` is part of every tier."""
-    left_old, left_new, found = old, new.withColumn("__row", F.struct("path", "pos")), None
+    columns = list(dict.fromkeys(c for tier in tiers for c in tier))
+    sides = old.select("path", "pos", *columns, "ordinal", F.lit(True).alias("__old")).unionByName(new.select("path", "pos", *columns, F.lit(None).cast(old.schema["ordinal"].dataType).alias("ordinal"), F.lit(False).alias("__old")))
+    # dealt out by path once: every window below is over parts of a file, so nothing is moved again
+    rows = sides.filter("path is not null").repartition("path").withColumns({"__given": F.lit(None).cast("int"), "__open": F.lit(True)})
+    is_old = F.col("__old")
     for tier in tiers:
-        keys = ["path", *tier]
-        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))
-        a, b = left_old.withColumn("__n", nth), left_new.withColumn("__n", nth)
-        pair = b.join(a.select(*keys, "__n", "ordinal"), [*keys, "__n"]).select("__row", "ordinal")
-        found = pair if found is None else found.unionByName(pair)
-        left_old = left_old.join(pair.select(F.col("__row.path").alias("path"), "ordinal"), ["path", "ordinal"], "left_anti")
-        left_new = left_new.join(pair.select("__row"), "__row", "left_anti")
-    top = old.groupBy("path").agg(F.max("ordinal").alias("__top"))
-    fresh = left_new.join(top, "path", "left").withColumn("ordinal", (F.coalesce("__top", F.lit(-1)) + F.row_number().over(Window.partitionBy("path").orderBy("pos"))).cast("int"))
-    every = found.unionByName(fresh.select("__row", "ordinal"))
-    return new.join(every.select(F.col("__row.path").alias("path"), F.col("__row.pos").alias("pos"), "ordinal"), ["path", "pos"])
+        nth = F.row_number().over(Window.partitionBy("path", *tier, "__open", "__old").orderBy("pos"))
+        pair = Window.partitionBy("path", *tier, "__open", "__n")
+        known = F.lit(True)
+        for c in tier:
+            known &= F.col(c).isNotNull()  # a missing value equals nothing
+        rows = rows.withColumn("__n", nth).withColumns({"__of_old": F.max(F.when(is_old, F.col("ordinal"))).over(pair), "__both": F.min("__old").over(pair) != F.max("__old").over(pair)})
+        met = F.col("__open") & F.col("__both") & known
+        rows = rows.withColumns({"__given": F.when(met, F.col("__of_old")).otherwise(F.col("__given")), "__open": F.col("__open") & ~met}).drop("__n", "__of_old", "__both")
+    top = F.coalesce(F.max(F.when(is_old, F.col("ordinal"))).over(Window.partitionBy("path")), F.lit(-1))
+    fresh = F.row_number().over(Window.partitionBy("path", "__open", "__old").orderBy("pos"))
+    done = rows.withColumns({"__top": top, "__fresh": fresh}).filter(~is_old)
+    found = F.coalesce("__given", F.col("__top") + F.col("__fresh")).cast("int").alias("ordinal")
+    if set(new.columns) <= {"path", "pos", *columns}:
+        return done.select("path", "pos", *[c for c in new.columns if c not in ("path", "pos")], found)
+    return new.join(done.select("path", "pos", found), ["path", "pos"])
 
 
 def siblings(rows: DataFrame, by: list[str], order: list[Column], id_: str) -> DataFrame:
