@@ -190,7 +190,18 @@ def dedupe_identity(spark: SparkSession, d: str) -> DataFrame:
 
 @query("distinct_rows_per_file", f"WITH {SITES} SELECT path, count(DISTINCT (name, line)) AS distinct_rows FROM sites GROUP BY path")
 def distinct_rows_per_file(spark: SparkSession, d: str) -> DataFrame:
-    return relations.distinct_counts(sites(spark, d), "path", ["name", "line"], "distinct_rows")
+    """A path that is one file counts its lines' names where they are read; only files that share a path are compared."""
+    every = files(spark, d).select("path", "content")
+    shared = every.groupBy("path").agg(F.count(F.lit(1)).alias("__files")).filter("__files > 1").select("path")
+
+    def alone(some: DataFrame) -> DataFrame:
+        names = F.size(F.array_distinct(text.tokens(F.col("text"))))
+        return corpus.lines(some).select("path", names.alias("__names")).filter("__names > 0").groupBy("path").agg(F.sum("__names").alias("distinct_rows"))
+
+    if shared.isEmpty():  # reads no text
+        return alone(every)
+    rest = relations.distinct_counts(corpus.occurrences(corpus.lines(every.join(shared, "path", "left_semi")), "doc"), "path", ["name", "line"], "distinct_rows")
+    return alone(every.join(shared, "path", "left_anti")).unionByName(rest)
 
 
 @query("corpus_stats", f"WITH {LINES} SELECT (SELECT count(*) FROM files) AS files, (SELECT CAST(sum(size) AS BIGINT) FROM files) AS bytes, (SELECT count(*) FROM lines) AS lines, (SELECT count(DISTINCT extension) FROM files) AS extensions")
@@ -359,7 +370,8 @@ m2 AS (SELECT n2.path, n2.pos, o2.ordinal FROM n2 JOIN o2 USING (path, kind, k))
 m AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2), rest AS (SELECT path, pos, row_number() OVER (PARTITION BY path ORDER BY pos) AS k FROM n WHERE (path, pos) NOT IN (SELECT (path, pos) FROM m))
 SELECT path, pos, CAST(ordinal AS INTEGER) AS ordinal FROM m UNION ALL SELECT path, pos, CAST(coalesce((SELECT max(ordinal) FROM o WHERE o.path = rest.path), -1) + k AS INTEGER) FROM rest""")
 def ordinal_remap(spark: SparkSession, d: str) -> DataFrame:
-    rows = lineitem(spark, d).groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"), F.min("l_returnflag").alias("l_returnflag"))
+    items = lineitem(spark, d).select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag").repartition("l_orderkey")
+    rows = items.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"), F.min("l_returnflag").alias("l_returnflag"))
     base = rows.select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("pos"), F.col("l_suppkey").alias("name"), F.col("l_returnflag").alias("kind"))
     old = base.filter("pos <> 2").withColumn("ordinal", F.col("pos") - 1)
     new = base.filter("pos <> 1").withColumn("name", F.when(F.col("pos") == 3, F.lit(-1).cast("bigint")).otherwise(F.col("name")))

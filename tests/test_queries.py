@@ -8,6 +8,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from stratalex import queries as engine
@@ -126,3 +127,47 @@ def test_mixed_logic_of_any_nesting(spark):
     got = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(functions.mixed_logic(functions.F.col("t"))).collect()
     want = [all(op in clike.top_level(t) for op in ("&&", "||")) for t in texts]
     assert [x[0] for x in got] == want and set(want) == {True, False} and want[:2] == [False, False]
+
+
+def test_distinct_rows_of_shared_paths(spark, tmp_path):
+    texts = [(1, "ab cd ab\nab"), (2, "xx\n\nyy xx xx"), (2, "xx zz\nqq"), (3, "a"), (4, None)]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in texts], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.path: r.distinct_rows for r in engine.queries()["distinct_rows_per_file"](spark, str(tmp_path)).collect()}
+    assert got == {"s/en/1.txt": 3, "s/en/2.txt": 5}
+    spark.createDataFrame([(i, t, "en", "s") for i, t in texts[:2]], DOCS).write.parquet(f"{tmp_path}/one/documents.parquet")
+    df = engine.queries()["distinct_rows_per_file"](spark, f"{tmp_path}/one")
+    assert {r.path: r.distinct_rows for r in df.collect()} == {"s/en/1.txt": 3, "s/en/2.txt": 3}
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert "partial_sum" in plan and "name#" not in plan  # names are counted where they are read, none is shuffled
+
+
+def test_ordinals_go_on_by_tiers(spark, data):
+    from stratalex.operators import relations
+
+    r = random.Random(5)
+    pick = lambda: r.choice(["a", "b", None])
+    old = [(p, k, n, pick(), pick()) for p in range(40) for k, n in zip(r.sample(range(20), 6), r.sample(range(50), 6)) if r.random() < 0.8]
+    new = [(p, k, pick(), pick()) for p in range(42) for k in r.sample(range(20), 6)]
+    want = {}
+    for p in {x[0] for x in new}:
+        a, b = sorted((x for x in old if x[0] == p), key=lambda x: x[1]), sorted((x for x in new if x[0] == p), key=lambda x: x[1])
+        top = max((x[2] for x in a), default=-1)
+        for keys in (lambda x: x[-2:], lambda x: x[-1:]):
+            waiting = {}
+            for x in a:
+                waiting.setdefault(keys(x), []).append(x)
+            for x in [*b]:
+                if None not in keys(x) and waiting.get(keys(x)):
+                    y = waiting[keys(x)].pop(0)
+                    want[x[:2]] = y[2]
+                    a.remove(y)
+                    b.remove(x)
+        for i, x in enumerate(b, 1):
+            want[x[:2]] = top + i
+    olds = spark.createDataFrame(old, "path long, pos int, ordinal int, name string, kind string")
+    for more in ([], [F.lit("z").alias("other")]):
+        news = spark.createDataFrame(new, "path long, pos int, name string, kind string").select("*", *more)
+        got = relations.remapped(olds, news, [["name", "kind"], ["kind"]])
+        assert {(x.path, x.pos): x.ordinal for x in got.collect()} == want and len(got.columns) == 5 + len(more)
+    plan = engine.queries()["ordinal_remap"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3 and "Join" not in plan
