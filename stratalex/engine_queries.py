@@ -164,7 +164,7 @@ def session_diff_stat(spark: SparkSession, d: str) -> DataFrame:
 def session_delete_member(spark: SparkSession, d: str) -> DataFrame:
     """A member of a JSON object goes with its comma; no other byte changes."""
     s = _session(spark, d).forked()
-    handle = s.run("FIND symbols WHERE key_path = 'region' IN 'conf/europe.json'").first()["node_id"]
+    handle = s.run("FIND symbols WHERE key_path = 'region' IN 'conf/europe.json'").select("node_id").first()["node_id"]
     s.run(f"DELETE NODE {handle}")
     return s.file("conf/europe.json").select("path", F.sha2(F.replace("content", F.lit('{"nations"'), F.lit('{\n "nations"')), 256).alias("rev"))
 
@@ -182,6 +182,6 @@ def session_change_found(spark: SparkSession, d: str) -> DataFrame:
 def session_ids_after_edit(spark: SparkSession, d: str) -> DataFrame:
     """Handles of nodes behind an insertion stay; the new node takes the next number."""
     s = _session(spark, d).forked()
-    handle = s.run("FIND symbols WHERE name = 'helper_0'").first()["node_id"]
+    handle = s.run("FIND symbols WHERE name = 'helper_0'").select("node_id").first()["node_id"]
     s.run(f"INSERT BEFORE NODE {handle} WITH 'int early(void) {{ return 1; }}'")
     return s.run("FIND symbols WHERE kind = 'function' IN 'lib'").select("name", "node_id")

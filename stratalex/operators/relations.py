@@ -11,6 +11,11 @@ def usage_counts(occurrences: DataFrame, role: str | None = "code") -> DataFrame
     return rows.groupBy("name").agg(F.count(F.lit(1)).alias("usages"))
 
 
+def one_each(counts: DataFrame, of: str = "usages") -> DataFrame:
+    """A table of one row a name, said in its plan: the optimizer leaves out a join to it whose columns nobody takes."""
+    return counts.groupBy("name").agg(F.max(of).alias(of))
+
+
 def with_usages(symbols: DataFrame, counts: DataFrame) -> DataFrame:
     """Symbols with the number of sites of their name, 0 where there are none. AQE picks the join by size."""
     return symbols.drop("usages").join(counts, "name", "left").withColumn("usages", F.coalesce("usages", F.lit(0)))

@@ -76,7 +76,7 @@ class Session:
         self.version = version
         self.files = self.files_of(version)
         self.found = None
-        self._symbols: DataFrame | None = None
+        self._symbols: dict[tuple[bool, bool], DataFrame] = {}
 
     def files_of(self, version: Version) -> DataFrame:
         return self.origin if version.dirty is None else relations.shadowed(self.origin, version.dirty).filter("content is not null")
@@ -86,13 +86,13 @@ class Session:
         return corpus.lines(self.files)
 
     def first(self, what: str) -> DataFrame:
-        """The ``raw`` rows, usage ``counts`` or ``symbols`` of the files that the session began with, built when first asked
-        for: rows alone answer what needs no symbols."""
+        """The ``raw`` rows, the rows of their ``expanded`` macro calls and the usage ``counts`` of the files that the session
+        began with, each built when first asked for: rows alone answer what needs no counts."""
         if what not in self._first:
             make = {
                 "raw": lambda: index.raw_symbols(self.origin),
+                "expanded": lambda: index.macro_calls(self.first("raw"), self.first("raw")),
                 "counts": lambda: index.code_counts(self.origin, self.first("raw")),
-                "symbols": lambda: index.symbols(self.first("raw"), self.first("counts")),
             }
             self._first[what] = self.kept(make[what](), what)
         return self._first[what]
@@ -124,16 +124,26 @@ class Session:
 
     @property
     def symbols(self) -> DataFrame:
-        """The symbols of the current version. Those of the first one are a table; the rows of edited files, and calls of the
-        macros that they define or defined, are a small one beside it, and so are the changes of usage counts."""
-        if self._symbols is None:
-            raw, table = self.raw, self.first("symbols")
-            version, first, counts = self.version, self.first("raw"), self.first("counts")
-            self._symbols = table if version.dirty is None else self.merged(version, raw, first, counts, table)
-        return self._symbols
-
-    def merged(self, version: Version, raw: DataFrame, first: DataFrame, counts: DataFrame, table: DataFrame) -> DataFrame:
-        paths = version.dirty.select("path")
+        """The symbols of the current version, as a plan over its rows: a statement reads the columns and kinds that it asks for.
+        Usages are counted only where a result takes them."""
+        return self.symbols_by(False)
+
+    def symbols_by(self, ranked: bool) -> DataFrame:
+        """``symbols``; if they are ``ranked`` by usages, or filtered or grouped, counts are a table that later statements share."""
+        if ranked:
+            self.first("counts")
+        view = known, _ = "counts" in self._first, ranked
+        if view not in self._symbols:
+            counts = relations.one_each(self._first["counts"]) if known else index.code_counts(self.origin, self.first("raw"))
+            raw = self.raw
+            table = index.symbols(self.first("raw"), counts, self.first("expanded"), ranked)
+            self._symbols[view] = table if self.version.dirty is None else self.merged(self.version, raw, counts, table)
+        return self._symbols[view]
+
+    def merged(self, version: Version, raw: DataFrame, counts: DataFrame, table: DataFrame) -> DataFrame:
+        """Those of the first version are ``table``; the rows of edited files, and calls of the macros that they define or
+        defined, are a small table beside it, and so are the changes of usage counts."""
+        paths, first = version.dirty.select("path"), self.first("raw")
         had = first.join(paths, "path", "left_semi")
         sides = lambda old, new: old.withColumn("path", F.concat(F.lit("-"), "path")).unionByName(new.withColumn("path", F.concat(F.lit("+"), "path")))
         sites = index.roles(corpus.lines(sides(self.origin.join(paths, "path", "left_semi"), version.dirty.filter("content is not null"))), sides(had, version.rows))
@@ -144,10 +154,10 @@ class Session:
         if not macros.isEmpty():
             calls = calls.unionByName(first.filter("fql_kind = 'call'").join(macros, "name", "left_semi").join(paths, "path", "left_anti"))
             others = others.join(macros.withColumn("fql_kind", F.lit("macro_call")), ["name", "fql_kind"], "left_anti").select(*table.columns)
-        some = index.symbols(version.rows, None, calls, raw).drop("usages")
-        mine = self.kept(some.join(counts, "name", "left"), "dirty-symbols")
+        some = index.symbols(version.rows, None, index.macro_calls(calls, raw)).drop("usages")
+        mine = self.kept(some, "dirty-symbols").join(counts, "name", "left")
         now = F.coalesce("usages", F.lit(0)) + F.coalesce("__more", F.lit(0))
-        return others.unionByName(mine.select(*others.columns)).join(delta, "name", "left").withColumn("usages", now).select(*table.columns)
+        return others.unionByName(mine.select(*others.columns)).join(relations.one_each(delta, "__more"), "name", "left").withColumn("usages", now).select(*table.columns)
 
     def reachable(self) -> set[str]:
         """Names of the tables in ``store`` that this session may still read."""
@@ -178,6 +188,8 @@ class Session:
 
     def rendered(self, statement: str, how: str = "compact") -> str:
         s = parse(statement)
+        if s.verb == "find symbols":
+            self.first("counts")  # a rendered row shows its usages
         df = self.execute(s)
         if hint := self.hint(s, df):
             return hint
@@ -194,7 +206,9 @@ class Session:
     def _find_symbols(self, s: Statement) -> DataFrame:
         shape = SHAPES["symbol"]
         C.refused(s.clauses, shape)
-        rows = self.symbols.filter("first")
+        c = s.clauses
+        ranked = "usages" in (*(p.field for p in (*c.where, *c.having)), c.group_by, *(c.order_by or ()))
+        rows = self.symbols_by(ranked).filter("first")
         out = C.applied(rows, s.clauses, shape, storage_order=["path", "pos"], default=PAGE)
         self.arm(out, "symbols", C.applied(rows, replace(s.clauses, order_by=None, limit=None, offset=None), shape, storage_order=["path", "pos"]))
         return out.drop("first")
@@ -239,7 +253,7 @@ class Session:
 
     def resolved(self, name: str, c: Clauses, preferred: str = "function") -> dict:
         """The one symbol that a name means."""
-        rows = relations.qualified(self.symbols, name)
+        rows = relations.qualified(self.symbols.drop("usages"), name)
         rows = C.filtered(rows, Clauses(where=tuple(p for p in c.where if p.field not in ("text", "marker", "line")), within=c.within, exclude=c.exclude), SHAPES["symbol"])
         got = rows.orderBy(*relations.resolve_order(preferred)).limit(1).collect()
         if not got:
@@ -315,7 +329,7 @@ class Session:
         m = re.fullmatch(r"(n[0-9a-f]{12,64}\.[0-9]{4,})(?:\((\d+)(?:-(\d+))?\))?", handle)
         if not m:
             raise QueryError(f"no node id: {handle!r}")
-        got = self.symbols.filter(F.col("node_id") == m[1]).limit(1).collect()
+        got = self.symbols.drop("usages").filter(F.col("node_id") == m[1]).limit(1).collect()
         if not got:
             raise QueryError(f"no node {m[1]}")
         part = (int(m[2]), int(m[3] or m[2])) if m[2] else None
@@ -331,7 +345,7 @@ class Session:
             return got if not got.isEmpty() else self.directory(handle)
         row, part = self.node(handle)
         if s.args["mode"] == "metadata":
-            near = self.symbols.filter((F.col("path") == row["path"]) & F.col("node_id").isNotNull())
+            near = self.symbols_by(True).filter((F.col("path") == row["path"]) & F.col("node_id").isNotNull())
             nav = relations.siblings(near, ["path", "parent_pos"], [F.asc("pos")], "node_id")
             first = near.filter(F.col("parent_pos") == row["pos"]).agg(F.min_by("node_id", "pos").alias("first_child"))
             parent = near.filter(F.col("pos") == row["parent_pos"]).select(F.col("node_id").alias("parent"))

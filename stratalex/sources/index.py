@@ -216,10 +216,11 @@ def code_counts(files: DataFrame, raw: DataFrame) -> DataFrame:
     return relations.usage_counts(roles(corpus.lines(files), raw))
 
 
-def symbols(raw: DataFrame, counts: DataFrame | None = None, calls: DataFrame | None = None, defs: DataFrame | None = None) -> DataFrame:
-    """Symbol rows of ``raw_symbols`` with handles, derived fields of names and numbers, macro calls and usages of names.
-    ``calls`` and ``defs`` are rows whose calls are looked up among whose macros, if they are not ``raw``."""
-    rows = raw.filter("fql_kind <> 'call'").unionByName(macro_calls(raw if calls is None else calls, raw if defs is None else defs))
+def symbols(raw: DataFrame, counts: DataFrame | None, expanded: DataFrame, apart: bool = False) -> DataFrame:
+    """Symbol rows of ``raw_symbols`` with handles, derived fields of names and numbers, the rows of ``macro_calls`` and usages
+    of names, which cost nothing where nobody reads them: ``counts`` has one row a name by its plan. Rows that are
+    all wanted are taken ``apart``: numbers, conditions and comments are no identifiers, so they move nowhere."""
+    rows = raw.filter("fql_kind <> 'call'").unionByName(expanded)
     name, kind, fields = F.col("name"), F.col("fql_kind"), F.col("fields")
     of_names = F.map_from_arrays(F.array(F.lit("naming"), F.lit("name_length")), F.array(text.naming_style(name), text.name_length(name).cast("string")))
     meaning = F.create_map(*[F.lit(x) for pair in _SUFFIXES.items() for x in pair])[F.lower(text.number_suffix(name))]
@@ -235,9 +236,9 @@ def symbols(raw: DataFrame, counts: DataFrame | None = None, calls: DataFrame |
     unused = F.lit(0).cast("bigint").alias("usages")
     if counts is None:
         return rows.select("*", unused)
-    counted = name.rlike("^[A-Za-z_][A-Za-z0-9_]+$")  # numbers, conditions and comments are no identifiers: they move nowhere
-    columns = [c for c in rows.columns if c != "name"]
-    return relations.with_usages(rows.filter(counted), counts).select("name", *columns, "usages").unionByName(rows.filter(~counted).select("name", *columns, unused))
+    counted = name.rlike("^[A-Za-z_][A-Za-z0-9_]+$")
+    some = relations.with_usages(rows.filter(counted) if apart else rows, counts)
+    return some.unionByName(rows.filter(~counted).select("*", unused)) if apart else some
 
 
 def roles(lines: DataFrame, found: DataFrame) -> DataFrame:

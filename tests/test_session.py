@@ -566,3 +566,19 @@ def test_cfg_guards():
     assert pick("a") == ('feature = "x"', "feature", None, "feature", "attribute")
     assert pick("f") == ('feature = "x" && !test', "feature", "test", "feature,test", "attribute")
     assert pick("g") == ("any(unix, windows)", None, None, "unix,windows", "attribute") and pick("h")[1] == "p,q" and pick("i")[0] is None
+
+
+def test_usages_are_counted_only_where_they_are_taken(spark):
+    """A statement that names no usages reads index rows alone; a result still has them when they are taken from it."""
+    files = [("a.c", "#define TWICE(x) (x + x)\nint ff(int a) { return TWICE(a); }\nint gg(int a) { return ff(ff(a)); }\n"), ("b.c", "int hh() { return gg(1); }\n")]
+    s = Session(spark, spark.createDataFrame(files, "path string, content string"))
+    out = s.run("FIND symbols WHERE kind = 'function'")
+    assert "Join" not in out.select("name", "node_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["name"] for r in out.select("name").collect()} == {"ff", "gg", "hh"} and "counts" not in s._first
+    want = {"ff": 3, "gg": 2, "hh": 1}
+    assert {r["name"]: r["usages"] for r in out.collect()} == want and "counts" not in s._first
+    assert [r["name"] for r in s.run("FIND symbols WHERE usages >= 1 WHERE kind = 'function' ORDER BY usages DESC").collect()] == ["ff", "gg", "hh"] and "counts" in s._first
+    assert {r["name"]: r["usages"] for r in s.run("FIND symbols WHERE kind = 'function'").collect()} == want
+    s.run("CHANGE FILE 'b.c' WITH 'int hh() { return ff(1); }'")
+    for statement in ("FIND symbols WHERE kind = 'function'", "FIND symbols WHERE kind = 'function' WHERE usages > 0"):
+        assert {r["name"]: r["usages"] for r in s.run(statement).collect()} == {"ff": 4, "gg": 1, "hh": 1}
