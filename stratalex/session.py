@@ -90,11 +90,11 @@ class Session:
         began with, each built when first asked for: rows alone answer what needs no counts."""
         if what not in self._first:
             make = {
-                "raw": lambda: index.raw_symbols(self.origin),
+                "raw": lambda: index.joined_parts(self.kept(index.part_symbols(self.origin), "raw"), lambda df: self.kept(df, "parts")),
                 "expanded": lambda: index.macro_calls(self.first("raw"), self.first("raw")),
                 "counts": lambda: index.code_counts(self.origin, self.first("raw")),
             }
-            self._first[what] = self.kept(make[what](), what)
+            self._first[what] = make[what]() if what == "raw" else self.kept(make[what](), what)
         return self._first[what]
 
     def forked(self) -> Session:

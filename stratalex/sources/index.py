@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+import json
 from collections import deque
 from collections.abc import Callable, Iterator
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity, text
 from ..operators import edits, relations
 from ..store import bounded
-from . import corpus, formats
+from . import clike, corpus, formats
 
 RAW = "path string, language string, pos int, name string, fql_kind string, line int, end_line int, byte_start int, byte_end int, char_start int, char_end int, parent_pos int, ordinal int, first boolean, fields map<string,string>"
+_BRACED = "(^|/)(?!Kconfig)[^/]*[.](" + "|".join(e for e, language in formats.LANGUAGES.items() if language in ("c", "cpp")) + ")$"
 _NAME, _KIND, _ORDINAL = (RAW.split(", ").index(c) for c in ("name string", "fql_kind string", "ordinal int"))
 # bytes of a file that has a task for itself
 LONG = 1 << 18
+# least characters of a part of a long file
+PART = 1 << 19
 ADDRESSABLE = ("function", "class", "struct", "interface", "enum", "field", "variable", "macro", "type_alias", "namespace", "import", "object", "array", "pair", "section", "heading", "paragraph", "table", "code_block", "list_item", "block_quote", "call_statement", "macro_call", "comment_block", "include_block", "import_block", "macro_block", "type_alias_block", "array_block", "if", "while", "for", "switch", "do")
 
 
@@ -87,9 +91,13 @@ def byte_offsets(content: str) -> Callable[[int], int]:
     return lambda i: int(upto[i])
 
 
-def rows_of_file(path: str, content: str) -> Iterator[list[tuple]]:
-    """The rows of one file in the columns of RAW, piece by piece. ``first`` marks the first row of a name and kind in a line."""
-    language, pieces = formats.read_pieces(path, content)
+def rows_of_file(path: str, content: str, part: clike.Part | None = None, before: int = 0) -> Iterator[list[tuple]]:
+    """The rows of one file in the columns of RAW, piece by piece. ``first`` marks the first row of a name and kind in a line. A
+    ``part`` of a file has its own text as ``content`` and ``before`` bytes before it; its rows stand where they do in the file,
+    but for positions and ordinals, which count from the part's first row."""
+    part = part or clike.Part(0, len(content), 0, [], 0)
+    start, lines = part.start, part.line
+    language, pieces = formats.read_pieces(path, content, part.frames, part.group)
     at, base, last, seen = byte_offsets(content), 0, 0, set()
     for rows in pieces:
         rows = with_blocks(language, rows, content)
@@ -109,7 +117,9 @@ def rows_of_file(path: str, content: str) -> Iterator[list[tuple]]:
             first = (r.name, r.fql_kind, r.line) not in seen
             seen.add((r.name, r.fql_kind, r.line))
             parent = r.parent + base if r.parent >= 0 else r.parent
-            out.append((path, language, base + i, r.name, r.fql_kind, r.line, r.end_line, at(r.start), at(r.end), r.start, r.end, parent, number, first, r.fields))
+            if start and "body_start" in r.fields:
+                r.fields["body_start"] = str(int(r.fields["body_start"]) + start)
+            out.append((path, language, base + i, r.name, r.fql_kind, r.line + lines, r.end_line + lines, at(r.start) + before, at(r.end) + before, r.start + start, r.end + start, parent, number, first, r.fields))
         if rows:
             base += len(rows)
             seen = {s for s in seen if s[2] >= rows[-1].line}  # the next piece may begin in the line that this one ends in
@@ -136,16 +146,55 @@ def spread(files: DataFrame) -> DataFrame:
     return files.filter(~long).unionByName(files.filter(long).repartition(parts, "path"))
 
 
-def raw_symbols(files: DataFrame) -> DataFrame:
-    """Rows of every file (path, content); files are independent, so only long ones are moved."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in parts:
-            for path, content in zip(p.column("path"), p.column("content")):
-                for rows in rows_of_file(path.as_py(), content.as_py() or ""):
-                    yield from batches(rows)
-
-    return bounded(spread(files.select("path", "content"))).mapInArrow(run, RAW)
+def part_symbols(files: DataFrame) -> DataFrame:
+    """Rows of every file (path, content) with their ``part``. Long files of C and C++ are cut into parts that tasks share, so the
+    longest file sets no pace; all else is read where it lies or, if it is long, by path."""
+    least = PART
+
+    def cut(batch: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in batch:
+            for path, content in zip(p.column("path").to_pylist(), p.column("content")):
+                text_, before = content.as_py(), 0
+                for n, x in enumerate(clike.parts(text_, least)):
+                    body = text_[x.start : x.end]
+                    row = {"path": path, "content": body, "part": n, "at": json.dumps([x.start, x.end, x.line, x.frames, x.group, before])}
+                    yield pa.RecordBatch.from_pylist([row], pa.schema([("path", pa.string()), ("content", pa.string()), ("part", pa.int32()), ("at", pa.string())]))
+                    before += len(body.encode("utf-8", "replace"))
+
+    def run(batch: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in batch:
+            for path, content, n, at in zip(*(p.column(c) for c in ("path", "content", "part", "at"))):
+                *place, before = json.loads(at.as_py()) if at.is_valid else (None, 0)
+                part = clike.Part(*place) if at.is_valid else None
+                for rows in rows_of_file(path.as_py(), content.as_py() or "", part, before):
+                    for b in batches(rows):
+                        yield b.append_column("part", pa.array([n.as_py()] * b.num_rows, pa.int32()))
+
+    long = (F.coalesce(F.octet_length("content"), F.lit(0)) >= LONG) & F.regexp_like("path", F.lit(_BRACED))
+    whole = spread(files.filter(~long)).select("path", "content", F.lit(0).alias("part"), F.lit(None).cast("string").alias("at"))
+    many = bounded(spread(files.filter(long).select("path", "content"))).mapInArrow(cut, "path string, content string, part int, at string")
+    tasks = max(64, 8 * files.sparkSession.sparkContext.defaultParallelism)
+    return bounded(whole.unionByName(many.repartition(tasks, "path", "part"))).mapInArrow(run, RAW + ", part int")
+
+
+def joined_parts(rows: DataFrame, kept: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``part_symbols``, read from a table, with positions and ordinals that count on through a file's parts. What the parts before
+    held is a number or two a part, which ``kept`` makes a table of and every task gets whole."""
+    sizes = rows.groupBy("path", "part").agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.max("ordinal"), F.lit(0)).alias("numbers"))
+    earlier = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    upto = kept(sizes.select("path", "part", F.sum("rows").over(earlier).cast("int").alias("__rows"), F.sum("numbers").over(earlier).cast("int").alias("__numbers")).filter("part > 0"))
+    if upto.isEmpty():
+        return rows.drop("part")
+    more = F.coalesce("__numbers", F.lit(0))
+    fields = F.when(
+        (more > 0) & F.col("fields")["block_ord"].isNotNull(),
+        F.transform_values("fields", lambda k, v: F.when(k == "block_ord", F.format_string("%04d", v.cast("int") + more)).otherwise(v)),
+    ).otherwise(F.col("fields"))
+    moved = {
+        "pos": F.col("pos") + F.coalesce("__rows", F.lit(0)), "ordinal": F.col("ordinal") + more, "fields": fields,
+        "parent_pos": F.when(F.col("parent_pos") >= 0, F.col("parent_pos") + F.coalesce("__rows", F.lit(0))).otherwise(F.col("parent_pos")),
+    }
+    return rows.join(F.broadcast(upto), ["path", "part"], "left").withColumns(moved).select(*[c for c in rows.columns if c != "part"])  # a row a part of 512 KB
 
 
 def read_again(files: DataFrame, old: DataFrame) -> DataFrame:
@@ -217,7 +266,7 @@ def code_counts(files: DataFrame, raw: DataFrame) -> DataFrame:
 
 
 def symbols(raw: DataFrame, counts: DataFrame | None, expanded: DataFrame, apart: bool = False) -> DataFrame:
-    """Symbol rows of ``raw_symbols`` with handles, derived fields of names and numbers, the rows of ``macro_calls`` and usages
+    """Symbol rows of ``part_symbols`` with handles, derived fields of names and numbers, the rows of ``macro_calls`` and usages
     of names, which cost nothing where nobody reads them: ``counts`` has one row a name by its plan. Rows that are
     all wanted are taken ``apart``: numbers, conditions and comments are no identifiers, so they move nowhere."""
     rows = raw.filter("fql_kind <> 'call'").unionByName(expanded)

@@ -582,3 +582,42 @@ def test_usages_are_counted_only_where_they_are_taken(spark):
     s.run("CHANGE FILE 'b.c' WITH 'int hh() { return ff(1); }'")
     for statement in ("FIND symbols WHERE kind = 'function'", "FIND symbols WHERE kind = 'function' WHERE usages > 0"):
         assert {r["name"]: r["usages"] for r in s.run(statement).collect()} == {"ff": 4, "gg": 1, "hh": 1}
+
+
+def test_parts_of_a_file_are_what_the_whole_is():
+    """Parts are found by brackets alone and read apart; whatever stands around a cut, their rows are those of the file."""
+    r, cuts = random.Random(5), 0
+    pieces = [
+        "int f{0}(int a, int b) {{ if (a > {0} && b) {{ return f{0}(-a, 2); }} // n\n return x[0]; }}\n", "/** doc é */\nint g{0}() {{ return 1; }} int g{0}() {{ int k = 3; return k; }}", "#ifdef A{0}\n", "#else\n", "#endif\n",
+        "#define M{0}(x) (x + {0})\n#define N{0} {0}\n", "// one\n;\n// two\n// {{ three\n", "struct S{0} {{ int a; void m(); }};\n", "struct T{0} {{ int a; }} t{0};\n", "struct U{0} {{ int a; }} u{0}() {{ return 1; }}\n",
+        "int v{0} = -{0}, w[2] = {{ 1, 2 }};\n", "int y[] = {{ 1 }}\n", "}}\n", "namespace q {{ int h{0}() {{ return 2; }} }}\n", 'extern "C" {{ int e{0}() {{ return 3; }} }}\n', "for (;;) {{ }}\n", "char *s = \"}} {{\"; char c = '{{';\n", "enum E{0} {{ P{0} = 1'0, Q }};\n",
+        "# define B {{ \\\n {{\n", "template <class X> int z{0}(X x) {{ return {0}; }}\n", "int A::m{0}() {{ return 1; }}\n", "int (*p{0})(int);\n", "/* }} */ int i{0}(void) {{ char d = '\"'; return d; }}\r\n",
+    ]
+    for n in range(300):
+        text = "".join(r.choice(pieces if r.random() < 0.5 else pieces[:3]).format(r.randint(0, 9)) for _ in range(r.randint(1, 25))) + ("( [" if n % 7 == 0 else "")
+        path = r.choice(["a.c", "a.cpp"])
+        want = [x for rows in index.rows_of_file(path, text) for x in rows]
+        got, numbers, before, parts = [], 0, 0, [*clike.parts(text, r.choice([1, 60]))]
+        assert "".join(text[x.start : x.end] for x in parts) == text
+        for part in parts:
+            mine = [x for rows in index.rows_of_file(path, text[part.start : part.end], part, before) for x in rows]
+            base, top = len(got), numbers
+            for x in mine:
+                numbers = max(numbers, top + (x[12] or 0))
+                fields = {k: f"{int(v) + top:04d}" if k == "block_ord" else v for k, v in x[14].items()}
+                got.append((*x[:2], x[2] + base, *x[3:11], x[11] + base if x[11] >= 0 else x[11], x[12] and x[12] + top, x[13], fields))
+            before += len(text[part.start : part.end].encode())
+        assert got == want
+        cuts += len(parts) - 1
+    assert cuts > 300
+
+
+def test_a_corpus_of_long_files_is_read_in_parts(spark, monkeypatch):
+    code = "#ifdef A\n" + "".join(f"// é {i}\n// two\nint f{i}(int a) {{ return f{i}(a + {i}); }}\n" for i in range(60)) + "#endif\n"
+    files = spark.createDataFrame([("x/a.c", code), ("x/b.json", '{"k": [1, 2]}'), ("Kconfig.c", code)], "path string, content string")
+    order = lambda s: sorted(map(str, s.raw.collect()))
+    whole = order(Session(spark, files))
+    monkeypatch.setattr(index, "LONG", 100)
+    monkeypatch.setattr(index, "PART", 200)
+    assert index.part_symbols(files).select("path", "part").distinct().count() > 12
+    assert order(Session(spark, files)) == whole
