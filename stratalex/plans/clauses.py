@@ -64,9 +64,14 @@ def order_keys(df: DataFrame, clauses: Clauses, shape: Shape) -> list[Column]:
     return [*(k.asc_nulls_first() if up else k.desc_nulls_last() for k in keys), *tie_keys(df)]
 
 
-def grouped(df: DataFrame, field: str, shape: Shape, storage_order: list[str]) -> DataFrame:
+def grouped(df: DataFrame, field: str, shape: Shape, storage_order: list[str], keyed: bool = False) -> DataFrame:
     """The first row of each group in storage order, with the group's count; a missing key is the group ''. Rows are put
-    together before they are shuffled, so a group of any size is one row a partition."""
+    together before they are shuffled, so a group of any size is one row a partition. If no two rows share their place in
+    storage order (``keyed``), places alone are compared, and only columns that a result takes are read."""
+    if keyed:
+        key = F.coalesce(shape.text(field), F.lit("")).alias("__key")
+        heads = df.groupBy(key).agg(F.min(F.struct(*storage_order)).alias("__at"), F.count(F.lit(1)).alias("count")).select("__at.*", "count")
+        return df.join(heads, storage_order).select(*df.columns, "count")
     first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*storage_order)).alias("__row")
     rows = df.groupBy(F.coalesce(shape.text(field), F.lit("")).alias("__key")).agg(first, F.count(F.lit(1)).alias("__count"))
     return rows.select("__row.*", F.col("__count").alias("count"))
@@ -104,11 +109,11 @@ def long_page(df: DataFrame, named: list[Column], keys: list[Column], limit: int
     return df.orderBy(*named) if named else df
 
 
-def applied(df: DataFrame, clauses: Clauses, shape: Shape, storage_order: list[str] | None = None, default: int | None = None, total: bool = False) -> DataFrame:
-    """The whole pipeline; ``total`` adds the number of rows before paging as column ``total``."""
+def applied(df: DataFrame, clauses: Clauses, shape: Shape, storage_order: list[str] | None = None, default: int | None = None, total: bool = False, keyed: bool = False) -> DataFrame:
+    """The whole pipeline; ``total`` adds the number of rows before paging as column ``total``, ``keyed`` is as in ``grouped``."""
     df = filtered(df, clauses, shape)
     if clauses.group_by:
-        df = grouped(df, clauses.group_by, shape, storage_order or [c for c in TIES if c in df.columns] or df.columns[:1])
+        df = grouped(df, clauses.group_by, shape, storage_order or [c for c in TIES if c in df.columns] or df.columns[:1], keyed)
         default = None
     df = having(df, clauses, shape)
     if total:

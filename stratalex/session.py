@@ -209,8 +209,8 @@ class Session:
         c = s.clauses
         ranked = "usages" in (*(p.field for p in (*c.where, *c.having)), c.group_by, *(c.order_by or ()))
         rows = self.symbols_by(ranked).filter("first")
-        out = C.applied(rows, s.clauses, shape, storage_order=["path", "pos"], default=PAGE)
-        self.arm(out, "symbols", C.applied(rows, replace(s.clauses, order_by=None, limit=None, offset=None), shape, storage_order=["path", "pos"]))
+        out = C.applied(rows, s.clauses, shape, storage_order=["path", "pos"], default=PAGE, keyed=True)
+        self.arm(out, "symbols", C.applied(rows, replace(s.clauses, order_by=None, limit=None, offset=None), shape, storage_order=["path", "pos"], keyed=True))
         return out.drop("first")
 
     def _find_files(self, s: Statement) -> DataFrame:

@@ -621,3 +621,16 @@ def test_a_corpus_of_long_files_is_read_in_parts(spark, monkeypatch):
     monkeypatch.setattr(index, "PART", 200)
     assert index.part_symbols(files).select("path", "part").distinct().count() > 12
     assert order(Session(spark, files)) == whole
+
+
+def test_groups_of_symbols_read_what_is_taken(spark):
+    """A group is its first place and its count; other columns of its first row, and usages, are read only where they are taken."""
+    files = [("b.c", "int ff(int a) { return 1; }\n#define M 2\n"), ("a.c", "// c\nint gg(int a) { return ff(M); }\nint ff() { return 3; }\n")]
+    s = Session(spark, spark.createDataFrame(files, "path string, content string"))
+    out = s.run("FIND symbols GROUP BY kind")
+    plan = out.select("fql_kind", "count")._jdf.queryExecution().executedPlan().toString()
+    assert "usages" not in plan and "fields#" not in plan
+    got = {r["fql_kind"]: (r["path"], r["name"], r["count"], r["usages"], r["fields"].get("lines")) for r in out.collect()}
+    assert got == {"comment": ("a.c", "// c", 1, 0, None), "function": ("a.c", "gg", 3, 1, "1"), "number": ("a.c", "3", 2, 0, None), "macro": ("b.c", "M", 1, 0, None)}
+    by_name = {r["name"]: (r["path"], r["count"], r["usages"]) for r in s.run("FIND symbols WHERE kind = 'function' GROUP BY name").collect()}
+    assert by_name == {"ff": ("a.c", 2, 3), "gg": ("a.c", 1, 1)}
