@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -114,8 +115,9 @@ def rows_of_file(path: str, content: str, part: clike.Part | None = None, before
             if "block_ord" in r.fields:
                 r.fields["block_ord"] = f"{ordinals[int(r.fields['block_ord'])]:04d}"
             number = ordinals[i] if r.fql_kind in ADDRESSABLE else None
-            first = (r.name, r.fql_kind, r.line) not in seen
-            seen.add((r.name, r.fql_kind, r.line))
+            key = (r.name, r.fql_kind, r.line)
+            first = key not in seen
+            seen.add(key)
             parent = r.parent + base if r.parent >= 0 else r.parent
             if start and "body_start" in r.fields:
                 r.fields["body_start"] = str(int(r.fields["body_start"]) + start)
@@ -162,6 +164,7 @@ def part_symbols(files: DataFrame) -> DataFrame:
                     before += len(body.encode("utf-8", "replace"))
 
     def run(batch: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.set_threshold(100_000)  # readers make many small objects and few cycles
         for p in batch:
             for path, content, n, at in zip(*(p.column(c) for c in ("path", "content", "part", "at"))):
                 *place, before = json.loads(at.as_py()) if at.is_valid else (None, 0)

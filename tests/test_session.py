@@ -634,3 +634,13 @@ def test_groups_of_symbols_read_what_is_taken(spark):
     assert got == {"comment": ("a.c", "// c", 1, 0, None), "function": ("a.c", "gg", 3, 1, "1"), "number": ("a.c", "3", 2, 0, None), "macro": ("b.c", "M", 1, 0, None)}
     by_name = {r["name"]: (r["path"], r["count"], r["usages"]) for r in s.run("FIND symbols WHERE kind = 'function' GROUP BY name").collect()}
     assert by_name == {"ff": ("a.c", 2, 3), "gg": ("a.c", 1, 1)}
+
+
+def test_a_reader_looks_up_few_lines(monkeypatch):
+    """Tokens know their lines, so rows do not search for them."""
+    calls, line = [], clike.Reader.line
+    monkeypatch.setattr(clike.Reader, "line", lambda self, at: calls.append(at) or line(self, at))
+    code = "".join(f"/** d */\nint f{i}(int a, int b) {{\n  if (a > 3 && b != {i}) {{ return g(a + f{i}(1, 2)); }}\n  return a;\n}}\n" for i in range(50))
+    rows = [x for piece in clike.scanned(code, "c") for x in piece]
+    assert len(rows) == 50 * 9 and len(calls) <= 50 * 4
+    assert [(t.line, t.end) for t in clike.lexed('a\n"b\\\nc" /* d\n*/ e\n')] == [(1, 1), (2, 8), (3, 16), (4, 18)]
