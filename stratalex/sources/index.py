@@ -21,6 +21,8 @@ from . import clike, corpus, formats
 RAW = "path string, language string, pos int, name string, fql_kind string, line int, end_line int, byte_start int, byte_end int, char_start int, char_end int, parent_pos int, ordinal int, first boolean, fields map<string,string>"
 _BRACED = "(^|/)(?!Kconfig)[^/]*[.](" + "|".join(e for e, language in formats.LANGUAGES.items() if language in ("c", "cpp")) + ")$"
 _NAME, _KIND, _ORDINAL = (RAW.split(", ").index(c) for c in ("name string", "fql_kind string", "ordinal int"))
+# decimal literals that are their own value
+PLAIN = r"\A(?:0|[1-9][0-9]{0,17})\z"
 # bytes of a file that has a task for itself
 LONG = 1 << 18
 # least characters of a part of a long file
@@ -278,6 +280,8 @@ def symbols(raw: DataFrame, counts: DataFrame | None, expanded: DataFrame, apart
     meaning = F.create_map(*[F.lit(x) for pair in _SUFFIXES.items() for x in pair])[F.lower(text.number_suffix(name))]
     keys = F.array(*map(F.lit, ("num_format", "num_value", "num_suffix", "suffix_meaning")))
     of_numbers = F.map_from_arrays(keys, F.array(text.number_format(name), text.number_value(name).cast("string"), text.number_suffix(name), meaning))
+    of_plain = F.map_from_arrays(F.array(*map(F.lit, ("num_format", "num_value", "num_suffix"))), F.array(F.lit("dec"), name, F.lit("")))
+    of_numbers = F.when(name.rlike(PLAIN), of_plain).otherwise(of_numbers)  # nearly all numbers, by one pattern
     declared = kind.isin("function", "class", "struct", "interface", "enum", "field", "variable", "macro", "type_alias", "namespace")
     none = F.create_map().cast("map<string,string>")
     fields = F.map_concat(fields, F.when(declared, of_names).otherwise(none), F.when(kind == "number", of_numbers).otherwise(none))

@@ -644,3 +644,20 @@ def test_a_reader_looks_up_few_lines(monkeypatch):
     rows = [x for piece in clike.scanned(code, "c") for x in piece]
     assert len(rows) == 50 * 9 and len(calls) <= 50 * 4
     assert [(t.line, t.end) for t in clike.lexed('a\n"b\\\nc" /* d\n*/ e\n')] == [(1, 1), (2, 8), (3, 16), (4, 18)]
+
+
+def test_plain_numbers_are_what_all_patterns_say(spark):
+    from stratalex.functions import text
+
+    r = random.Random(3)
+    some = ["0", "00", "08", "7", "10", "123456789012345678", "1234567890123456789", "9" * 19, "1_0", "1'0", "5u", "5UL", "1f", "1e3", "1.5", "0x1F", "0b1", "1\n", "-3", "12i8"]
+    some += ["".join(r.choice("0123456789xXuUlLfeE._'") for _ in range(r.randint(1, 6))) for _ in range(300)] + [str(r.randrange(10 ** r.randint(1, 20))) for _ in range(100)]
+    given = [("a.c", "c", i, n, "number", 1, 1, 0, 1, 0, 1, -1, None, True, {}) for i, n in enumerate(some)]
+    raw = spark.createDataFrame(given, index.RAW)
+    n = F.col("name")
+    rows = index.symbols(raw, None, raw.limit(0)).select("pos", "name", "fields", text.number_format(n).alias("f"), text.number_value(n).cast("string").alias("v"), text.number_suffix(n).alias("s")).collect()
+    plain = 0
+    for x in rows:
+        assert [x["fields"].get(k) for k in ("num_format", "num_value", "num_suffix")] == [x["f"], x["v"], x["s"]], x
+        plain += re.fullmatch(index.PLAIN.replace(r"\z", ""), x["name"]) is not None
+    assert len(rows) == len(some) and plain > 60
