@@ -216,17 +216,23 @@ class Session:
     def _find_files(self, s: Statement) -> DataFrame:
         C.refused(s.clauses, SHAPES["file"], depth=True)
         files = corpus.stamped(corpus.with_paths(self.files))
+        if s.clauses.depth is not None and not {p.field for p in s.clauses.where} & {"error_count", "parse_coverage", "has_error"}:
+            return self.collapsed(files, s.clauses)  # sums of sizes need no index
         files = relations.with_errors(files, self.raw, "path", F.col("fql_kind") == "error", F.col("byte_end") - F.col("byte_start"))
         cover = corpus.coverage(F.col("size"), F.col("error_bytes")).cast("int")
         files = files.withColumns({"error_count": F.col("error_count").cast("int"), "parse_coverage": cover}).drop("content", "error_bytes")
         if s.clauses.depth is not None:
-            files = C.filtered(files, s.clauses, SHAPES["file"])
-            rows = corpus.collapsed(files, s.clauses.depth).withColumns({"name": F.element_at(F.split(F.rtrim(F.col("path"), F.lit("/")), "/"), -1), "extension": text.extension(F.col("path"))})
-            return C.paged(rows, Clauses(order_by=s.clauses.order_by, limit=s.clauses.limit, offset=s.clauses.offset), SHAPES["file"], PAGE)
+            return self.collapsed(files, s.clauses)
         out = C.applied(files, s.clauses, SHAPES["file"], default=PAGE)
         self.arm(out, "files", C.applied(files, replace(s.clauses, order_by=None, limit=None, offset=None), SHAPES["file"]))
         return out
 
+    def collapsed(self, files: DataFrame, c: Clauses) -> DataFrame:
+        """The rows of FIND files with DEPTH: what lies deeper is summed up in its directory."""
+        rows = corpus.collapsed(C.filtered(files, c, SHAPES["file"]), c.depth)
+        rows = rows.withColumns({"name": F.element_at(F.split(F.rtrim(F.col("path"), F.lit("/")), "/"), -1), "extension": text.extension(F.col("path"))})
+        return C.paged(rows, Clauses(order_by=c.order_by, limit=c.limit, offset=c.offset), SHAPES["file"], PAGE)
+
     def _find_usages(self, s: Statement) -> DataFrame:
         """Every line that holds the needle as a word, labelled by the index; LIMIT and OFFSET count files."""
         shape, c, needle = SHAPES["usage"], s.clauses, s.args["of"]

@@ -661,3 +661,10 @@ def test_plain_numbers_are_what_all_patterns_say(spark):
         assert [x["fields"].get(k) for k in ("num_format", "num_value", "num_suffix")] == [x["f"], x["v"], x["s"]], x
         plain += re.fullmatch(index.PLAIN.replace(r"\z", ""), x["name"]) is not None
     assert len(rows) == len(some) and plain > 60
+
+
+def test_folders_with_their_sums_need_no_index(spark):
+    files = [("a/x.c", "int f() { return 1; }\n"), ("a/b/y.c", "int g( { return 2; }\n"), ("z.md", "# t\n")]
+    s = Session(spark, spark.createDataFrame(files, "path string, content string"))
+    assert {(r["path"], r["count"], r["size"]) for r in s.run("FIND files DEPTH 1 LIMIT 10").collect()} == {("a/", 2, 43), ("z.md", 1, 4)} and "raw" not in s._first
+    assert [(r["path"], r["count"]) for r in s.run("FIND files WHERE error_count > 0 DEPTH 1").collect()] == [("a/", 1)] and "raw" in s._first
