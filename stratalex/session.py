@@ -91,7 +91,7 @@ class Session:
         if what not in self._first:
             make = {
                 "raw": lambda: index.joined_parts(self.kept(index.part_symbols(self.origin), "raw"), lambda df: self.kept(df, "parts")),
-                "expanded": lambda: index.macro_calls(self.first("raw"), self.first("raw")),
+                "expanded": lambda: index.macro_calls(self.first("raw"), self.first("raw"), lambda df: self.kept(df, "definitions")),
                 "counts": lambda: index.code_counts(self.origin, self.first("raw")),
             }
             self._first[what] = make[what]() if what == "raw" else self.kept(make[what](), what)
@@ -335,7 +335,8 @@ class Session:
         m = re.fullmatch(r"(n[0-9a-f]{12,64}\.[0-9]{4,})(?:\((\d+)(?:-(\d+))?\))?", handle)
         if not m:
             raise QueryError(f"no node id: {handle!r}")
-        got = self.symbols.drop("usages").filter(F.col("node_id") == m[1]).limit(1).collect()
+        number = F.col("ordinal") == F.lit(m[1].rpartition(".")[2]).try_cast("int")  # few rows have it, so few paths are hashed
+        got = self.symbols.drop("usages").filter(number & (F.col("node_id") == m[1])).limit(1).collect()
         if not got:
             raise QueryError(f"no node {m[1]}")
         part = (int(m[2]), int(m[3] or m[2])) if m[2] else None

@@ -313,12 +313,14 @@ def callees(raw: DataFrame) -> DataFrame:
     return raw.filter("fql_kind in ('call', 'macro_call')").join(f, ["path", "parent_pos"]).select("caller", "name", "path", "line").distinct()
 
 
-def macro_calls(raw: DataFrame, rows: DataFrame) -> DataFrame:
+def macro_calls(raw: DataFrame, rows: DataFrame, kept: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Calls in ``raw`` whose name some file of ``rows`` defines as a macro, as ``macro_call`` rows with their expansion by one
-    level. The first definition of a name and arity, by path and line, stands for all, so a call meets one row an arity."""
+    level. The first definition of a name and arity, by path and line, stands for all, so a call meets one row an arity.
+    Definitions that ``kept`` makes a table of have a known size, so calls need not be shuffled to meet few of them."""
     field = F.col("fields")
     define = F.struct(F.col("path").alias("file"), "line", F.coalesce(field["value"], F.lit("")).alias("body"), F.coalesce(field["parameters"], F.lit("")).alias("parameters"))
     defs = rows.filter("fql_kind = 'macro' and language <> 'rust'").groupBy("name", field["macro_arity"].cast("int").alias("arity")).agg(F.min(define).alias("def_pos"))
+    defs = kept(defs)
     calls = raw.filter("fql_kind = 'call'").withColumns({"call_id": F.struct("path", "pos"), "args": F.coalesce(field["argument_count"].cast("int"), F.lit(0))})
     known = calls.join(defs.select("name").distinct(), "name", "left_semi")
     best = relations.macro_matches(known.select("call_id", "name", "args"), defs).select("call_id", "def_pos", "arity")

@@ -668,3 +668,10 @@ def test_folders_with_their_sums_need_no_index(spark):
     s = Session(spark, spark.createDataFrame(files, "path string, content string"))
     assert {(r["path"], r["count"], r["size"]) for r in s.run("FIND files DEPTH 1 LIMIT 10").collect()} == {("a/", 2, 43), ("z.md", 1, 4)} and "raw" not in s._first
     assert [(r["path"], r["count"]) for r in s.run("FIND files WHERE error_count > 0 DEPTH 1").collect()] == [("a/", 1)] and "raw" in s._first
+
+
+def test_macro_definitions_are_a_small_table(spark, tmp_path):
+    c = "#define TWICE(x) (x + x)\n" + "".join(f"int f{i}(int a) {{ return TWICE(a) + g(a); }}\n" for i in range(20))
+    s = Session(spark, spark.createDataFrame([("a.c", c)], "path string, content string"), store=str(tmp_path))
+    assert s.run("FIND symbols WHERE kind = 'macro_call' LIMIT 50").count() == 20
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir() if p.name.startswith("definitions")] == ["definitions"]
