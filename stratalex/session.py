@@ -91,7 +91,7 @@ class Session:
         if what not in self._first:
             make = {
                 "raw": lambda: index.joined_parts(self.kept(index.part_symbols(self.origin), "raw"), lambda df: self.kept(df, "parts")),
-                "expanded": lambda: index.macro_calls(self.first("raw"), self.first("raw"), lambda df: self.kept(df, "definitions")),
+                "expanded": lambda: index.macro_calls(self.first("raw"), self.first("raw"), self.kept),
                 "counts": lambda: index.code_counts(self.origin, self.first("raw")),
             }
             self._first[what] = make[what]() if what == "raw" else self.kept(make[what](), what)

@@ -28,6 +28,7 @@ LONG = 1 << 18
 # least characters of a part of a long file
 PART = 1 << 19
 ADDRESSABLE = ("function", "class", "struct", "interface", "enum", "field", "variable", "macro", "type_alias", "namespace", "import", "object", "array", "pair", "section", "heading", "paragraph", "table", "code_block", "list_item", "block_quote", "call_statement", "macro_call", "comment_block", "include_block", "import_block", "macro_block", "type_alias_block", "array_block", "if", "while", "for", "switch", "do")
+_NUMBERED = frozenset(ADDRESSABLE)
 
 
 # fixed values: runs of siblings that count as one block, by language: kind, block, least run, field that splits runs
@@ -64,6 +65,8 @@ def with_blocks(language: str, rows: list[formats.Row], content: str) -> list[fo
             last[r.parent] = run = [i]
             runs.append(run)
     heads = {run[0]: run for run in runs if len(run) >= specs[rows[run[0]].fql_kind][1]}
+    if not heads:
+        return rows
     out, place = [], {-1: -1}
     for i, r in enumerate(rows):
         if run := heads.get(i):
@@ -102,28 +105,30 @@ def rows_of_file(path: str, content: str, part: clike.Part | None = None, before
     start, lines = part.start, part.line
     language, pieces = formats.read_pieces(path, content, part.frames, part.group)
     at, base, last, seen = byte_offsets(content), 0, 0, set()
+    plain = content.encode() if content.isascii() else None
     for rows in pieces:
         rows = with_blocks(language, rows, content)
         ordinals, out = [], []
         for r in rows:
-            last += r.fql_kind in ADDRESSABLE
+            last += r.fql_kind in _NUMBERED
             ordinals.append(last)
         for i, r in enumerate(rows):
-            piece = content[r.start : r.end].encode("utf-8", "replace")
+            piece = plain[r.start : r.end] if plain is not None else content[r.start : r.end].encode("utf-8", "replace")
             if r.fql_kind != "call":
                 r.fields["content_hash"] = sha256(piece).hexdigest()[:16]
             if r.fql_kind == "error":
                 r.fields["error_bytes"] = str(len(piece))
             if "block_ord" in r.fields:
                 r.fields["block_ord"] = f"{ordinals[int(r.fields['block_ord'])]:04d}"
-            number = ordinals[i] if r.fql_kind in ADDRESSABLE else None
+            number = ordinals[i] if r.fql_kind in _NUMBERED else None
+            a, b = (r.start, r.end) if plain is not None else (at(r.start), at(r.end))
             key = (r.name, r.fql_kind, r.line)
             first = key not in seen
             seen.add(key)
             parent = r.parent + base if r.parent >= 0 else r.parent
             if start and "body_start" in r.fields:
                 r.fields["body_start"] = str(int(r.fields["body_start"]) + start)
-            out.append((path, language, base + i, r.name, r.fql_kind, r.line + lines, r.end_line + lines, at(r.start) + before, at(r.end) + before, r.start + start, r.end + start, parent, number, first, r.fields))
+            out.append((path, language, base + i, r.name, r.fql_kind, r.line + lines, r.end_line + lines, a + before, b + before, r.start + start, r.end + start, parent, number, first, r.fields))
         if rows:
             base += len(rows)
             seen = {s for s in seen if s[2] >= rows[-1].line}  # the next piece may begin in the line that this one ends in
@@ -313,16 +318,17 @@ def callees(raw: DataFrame) -> DataFrame:
     return raw.filter("fql_kind in ('call', 'macro_call')").join(f, ["path", "parent_pos"]).select("caller", "name", "path", "line").distinct()
 
 
-def macro_calls(raw: DataFrame, rows: DataFrame, kept: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def macro_calls(raw: DataFrame, rows: DataFrame, kept: Callable[[DataFrame, str], DataFrame] = lambda df, tag: df) -> DataFrame:
     """Calls in ``raw`` whose name some file of ``rows`` defines as a macro, as ``macro_call`` rows with their expansion by one
     level. The first definition of a name and arity, by path and line, stands for all, so a call meets one row an arity.
-    Definitions that ``kept`` makes a table of have a known size, so calls need not be shuffled to meet few of them."""
+    Definitions that ``kept`` makes a table of have a known size, so calls need not be shuffled to meet few of them; the calls
+    that meet one are a table too, so all calls are read once."""
     field = F.col("fields")
     define = F.struct(F.col("path").alias("file"), "line", F.coalesce(field["value"], F.lit("")).alias("body"), F.coalesce(field["parameters"], F.lit("")).alias("parameters"))
     defs = rows.filter("fql_kind = 'macro' and language <> 'rust'").groupBy("name", field["macro_arity"].cast("int").alias("arity")).agg(F.min(define).alias("def_pos"))
-    defs = kept(defs)
+    defs = kept(defs, "definitions")
     calls = raw.filter("fql_kind = 'call'").withColumns({"call_id": F.struct("path", "pos"), "args": F.coalesce(field["argument_count"].cast("int"), F.lit(0))})
-    known = calls.join(defs.select("name").distinct(), "name", "left_semi")
+    known = kept(calls.join(defs.select("name").distinct(), "name", "left_semi"), "calls")
     best = relations.macro_matches(known.select("call_id", "name", "args"), defs).select("call_id", "def_pos", "arity")
     d = F.col("def_pos")
     pairs = F.arrays_zip(F.split(d["parameters"], r"\s*,\s*").alias("p"), F.split(field["arguments"], "\x1f").alias("a"))

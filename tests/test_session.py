@@ -675,3 +675,23 @@ def test_macro_definitions_are_a_small_table(spark, tmp_path):
     s = Session(spark, spark.createDataFrame([("a.c", c)], "path string, content string"), store=str(tmp_path))
     assert s.run("FIND symbols WHERE kind = 'macro_call' LIMIT 50").count() == 20
     assert [p.name.split("-")[0] for p in tmp_path.iterdir() if p.name.startswith("definitions")] == ["definitions"]
+
+
+def test_macro_calls_are_sought_once(spark, tmp_path):
+    """What expands them reads the calls that meet a macro, not all rows again."""
+    c = "#define TWICE(x) (x + x)\nint f(int a) { return TWICE(a) + g(a); }\n"
+    s = Session(spark, spark.createDataFrame([("a.c", c)], "path string, content string"), store=str(tmp_path))
+    rows = index.macro_calls(s.first("raw"), s.first("raw"), s.kept)
+    assert [(r["name"], r["fields"]["macro_expansion"]) for r in rows.collect()] == [("TWICE", "(a + a)")]
+    assert {f.split("/")[-2].split("-")[0] for f in rows.inputFiles()} == {"definitions", "calls"}
+
+
+def test_tokens_behind_blanks():
+    """Blanks go with the token behind them, but an indented preprocessor line keeps its own, and only at the start of a line."""
+    text = '  # a\nx  # y\n\t #b\\\n c\r\n \tLimit r"s" r u8"é" .5;\n\n  #'
+    got = clike.lexed(text)
+    assert [(t.kind, t.text, t.line) for t in got] == [
+        ("pre", "  # a", 1), ("name", "x", 2), ("op", "#", 2), ("name", "y", 2), ("pre", "\t #b\\\n c\r", 3),
+        ("name", "Limit", 5), ("string", 'r"s"', 5), ("name", "r", 5), ("name", "u8", 5), ("string", '"é"', 5), ("number", ".5", 5), ("op", ";", 5), ("pre", "  #", 7),
+    ]
+    assert all(text[t.at : t.end] == t.text for t in got)
